@@ -1,13 +1,598 @@
-"""Named queries and their SQL."""
+"""Named queries over the driver's tables, each through the library's operators, and DuckDB SQL that gives the same rows."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..operators import evaluation as EV
+from ..operators import ingest, linking, matching, rubric, selection, vocabulary
+from . import analogue as A
+from .analogue import quoted, skey, sround, table, values
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
 
-def entry(spark):
-    raise NotImplementedError
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
+
+
+def entry(spark):
+    return shortlist(spark, "/root/testdata/sf0.001")
+
+
+# ---- Cleaning -------------------------------------------------------------------------------------------------------
+
+_ENT = "regexp_replace(html, '<[^>]+>', ' ', 'g')"
+for _a, _b in X.ENTITIES:
+    _ENT = f"replace({_ENT}, {quoted(_a)}, {quoted(_b)})"
+
+
+@query(f"SELECT page_id, md5(regexp_replace(regexp_replace({_ENT}, '[ \\t]+', ' ', 'g'), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')) AS text_md5 FROM pages")
+def ingest_strip_html(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(X.strip_html(F.col("html"))).alias("text_md5"))
+
+
+@query(f"SELECT p_partkey, {skey('p_brand')} AS brand_key, {skey("p_name || ' C++/C# .NET'")} AS name_key FROM part")
+def normalize_keys(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", X.normalize_key(F.col("p_brand")).alias("brand_key"), X.normalize_key(F.concat("p_name", F.lit(" C++/C# .NET"))).alias("name_key"))
+
+
+@query("SELECT n_nationkey, n_name AS city, CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE r_name || ', x' END AS country FROM nation JOIN region ON n_regionkey = r_regionkey")
+def parse_location(spark, sf_dir):
+    both = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    raw = F.when(F.col("n_nationkey") % 3 == 0, F.col("n_name")).otherwise(F.concat("n_name", F.lit(" ,  "), "r_name", F.lit(", x ")))
+    return both.withColumn("l", X.parse_location(raw)).select("n_nationkey", "l.city", "l.country")
+
+
+_NOTICE = ["", "Immediate", "Available immediately", "Negotiable", "2 weeks notice", "1 month", "2 months", "45 days", "90 days notice", "starts in 2003"]
+
+
+@query(f"""WITH n AS (SELECT event_id, {quoted(_NOTICE)}[1 + event_id % 10] AS raw FROM events), l AS (SELECT event_id, lower(raw) AS s FROM n)
+SELECT event_id, CAST(CASE WHEN s = '' THEN NULL WHEN s IN ('immediate', 'available immediately', 'negotiable') THEN 0
+  WHEN s LIKE '%starts in%' THEN date_diff('day', DATE '{A.REF}', make_date(CAST(regexp_extract(s, 'starts in (\\d{{4}})', 1) AS BIGINT), 1, 1))
+  WHEN s LIKE '%week%' THEN CAST(regexp_extract(s, '(\\d+)', 1) AS BIGINT) * 7 WHEN s LIKE '%month%' THEN CAST(regexp_extract(s, '(\\d+)', 1) AS BIGINT) * 30
+  ELSE CAST(regexp_extract(s, '(\\d+)', 1) AS BIGINT) END AS INTEGER) AS days FROM l""")
+def notice_days(spark, sf_dir):
+    raw = F.element_at(F.array(*map(F.lit, _NOTICE)), (F.col("event_id") % 10 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", X.notice_days(raw, F.to_date(F.lit(A.REF))).alias("days"))
+
+
+@query(f"WITH d AS (SELECT o_orderkey, greatest(date_diff('day', make_date(year(o_orderdate), 1, 1), DATE '{A.REF}'), 0) / 365.25e0 AS x FROM orders) SELECT o_orderkey, {sround('x', 2)} AS years FROM d")
+def years_between(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", X.years_between(F.year("o_orderdate"), F.to_date(F.lit(A.REF))).alias("years"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 4 = 0 THEN NULL WHEN event_id % 4 = 1 THEN CAST(event_id AS DOUBLE) WHEN event_id % 4 = 2 THEN NULL ELSE -1.5e0 END AS years FROM events""")
+def stated_years(spark, sf_dir):
+    k = F.col("event_id")
+    raw = F.when(k % 4 == 0, "five years").when(k % 4 == 1, F.concat(F.lit(" "), k.cast("string"))).when(k % 4 == 2, "5d").otherwise("-1.5 ")
+    return table(spark, sf_dir, "events").select("event_id", X.stated_years(raw).alias("years"))
+
+
+@query("""SELECT o_orderkey, o_orderpriority AS title, 'Co' AS company, 'X' AS city, o_orderkey % 2 = 0 AS is_current,
+  CASE WHEN o_orderkey % 2 = 0 THEN year(o_orderdate) END AS start_year, CASE WHEN o_orderkey % 2 = 1 THEN CAST(o_orderkey % 9 AS DOUBLE) END AS years FROM orders""")
+def parse_past_roles(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    now = F.concat("o_orderpriority", F.lit(", Co (X) — "), F.year("o_orderdate").cast("string"), F.lit("–Present: did things."))
+    then = F.concat("o_orderpriority", F.lit(", Co (X) — earlier tenure, "), (k % 9).cast("string"), F.lit("+ years."))
+    roles = X.past_roles(F.concat(F.when(k % 2 == 0, now).otherwise(then), F.lit(" | ")), F.to_date(F.lit(A.REF)))
+    r = o.select("o_orderkey", F.explode(roles).alias("r"))
+    return r.select("o_orderkey", "r.title", "r.company", "r.city", "r.is_current", F.col("r.start_year").cast("long").alias("start_year"), F.when(~F.col("r.is_current"), F.col("r.duration_years")).alias("years"))
+
+
+@query("""SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY text, lang, source, n_chars ORDER BY doc_id) AS n FROM documents) WHERE n = 1""")
+def dedupe_full_row(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("pos", F.col("doc_id"))
+    return ingest.dedupe_full_row(docs, "doc_id", "pos")[0].select("doc_id")
+
+
+@query("""WITH g AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text, lang, source, n_chars) AS kept_id FROM documents)
+SELECT kept_id, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS dropped FROM g WHERE doc_id <> kept_id GROUP BY 1""")
+def dedupe_groups(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("pos", F.col("doc_id"))
+    return ingest.dedupe_full_row(docs, "doc_id", "pos")[1].select("kept_id", F.concat_ws(",", F.col("dropped_ids").cast("array<string>")).alias("dropped"))
+
+
+@query("SELECT event_id, 'blank raw_id' AS reason FROM events WHERE event_id % 13 = 0")
+def exclusions(spark, sf_dir):
+    raw = table(spark, sf_dir, "events").withColumn("raw_id", F.when(F.col("event_id") % 13 == 0, " ").otherwise(F.col("event_id").cast("string")))
+    return ingest.split_blank_ids(raw, "raw_id")[1].select("event_id", "reason")
+
+
+_FOLD = "list_reduce(list({} ORDER BY pos), lambda a, b: a + b)"
+
+
+@query(f"""WITH {A.PEOPLE_SQL}, {A.PAST_SQL}, s AS (SELECT candidate_id, {_FOLD.format('duration_years')} AS x FROM past GROUP BY 1), i AS (SELECT candidate_id, {sround('x', 2)} AS implied_years FROM s)
+SELECT candidate_id, stated_years, coalesce(implied_years, 0e0) AS implied_years FROM people LEFT JOIN i USING (candidate_id) WHERE stated_years IS NULL OR abs(stated_years - coalesce(implied_years, 0e0)) > 2""")
+def experience_conflicts(spark, sf_dir):
+    past = A.past_roles(spark, sf_dir).groupBy("candidate_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "duration_years"))), lambda x: x["duration_years"]).alias("d"))
+    both = A.people(spark, sf_dir).join(past, "candidate_id", "left")
+    return ingest.experience_conflicts(both, "stated_years", "d").where("conflict").select("candidate_id", "stated_years", "implied_years")
+
+
+@query("SELECT p_name, min(p_partkey) AS first_at FROM part GROUP BY 1")
+def distinct_first_seen(spark, sf_dir):
+    return ingest.first_seen(table(spark, sf_dir, "part"), "p_name", ["p_partkey"]).select("p_name", F.col("first_at.p_partkey").alias("first_at"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '' ELSE o_orderstatus || '|' || o_orderpriority END AS skills FROM orders")
+def split_skills(spark, sf_dir):
+    raw = F.when(F.col("o_orderkey") % 3 == 0, "-").otherwise(F.concat(F.lit(" "), "o_orderstatus", F.lit(" ,, "), "o_orderpriority", F.lit(" ,")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.concat_ws("|", X.split_list(raw)).alias("skills"))
+
+
+@query("SELECT e.user_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(CAST(regexp_extract(props, '\"k\": *(-?\\d+)', 1) AS BIGINT)) AS BIGINT) AS k_sum FROM events e GROUP BY 1")
+def json_props(spark, sf_dir):
+    k = F.from_json("props", "k long")["k"]
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum(k).alias("k_sum"))
+
+
+# ---- Vocabulary -----------------------------------------------------------------------------------------------------
+
+
+def surfaces(spark):
+    return vocabulary.surfaces(A.terms(spark))
+
+
+@query(f"WITH {A.TERMS_SQL} SELECT p_partkey, term_id FROM part LEFT JOIN (SELECT {skey('surface')} AS k, min_by(term_id, ord) AS term_id FROM terms WHERE pillar = 'skill' GROUP BY 1) ON k = {skey('p_brand')}")
+def surface_resolution(spark, sf_dir):
+    return vocabulary.resolve_surface(table(spark, sf_dir, "part"), "p_brand", surfaces(spark), "skill").select("p_partkey", "term_id")
+
+
+_CLOSURE = "closure AS (SELECT src, dst FROM edges WHERE kind = 'narrower' UNION SELECT c.src, e.dst FROM closure c JOIN edges e ON c.dst = e.src WHERE e.kind = 'narrower')"
+
+
+@query(f"WITH RECURSIVE {A.EDGES_SQL}, {_CLOSURE} SELECT src, dst FROM closure")
+def narrower_closure(spark, sf_dir):
+    return vocabulary.narrower_closure(A.edges(spark))
+
+
+_BAD_EDGES = [*A.EDGES, ("skill", "Brand#1", "Brand#3", "narrower", 1.0, 90), ("skill", "Brand#1", "NOWHERE", "adjacent", 0.6, 91), ("skill", "Brand#4", "Brand#4", "adjacent", 0.6, 92), ("occupation", "LOW_DESK", "Brand#1", "adjacent", 0.5, 93)]
+
+
+@query(f"""WITH RECURSIVE {values("edges", "pillar, src, dst, kind, weight, ord", _BAD_EDGES)}, {_CLOSURE}, {A.TERMS_SQL}, t AS (SELECT pillar, term_id FROM terms UNION ALL SELECT 'skill', 'LONELY'),
+ends AS (SELECT pillar, src, dst, unnest([src, dst]) AS e FROM edges)
+SELECT 'cycle' AS kind, src AS detail FROM closure WHERE src = dst
+UNION ALL SELECT DISTINCT 'dangling_edge', src || '->' || dst FROM ends WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.pillar = ends.pillar AND t.term_id = e)
+UNION ALL SELECT 'self_edge', src FROM edges WHERE src = dst UNION ALL SELECT 'orphan_term', 'LONELY'""")
+def taxonomy_errors(spark, sf_dir):
+    terms = A.terms(spark).union(spark.createDataFrame([("skill", "LONELY", 99, "Lonely", [], [], [])], A.terms(spark).schema))
+    return vocabulary.validation_errors(terms, spark.createDataFrame(_BAD_EDGES, A.edges(spark).schema))
+
+
+@query(f"WITH {A.ROLES_SQL}, {A.CLAIMS_SQL}, s AS (SELECT DISTINCT unnest(required || nice) AS source FROM roles) SELECT source FROM s WHERE source NOT IN (SELECT source FROM claims)")
+def requirement_audit(spark, sf_dir):
+    wanted = A.roles(spark).select(F.explode(F.concat("required", "nice")).alias("source"))
+    return vocabulary.unmatched_requirements(wanted, A.terms(spark), "skill")
+
+
+@query(f"SELECT 'skill' AS pillar, {skey('p_name')} AS \"key\", count(DISTINCT p_brand) AS owners FROM part GROUP BY 2 HAVING count(DISTINCT p_brand) > 1")
+def surface_collisions(spark, sf_dir):
+    s = table(spark, sf_dir, "part").select(F.lit("skill").alias("pillar"), X.normalize_key(F.col("p_name")).alias("key"), F.col("p_brand").alias("term_id"), F.lit("surface").alias("kind"))
+    return vocabulary.surface_collisions(s)
+
+
+_MIRROR = "near AS (SELECT pillar, src, dst, min_by(weight, ord) AS weight FROM (SELECT pillar, src, dst, weight, ord FROM edges WHERE kind = 'adjacent' UNION ALL SELECT pillar, dst, src, weight, ord FROM edges WHERE kind = 'adjacent') GROUP BY 1, 2, 3)"
+
+
+@query(f"WITH {A.EDGES_SQL}, {_MIRROR} SELECT pillar, src, dst, weight FROM near")
+def adjacent_weights(spark, sf_dir):
+    return vocabulary.mirrored(A.edges(spark))
+
+
+def _draft(spark, sf_dir):
+    """A draft with a term for each brand: its part names are aliases, the next two brands by name adjacent."""
+    p = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.array_sort(F.collect_set("p_name")).alias("aliases"), F.min("p_partkey").alias("ord"))
+    near = F.array(*[F.struct(F.concat(F.lit("Brand#"), ((F.regexp_extract("p_brand", r"(\d+)", 1).cast("int") + k)).cast("string")).alias("term"), F.lit(w).alias("weight")) for k, w in ((1, 0.6), (-1, 0.4))])
+    return p.select("ord", F.col("p_brand").alias("id"), F.col("p_brand").alias("canonical"), "aliases", F.array(F.lit("red widget"), F.col("p_brand")).alias("narrower"), near.alias("adjacent"), F.array().cast("array<struct<phrase:string,weight:double>>").alias("related"), F.array(F.col("p_brand")).alias("from_requirements"))
+
+
+@query("""WITH d AS (SELECT p_brand AS id, min(p_partkey) AS ord, CAST(regexp_extract(p_brand, '(\\d+)', 1) AS INTEGER) AS k FROM part GROUP BY 1),
+n AS (SELECT id, ord, pos, 'Brand#' || (k + step) AS t, w FROM d, (VALUES (0, 1, 6e-1), (1, -1, 4e-1)) v(pos, step, w)),
+p AS (SELECT least(id, t) AS src, greatest(id, t) AS dst, first(w ORDER BY ord, pos) AS weight FROM n WHERE t IN (SELECT id FROM d) GROUP BY 1, 2) SELECT src, dst, weight FROM p""")
+def raw_to_terms(spark, sf_dir):
+    return vocabulary.from_draft(_draft(spark, sf_dir), "skill")[1].select("src", "dst", "weight")
+
+
+@query("""WITH s AS (SELECT p_brand AS term_id, list_sort(list(DISTINCT p_name)) AS l FROM part GROUP BY 1)
+SELECT term_id, p AS phrase FROM (SELECT term_id, unnest(list_distinct([term_id, 'red widget'] || l)) AS p FROM s) UNION ALL SELECT 'Brand#1', 'one more' WHERE EXISTS (SELECT 1 FROM s WHERE term_id = 'Brand#1')""")
+def patched_surfaces(spark, sf_dir):
+    more = spark.createDataFrame([("Brand#1", "one more")], "id string, phrase string")
+    draft = _draft(spark, sf_dir)
+    twice = vocabulary.patched(vocabulary.patched(draft, add_narrower=more), add_narrower=more)
+    return vocabulary.from_draft(twice, "skill")[0].select("term_id", F.explode("surfaces").alias("phrase"))
+
+
+# ---- Linking --------------------------------------------------------------------------------------------------------
+
+_FIELDS = ("headline", "projects", "education", "certifications", "extra_curriculars")
+_LONG = "long AS (" + " UNION ALL ".join(f"SELECT candidate_id, '{f}' AS field, {f} AS text FROM people WHERE trim(coalesce({f}, '')) NOT IN ('', '-')" for f in _FIELDS) + ")"
+
+
+@query(f"WITH {A.PEOPLE_SQL}, {_LONG} SELECT candidate_id, field, text FROM long")
+def unpivot_fields(spark, sf_dir):
+    return linking.unpivot_fields(A.people(spark, sf_dir), "candidate_id", {f: f for f in _FIELDS})
+
+
+@query(f"""WITH {A.TERMS_SQL}, {A.RELATED_SQL}, i AS (SELECT p_partkey, unnest([p_brand, p_name, 'nothing']) AS phrase, unnest([0, 1, 2]) AS pos FROM part),
+s AS (SELECT {skey('surface')} AS k, min_by(term_id, ord) AS t FROM terms WHERE pillar = 'skill' GROUP BY 1), r AS (SELECT lower(phrase) AS low, min_by(term_id, ord) AS t FROM related WHERE pillar = 'skill' GROUP BY 1)
+SELECT p_partkey, pos, phrase, coalesce(s.t, r.t) AS term_id, CASE WHEN s.t IS NOT NULL THEN 'met' ELSE 'adjacent' END AS relation FROM i LEFT JOIN s ON k = {skey('phrase')} LEFT JOIN r ON low = lower(phrase) WHERE s.t IS NOT NULL OR r.t IS NOT NULL""")
+def link_list_field(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.lit("skills").alias("field"), F.concat_ws(", ", "p_brand", "p_name", F.lit("nothing")).alias("text"))
+    return linking.link_list_field(rows, "p_partkey", surfaces(spark)).select("p_partkey", "pos", "phrase", "term_id", "relation")
+
+
+_PHRASES = ["the and", "of that", "de la", "einer"]
+
+
+@query(f"""WITH r(phrase) AS (VALUES {', '.join(f"({quoted(p)})" for p in _PHRASES)}) SELECT doc_id, phrase FROM documents JOIN r ON contains(lower(text), phrase)""")
+def link_prose_contains(spark, sf_dir):
+    s = spark.createDataFrame([("skill", "T", 0, i, p, 0.7, "related", p) for i, p in enumerate(_PHRASES)], "pillar string, term_id string, term_ord int, ord int, phrase string, weight double, kind string, key string")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.lit("projects").alias("field"), "text")
+    return linking.link_prose(rows, "doc_id", s).select("doc_id", "phrase")
+
+
+_GROUND = ["projects", "headline", "certifications", "skills"]
+
+
+@query(f"""WITH {A.PEOPLE_SQL}, m AS (SELECT candidate_id, {quoted(_GROUND)}[1 + candidate_id % 4] AS field, CASE WHEN candidate_id % 5 = 0 THEN ' ' WHEN candidate_id % 2 = 0 THEN 'CUSTOMER' ELSE 'nothing' END AS phrase FROM people), {_LONG}
+SELECT candidate_id, CASE WHEN m.field NOT IN ('projects', 'certifications') THEN 'field not of this group' WHEN trim(phrase) = '' THEN 'empty phrase' ELSE 'phrase not in the field' END AS reason
+FROM m LEFT JOIN long USING (candidate_id, field) WHERE m.field NOT IN ('projects', 'certifications') OR trim(phrase) = '' OR NOT coalesce(contains(lower(text), lower(phrase)), false)""")
+def groundedness_filter(spark, sf_dir):
+    p = A.people(spark, sf_dir)
+    k = F.col("candidate_id")
+    m = p.select(k, F.element_at(F.array(*map(F.lit, _GROUND)), (k % 4 + 1).cast("int")).alias("field"), F.lit("prose").alias("group"), F.when(k % 5 == 0, " ").when(k % 2 == 0, "CUSTOMER").otherwise("nothing").alias("phrase"))
+    return linking.ground(m, linking.unpivot_fields(p, "candidate_id", {f: f for f in _FIELDS}), "candidate_id")[1].select("candidate_id", "reason")
+
+
+_OCC = f"""occ AS (SELECT k, first(term_id ORDER BY r, o, ro) AS occupation_id, first(weight ORDER BY r, o, ro) AS own_weight FROM (
+  SELECT {skey('surface')} AS k, term_id, 1e0 AS weight, 0 AS r, ord AS o, 0 AS ro FROM terms WHERE pillar = 'occupation' UNION ALL SELECT {skey('phrase')}, term_id, weight, 1, ord, rord FROM related WHERE pillar = 'occupation') GROUP BY 1),
+own AS (SELECT past.*, occupation_id, coalesce(own_weight, 0e0) AS own_weight FROM past LEFT JOIN occ ON k = {skey('title')})"""
+_PAST = f"{A.TERMS_SQL}, {values('related', 'pillar, term_id, ord, phrase, weight, rord', [(p, t, o, x, w, i) for p, t, o, _, _, r, _ in A.TERMS for i, (x, w) in enumerate(r)])}, {A.PAST_SQL}, {_OCC}"
+
+
+def _own(spark, sf_dir):
+    return linking.resolve_occupations(A.past_roles(spark, sf_dir), "title", surfaces(spark))
+
+
+@query(f"WITH {_PAST} SELECT candidate_id, pos, occupation_id, own_weight FROM own")
+def occupation_resolution(spark, sf_dir):
+    return _own(spark, sf_dir).select("candidate_id", F.col("pos").cast("long").alias("pos"), "occupation_id", "own_weight")
+
+
+@query(f"""WITH {A.MENTIONS_SQL}, {A.PEOPLE_SQL}, t AS (SELECT candidate_id, string_agg(DISTINCT term_id, ',' ORDER BY term_id) AS s FROM mentions WHERE field = 'skills' GROUP BY 1),
+g AS (SELECT headline, city, count(*) AS n, count(DISTINCT coalesce(s, '')) AS d FROM people LEFT JOIN t USING (candidate_id) WHERE candidate_id IN (SELECT candidate_id FROM mentions) GROUP BY 1, 2 HAVING count(*) > 1)
+SELECT count(*) FILTER (WHERE d > 1) AS inconsistent, count(*) AS checked FROM g""")
+def duplicate_consistency(spark, sf_dir):
+    return linking.duplicate_consistency(A.people(spark, sf_dir), A.mentions(spark, sf_dir), "candidate_id", ["headline", "city"])
+
+
+# ---- Rubrics --------------------------------------------------------------------------------------------------------
+
+_REQ = f"""{A.ROLES_SQL}, {A.CLAIMS_SQL}, base(k) AS (VALUES {', '.join(sorted({f"('{b.replace(' ', '-')}')" for b in rubric.BASELINE}))}),
+ct AS (SELECT {skey('source')} AS k, list_sort(list(DISTINCT term_id)) AS term_ids FROM claims GROUP BY 1),
+slots AS (SELECT role_id, unnest(range(len(required) + len(nice))) AS req_pos, unnest(required || nice) AS source, len(required) AS n FROM roles),
+sk AS (SELECT role_id, req_pos, source, CASE WHEN req_pos < n AND base.k IS NULL THEN 'required' ELSE 'preferred' END AS tier, req_pos < n AND base.k IS NOT NULL AS baseline_demoted, coalesce(term_ids, []) AS term_ids
+  FROM slots LEFT JOIN ct ON ct.k = {skey('source')} LEFT JOIN base ON base.k = {skey('source')}),
+ot AS (SELECT role_id, req_pos AS other, unnest(term_ids) AS t FROM sk),
+blk AS (SELECT s.role_id, s.req_pos, list_sort(list_filter(list(DISTINCT o.t), lambda x: NOT list_contains(any_value(s.term_ids), x))) AS blocked FROM sk s JOIN ot o ON s.role_id = o.role_id AND o.other <> s.req_pos GROUP BY 1, 2),
+req AS (SELECT sk.role_id, sk.req_pos, source, 'skill' AS kind, tier, term_ids, coalesce(blocked, []) AS blocked, NULL AS exp_min, NULL AS exp_max, baseline_demoted FROM sk LEFT JOIN blk USING (role_id, req_pos)
+  UNION ALL SELECT role_id, len(required) + len(nice), exp_min || '-' || exp_max || ' years of relevant ' || title || ' experience', 'experience', 'required', [], [], exp_min, exp_max, false FROM roles)"""
+_REQ = _REQ.replace("list_sort(list_filter(list(DISTINCT o.t), lambda x: NOT list_contains(any_value(s.term_ids), x)))", "list_sort(list(DISTINCT o.t) FILTER (WHERE NOT list_contains(s.term_ids, o.t)))")
+
+
+def _req(spark):
+    return rubric.compile_rubrics(A.roles(spark), A.terms(spark))
+
+
+_REQ_COLS = "role_id, CAST(req_pos AS INTEGER) AS req_pos, source, kind, tier, array_to_string(term_ids, ',') AS terms, baseline_demoted"
+
+
+@query(f"WITH {_REQ} SELECT {_REQ_COLS} FROM req")
+def compile_rubric(spark, sf_dir):
+    return _req(spark).select("role_id", "req_pos", "source", "kind", "tier", F.concat_ws(",", "term_ids").alias("terms"), "baseline_demoted")
+
+
+@query(f"WITH {_REQ} SELECT role_id, CAST(req_pos AS INTEGER) AS req_pos, coalesce(array_to_string(blocked, ','), '') AS blocked FROM req WHERE kind = 'skill'")
+def blocked_terms(spark, sf_dir):
+    return _req(spark).where("kind = 'skill'").select("role_id", "req_pos", F.concat_ws(",", "blocked").alias("blocked"))
+
+
+_STEER = f"{values('retier', 'role_id, source, t, ord', A.RETIER)}, lastt AS (SELECT role_id, source, max_by(t, ord) AS t FROM retier GROUP BY 1, 2), steered AS (SELECT req.* REPLACE (coalesce(lastt.t, tier) AS tier) FROM req LEFT JOIN lastt USING (role_id, source))"
+
+
+def _steered(spark):
+    retier = spark.createDataFrame(A.RETIER, "role_id string, source string, tier string, ord int")
+    return rubric.apply_steering(_req(spark), rubric.rubrics(A.roles(spark)), retier, A.STEERED, 40.0)
+
+
+@query(f"WITH {_REQ}, {_STEER} SELECT {_REQ_COLS} FROM steered")
+def apply_steering(spark, sf_dir):
+    return _steered(spark)[0].select("role_id", "req_pos", "source", "kind", "tier", F.concat_ws(",", "term_ids").alias("terms"), "baseline_demoted")
+
+
+@query(f"WITH {_REQ}, {_STEER} SELECT r.role_id, r.source, r.tier AS tier_before, s.tier AS tier_after FROM req r JOIN steered s ON r.role_id = s.role_id AND r.req_pos = s.req_pos WHERE r.tier <> s.tier")
+def steering_diff(spark, sf_dir):
+    return rubric.steering_diff(_req(spark), _steered(spark)[0])
+
+
+# ---- Matching -------------------------------------------------------------------------------------------------------
+
+_FS = "CASE field " + " ".join(f"WHEN '{k}' THEN {v}e0" for k, v in matching.FIELD_STRENGTH.items()) + " ELSE 1e0 END"
+_HAVE = f"""{A.MENTIONS_SQL}, {A.RELATED_SQL}, caps AS (SELECT term_id, {skey('phrase')} AS k, min_by(weight, rord) AS cap FROM related WHERE pillar = 'skill' GROUP BY 1, 2),
+m1 AS (SELECT m.*, least(CASE WHEN relation = 'met' THEN 1e0 ELSE 6e-1 END, coalesce(cap, 1e0)) * {_FS} AS x FROM mentions m LEFT JOIN caps c ON c.term_id = m.term_id AND c.k = {skey('m.phrase')}),
+m2 AS (SELECT *, {sround('x', 3)} AS v FROM m1),
+have AS (SELECT candidate_id, term_id, first(v ORDER BY v DESC, ord) AS v, first(field ORDER BY v DESC, ord) AS field, first(phrase ORDER BY v DESC, ord) AS phrase, min(ord) AS have_ord FROM m2 WHERE v > 0 GROUP BY 1, 2)"""
+
+
+def _have(spark, sf_dir):
+    return matching.have_terms(A.mentions(spark, sf_dir), surfaces(spark))
+
+
+@query(f"WITH {_HAVE} SELECT candidate_id, term_id, v, field, phrase, have_ord FROM have")
+def have_terms(spark, sf_dir):
+    return _have(spark, sf_dir).withColumn("have_ord", F.col("have_ord").cast("long"))
+
+
+_ROUTES = f"""{_HAVE}, {A.EDGES_SQL}, {_CLOSURE}, {_MIRROR}, {_REQ}, {A.TERMS_SQL},
+route AS (SELECT term_id AS have, term_id, 0 AS route, 1e0 AS weight FROM terms WHERE pillar = 'skill' UNION ALL SELECT src, dst, 1, 1e0 FROM closure WHERE src <> dst UNION ALL SELECT src, dst, 2, weight FROM near WHERE pillar = 'skill'),
+need AS (SELECT role_id, req_pos, blocked, unnest(range(len(term_ids))) AS term_pos, unnest(term_ids) AS term_id FROM req WHERE kind = 'skill'),
+r1 AS (SELECT h.candidate_id, n.role_id, n.req_pos, n.term_pos, n.term_id, route, h.v * CASE WHEN route = 2 THEN weight ELSE 1e0 END AS x, h.v AS hv, have_ord, field, phrase
+  FROM have h JOIN route r ON r.have = h.term_id JOIN need n ON n.term_id = r.term_id WHERE route = 0 OR NOT list_contains(n.blocked, h.term_id)),
+r2 AS (SELECT *, CASE WHEN route = 2 THEN {sround('x', 3)} ELSE hv END AS v FROM r1),
+r3 AS (SELECT *, row_number() OVER (PARTITION BY candidate_id, role_id, req_pos, term_pos ORDER BY route <> 0, v DESC, have_ord, route) AS n FROM r2),
+routes AS (SELECT candidate_id, role_id, req_pos, term_pos, term_id, v, CASE route WHEN 0 THEN 'direct' WHEN 1 THEN 'narrower' ELSE 'adjacent' END AS via, field, phrase FROM r3 WHERE n = 1 AND v > 0)"""
+
+
+def _routes(spark, sf_dir):
+    return matching.term_routes(_have(spark, sf_dir), matching.routes(A.edges(spark), A.terms(spark)), _req(spark))
+
+
+@query(f"WITH RECURSIVE {_ROUTES} SELECT candidate_id, role_id, CAST(req_pos AS INTEGER) AS req_pos, term_id, v, via, field, phrase FROM routes")
+def term_routes(spark, sf_dir):
+    return _routes(spark, sf_dir).drop("term_pos")
+
+
+_SKILL = f"{_ROUTES}, best AS (SELECT *, row_number() OVER (PARTITION BY candidate_id, role_id, req_pos ORDER BY v DESC, term_pos) AS k FROM routes), {A.PEOPLE_SQL}, sc AS (SELECT p.candidate_id, q.role_id, q.req_pos, q.source, q.tier, len(q.term_ids) > 0 AS verifiable, coalesce(v, 0e0) AS score, coalesce(via, 'absent') AS via, field, phrase FROM people p CROSS JOIN (SELECT * FROM req WHERE kind = 'skill') q LEFT JOIN (SELECT * FROM best WHERE k = 1) b ON b.candidate_id = p.candidate_id AND b.role_id = q.role_id AND b.req_pos = q.req_pos)"
+
+
+def _scores(spark, sf_dir):
+    return matching.with_absent(matching.skill_scores(_routes(spark, sf_dir)), A.people(spark, sf_dir), _req(spark))
+
+
+@query(f"WITH RECURSIVE {_SKILL} SELECT candidate_id, role_id, CAST(req_pos AS INTEGER) AS req_pos, score, via, field, phrase FROM sc")
+def skill_requirement_scores(spark, sf_dir):
+    return _scores(spark, sf_dir).select("candidate_id", "role_id", "req_pos", "score", "via", "field", "phrase")
+
+
+_YEARS = f"""tgt AS (SELECT role_id, term_id AS occ FROM roles LEFT JOIN terms ON pillar = 'occupation' AND {skey('surface')} = {skey('title')}),
+rel AS (SELECT role_id, occ AS src, 1e0 AS rel FROM tgt WHERE occ IS NOT NULL UNION ALL SELECT role_id, src, weight FROM tgt JOIN near ON pillar = 'occupation' AND dst = occ WHERE src <> occ),
+y0 AS (SELECT candidate_id, role_id, {_FOLD.format('duration_years * own_weight * rel')} AS x FROM own JOIN rel ON src = occupation_id GROUP BY 1, 2),
+yrs AS (SELECT candidate_id, role_id, {sround('x', 2)} AS years FROM y0)"""
+
+
+def _years(spark, sf_dir):
+    targets = matching.role_occupations(A.roles(spark), surfaces(spark))
+    return matching.relevant_years(_own(spark, sf_dir), targets, vocabulary.mirrored(A.edges(spark)))
+
+
+@query(f"WITH {_PAST}, {A.ROLES_SQL}, {A.EDGES_SQL}, {_MIRROR}, {_YEARS} SELECT candidate_id, role_id, years FROM yrs")
+def relevant_years(spark, sf_dir):
+    return _years(spark, sf_dir)
+
+
+def _band(y, lo, hi, ratio):
+    return f"CASE WHEN {y} <= 0 THEN 0e0 WHEN {y} BETWEEN {lo} AND {hi} THEN 1e0 WHEN {y} > {hi} THEN 8.5e-1 ELSE {sround(ratio, 3)} END"
+
+
+_EXP = f"""e0 AS (SELECT p.candidate_id, r.role_id, len(required) + len(nice) AS req_pos, stated_years, coalesce(years, 0e0) AS implied_years, exp_min, exp_max, least(1e0, coalesce(years, 0e0) / exp_min) AS q FROM people p CROSS JOIN roles r LEFT JOIN yrs USING (candidate_id, role_id)),
+ex AS (SELECT candidate_id, role_id, req_pos, stated_years, implied_years, {_band('implied_years', 'exp_min', 'exp_max', 'q')} AS score, stated_years IS NULL OR abs(stated_years - implied_years) > 2 AS conflict FROM e0)"""
+
+
+def _exp(spark, sf_dir):
+    return matching.experience_scores(A.people(spark, sf_dir), _req(spark), _years(spark, sf_dir))
+
+
+@query(f"WITH {_PAST}, {A.ROLES_SQL}, {A.EDGES_SQL}, {_MIRROR}, {_YEARS}, {A.PEOPLE_SQL}, {_EXP} SELECT candidate_id, role_id, implied_years, score, conflict FROM ex")
+def band_fit(spark, sf_dir):
+    return _exp(spark, sf_dir).select("candidate_id", "role_id", "implied_years", "score", "conflict")
+
+
+@query(f"""WITH {_PAST} SELECT candidate_id, string_agg(title || ' ' || CASE WHEN duration_years = floor(duration_years) THEN CAST(CAST(duration_years AS BIGINT) AS VARCHAR) ELSE CAST(duration_years AS VARCHAR) END || 'y x' || printf('%.2f', own_weight), '; ' ORDER BY pos) AS trace FROM own WHERE occupation_id IS NOT NULL GROUP BY 1""")
+def experience_trace(spark, sf_dir):
+    return matching.experience_trace(_own(spark, sf_dir))
+
+
+@query(f"WITH {A.PEOPLE_SQL} SELECT candidate_id, CASE WHEN notice_days IS NULL THEN 0e0 WHEN notice_days <= 0 THEN 1e0 WHEN notice_days <= 30 THEN 7.5e-1 WHEN notice_days <= 45 THEN 5e-1 WHEN notice_days <= 60 THEN 2.5e-1 ELSE 0e0 END AS score FROM people")
+def availability_bucket(spark, sf_dir):
+    return A.people(spark, sf_dir).select("candidate_id", X.availability(F.col("notice_days")).alias("score"))
+
+
+_PLACES = f"""{values('cof', 'city, land', list(A.COUNTRY_OF.items()))}, pl AS (SELECT p.candidate_id, r.role_id,
+  CASE WHEN notice_days IS NULL THEN 0e0 WHEN notice_days <= 0 THEN 1e0 WHEN notice_days <= 30 THEN 7.5e-1 WHEN notice_days <= 45 THEN 5e-1 WHEN notice_days <= 60 THEN 2.5e-1 ELSE 0e0 END AS availability_score,
+  CASE WHEN p.city = '' THEN 0e0 WHEN {skey('p.city')} = {skey('r.location')} THEN 1e0 WHEN {skey('p.country')} = cof.land THEN 5e-1 ELSE 0e0 END AS location_score
+  FROM people p CROSS JOIN roles r LEFT JOIN cof ON cof.city = {skey('r.location')})"""
+
+
+def _places(spark, sf_dir):
+    return matching.location_scores(A.people(spark, sf_dir), A.roles(spark), A.COUNTRY_OF)
+
+
+@query(f"WITH {A.PEOPLE_SQL}, {A.ROLES_SQL}, {_PLACES} SELECT candidate_id, role_id, location_score FROM pl")
+def location_score(spark, sf_dir):
+    return _places(spark, sf_dir).drop("availability_score")
+
+
+_SUM = "coalesce(list_reduce(list(score ORDER BY a.req_pos) FILTER (WHERE tier = '{0}'), lambda a, b: a + b), 0e0) / greatest(count(*) FILTER (WHERE tier = '{0}'), 1)"
+
+
+def _match_sql(req="req", w=rubric.WEIGHTS):
+    past = _PAST.replace(f"{A.TERMS_SQL}, ", "").replace(f"{A.RELATED_SQL}, ", "")
+    return f"""{_SKILL}, {past}, {_YEARS}, {_EXP}, {_PLACES}{', ' + _STEER if req == 'steered' else ''},
+allsc AS (SELECT candidate_id, role_id, req_pos, score FROM sc UNION ALL SELECT candidate_id, role_id, req_pos, score FROM ex),
+means AS (SELECT a.candidate_id, a.role_id, {_SUM.format('required')} AS mr, {_SUM.format('preferred')} AS mp FROM allsc a JOIN {req} q ON q.role_id = a.role_id AND q.req_pos = a.req_pos GROUP BY 1, 2),
+c0 AS (SELECT m.candidate_id, m.role_id, {w['required']}e0 * mr AS a, {w['preferred']}e0 * mp AS b, {w['availability']}e0 * availability_score AS c, {w['location']}e0 * location_score AS d, availability_score, location_score FROM means m JOIN pl USING (candidate_id, role_id)),
+c1 AS (SELECT candidate_id, role_id, {sround('a', 3)} AS required_component, {sround('b', 3)} AS preferred_component, {sround('c', 3)} AS availability_component, {sround('d', 3)} AS location_component, availability_score, location_score FROM c0),
+c2 AS (SELECT *, required_component + preferred_component + availability_component + location_component AS t FROM c1),
+ms AS (SELECT role_id, candidate_id, required_component, preferred_component, availability_component, location_component, availability_score, location_score, {sround('t', 1)} AS total FROM c2)"""
+
+
+def _match(spark, sf_dir, steered=False):
+    req, rub = _steered(spark) if steered else (_req(spark), rubric.rubrics(A.roles(spark)))
+    return matching.match_scores(matching.skill_scores(_routes(spark, sf_dir)), _exp(spark, sf_dir), _places(spark, sf_dir), req, rub)
+
+
+_MS = "role_id, candidate_id, required_component, preferred_component, availability_component, location_component, total"
+
+
+@query(f"WITH RECURSIVE {_match_sql()} SELECT {_MS} FROM ms")
+def match_scores(spark, sf_dir):
+    return _match(spark, sf_dir).drop("availability_score", "location_score")
+
+
+@query(f"WITH RECURSIVE {_match_sql('steered', A.STEERED)} SELECT {_MS} FROM ms")
+def match_scores_steered(spark, sf_dir):
+    return _match(spark, sf_dir, True).drop("availability_score", "location_score")
+
+
+# ---- Selection and explanation --------------------------------------------------------------------------------------
+
+
+def _short_sql(threshold, most=50):
+    return f"""{_match_sql()}, rk AS (SELECT *, row_number() OVER (PARTITION BY role_id ORDER BY total DESC, candidate_id) AS rank, max(total) OVER (PARTITION BY role_id) < {threshold}e0 AS fallback FROM ms),
+fin AS (SELECT * FROM rk WHERE (fallback AND rank <= 5) OR (NOT fallback AND total >= {threshold}e0 AND rank <= {most}))"""
+
+
+def _fin(spark, sf_dir, threshold=56.0):
+    return selection.shortlist(_match(spark, sf_dir), rubric.rubrics(A.roles(spark), threshold=threshold))
+
+
+_FIN = "role_id, candidate_id, total, CAST(rank AS INTEGER) AS rank, fallback"
+
+
+@query(f"WITH RECURSIVE {_short_sql(56.0)} SELECT {_FIN} FROM fin")
+def shortlist(spark, sf_dir):
+    return _fin(spark, sf_dir).select("role_id", "candidate_id", "total", "rank", "fallback")
+
+
+@query(f"WITH RECURSIVE {_short_sql(99.5)} SELECT {_FIN} FROM fin")
+def shortlist_fallback(spark, sf_dir):
+    return _fin(spark, sf_dir, 99.5).select("role_id", "candidate_id", "total", "rank", "fallback")
+
+
+@query(f"WITH RECURSIVE {_short_sql(56.0)} SELECT role_id, candidate_id, total FROM ms WHERE (role_id, candidate_id) NOT IN (SELECT (role_id, candidate_id) FROM fin)")
+def excluded(spark, sf_dir):
+    scores, rub = _match(spark, sf_dir), rubric.rubrics(A.roles(spark))
+    return selection.ranked(scores, rub).where("not is_finalist").select("role_id", "candidate_id", "total")
+
+
+def _fin_scores(spark, sf_dir):
+    return _scores(spark, sf_dir).join(_fin(spark, sf_dir).select("role_id", "candidate_id"), ["role_id", "candidate_id"], "left_semi")
+
+
+@query(f"""WITH RECURSIVE {_short_sql(56.0)} SELECT role_id, candidate_id, source, via, score, CAST(row_number() OVER (PARTITION BY role_id, candidate_id ORDER BY score DESC, req_pos) AS INTEGER) AS place FROM sc SEMI JOIN fin USING (role_id, candidate_id) WHERE score > 0""")
+def strengths(spark, sf_dir):
+    return selection.strengths(_fin_scores(spark, sf_dir)).select("role_id", "candidate_id", "source", "via", "score", "place")
+
+
+_GAPS = f"""{_short_sql(56.0)}, fp AS (SELECT f.role_id, f.candidate_id, availability_score, location_score, p.* EXCLUDE (candidate_id), list_filter([{', '.join(f"CASE WHEN trim(coalesce({c}, '')) IN ('', '-') THEN '{c}' END" for c in selection.PROSE)}], lambda x: x IS NOT NULL) AS e FROM fin f JOIN people p USING (candidate_id)),
+g0 AS (SELECT role_id, candidate_id, CASE WHEN NOT verifiable THEN 'unverifiable' WHEN score = 0 AND tier = 'required' THEN 'absent_required' WHEN score = 0 THEN 'absent_preferred' WHEN via = 'adjacent' THEN 'adjacent_substitution' END AS kind,
+  CASE WHEN NOT verifiable THEN '"' || source || '" (' || tier || ') — no vocabulary term exists for this yet' WHEN score = 0 THEN '"' || source || '" (' || tier || ') — no evidence in the profile' ELSE '"' || source || '" (' || tier || ') — credited via a related skill ("' || phrase || '"), not named directly' END AS detail, req_pos AS seq FROM sc SEMI JOIN fin USING (role_id, candidate_id)
+  UNION ALL SELECT role_id, candidate_id, 'empty_field', 'no ' || array_to_string(e, ', ') || ' listed on the profile', 10000 FROM fp WHERE len(e) > 0
+  UNION ALL SELECT role_id, candidate_id, 'logistics', 'notice period: "' || coalesce(notice_raw, '') || '" — not immediately available', 10001 FROM fp WHERE availability_score < 1
+  UNION ALL SELECT role_id, candidate_id, 'logistics', 'location: ' || city || ', ' || country || ' — not the role''s location', 10002 FROM fp WHERE location_score < 1),
+g AS (SELECT role_id, candidate_id, kind, detail, row_number() OVER (PARTITION BY role_id, candidate_id ORDER BY list_position({quoted(list(selection.PRIORITY))}, kind), seq) AS place FROM g0 WHERE kind IS NOT NULL)"""
+
+
+def _gaps(spark, sf_dir):
+    return selection.gaps(_fin_scores(spark, sf_dir), A.people(spark, sf_dir), _fin(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {_GAPS} SELECT role_id, candidate_id, kind, detail, CAST(place AS INTEGER) AS place FROM g")
+def gaps(spark, sf_dir):
+    return _gaps(spark, sf_dir)
+
+
+@query(f"WITH RECURSIVE {_GAPS} SELECT role_id, candidate_id, string_agg(kind, ',' ORDER BY place) AS kinds FROM g WHERE place <= 3 GROUP BY 1, 2")
+def top_gaps(spark, sf_dir):
+    top = selection.top_gaps(_gaps(spark, sf_dir))
+    return top.groupBy("role_id", "candidate_id").agg(F.concat_ws(",", F.transform(F.sort_array(F.collect_list(F.struct("place", "kind"))), lambda x: x["kind"])).alias("kinds"))
+
+
+@query()
+def brief_markdown(spark, sf_dir):
+    """Covered by tests: the layout is held against literal text."""
+    fin = _fin(spark, sf_dir)
+    lines = selection.brief_lines(fin, selection.strengths(_fin_scores(spark, sf_dir)), _gaps(spark, sf_dir), _exp(spark, sf_dir), A.people(spark, sf_dir))
+    return selection.render_briefs(lines, A.roles(spark), rubric.rubrics(A.roles(spark)))
+
+
+# ---- Evaluation -----------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {A.MENTIONS_SQL}, g AS (SELECT candidate_id, field, phrase AS text, CASE WHEN candidate_id % 7 = 0 THEN NULL WHEN candidate_id % 5 = 0 THEN 'Brand#1' ELSE min(term_id) END AS expected FROM mentions GROUP BY candidate_id, field, phrase),
+f AS (SELECT candidate_id, field, lower(phrase) AS low, min_by(term_id, ord) AS found FROM mentions WHERE ord % 3 <> 0 GROUP BY 1, 2, 3),
+c AS (SELECT count(*) FILTER (WHERE expected = found) AS tp, count(*) FILTER (WHERE found IS NOT NULL AND (expected IS NULL OR expected <> found)) AS fp, count(*) FILTER (WHERE expected IS NOT NULL AND found IS NULL) AS fn, count(*) FILTER (WHERE expected IS NULL AND found IS NULL) AS tn FROM g LEFT JOIN f ON f.candidate_id = g.candidate_id AND f.field = g.field AND f.low = lower(g.text))
+SELECT *, CASE WHEN tp + fp = 0 THEN 1e0 ELSE CAST(tp AS DOUBLE) / (tp + fp) END AS precision, CASE WHEN tp + fn = 0 THEN 1e0 ELSE CAST(tp AS DOUBLE) / (tp + fn) END AS recall FROM c""")
+def link_metrics(spark, sf_dir):
+    m = A.mentions(spark, sf_dir)
+    k = F.col("candidate_id")
+    golden = m.groupBy("candidate_id", "field", F.col("phrase").alias("text")).agg(F.min("term_id").alias("t")).select(k, "field", "text", F.when(k % 7 == 0, F.lit(None)).when(k % 5 == 0, "Brand#1").otherwise(F.col("t")).alias("expected"))
+    return EV.link_metrics(golden, m.where("ord % 3 <> 0"), "candidate_id")
+
+
+def _graded(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    grades = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(F.col("quality") * 2 + F.col("toxic")).alias("grade")).join(docs.select("doc_id", "source"), "doc_id").select("source", "doc_id", "grade")
+    return docs.where("source is not null"), grades.where("source is not null")
+
+
+_GRADES = "gr AS (SELECT source, doc_id, max(quality * 2 + toxic) AS grade FROM labels JOIN documents USING (doc_id) WHERE source IS NOT NULL GROUP BY 1, 2), sd AS (SELECT source, doc_id, n_chars FROM documents WHERE source IS NOT NULL)"
+
+
+@query("""WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) - 1 AS rank, count(*) OVER (PARTITION BY source) AS n FROM documents WHERE source IS NOT NULL),
+w AS (SELECT source, n, unnest([CAST(i AS DOUBLE) * (n - 1) / 6e0 FOR i IN range(7)]) AS x FROM (SELECT DISTINCT source, n FROM r))
+SELECT source, doc_id, CAST(rank AS INTEGER) AS rank FROM r WHERE n <= 7 OR (source, rank) IN (SELECT (source, CAST(round_even(x, 0) AS BIGINT)) FROM w)""")
+def rank_sample(spark, sf_dir):
+    return EV.sample_across(_graded(spark, sf_dir)[0], "source", "n_chars", "doc_id", 7).select("source", "doc_id", "rank")
+
+
+@query(f"""WITH {_GRADES}, t AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM sd)
+SELECT source, CASE WHEN count(grade) = 0 THEN 0e0 ELSE CAST(count(*) FILTER (WHERE grade >= 2) AS DOUBLE) / count(grade) END AS precision FROM t LEFT JOIN gr USING (source, doc_id) WHERE r <= 10 GROUP BY 1""")
+def precision_at_k(spark, sf_dir):
+    docs, grades = _graded(spark, sf_dir)
+    return EV.precision_at_k(docs, grades, "source", "n_chars", "doc_id", 10)
+
+
+_DCG = "round(list_reduce(list((pow(2e0, coalesce(grade, 0)) - 1) / log2(r + 1) ORDER BY r), lambda a, b: a + b), 9)"
+
+
+@query(f"""WITH {_GRADES}, t AS (SELECT source, grade, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM sd LEFT JOIN gr USING (source, doc_id)),
+i AS (SELECT source, grade, row_number() OVER (PARTITION BY source ORDER BY grade DESC, doc_id) AS r FROM gr), d AS (SELECT source, {_DCG} AS dcg FROM t WHERE r <= 10 GROUP BY 1), z AS (SELECT source, {_DCG} AS idcg FROM i WHERE r <= 10 GROUP BY 1)
+SELECT source, round(CASE WHEN coalesce(idcg, 0e0) = 0 THEN 1e0 ELSE dcg / idcg END, 6) AS ndcg FROM d LEFT JOIN z USING (source)""")
+def ndcg_at_k(spark, sf_dir):
+    docs, grades = _graded(spark, sf_dir)
+    return EV.ndcg_at_k(docs, grades, "source", "n_chars", "doc_id", 10).select("source", F.round("ndcg", 6).alias("ndcg"))
+
+
+@query(f"""WITH RECURSIVE {_short_sql(56.0)}, h AS (SELECT role_id, candidate_id, count(*) AS h FROM sc WHERE tier = 'required' AND score = 0 GROUP BY 1, 2)
+SELECT (SELECT count(*) FROM fin) AS finalists, (SELECT count(*) FROM fin JOIN h USING (role_id, candidate_id) WHERE h >= 2) AS with_holes, (SELECT count(*) FROM sc WHERE score > 0) AS slots_met""")
+def gate_holes(spark, sf_dir):
+    return EV.hole_audit(_scores(spark, sf_dir), _fin(spark, sf_dir))
