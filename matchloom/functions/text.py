@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import html
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,18 +38,18 @@ def blank(c: Column) -> Column:
     return F.coalesce(strip(c), F.lit("")).isin("", "-")
 
 
-def unescape(c: Column, full: bool = False) -> Column:
-    """HTML entities decoded: the common ones by built-ins; all of them, with full, by an Arrow UDF."""
-    if full:
-        import html
+def _every_entity(c: Column) -> Column:
+    @F.pandas_udf("string")
+    def decode(s: pd.Series) -> pd.Series:
+        return s.map(html.unescape, na_action="ignore")
 
-        import pandas as pd
+    return decode(c)
 
-        @F.pandas_udf("string")
-        def every(s: pd.Series) -> pd.Series:
-            return s.map(html.unescape, na_action="ignore")
 
-        return every(c)
+def unescape(c: Column, full: bool = False) -> Column:
+    """HTML entities decoded: the common ones by built-ins; all of them, with full, by an Arrow UDF."""
+    if full:
+        return _every_entity(c)
     return reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), ENTITIES, c)
 
 
