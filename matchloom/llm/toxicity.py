@@ -3,7 +3,8 @@
 The lexicon is learned from a bounded sample of labelled rows (`sample`, 20,000 by default): whole words, and stems
 (word beginnings of 4 to 6 letters), whose document frequency differs most between toxic and clean rows. All terms stand
 in one trie. The automaton of the trie's words within `errors(term)` edits is built lazily: a state is the set of
-(trie node, edits) pairs still alive, so a word is matched in one walk and most words die after a few letters.
+(trie node, edits) pairs still alive, so a word is matched in one walk and most words die after a few letters. Words near
+a term that clean rows of the sample use are words of their own, not misspellings; other near words count 0.7 of a term.
 
 Every hit gets a context window of 8 words on each side: quotation marks around it or a verb of reporting before it
 separate quotation from abuse; an address to a second person and further hits strengthen it. A logistic model on these
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,7 @@ from .common import fields
 
 TOKENS = re.compile(r"\w+|[\"“”„«»‘’']")
 SPAN = 8
+NEAR = 0.7  # what a misspelled term counts
 # Quotation marks, verbs of reporting and second-person words in four languages.
 QUOTES = {'"', "“", "”", "„", "«", "»", "‘", "’"}
 REPORTING = {"said", "says", "wrote", "writes", "called", "quoted", "quote", "sagte", "schrieb", "nannte", "zitat", "dit", "écrit", "appelé", "citation", "dijo", "escribió", "llamó", "cita"}
@@ -43,7 +45,8 @@ def errors(term: str, stem: bool) -> int:
 class Lexicon:
     """A trie of terms and the lazily built automaton of all words near them."""
 
-    def __init__(self, terms: list[tuple[str, bool]]):
+    def __init__(self, terms: list[tuple[str, bool]], plain: frozenset[str] = frozenset()):
+        self.plain = plain  # near words that are no misspellings
         self.child: list[dict[str, int]] = [{}]
         self.ends: list[list[tuple[str, bool, int]]] = [[]]
         self.most: list[int] = [0]
@@ -111,12 +114,12 @@ class Lexicon:
             if s < 0:
                 break
             stem = stem or self.accepts[s][1]
-        if s >= 0 and self.accepts[s][0]:
+        if s >= 0 and self.accepts[s][0] and (self.accepts[s][0][0] == 0 or word not in self.plain):
             return (*self.accepts[s][0], False)
         return (*stem, True) if stem else None
 
 
-NAMES = ("exact", "fuzzy", "stem", "kinds", "dense", "quoted", "second", "rate", "length")
+NAMES = ("words", "stem", "kinds", "dense", "quoted", "second", "rate", "length")
 
 
 def features(text: str | None, lexicon: Lexicon, cache: dict) -> list[float]:
@@ -148,35 +151,50 @@ def features(text: str | None, lexicon: Lexicon, cache: dict) -> list[float]:
     n = len(hits)
     exact = sum(m[0] == 0 and not m[2] for _, m in hits)
     stem = sum(m[2] for _, m in hits)
-    return [math.log1p(exact), math.log1p(n - exact - stem), math.log1p(stem), math.log1p(len({m[1] for _, m in hits})), math.log1p(dense), quoted / n, second / n, math.log1p(100 * n / len(tokens)), math.log1p(len(tokens))]
+    return [math.log1p(exact + NEAR * (n - exact - stem)), math.log1p(stem), math.log1p(len({m[1] for _, m in hits})), math.log1p(dense), quoted / n, second / n, math.log1p(100 * n / len(tokens)), math.log1p(len(tokens))]
 
 
 def _frequencies(batches):
+    """Rows with each term by label, and which of 64 slots the words before it fall into in toxic rows."""
     count: dict[tuple[str, bool], list[int]] = {}
     total = [0, 0]
     for b in batches:
         for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             total[toxic] += 1
-            words = set(TOKENS.findall(text.lower())) if text else set()
-            seen = {(w, False) for w in words if w.isalpha() and len(w) >= 3}
-            seen |= {(w[:n], True) for w in words if w.isalpha() for n in STEMS if len(w) > n}
-            for k in seen:
-                count.setdefault(k, [0, 0])[toxic] += 1
-    rows = [(t, s, a, b) for (t, s), (a, b) in count.items()] + [("", False, *total)]
-    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["term", "stem", "clean", "toxic"])
+            tokens = TOKENS.findall(text.lower()) if text else []
+            seen: dict[tuple[str, bool], int] = {}
+            for w, before in zip(tokens, ["", *tokens]):
+                if w.isalpha():
+                    slot = 1 << (zlib.crc32(before.encode()) & 63) if toxic else 0
+                    if len(w) >= 3:
+                        seen[w, False] = seen.get((w, False), 0) | slot
+                    for n in STEMS:
+                        if len(w) > n:
+                            seen[w[:n], True] = seen.get((w[:n], True), 0) | slot
+            for k, slots in seen.items():
+                c = count.setdefault(k, [0, 0, 0])
+                c[toxic] += 1
+                c[2] |= slots
+    rows = [(t, s, *c) for (t, s), c in count.items()] + [("", False, *total, 0)]
+    term, stem, clean, toxic, slots = zip(*rows)
+    yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(stem), pa.array(clean), pa.array(toxic), pa.array(np.array(slots, dtype=np.uint64).view(np.int64))], names=["term", "stem", "clean", "toxic", "slots"])
 
 
 def learn_lexicon(sample: DataFrame, terms: int = 400, least: int = 4, odds: float = 3.0) -> list[tuple[str, bool]]:
-    """The terms of sample(text, toxic) with the highest log odds; a stem must stand for at least three times `least` rows."""
-    n = sample.mapInArrow(_frequencies, fields(("term", "string"), ("stem", "boolean"), ("clean", "long"), ("toxic", "long")))
-    n = n.groupBy("term", "stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    """The terms of sample(text, toxic) with the highest log odds; a stem must stand for at least three times `least` rows.
+
+    A term must follow many different words, so that words of a text that was copied often are no terms.
+    """
+    n = sample.mapInArrow(_frequencies, fields(("term", "string"), ("stem", "boolean"), ("clean", "long"), ("toxic", "long"), ("slots", "long")))
+    n = n.groupBy("term", "stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.bit_count(F.bit_or("slots")).alias("contexts"))
     n = n.where((F.col("term") == "") | (F.col("toxic") >= least) & (F.col("toxic") > F.col("clean")))
     total = {r["term"]: r for r in n.where("term = ''").collect()}
     if not total or not total[""]["toxic"]:
         return []
     bad, good = total[""]["toxic"], total[""]["clean"]
+    least = max(least, bad // 100)
     score = F.log((F.col("toxic") + 0.5) / (bad - F.col("toxic") + 0.5)) - F.log((F.col("clean") + 0.5) / (good - F.col("clean") + 0.5))
-    best = n.where("term <> ''").withColumn("score", score).where((F.col("score") >= odds) & (~F.col("stem") | (F.col("toxic") >= 3 * least)))
+    best = n.where("term <> ''").withColumn("score", score).where((F.col("toxic") >= least) & (F.col("contexts") >= F.least(F.lit(12.0), F.col("toxic") * 0.5)) & (F.col("score") >= odds) & (~F.col("stem") | (F.col("toxic") >= 3 * least)))
     rows = best.orderBy(F.col("score").desc(), "term", "stem").limit(4 * terms).collect()
     out: list[tuple[str, bool]] = []
     stems: set[str] = set()
@@ -216,29 +234,41 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> DataFr
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000):
-    """(terms, weights): everything that scoring needs."""
+    """(terms, near words that are no misspellings, weights): everything that scoring needs."""
     rows = labelled(docs, labels, sample)
     terms = learn_lexicon(rows)
     if not terms:
-        return [], None
+        return [], frozenset(), None
+
+    def near(batches):
+        lexicon, found, seen = Lexicon(terms), set(), set()
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                new = set(TOKENS.findall(text.lower())) - seen if text else set()
+                found |= {w for w in new if (m := lexicon.match(w)) and m[0] > 0}
+                seen = new if len(seen) > 300_000 else seen | new
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["word"])
+
+    clean = rows.where("toxic = 0").select("text").mapInArrow(near, fields(("word", "string")))
+    plain = frozenset(r["word"] for r in clean.distinct().collect())  # near words of at most `sample` rows
 
     def count(batches):
-        lexicon, cache = Lexicon(terms), {}
+        lexicon, cache = Lexicon(terms, plain), {}
         for b in batches:
             got = [features(t, lexicon, cache) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(1), *map(pa.array, zip(*got))], names=["toxic", *NAMES]) if got else pa.RecordBatch.from_pylist([], schema=pa.schema([("toxic", pa.int32()), *[(n, pa.float64()) for n in NAMES]]))
 
     got = rows.mapInArrow(count, fields(("toxic", "int"), *[(n, "double") for n in NAMES])).toPandas()  # at most `sample` rows
     got = got.sort_values(["toxic", *NAMES])
-    return terms, fit(got[list(NAMES)].to_numpy(float), got["toxic"].to_numpy(float))
+    return terms, plain, fit(got[list(NAMES)].to_numpy(float), got["toxic"].to_numpy(float))
 
 
 def score(docs: DataFrame, model, keep: list[str], only_clean: bool = False, threshold: float = 0.5) -> DataFrame:
     """The columns `keep` of docs with score; or, with only_clean, the rows of docs below the threshold, unchanged."""
-    terms, weights = model
+    terms, plain, weights = model
 
     def run(batches):
-        lexicon, cache = Lexicon(terms), {}
+        lexicon, cache = Lexicon(terms, plain), {}
         for b in batches:
             texts = b.column(b.schema.get_field_index("text")).to_pylist() if only_clean else b.column(len(keep)).to_pylist()
             if weights is None or not texts:
