@@ -1,10 +1,10 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
 Words are runs of word characters in lower case; a word weighs as many as it has letters, eight at most. Items are
-grouped by length into size classes; a class's windows have the largest size of a fixed ladder within 0.8 of the item,
-so a document that holds an item, or 0.8 of it, holds such windows whole. An item gives the fingerprints of its first,
-middle and last window; a document the fingerprint of every window of every class in use, from running sums of the
-words' signed bits. Fingerprints of 64 bits are split into four blocks of 16: two of them within radius three agree in
+grouped by length into size classes. A similarity of 0.8 leaves room for e changed words, one for each 45; a class's
+windows have the largest size of a fixed ladder within 0.8 of the item if e is 0, else within its (e + 1)th part, so that
+one of e + 1 windows side by side stays whole. An item gives the fingerprints of these windows and of its middle and last
+one; a document the fingerprint of every window of every class in use, from running sums of the words' signed bits. Fingerprints of 64 bits are split into four blocks of 16: two of them within radius three agree in
 one block at least, so four lookup tables find all within the radius. Each such window is laid against its item, and the
 weighted Jaccard similarity of the five-word shingles (each weighs its letters, counted as often as it occurs) decides,
 0.8 or more. Shorter items and texts are one shingle.
@@ -64,9 +64,12 @@ def prints(run: np.ndarray, size: int) -> np.ndarray:
     return np.packbits((run[size:] - run[:-size]) > 0, axis=1).view(np.uint16)
 
 
-def size_class(n: int) -> int:
-    fit = [w for w in LADDER if w <= 0.8 * n]
-    return fit[-1] if fit else 1
+def windows_of(n: int) -> tuple[int, list[int]]:
+    """Window size and starts for an item of n words."""
+    edits = max(0, n - K + 1) // 45
+    most = 0.8 * n if not edits else (n - edits) // (edits + 1)
+    size = max([w for w in LADDER if w <= most], default=1)
+    return size, sorted({i * size for i in range(edits + 1)} | {(n - size) // 2, n - size})
 
 
 class Index:
@@ -77,9 +80,9 @@ class Index:
         self.shingles = {i: shingles(w) for i, w in self.words.items()}
         marks: dict[int, list[tuple[np.ndarray, int, int]]] = {}
         for i, w in self.words.items():
-            size = size_class(len(w))
+            size, starts = windows_of(len(w))
             got = window_prints(np.array([signs(x) for x in w], dtype=np.int16), size)
-            for at in sorted({0, (len(w) - size) // 2, len(w) - size}):
+            for at in starts:
                 marks.setdefault(size, []).append((got[at], i, at))
         self.classes = {}
         for size, rows in sorted(marks.items()):
