@@ -119,7 +119,7 @@ class Lexicon:
         return (*stem, True) if stem else None
 
 
-NAMES = ("words", "stem", "kinds", "dense", "quoted", "second", "rate", "length")
+NAMES = ("words", "stem", "kinds", "dense", "quoted", "second", "rate")
 
 
 def features(text: str | None, lexicon: Lexicon, cache: dict) -> list[float]:
@@ -134,7 +134,7 @@ def features(text: str | None, lexicon: Lexicon, cache: dict) -> list[float]:
         if m is not None:
             hits.append((i, m))
     if not hits:
-        return [0.0] * (len(NAMES) - 1) + [math.log1p(len(tokens))]
+        return [0.0] * len(NAMES)
     at = [i for i, _ in hits]
     quoted = second = 0
     dense, lo, hi = 0, 0, 0
@@ -151,7 +151,7 @@ def features(text: str | None, lexicon: Lexicon, cache: dict) -> list[float]:
     n = len(hits)
     exact = sum(m[0] == 0 and not m[2] for _, m in hits)
     stem = sum(m[2] for _, m in hits)
-    return [math.log1p(exact + NEAR * (n - exact - stem)), math.log1p(stem), math.log1p(len({m[1] for _, m in hits})), math.log1p(dense), quoted / n, second / n, math.log1p(100 * n / len(tokens)), math.log1p(len(tokens))]
+    return [math.log1p(exact + NEAR * (n - exact - stem)), math.log1p(stem), math.log1p(len({m[1] for _, m in hits})), math.log1p(dense), quoted / n, second / n, math.log1p(100 * n / len(tokens))]
 
 
 def _frequencies(batches):
