@@ -6,6 +6,7 @@ edge(pillar, src, dst, kind, weight, ord).
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -37,14 +38,38 @@ def resolve_surface(rows: DataFrame, phrase: str, surface: DataFrame, pillar: st
     return rows.withColumn("key", X.normalize_key(F.col(phrase))).join(keys, "key", "left").withColumn("term_id", F.col("t.term_id")).drop("t", "key")
 
 
-def narrower_closure(edges: DataFrame) -> DataFrame:
-    """All (src, dst) with a path of narrower edges. Paths double each round, so cycles end too."""
-    out = edges.where("kind = 'narrower'").select("src", "dst").distinct()
-    n = -1
+def narrower_closure(edges: DataFrame, most: int = 2_000) -> DataFrame:
+    """All (src, dst) with a path of narrower edges; cycles end too.
+
+    A curated vocabulary has few such edges: up to `most` are closed on the driver, and the result is a local table that
+    the planner can size. Beyond that, paths double in joins, each round written out.
+    """
+    step = edges.where("kind = 'narrower'").select("src", "dst").distinct()
+    pairs = [(r["src"], r["dst"]) for r in step.limit(most + 1).collect()]
+    if len(pairs) > most:
+        return _closure_by_joins(step)
+    below: dict[str, set[str]] = {}
+    for a, b in pairs:
+        below.setdefault(a, set()).add(b)
+    found = []
+    for a in below:
+        seen, todo = set(), [a]
+        while todo:
+            for b in below.get(todo.pop(), ()):
+                if b not in seen:
+                    seen.add(b)
+                    todo.append(b)
+        found += [(a, b) for b in seen]
+    table = pa.table({"src": pa.array([a for a, _ in found], pa.string()), "dst": pa.array([b for _, b in found], pa.string())})
+    return edges.sparkSession.createDataFrame(table)
+
+
+def _closure_by_joins(step: DataFrame) -> DataFrame:
+    n, out = -1, step
     while (size := out.count()) != n:
         n = size
         further = out.alias("a").join(out.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
-        out = out.union(further).distinct()
+        out = out.union(further).distinct().checkpoint()
     return out
 
 

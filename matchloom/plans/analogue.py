@@ -6,9 +6,12 @@ are literals made by rule.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import text as X
 
@@ -36,16 +39,28 @@ RETIER = [("R001", "Brand#1", "preferred", 0), ("R001", "Brand#8", "dropped", 1)
 STEERED = {"required": 60.0, "preferred": 20.0, "availability": 15.0, "location": 5.0}
 
 
+def literal(spark: SparkSession, rows, schema: str) -> DataFrame:
+    """Rows as a local relation, whose size the planner knows."""
+    kind = T._parse_datatype_string(schema)
+    table = pa.Table.from_pylist([dict(zip(kind.names, map(_plain, r))) for r in rows], schema=to_arrow_schema(kind))
+    return spark.createDataFrame(table, kind)
+
+
+def _plain(v):
+    """Pairs of a phrase and a weight as Arrow wants them."""
+    return [{"phrase": x[0], "weight": x[1]} for x in v] if isinstance(v, list) and v and isinstance(v[0], tuple) else v
+
+
 def terms(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TERMS, "pillar string, term_id string, ord int, label string, surfaces array<string>, related array<struct<phrase:string,weight:double>>, from_requirements array<string>")
+    return literal(spark, TERMS, "pillar string, term_id string, ord int, label string, surfaces array<string>, related array<struct<phrase:string,weight:double>>, from_requirements array<string>")
 
 
 def edges(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(EDGES, "pillar string, src string, dst string, kind string, weight double, ord int")
+    return literal(spark, EDGES, "pillar string, src string, dst string, kind string, weight double, ord int")
 
 
 def roles(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(ROLES, "role_id string, title string, required array<string>, nice array<string>, exp_min int, exp_max int, location string")
+    return literal(spark, ROLES, "role_id string, title string, required array<string>, nice array<string>, exp_min int, exp_max int, location string")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -214,7 +214,7 @@ def raw_to_terms(spark, sf_dir):
 @query("""WITH s AS (SELECT p_brand AS term_id, list_sort(list(DISTINCT p_name)) AS l FROM part GROUP BY 1)
 SELECT term_id, p AS phrase FROM (SELECT term_id, unnest(list_distinct([term_id, 'red widget'] || l)) AS p FROM s) UNION ALL SELECT 'Brand#1', 'one more' WHERE EXISTS (SELECT 1 FROM s WHERE term_id = 'Brand#1')""")
 def patched_surfaces(spark, sf_dir):
-    more = spark.createDataFrame([("Brand#1", "one more")], "id string, phrase string")
+    more = A.literal(spark, [("Brand#1", "one more")], "id string, phrase string")
     draft = _draft(spark, sf_dir)
     twice = vocabulary.patched(vocabulary.patched(draft, add_narrower=more), add_narrower=more)
     return vocabulary.from_draft(twice, "skill")[0].select("term_id", F.explode("surfaces").alias("phrase"))
@@ -244,7 +244,7 @@ _PHRASES = ["the and", "of that", "de la", "einer"]
 
 @query(f"""WITH r(phrase) AS (VALUES {', '.join(f"({quoted(p)})" for p in _PHRASES)}) SELECT doc_id, phrase FROM documents JOIN r ON contains(lower(text), phrase)""")
 def link_prose_contains(spark, sf_dir):
-    s = spark.createDataFrame([("skill", "T", 0, i, p, 0.7, "related", p) for i, p in enumerate(_PHRASES)], "pillar string, term_id string, term_ord int, ord int, phrase string, weight double, kind string, key string")
+    s = A.literal(spark, [("skill", "T", 0, i, p, 0.7, "related", p) for i, p in enumerate(_PHRASES)], "pillar string, term_id string, term_ord int, ord int, phrase string, weight double, kind string, key string")
     rows = table(spark, sf_dir, "documents").select("doc_id", F.lit("projects").alias("field"), "text")
     return linking.link_prose(rows, "doc_id", s).select("doc_id", "phrase")
 
@@ -319,7 +319,7 @@ _STEER = f"{values('retier', 'role_id, source, t, ord', A.RETIER)}, lastt AS (SE
 
 
 def _steered(spark):
-    retier = spark.createDataFrame(A.RETIER, "role_id string, source string, tier string, ord int")
+    retier = A.literal(spark, A.RETIER, "role_id string, source string, tier string, ord int")
     return rubric.apply_steering(_req(spark), rubric.rubrics(A.roles(spark)), retier, A.STEERED, 40.0)
 
 

@@ -120,9 +120,11 @@ def test_baseline_demotion(spark, world):
     assert got == [("preferred", True, False), ("required", False, True), ("preferred", False, False), ("required", False, True)]
 
 
-def test_vocabulary_checks(spark, world):
+def test_vocabulary_checks(spark, world, tmp_path):
     closed = spark.createDataFrame([("skill", "A", "B", "narrower", 1.0, 0), ("skill", "B", "C", "narrower", 1.0, 1), ("skill", "C", "A", "narrower", 1.0, 2)], EDGE)
     assert vocabulary.narrower_closure(closed).count() == 9
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    assert vocabulary.narrower_closure(closed, most=2).count() == 9
     assert vocabulary.validation_errors(world["terms"], world["edges"]).count() == 0
     with pytest.raises(Exception, match="weight"):
         vocabulary.checked_edges(spark.createDataFrame([("skill", "A", "B", "adjacent", 1.5, 0)], EDGE)).collect()
