@@ -9,8 +9,9 @@ Lists are skipped by position: in sorted blocks of a list a pair is a candidate
 the needed overlap; the smaller set's position must lie in its index prefix. Lists of up to `small` sets give their
 candidate pairs at once. A longer list first compares its members with its leader only. Answers of similar sets are then
 used: members that are linked through a leader are done, and for the rest, the leader's computed similarities x and y
-bound the pair's: |x - y| over 0.2 rules it out (Jaccard distance is a metric). Only pairs across components that pass
-are compared with each other. Candidates are verified exactly on the whole sets.
+bound the pair's: |x - y| over 0.2 rules it out (Jaccard distance is a metric). Only pairs across components go on, block
+against block inside the tasks. Every candidate must pass a bound from the sets' signatures (counts of shingles in 256
+slots: the sum of the smaller counts is at least the overlap) before it is verified exactly on the whole sets.
 
 Null or wordless texts: empty set, no link. Fewer words than five: the whole sequence is the one shingle. Repeated rows
 are equal sets. Empty tables give empty results; extra columns are ignored.
@@ -23,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, fields, forget, stored
+from .common import components, fields, forget, small_batches, stored
 from .words import Words, grams, sequence
 
 K = 5
 SMALL = 32
-COUNT_BITS, OFTEN = 22, 32
+COUNT_BITS, OFTEN = 22, 4
 NUM, DEN = 80, 100
 
 
@@ -44,24 +45,48 @@ def set_id(s: np.ndarray) -> int:
     return int(np.array([sequence(s)]).view(np.int64)[0])
 
 
+SLOTS, MANY, LARGE = 256, 2048, 1000
+
+
+def signature(s: np.ndarray) -> bytes:
+    """Counts of a set's shingles by the low bits of their hashes: 256 slots, or 2,048 for sets of 1,000 and more; two bytes each, four in sets beyond 65,535."""
+    slots = SLOTS if len(s) < LARGE else MANY
+    return np.bincount((s & np.uint64(slots - 1)).astype(np.int64), minlength=slots).astype("<u2" if len(s) < 65536 else "<u4").tobytes()
+
+
+def counts(sig: bytes) -> np.ndarray:
+    return np.frombuffer(sig, dtype="<u4" if len(sig) == 4 * MANY else "<u2").astype(np.int32)
+
+
+def common_at_most(x: bytes, y: bytes) -> int:
+    """A bound on the overlap of two sets; a finer signature is folded to the coarser one's slots."""
+    x, y = counts(x), counts(y)
+    if len(x) != len(y):
+        x, y = (v.reshape(-1, SLOTS).sum(axis=0) for v in (x, y))
+    return int(np.minimum(x, y).sum())
+
+
 def _sets(batches):
-    """doc_id, n, sid for each row; and, with a null n, a count for each slot of shingles that is often met in this task."""
+    """doc_id, n, sid, sig for each row; and, with a null n, a count for each slot of shingles that is often met in this task."""
     words, count = Words(True), np.zeros(1 << COUNT_BITS, dtype=np.int32)
     seen: set[int] = set()
+    rows = 0
     for b in batches:
-        n, sid = [], []
+        rows += b.num_rows
+        n, sid, sig = [], [], []
         for text in b.column(1).to_pylist():
             s = shingle_set(words, text)
             n.append(len(s))
             sid.append(set_id(s) if len(s) else None)
+            sig.append(signature(s) if len(s) else None)
             if len(s) and sid[-1] not in seen:
                 if len(seen) > 1_000_000:
                     seen.clear()
                 seen.add(sid[-1])
                 np.add.at(count, (s >> np.uint64(64 - COUNT_BITS)).astype(np.int64), 1)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.int64())], names=["doc_id", "n", "sid"])
-    often = np.nonzero(count >= OFTEN + 8 * count.mean())[0]
-    yield pa.RecordBatch.from_arrays([pa.array(often, pa.int64()), pa.array([None] * len(often), pa.int64()), pa.array(count[often], pa.int64())], names=["doc_id", "n", "sid"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "n", "sid", "sig"])
+    often = np.nonzero(count >= np.maximum(OFTEN + 8 * count.mean(), 0.005 * rows))[0]
+    yield pa.RecordBatch.from_arrays([pa.array(often, pa.int64()), pa.array([None] * len(often), pa.int64()), pa.array(count[often], pa.int64()), pa.nulls(len(often), pa.binary())], names=["doc_id", "n", "sid", "sig"])
 
 
 def prefix_length(n: int) -> int:
@@ -138,9 +163,10 @@ def _lists(small: int):
                 pairs.append(pairs_of(np.stack([sid[some], place[some]], axis=2)))
         for s, m in zip(starts[size > small], size[size > small]):
             a, at = sid[s : s + m], place[s : s + m]
-            lead = np.lexsort((a, at >> 32))[m // 2]
-            out[1].append(np.column_stack([a, np.full(m, key[s]), at, np.full(m, a[lead])]))
-            pairs.append(np.column_stack([a, np.full(m, a[lead])])[a != a[lead]])
+            out[1].append(np.column_stack([a, np.full(m, key[s]), at, np.full(m, a[0])]))  # the first set leads: the same one in most lists of a group
+            n, lead = at >> 32, at[0] >> 32
+            near = (DEN * np.minimum(n, lead) >= NUM * np.maximum(n, lead)) & (a != a[0])
+            pairs.append(np.column_stack([a[near], np.full(near.sum(), a[0])]))
         if pairs:
             out[0].append(np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0))
 
@@ -197,42 +223,95 @@ def verified(pairs: DataFrame, docs: DataFrame, first: DataFrame) -> DataFrame:
     sets = stored(texts.mapInArrow(_text_sets, fields(("sid", "long"), ("items", "binary"))))
     left, right = sets.select(F.col("sid").alias("a"), F.col("items").alias("x")), sets.select(F.col("sid").alias("b"), F.col("items").alias("y"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    out = stored(both.mapInArrow(_similarities, fields(("a", "long"), ("b", "long"), ("both", "long"), ("every", "long"))))
+    with small_batches(docs.sparkSession, 500):
+        out = stored(both.mapInArrow(_similarities, fields(("a", "long"), ("b", "long"), ("both", "long"), ("every", "long"))))
     forget(sets)
     return out
 
 
+def _room(na: np.ndarray, nb: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes with at most so many common shingles can be linked."""
+    return common >= -(-NUM * (na + nb) // (NUM + DEN))
+
+
+def _near_signatures(batches):
+    for b in batches:
+        both = [common_at_most(x, y) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist())]
+        fit = [bool(_room(m, n, k)) for m, n, k in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), both)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(fit, pa.bool_()))
+
+
+def plausible(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Pairs whose signatures leave room for a link."""
+    left, right = sigs.select(F.col("sid").alias("a"), F.col("n").alias("m"), F.col("sig").alias("x")), sigs.select(F.col("sid").alias("b"), "n", F.col("sig").alias("y"))
+    return stored(pairs.join(left, "a").join(right, "b").select("a", "b", "m", "n", "x", "y").mapInArrow(_near_signatures, fields(("a", "long"), ("b", "long"))))
+
+
+def _across(batches):
+    """Pairs of two blocks of a list (or of one) that lie in different components and pass sizes, places, similarities to the leader, and signatures."""
+    for b in batches:
+        found = []
+        for same, left, right in zip(*(b.column(i).to_pylist() for i in range(3))):
+            sides = [[np.array([r[k] for r in part]) for k in ("a", "n", "p", "component")] + [np.array([np.nan if r["sim"] is None else r["sim"] for r in part]), [r["sig"] for r in part]] for part in ((left,) if same else (left, right))]
+            (a, n, p, c, sim, sig), (a2, n2, p2, c2, sim2, sig2) = sides[0], sides[-1]
+            ok = (c[:, None] != c2[None, :]) & (DEN * np.minimum(n[:, None], n2) >= NUM * np.maximum(n[:, None], n2)) & ~(np.abs(sim[:, None] - sim2) > (DEN - NUM) / DEN + 1e-9)
+            ok &= _room(n[:, None], n2[None, :], np.minimum(n[:, None] - p[:, None], n2 - p2) + np.minimum(p[:, None], p2))
+            if same:
+                ok = np.triu(ok, 1)
+            i, j = np.nonzero(ok)
+            rough, rough2 = (np.array([counts(x).reshape(-1, SLOTS).sum(axis=0) for x in side]) for side in (sig, sig2))
+            for lo in range(0, len(i), 4096):
+                u, v = i[lo : lo + 4096], j[lo : lo + 4096]
+                fit = _room(n[u], n2[v], np.minimum(rough[u], rough2[v]).sum(axis=1))  # all folded to 256 slots
+                u, v = u[fit], v[fit]
+                fit = np.array([bool(_room(n[x], n2[y], common_at_most(sig[x], sig2[y]))) for x, y in zip(u.tolist(), v.tolist())], dtype=bool)
+                found.append(np.sort(np.column_stack([a[u[fit]], a2[v[fit]]]), axis=1))
+        if found:
+            out = np.unique(np.concatenate(found), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
+
+
+def across_components(members: DataFrame, block: int = 256) -> DataFrame:
+    """Candidate pairs of long lists: members(list, a, n, p, component, sim, sig) in blocks, block against block."""
+    size = members.groupBy("list").agg(F.count(F.lit(1)).alias("size"))
+    rows = members.join(size, "list").withColumn("salt", F.pmod(F.xxhash64("a"), F.ceil(F.col("size") / block)).cast("int"))
+    blocks = stored(rows.groupBy("list", "salt").agg(F.collect_list(F.struct("a", "n", "p", "component", "sim", "sig")).alias("part")))
+    many = blocks.groupBy("list").agg(F.count(F.lit(1)).alias("blocks")).where("blocks > 1").select("list")
+    split = blocks.join(many, "list", "left_semi")
+    pairs = split.join(split.select("list", F.col("salt").alias("salt2"), F.col("part").alias("other")), "list").where("salt < salt2").select(F.lit(False).alias("same"), "part", "other")
+    alone = blocks.select(F.lit(True).alias("same"), "part", F.lit(None).cast(blocks.schema["part"].dataType).alias("other"))
+    out = stored(alone.union(pairs).mapInArrow(_across, fields(("a", "long"), ("b", "long"))).distinct())
+    forget(blocks)
+    return out
+
+
 def join(docs: DataFrame, small: int = SMALL) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id."""
-    scan = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sets, fields(("doc_id", "long"), ("n", "long"), ("sid", "long"))))
+    scan = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sets, fields(("doc_id", "long"), ("n", "long"), ("sid", "long"), ("sig", "binary"))))
     often = {r["doc_id"]: r["c"] for r in scan.where("n is null").groupBy("doc_id").agg(F.sum("sid").alias("c")).collect()}  # at most 2 ** COUNT_BITS slots
-    sets = scan.where("n is not null")
+    sets = scan.where("n is not null").select("doc_id", "n", "sid")
     first = sets.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
     posts = docs.select("text").mapInArrow(_postings(often), fields(("key", "long"), ("sid", "long"), ("place", "long")))
     lists = stored(posts.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(_lists(small), fields(("kind", "int"), ("a", "long"), ("b", "long"), ("place", "long"), ("lead", "long"))))
     pairs = stored(lists.where("kind = 0").select("a", "b").distinct())
-    done = verified(pairs, docs, first)
+    wanted = pairs.select("a").union(pairs.select("b")).union(lists.where("kind = 1").select("a")).distinct().withColumnRenamed("a", "sid")
+    owner = first.join(wanted, "sid", "left_semi")
+    sigs = stored(scan.where("sig is not null").join(owner, ["sid", "doc_id"], "left_semi").select("sid", "n", "sig").dropDuplicates(["sid"]))
+    done = verified(plausible(pairs, sigs), docs, first)
     linked = F.col("both") * DEN >= F.col("every") * NUM
     edges = done.where(linked).select(F.col("a").alias("u"), F.col("b").alias("v"))
     comps = stored(components(edges))
-    members = lists.where("kind = 1").select("a", F.col("b").alias("list"), (F.shiftright("place", 32)).alias("n"), F.col("place").bitwiseAND(0xFFFFFFFF).alias("p"), "lead")
+    members = lists.where("kind = 1").select("a", F.col("b").alias("list"), F.shiftright("place", 32).alias("n"), F.col("place").bitwiseAND(0xFFFFFFFF).alias("p"), "lead")
     members = members.join(comps.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
     open_lists = members.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("list")
-    rest = members.join(open_lists, "list")
-    known = done.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), (F.col("both") / F.col("every")).alias("sim"))
-    rest = stored(rest.withColumn("x", F.least("a", "lead")).withColumn("y", F.greatest("a", "lead")).join(known, ["x", "y"], "left").withColumn("sim", F.when(F.col("a") == F.col("lead"), 1.0).otherwise(F.col("sim"))).drop("x", "y", "lead"))
-    if not rest.isEmpty():
-        l, r = rest.alias("l"), rest.alias("r")
-        overlap = F.least(F.col("l.n") - F.col("l.p"), F.col("r.n") - F.col("r.p")) + F.least("l.p", "r.p")
-        fits = (F.col("l.n") < F.col("r.n")) | ((F.col("l.n") == F.col("r.n")) & (F.col("l.a") < F.col("r.a")))
-        cond = (F.col("l.list") == F.col("r.list")) & (F.col("l.component") != F.col("r.component")) & fits & (F.col("l.n") * DEN >= F.col("r.n") * NUM)
-        cond &= (overlap * (NUM + DEN) >= (F.col("l.n") + F.col("r.n")) * NUM) & (F.abs(F.col("l.sim") - F.col("r.sim")) <= (DEN - NUM) / DEN + 1e-9)
-        more = l.join(r, cond).select(F.least("l.a", "r.a").alias("a"), F.greatest("l.a", "r.a").alias("b")).distinct()
-        more = stored(more.join(done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-        if not more.isEmpty():
-            again = verified(more, docs, first).where(linked).select(F.col("a").alias("u"), F.col("b").alias("v"))
-            comps = stored(components(edges.union(again)))
-    forget(lists, pairs, rest)
+    known = done.select(F.least("a", "b").alias("lead"), F.greatest("a", "b").alias("a"), (F.col("both") / F.col("every")).alias("sim"))  # the first set leads
+    rest = members.join(open_lists, "list").join(known, ["lead", "a"], "left").withColumn("sim", F.when(F.col("a") == F.col("lead"), 1.0).otherwise(F.col("sim")))
+    more = across_components(rest.join(sigs.select(F.col("sid").alias("a"), "sig"), "a"))
+    more = stored(more.join(done.select("a", "b"), ["a", "b"], "left_anti"))
+    if not more.isEmpty():
+        again = verified(more, docs, first).where(linked).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        comps = stored(components(edges.union(again)))
+    forget(lists, pairs)
     by_set = sets.join(comps.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("component", "sid"))
     smallest = by_set.where("sid is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     return by_set.join(smallest, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
