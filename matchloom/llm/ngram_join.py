@@ -216,17 +216,22 @@ def _similarities(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(both, pa.int64()), pa.array(every, pa.int64())], names=["a", "b", "both", "every"])
 
 
-def verified(pairs: DataFrame, docs: DataFrame, first: DataFrame) -> DataFrame:
-    """a, b, both, every for candidate pairs of sets; `first` names one document for each set."""
-    ids = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "sid").join(first, "sid")
-    texts = docs.select("doc_id", "text").join(ids, "doc_id").select("sid", "text")
-    sets = stored(texts.mapInArrow(_text_sets, fields(("sid", "long"), ("items", "binary"))))
+def sets_of(ids: DataFrame, docs: DataFrame, first: DataFrame) -> DataFrame:
+    """sid, items: the whole sets of the wanted ids; `first` names one document for each set."""
+    texts = docs.select("doc_id", "text").join(first.join(ids, "sid", "left_semi"), "doc_id").select("sid", "text")
+    return stored(texts.mapInArrow(_text_sets, fields(("sid", "long"), ("items", "binary"))))
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, both, every for candidate pairs of sets, from the sets themselves."""
     left, right = sets.select(F.col("sid").alias("a"), F.col("items").alias("x")), sets.select(F.col("sid").alias("b"), F.col("items").alias("y"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    with small_batches(docs.sparkSession, 500):
-        out = stored(both.mapInArrow(_similarities, fields(("a", "long"), ("b", "long"), ("both", "long"), ("every", "long"))))
-    forget(sets)
-    return out
+    with small_batches(pairs.sparkSession, 500):
+        return stored(both.mapInArrow(_similarities, fields(("a", "long"), ("b", "long"), ("both", "long"), ("every", "long"))))
 
 
 def _room(na: np.ndarray, nb: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -247,31 +252,44 @@ def plausible(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return stored(pairs.join(left, "a").join(right, "b").select("a", "b", "m", "n", "x", "y").mapInArrow(_near_signatures, fields(("a", "long"), ("b", "long"))))
 
 
-def _across(batches):
-    """Pairs of two blocks of a list (or of one) that lie in different components and pass sizes, places, similarities to the leader, and signatures."""
-    for b in batches:
-        found = []
-        for same, left, right in zip(*(b.column(i).to_pylist() for i in range(3))):
-            sides = [[np.array([r[k] for r in part]) for k in ("a", "n", "p", "component")] + [np.array([np.nan if r["sim"] is None else r["sim"] for r in part]), [r["sig"] for r in part]] for part in ((left,) if same else (left, right))]
-            (a, n, p, c, sim, sig), (a2, n2, p2, c2, sim2, sig2) = sides[0], sides[-1]
-            ok = (c[:, None] != c2[None, :]) & (DEN * np.minimum(n[:, None], n2) >= NUM * np.maximum(n[:, None], n2)) & ~(np.abs(sim[:, None] - sim2) > (DEN - NUM) / DEN + 1e-9)
-            ok &= _room(n[:, None], n2[None, :], np.minimum(n[:, None] - p[:, None], n2 - p2) + np.minimum(p[:, None], p2))
-            if same:
-                ok = np.triu(ok, 1)
-            i, j = np.nonzero(ok)
-            rough, rough2 = (np.array([counts(x).reshape(-1, SLOTS).sum(axis=0) for x in side]) for side in (sig, sig2))
-            for lo in range(0, len(i), 4096):
-                u, v = i[lo : lo + 4096], j[lo : lo + 4096]
-                fit = _room(n[u], n2[v], np.minimum(rough[u], rough2[v]).sum(axis=1))  # all folded to 256 slots
-                u, v = u[fit], v[fit]
+def _across(best: bool):
+    """Pairs of two blocks of a list (or of one) that lie in different components and pass sizes, places, similarities to
+    the leader, and signatures; with best, only each set's likeliest partner."""
+    def run(batches):
+        for b in batches:
+            found = []
+            for same, left, right in zip(*(b.column(i).to_pylist() for i in range(3))):
+                sides = [[np.array([r[k] for r in part]) for k in ("a", "n", "p", "component")] + [np.array([np.nan if r["sim"] is None else r["sim"] for r in part]), [r["sig"] for r in part]] for part in ((left,) if same else (left, right))]
+                (a, n, p, c, sim, sig), (a2, n2, p2, c2, sim2, sig2) = sides[0], sides[-1]
+                ok = (c[:, None] != c2[None, :]) & (DEN * np.minimum(n[:, None], n2) >= NUM * np.maximum(n[:, None], n2)) & ~(np.abs(sim[:, None] - sim2) > (DEN - NUM) / DEN + 1e-9)
+                ok &= _room(n[:, None], n2[None, :], np.minimum(n[:, None] - p[:, None], n2 - p2) + np.minimum(p[:, None], p2))
+                if same:
+                    ok = np.triu(ok, 1)
+                i, j = np.nonzero(ok)
+                rough, rough2 = (np.array([counts(x).reshape(-1, SLOTS).sum(axis=0) for x in side]) for side in (sig, sig2))
+                kept = []
+                for lo in range(0, len(i), 4096):
+                    u, v = i[lo : lo + 4096], j[lo : lo + 4096]
+                    common = np.minimum(rough[u], rough2[v]).sum(axis=1)  # all folded to 256 slots
+                    fit = _room(n[u], n2[v], common)
+                    kept.append(np.column_stack([u[fit], v[fit], (1_000_000 * common[fit]) // (n[u[fit]] + n2[v[fit]])]))
+                if not kept:
+                    continue
+                u, v, like = np.concatenate(kept).T
+                if best:
+                    order = np.lexsort((v, -like, u))
+                    first = np.append(True, u[order][1:] != u[order][:-1])[: len(u)]
+                    u, v = u[order][first], v[order][first]
                 fit = np.array([bool(_room(n[x], n2[y], common_at_most(sig[x], sig2[y]))) for x, y in zip(u.tolist(), v.tolist())], dtype=bool)
                 found.append(np.sort(np.column_stack([a[u[fit]], a2[v[fit]]]), axis=1))
-        if found:
-            out = np.unique(np.concatenate(found), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
+            if found:
+                out = np.unique(np.concatenate(found), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
+
+    return run
 
 
-def across_components(members: DataFrame, block: int = 256) -> DataFrame:
+def across_components(members: DataFrame, best: bool, block: int = 256) -> DataFrame:
     """Candidate pairs of long lists: members(list, a, n, p, component, sim, sig) in blocks, block against block."""
     size = members.groupBy("list").agg(F.count(F.lit(1)).alias("size"))
     rows = members.join(size, "list").withColumn("salt", F.pmod(F.xxhash64("a"), F.ceil(F.col("size") / block)).cast("int"))
@@ -280,7 +298,7 @@ def across_components(members: DataFrame, block: int = 256) -> DataFrame:
     split = blocks.join(many, "list", "left_semi")
     pairs = split.join(split.select("list", F.col("salt").alias("salt2"), F.col("part").alias("other")), "list").where("salt < salt2").select(F.lit(False).alias("same"), "part", "other")
     alone = blocks.select(F.lit(True).alias("same"), "part", F.lit(None).cast(blocks.schema["part"].dataType).alias("other"))
-    out = stored(alone.union(pairs).mapInArrow(_across, fields(("a", "long"), ("b", "long"))).distinct())
+    out = stored(alone.union(pairs).mapInArrow(_across(best), fields(("a", "long"), ("b", "long"))).distinct())
     forget(blocks)
     return out
 
@@ -297,20 +315,37 @@ def join(docs: DataFrame, small: int = SMALL) -> DataFrame:
     wanted = pairs.select("a").union(pairs.select("b")).union(lists.where("kind = 1").select("a")).distinct().withColumnRenamed("a", "sid")
     owner = first.join(wanted, "sid", "left_semi")
     sigs = stored(scan.where("sig is not null").join(owner, ["sid", "doc_id"], "left_semi").select("sid", "n", "sig").dropDuplicates(["sid"]))
-    done = verified(plausible(pairs, sigs), docs, first)
+    likely = plausible(pairs, sigs)
+    items = sets_of(ends(likely), docs, first)
+    done = verified(likely, items)
+    forget(items)
     linked = F.col("both") * DEN >= F.col("every") * NUM
     edges = done.where(linked).select(F.col("a").alias("u"), F.col("b").alias("v"))
     comps = stored(components(edges))
     members = lists.where("kind = 1").select("a", F.col("b").alias("list"), F.shiftright("place", 32).alias("n"), F.col("place").bitwiseAND(0xFFFFFFFF).alias("p"), "lead")
-    members = members.join(comps.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
-    open_lists = members.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("list")
     known = done.select(F.least("a", "b").alias("lead"), F.greatest("a", "b").alias("a"), (F.col("both") / F.col("every")).alias("sim"))  # the first set leads
-    rest = members.join(open_lists, "list").join(known, ["lead", "a"], "left").withColumn("sim", F.when(F.col("a") == F.col("lead"), 1.0).otherwise(F.col("sim")))
-    more = across_components(rest.join(sigs.select(F.col("sid").alias("a"), "sig"), "a"))
-    more = stored(more.join(done.select("a", "b"), ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        again = verified(more, docs, first).where(linked).select(F.col("a").alias("u"), F.col("b").alias("v"))
-        comps = stored(components(edges.union(again)))
+    members = members.join(known, ["lead", "a"], "left").withColumn("sim", F.when(F.col("a") == F.col("lead"), 1.0).otherwise(F.col("sim")))
+    members = stored(members.join(sigs.select(F.col("sid").alias("a"), "sig"), "a"))
+    # Likeliest partners first, which joins the components of one group, until nothing joins; then every pair that is left.
+    best, items = True, None
+    while True:
+        now = members.join(comps.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
+        open_lists = now.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("list")
+        more = stored(across_components(now.join(open_lists, "list"), best).join(done.select("a", "b"), ["a", "b"], "left_anti"))
+        joined = 0
+        if not more.isEmpty():
+            if items is None:  # the sets of all lists that are still open, once for all rounds
+                items = sets_of(now.join(open_lists, "list", "left_semi").select(F.col("a").alias("sid")).distinct(), docs, first)
+            again = verified(more, items)
+            done = stored(done.union(again))
+            fresh = again.where(linked).select(F.col("a").alias("u"), F.col("b").alias("v"))
+            joined = fresh.count()
+            if joined:
+                comps = stored(components(comps.select(F.col("node").alias("u"), F.col("component").alias("v")).union(fresh)))
+        if not best:
+            break
+        best = joined > 0
+    forget(members, *([items] if items is not None else []))
     forget(lists, pairs)
     by_set = sets.join(comps.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("component", "sid"))
     smallest = by_set.where("sid is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
