@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 # Symbols that would vanish in a key, in the order in which they are replaced.
 SPELLED = (("c++", "c-plus-plus"), ("c#", "c-sharp"), (".net", "dot-net"))
-# Entities that are decoded without Python.
+# Entities that are decoded without Python where full=False is asked for.
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&ndash;", "–"), ("&mdash;", "—"), ("&eacute;", "é"), ("&amp;", "&"))
 
 
@@ -46,14 +46,14 @@ def _every_entity(c: Column) -> Column:
     return decode(c)
 
 
-def unescape(c: Column, full: bool = False) -> Column:
-    """HTML entities decoded: the common ones by built-ins; all of them, with full, by an Arrow UDF."""
+def unescape(c: Column, full: bool = True) -> Column:
+    """HTML entities decoded: all of them, named and numeric, by an Arrow UDF; with full=False only ENTITIES, by built-ins."""
     if full:
         return _every_entity(c)
     return reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), ENTITIES, c)
 
 
-def strip_html(c: Column, full: bool = False) -> Column:
+def strip_html(c: Column, full: bool = True) -> Column:
     text = unescape(F.regexp_replace(c, "<[^>]+>", " "), full)
     return strip(F.regexp_replace(text, "[ \t]+", " "))
 
@@ -102,8 +102,9 @@ def split_list(c: Column) -> Column:
     return F.when(blank(c), F.array().cast("array<string>")).otherwise(parts)
 
 
-_DATED = r"^([^,]+),\s*(.+?)\s*\(([^)]+)\)\s*[—-]?\s*(\d{4})[–-]Present:?\s*(.*)$"
-_EARLIER = r"^([^,]+),\s*(.+?)\s*\(([^)]+)\)\s*—\s*earlier tenure,\s*(\d+)\+?\s*years?\.?$"
+# White space is Unicode's here: a decoded &nbsp; may stand between the parts.
+_DATED = r"^([^,]+),(?U:\s*)(.+?)(?U:\s*)\(([^)]+)\)(?U:\s*)[—-]?(?U:\s*)(\d{4})[–-]Present:?(?U:\s*)(.*)$"
+_EARLIER = r"^([^,]+),(?U:\s*)(.+?)(?U:\s*)\(([^)]+)\)(?U:\s*)—(?U:\s*)earlier tenure,(?U:\s*)(\d+)\+?(?U:\s*)years?\.?$"
 
 
 def past_roles(c: Column, ref: Column, strict: bool = True) -> Column:

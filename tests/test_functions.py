@@ -1,7 +1,10 @@
 """Column functions against the values that plain Python gives."""
 
 import datetime as dt
+import hashlib
+import html.entities
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -35,6 +38,31 @@ def test_strip_html(spark):
     assert column(spark, ["&frac12; &hearts;"], lambda c: X.strip_html(c, full=True)) == ["½ ♥"]
 
 
+def test_strip_html_decodes_every_entity(spark):
+    cases = [f"a &{name} b" for name in html.entities.html5] + [f"<i>x</i>&#{n};y&#x{n:x};" for n in (0, 9, 13, 38, 60, 128, 150, 160, 169, 183, 8364, 0xD800, 0x1F600, 0x110000)]
+    cases += ["&copy; 2024 &middot; A&B &notit; &amp;copy; &copy &#169 &unknown; &", None]
+
+    def plain(t):
+        return t and re.sub("[ \t]+", " ", html.unescape(re.sub("<[^>]+>", " ", t))).strip()
+
+    assert column(spark, cases, X.strip_html) == [plain(t) for t in cases]
+
+
+def test_strip_html_query_on_pages(spark):
+    from matchloom.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    want = {i: hashlib.md5(re.sub("[ \t]+", " ", html.unescape(re.sub("<[^>]+>", " ", t))).strip().encode()).hexdigest() for i, t in pages.items()}
+    assert {r["page_id"]: r["text_md5"] for r in registry.queries()["ingest_strip_html"](spark, sf).collect()} == want
+
+
+def test_past_roles_with_entities(spark):
+    raw = "<p>Caf&eacute;&nbsp;Chef,&nbsp;A&ccedil;a&iacute; &hearts;&nbsp;(K&ouml;ln)&nbsp;&#8212;&nbsp;2022&ndash;Present:&nbsp;cooks</p>"
+    (a,) = column(spark, [raw], lambda c: X.past_roles(c, F.lit(REF)))[0]
+    assert (a["title"], a["company"], a["city"], a["start_year"]) == ("Café\xa0Chef", "Açaí ♥", "Köln", 2022)
+
+
 def test_notice_days(spark):
     cases = {"2 weeks notice": 14, "1 month": 30, "2 months": 60, "Negotiable": 0, "": None, "starts in 2027": 135, "45 days": 45, "90 days notice": 90, "Immediate": 0, "Available immediately": 0}
     assert column(spark, list(cases), lambda c: X.notice_days(c, F.lit(REF))) == list(cases.values())
