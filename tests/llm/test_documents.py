@@ -129,6 +129,32 @@ def test_sharding_repeated_rows(docs):
     assert len({(r["shard"], r["slot"]) for r in got}) == len(got)
 
 
+def cut_groups(got):
+    homes = defaultdict(set)
+    for r in got:
+        homes[r["text_crc32"]].add(r["shard"])
+    return sum(len(h) > 1 for h in homes.values())
+
+
+def test_sharding_of_copies_alone(spark):
+    """Every text has copies, so only leavers and whole moves make room."""
+    for copies, texts, shards, most in ((2, 2000, 40, 0), (3, 900, 9, 0), (2, 780, 40, 39)):
+        df = spark.createDataFrame([(c * texts + i, f"text {i}") for c in range(copies) for i in range(texts)], "doc_id long, text string")
+        got = sharding.shard(df, shards=shards).collect()
+        by = defaultdict(list)
+        for r in got:
+            by[r["shard"]].append(r["slot"])
+        assert len(got) == copies * texts and len(by) == shards
+        assert all(sorted(s) == list(range(len(s))) for s in by.values()) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
+        assert cut_groups(got) <= most
+
+
+def test_sharding_with_few_unlinked_rows(spark):
+    texts = [f"text {i}" for i in range(1000)] * 2 + [f"alone {i}" for i in range(100)]
+    got = sharding.shard(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shards=40).collect()
+    assert len(got) == 2100 and cut_groups(got) <= 1
+
+
 def test_mixing(docs):
     got = rows(mixing.mix(docs))
     source = {r[0]: r[3] for r in make_docs()}
