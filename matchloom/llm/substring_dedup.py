@@ -13,8 +13,10 @@ holds an earlier start (a range minimum). A segment that matches whole is covere
 searched one by one; matched windows are joined into intervals and reported. Covered words are removed and the rest is
 written back.
 
-Null text has no words. Fewer than 20 words: no window. Ties: doc_id and start decide; doc_id is taken as unique, null
-goes before all. Empty tables give empty results; extra columns are ignored.
+Null text has no words. Fewer than 20 words: no window. Ties: doc_id, the name of the word sequence and start decide;
+null goes before all. A word sequence is indexed once, under its smallest doc_id; doc_id need not be unique: all other
+rows with that sequence, those with the same or no doc_id too, are copies. Empty tables give empty results; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -47,7 +49,7 @@ def segments_of(h: np.ndarray):
 
 
 def _scan(batches):
-    """Per document: words, a 128-bit name of the word sequence, and the hash of the whole text as joined words."""
+    """Per document: hash of the raw text as given, words, a 128-bit name of the word sequence, and the hash of the whole text as joined words."""
     words = Words(False)
     for b in batches:
         n, x, y, sha = [], [], [], []
@@ -60,7 +62,7 @@ def _scan(batches):
             a, z = np.frombuffer(d.digest()[:16], dtype=np.int64).tolist()
             x.append(a)
             y.append(z)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "x", "y", "sha"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "raw", "n_words", "x", "y", "sha"])
 
 
 def _occurrences(batches):
@@ -126,44 +128,44 @@ def _repeated(batches):
 
 
 def _segments(batches):
-    """key, doc, start, words; a negative number of words marks a covered window: start and nothing to index."""
+    """key, doc, name, start, words; a negative number of words marks a covered window: start and nothing to index."""
     words = Words(False)
     pending: dict[int, tuple] = {}
 
     def rows(out):
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.list_(pa.int64()))], names=["key", "doc", "start", "words"])
+        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.list_(pa.int64()))], names=["key", "doc", "name", "start", "words"])
 
-    def emit(out, key, doc, start, w):
-        for c, v in zip(out, (key, doc, start, w)):
+    def emit(out, key, doc, name, start, w):
+        for c, v in zip(out, (key, doc, name, start, w)):
             c.append(v)
 
     for b in batches:
-        out = [[], [], [], []]
-        for doc, text, ranges in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+        out = [[], [], [], [], []]
+        for doc, name, text, ranges in zip(*(c.to_pylist() for c in b.columns)):
             h = words.hashes(words.split(text)).view(np.int64)
             for r in ranges:
                 if not r["hot"]:
-                    emit(out, r["key"], doc, r["lo"], h[r["lo"] : r["hi"] + WINDOW - 1])
+                    emit(out, r["key"], doc, name, r["lo"], h[r["lo"] : r["hi"] + WINDOW - 1])
                     continue
                 for s in range(r["lo"], r["hi"]):
                     w = h[s : s + WINDOW]
                     k = int(np.array([sequence(w.view(np.uint64))]).view(np.int64)[0])
-                    old, new = pending.get(k), (doc, s, w)
+                    old, new = pending.get(k), (doc, name, s, w)
                     if old is not None:
-                        first, later = (old, new) if old[:2] <= new[:2] else (new, old)
-                        emit(out, k ^ later[0], later[0], later[1], [])
+                        first, later = (old, new) if old[:3] <= new[:3] else (new, old)
+                        emit(out, k ^ later[1], *later[:3], [])
                         new = first
                     pending[k] = new
             if len(pending) > 100_000:
-                for k, (d, s, w) in pending.items():
-                    emit(out, k, d, s, w)
+                for k, place in pending.items():
+                    emit(out, k, *place)
                 pending.clear()
         if out[0]:
             yield rows(out)
     if pending:
-        out = [[], [], [], []]
-        for k, (d, s, w) in pending.items():
-            emit(out, k, d, s, w)
+        out = [[], [], [], [], []]
+        for k, place in pending.items():
+            emit(out, k, *place)
         yield rows(out)
 
 
@@ -296,39 +298,47 @@ def merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
 
 
 def _search(pdf: pd.DataFrame) -> pd.DataFrame:
-    size = pdf["words"].map(len)
-    sure = pdf[size == 0]
-    spans = [(d, s, s + WINDOW) for d, s in zip(sure["doc"].tolist(), sure["start"].tolist())]
-    rest = pdf[size > 0]
-    if len(rest):
-        spans += covered_windows(rest["doc"].to_numpy(), rest["start"].to_numpy().astype(np.int64), [np.asarray(w, dtype=np.int64) for w in rest["words"]])
-    return pd.DataFrame(merged(spans), columns=["doc", "a", "z"]).astype({"doc": "int64", "a": "int32", "z": "int32"})
+    # Documents by their place in the order of id and name.
+    doc, name = pdf["doc"].to_numpy(), pdf["name"].to_numpy()
+    order = np.lexsort((name, doc))
+    new = np.append(True, (np.diff(doc[order]) != 0) | (np.diff(name[order]) != 0))[: len(order)]
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.cumsum(new) - 1
+    doc, name = doc[order][new], name[order][new]
+    size, start = pdf["words"].map(len).to_numpy(), pdf["start"].to_numpy().astype(np.int64)
+    spans = [(d, s, s + WINDOW) for d, s in zip(place[size == 0].tolist(), start[size == 0].tolist())]
+    rest = size > 0
+    if rest.any():
+        spans += covered_windows(place[rest], start[rest], [np.asarray(w, dtype=np.int64) for w in pdf["words"][rest]])
+    spans = merged(spans)
+    at = np.array([d for d, _, _ in spans], dtype=np.int64)
+    return pd.DataFrame({"doc": doc[at], "name": name[at], "a": np.array([a for _, a, _ in spans], dtype=np.int32), "z": np.array([z for _, _, z in spans], dtype=np.int32)})
 
 
 def _kept(batches):
     words = Words(False)
     for b in batches:
-        docs, n, sha, text = [], [], [], []
-        for d, t, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+        n, sha, text = [], [], []
+        for t, spans in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
             w = words.split(t)
             keep = np.ones(len(w), dtype=bool)
             for s in spans:
                 keep[s["a"] : s["z"]] = False
             left = b" ".join(x for x, k in zip(w, keep.tolist()) if k)
-            docs.append(d)
             n.append(int((~keep).sum()))
             sha.append(hashlib.sha256(left).hexdigest())
             text.append(left.decode())
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(text, pa.string())], names=["doc", "removed", "left_sha", "left_text"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(text, pa.string())], names=["doc", "name", "removed", "left_sha", "left_text"])
 
 
 class Dedup:
-    """scan: every document with the name of its words; covered(name, spans): intervals in the first document of a name."""
+    """scan: every row, by number, with the name of its words; first: the row that stands for a name; covered(doc, name, spans): intervals in it."""
 
     def __init__(self, docs: DataFrame, shard_words: int = 150_000, often: int = 2_000):
-        rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("doc_id"), "text")
-        self.scan = scan = stored(rows.mapInArrow(_scan, fields(("doc_id", "long"), ("n_words", "long"), ("x", "long"), ("y", "long"), ("sha", "string"))))
-        self.first = scan.where(f"n_words >= {WINDOW}").groupBy("x", "y").agg(F.min("doc_id").alias("first"))
+        rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("doc_id"), "text", F.xxhash64("text").alias("raw"))
+        self.scan = scan = stored(rows.mapInArrow(_scan, fields(("doc_id", "long"), ("raw", "long"), ("n_words", "long"), ("x", "long"), ("y", "long"), ("sha", "string"))).withColumn("row", F.monotonically_increasing_id()))
+        least = scan.where(f"n_words >= {WINDOW}").groupBy("x", "y").agg(F.min(F.struct("doc_id", "raw", "row")).alias("f"))
+        self.first = least.select("x", "y", F.col("f.doc_id").alias("first"), F.col("f.raw").alias("first_raw"), F.col("f.row").alias("first_row"))
         occ = rows.select("text").mapInArrow(_occurrences, fields(("key", "long"), ("name", "long"), ("lo", "int"), ("hi", "int"), ("sure", "boolean")))
         target = F.when(F.col("sure"), F.xxhash64("name", "lo")).otherwise(F.xxhash64("key"))
         rep = occ.repartition(target).sortWithinPartitions("sure", "key", "name", "lo").mapInArrow(_repeated, fields(("name", "long"), ("lo", "int"), ("hi", "int"), ("key", "long")))
@@ -336,22 +346,24 @@ class Dedup:
         hot = rep.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > often).select("key", F.lit(True).alias("hot"))
         rep_hot = rep.join(hot, "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
         ranges = rep_hot.groupBy("name").agg(F.collect_set(F.struct("lo", "hi", "key", "hot")).alias("ranges"))
-        ranges = ranges.join(self.first.select(F.col("x").alias("name"), "first"), "name").groupBy("first").agg(F.first("ranges").alias("ranges"))
-        self.texts = stored(rows.join(ranges, rows["doc_id"] == ranges["first"]).select("doc_id", "text", "ranges"))
+        ranges = ranges.join(self.first.select(F.col("x").alias("name"), "first", "first_raw"), "name")
+        texts = rows.join(ranges, (rows["doc_id"] == ranges["first"]) & (rows["raw"] == ranges["first_raw"]))
+        # One row for each name, on the join's own keys; the row can repeat.
+        self.texts = stored(texts.groupBy("doc_id", "raw", "name").agg(F.first("text").alias("text"), F.first("ranges").alias("ranges")).select("doc_id", "name", "text", "ranges"))
         total = rep.agg(F.sum(F.col("hi") - F.col("lo") + WINDOW)).first()[0] or 0
         shards = max(1, -(-int(total) // shard_words))
-        seg = self.texts.mapInArrow(_segments, fields(("key", "long"), ("doc", "long"), ("start", "int"), ("words", T.ArrayType(T.LongType()))))
-        found = seg.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy("shard").applyInPandas(lambda pdf: _search(pdf), fields(("doc", "long"), ("a", "int"), ("z", "int")))
-        self.covered = found.groupBy("doc").agg(F.collect_list(F.struct("a", "z")).alias("spans"))
-        self.changed = stored(self.texts.select("doc_id", "text").join(self.covered, self.texts["doc_id"] == F.col("doc")).select("doc", "text", "spans").mapInArrow(_kept, fields(("doc", "long"), ("removed", "long"), ("left_sha", "string"), ("left_text", "string"))))
+        seg = self.texts.mapInArrow(_segments, fields(("key", "long"), ("doc", "long"), ("name", "long"), ("start", "int"), ("words", T.ArrayType(T.LongType()))))
+        found = seg.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy("shard").applyInPandas(lambda pdf: _search(pdf), fields(("doc", "long"), ("name", "long"), ("a", "int"), ("z", "int")))
+        self.covered = found.groupBy("doc", "name").agg(F.collect_list(F.struct("a", "z")).alias("spans"))
+        self.changed = stored(self.texts.select(F.col("doc_id").alias("doc"), "name", "text").join(self.covered, ["doc", "name"]).select("doc", "name", "text", "spans").mapInArrow(_kept, fields(("doc", "long"), ("name", "long"), ("removed", "long"), ("left_sha", "string"), ("left_text", "string"))))
         forget(rep)
 
 
 def digest(docs: DataFrame) -> DataFrame:
     d = Dedup(docs)
-    copies = F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False))
+    copies = F.coalesce(F.col("first_row") != F.col("row"), F.lit(False))
     out = d.scan.join(d.first, ["x", "y"], "left").withColumn("copy", copies)
-    out = out.join(d.changed.select("doc", "removed", "left_sha"), F.col("doc") == F.col("doc_id"), "left")
+    out = out.join(d.changed.select("doc", "name", "removed", "left_sha"), (F.col("doc") == F.col("doc_id")) & (F.col("name") == F.col("x")), "left")
     empty = hashlib.sha256(b"").hexdigest()
     return out.select(
         F.when(F.col("doc_id") != FIRST, F.col("doc_id")).alias("doc_id"),

@@ -95,6 +95,32 @@ def test_substring_dedup_with_hot_keys_and_small_shards(docs):
     assert {i: n for i, n in got.items() if n} == {i: want[i][1] for i in firsts if want[i][1]}
 
 
+def test_substring_dedup_with_repeated_rows_and_null_ids(spark):
+    def run(name, n):
+        return [f"{name}{i}" for i in range(n)]
+
+    p, q = run("p", 30), run("q", 25)
+    a, b = " ".join(run("a", 10) + p + run("b", 10)), " ".join(run("c", 5) + p)
+    rows = [(7, a), (7, a), (9, b), (9, b), (7, " ".join(run("d", 8) + q)), (3, " ".join(q + run("e", 9)))]
+    rows += [(None, " ".join(run(n, 6) + run("z", 22) + run(n + n, 30))) for n in "fgh"] + [(None, " ".join(run("g", 6) + run("z", 22) + run("gg", 30)))] * 2 + [(None, "too short"), (None, None), (None, "too short")]
+    name = lambda t: int.from_bytes(hashlib.sha256(" ".join((t or "").split()).encode()).digest()[:8], "little", signed=True)
+    seen, want = set(), []
+    for i, t in sorted(rows, key=lambda r: (-1 if r[0] is None else r[0], name(r[1]))):
+        w = (t or "").split()
+        gone = [False] * len(w)
+        for s in range(len(w) - 19):
+            k = tuple(w[s : s + 20])
+            if k in seen:
+                gone[s : s + 20] = [True] * 20
+            seen.add(k)
+        want.append((i, len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone) if not g).encode()).hexdigest()))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.digest(df).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    d = substring_dedup.Dedup(df, shard_words=50, often=1)  # hot keys
+    assert sorted(r["removed"] for r in d.changed.collect() if r["removed"]) == sorted(n for _, m, n, _ in want if n and n < m)
+
+
 def test_fm_index_agrees_with_search():
     import numpy as np
 
