@@ -28,9 +28,10 @@ def ranked(scores: DataFrame, rubric: DataFrame, order: str = "candidate_id", fa
     return out.withColumn("is_finalist", take).drop("_top", "threshold", "most")
 
 
-def shortlist(scores: DataFrame, rubric: DataFrame, order: str = "candidate_id", fallback_n: int = 5, most: int = 50) -> DataFrame:
-    """The finalists alone. `most` bounds the places of any rubric; the filter on the rank lets Spark keep that many per task."""
-    out = scores.join(rubric.select("role_id", "threshold", F.least("most", F.lit(most)).alias("most")), "role_id")
+def shortlist(scores: DataFrame, rubric: DataFrame, order: str = "candidate_id", fallback_n: int = 5) -> DataFrame:
+    """The finalists alone. The filter on the rank, by the largest `most` of the rubrics, lets Spark keep that many per task."""
+    most = rubric.agg(F.max("most")).first()[0] or 0
+    out = scores.join(rubric.select("role_id", "threshold", "most"), "role_id")
     w = W.partitionBy("role_id").orderBy(F.col("total").desc(), order)
     out = out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(most, fallback_n))
     top = W.partitionBy("role_id")  # at most `most` rows

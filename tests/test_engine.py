@@ -99,6 +99,14 @@ def test_match_scores_and_briefs(spark, world):
     assert "_No candidate cleared the shortlist threshold of 90. Showing the highest-scoring 2 instead" in note
 
 
+def test_shortlist_keeps_as_many_as_a_rubric_returns(spark):
+    scores = spark.createDataFrame([(role, i, float(i)) for role in "ab" for i in range(100)], "role_id string, candidate_id long, total double")
+    rubric = spark.createDataFrame([("a", 10.0, 70), ("b", 10.0, 3)], "role_id string, threshold double, most int")
+    got = selection.shortlist(scores, rubric).select("role_id", "candidate_id", "rank").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, selection.ranked(scores, rubric).where("is_finalist").select("role_id", "candidate_id", "rank").collect()))
+    assert len(got) == 73
+
+
 def test_steering(spark, world):
     rub = rubric.rubrics(world["roles"])
     retier = spark.createDataFrame([("R008", "Docker", "dropped", 0), ("R008", "Docker", "preferred", 1)], "role_id string, source string, tier string, ord int")
