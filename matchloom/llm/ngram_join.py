@@ -3,350 +3,346 @@
 A document's set is its distinct five-word shingles. Equal sets form one class. Each class posts the shingles of its
 prefix (all but the last 0.8 n in a global order), with its size and the shingle's position: two sets of similarity 0.8
 share one of these. The order is by hash, but shingles that stood in many documents of a scan task come last, by count;
-any order gives the same links, this one keeps lists short.
-
-Lists are skipped by position: in sorted blocks of a list a pair is a candidate only if sizes and positions still allow
-the needed overlap; the smaller set's position must lie in its index prefix. Lists of up to `small` sets give their
-candidate pairs at once. A longer list first compares its members with its leader only. Answers of similar sets are then
-used: members that are linked through a leader are done, and for the rest, the leader's computed similarities x and y
-bound the pair's: |x - y| over 0.2 rules it out (Jaccard distance is a metric). Only pairs across components go on, block
-against block inside the tasks. Every candidate must pass a bound from the sets' signatures (counts of shingles in 256
-slots: the sum of the smaller counts is at least the overlap) before it is verified exactly on the whole sets.
-
-Null or wordless texts: empty set, no link. Fewer words than five: the whole sequence is the one shingle. Repeated rows
-are equal sets. Empty tables give empty results; extra columns are ignored.
+any order gives the same links, this one keeps lists short. A list is the postings of one shingle by several sets; its
+smallest set leads it.
+
+Index-level skipping: two members of a list are candidates only if their sizes and positions still allow the needed
+overlap, and the smaller set's position lies in its index prefix. Members of a long list stand in blocks by size; a member
+goes on only if some block of its list that has another component holds a position that allows the overlap, so blocks are
+skipped by their smallest position, unread.
+
+Answer-level skipping: every set is first compared with the leaders of its lists alone. Links through leaders make
+components, and only pairs across components go on. In a list of up to `small` sets these pairs are verified one by one,
+unless the two similarities to the leader, x and y, rule them out (|x - y| over 0.2; Jaccard distance is a metric). In
+the longer lists of a leader X a set's answers are derived from X's: with the shingles that A lacks and those it has
+beyond X, |A and B| = |X| - |X\\A| - |X\\B| + |(X\\A) and (X\\B)| + |(A\\X) and (B\\X)|. So blocks of such differences
+meet, never whole sets, and one matrix product gives all overlaps of two blocks. A task hands on one link for every two
+components that it joins.
+
+Null or wordless texts: empty set, no link. Fewer words than five: the whole sequence is the one shingle. Very long texts
+are taken whole; a batch of sets is bounded by rows, a block by bytes. Repeated rows and ties are equal sets, and repeated
+doc_ids keep a row each. Empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, fields, forget, small_batches, stored
-from .words import Words, grams, sequence
+from .words import grams, sequence, word_hashes
 
 K = 5
 SMALL = 32
 COUNT_BITS, OFTEN = 22, 4
 NUM, DEN = 80, 100
+STEP = 128  # rows hashed at a time
 
 
-def shingle_set(words: Words, text: str | None) -> np.ndarray:
-    """Sorted distinct shingle hashes of a whole text."""
-    h = words.hashes(words.split(text))
-    if len(h) >= K:
-        return np.unique(grams(h, K))
-    return np.array([sequence(h)], dtype=np.uint64) if len(h) else np.zeros(0, dtype=np.uint64)
+def _row_sets(column):
+    """Sorted distinct shingle hashes of each whole text."""
+    for lo in range(0, len(column), STEP):
+        h, begin = word_hashes(column.slice(lo, STEP), True)
+        g = grams(h, K)
+        for a, z in zip(begin[:-1].tolist(), begin[1:].tolist()):
+            if z - a >= K:
+                s = np.sort(g[a : z - K + 1])
+                yield s[np.append(True, s[1:] != s[:-1])]
+            else:
+                yield np.array([sequence(h[a:z])], dtype=np.uint64) if z > a else np.zeros(0, dtype=np.uint64)
 
 
 def set_id(s: np.ndarray) -> int:
     return int(np.array([sequence(s)]).view(np.int64)[0])
 
 
-SLOTS, MANY, LARGE = 256, 2048, 1000
-
-
-def signature(s: np.ndarray) -> bytes:
-    """Counts of a set's shingles by the low bits of their hashes: 256 slots, or 2,048 for sets of 1,000 and more; two bytes each, four in sets beyond 65,535."""
-    slots = SLOTS if len(s) < LARGE else MANY
-    return np.bincount((s & np.uint64(slots - 1)).astype(np.int64), minlength=slots).astype("<u2" if len(s) < 65536 else "<u4").tobytes()
-
-
-def counts(sig: bytes) -> np.ndarray:
-    return np.frombuffer(sig, dtype="<u4" if len(sig) == 4 * MANY else "<u2").astype(np.int32)
-
-
-def common_at_most(x: bytes, y: bytes) -> int:
-    """A bound on the overlap of two sets; a finer signature is folded to the coarser one's slots."""
-    x, y = counts(x), counts(y)
-    if len(x) != len(y):
-        x, y = (v.reshape(-1, SLOTS).sum(axis=0) for v in (x, y))
-    return int(np.minimum(x, y).sum())
-
-
-def _sets(batches):
-    """doc_id, n, sid, sig for each row; and, with a null n, a count for each slot of shingles that is often met in this task."""
-    words, count = Words(True), np.zeros(1 << COUNT_BITS, dtype=np.int32)
-    seen: set[int] = set()
-    rows = 0
+def _scan(batches):
+    """doc_id, n, sid for each row; and, with a null n, a count for each slot of shingles that is often met in this task."""
+    count, seen = np.zeros(1 << COUNT_BITS, dtype=np.int32), set()
     for b in batches:
-        rows += b.num_rows
-        n, sid, sig = [], [], []
-        for text in b.column(1).to_pylist():
-            s = shingle_set(words, text)
+        n, sid = [], []
+        for s in _row_sets(b.column(1)):
             n.append(len(s))
             sid.append(set_id(s) if len(s) else None)
-            sig.append(signature(s) if len(s) else None)
             if len(s) and sid[-1] not in seen:
                 if len(seen) > 1_000_000:
                     seen.clear()
                 seen.add(sid[-1])
                 np.add.at(count, (s >> np.uint64(64 - COUNT_BITS)).astype(np.int64), 1)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "n", "sid", "sig"])
-    often = np.nonzero(count >= np.maximum(OFTEN + 8 * count.mean(), 0.005 * rows))[0]
-    yield pa.RecordBatch.from_arrays([pa.array(often, pa.int64()), pa.array([None] * len(often), pa.int64()), pa.array(count[often], pa.int64()), pa.nulls(len(often), pa.binary())], names=["doc_id", "n", "sid", "sig"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.int64())], names=["doc_id", "n", "sid"])
+    often = np.nonzero(count >= OFTEN + 8 * count.mean())[0]
+    yield pa.RecordBatch.from_arrays([pa.array(often, pa.int64()), pa.nulls(len(often), pa.int64()), pa.array(count[often], pa.int64())], names=["doc_id", "n", "sid"])
 
 
-def prefix_length(n: int) -> int:
-    return n - -(-NUM * n // DEN) + 1
+def often_slots(scan: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Slots that hold over eight times the mean, and their counts; at most an eighth of all slots can."""
+    total = scan.where("n is not null").agg(F.sum("n")).first()[0] or 0
+    got = scan.where("n is null").groupBy("doc_id").agg(F.sum("sid").alias("c")).where(F.col("c") > F.lit(8.0 * total / (1 << COUNT_BITS))).toPandas()
+    slots, counts = got["doc_id"].to_numpy(np.int64), got["c"].to_numpy(np.int64)
+    order = np.argsort(slots)
+    return slots[order], counts[order]
 
 
-def index_length(n):
-    """Positions of a set that can hold the first common shingle with a set at least as large."""
-    return n - -(-2 * NUM * n // (NUM + DEN)) + 1
-
+def prefix_length(n: int) -> int:
+    return n - -(-NUM * n // DEN) + 1
 
-def _postings(often: dict[int, int]):
-    slots = np.array(sorted(often), dtype=np.uint64)
-    counts = np.array([often[int(s)] for s in slots], dtype=np.int64)
 
+def _postings(often):
+    """key, sid, n, p for the prefix of every set; a copy in the same task posts nothing new."""
     def run(batches):
-        words, seen = Words(True), set()
+        (slots, counts), seen = often.value, set()
         for b in batches:
-            keys, sids, places = [], [], []
-            for text in b.column(0).to_pylist():
-                s = shingle_set(words, text)
-                if not len(s):
-                    continue
-                sid = set_id(s)
-                if sid in seen:  # a copy in this task posts nothing new
+            keys, sids, sizes, places = [], [], [], []
+            for s in _row_sets(b.column(0)):
+                sid = set_id(s) if len(s) else None
+                if sid is None or sid in seen:
                     continue
                 if len(seen) > 1_000_000:
                     seen.clear()
                 seen.add(sid)
                 top, n = prefix_length(len(s)), len(s)
                 if len(slots):
-                    slot = s >> np.uint64(64 - COUNT_BITS)
+                    slot = (s >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
                     at = np.minimum(np.searchsorted(slots, slot), len(slots) - 1)
-                    s = s[np.lexsort((s, np.where(slots[at] == slot, counts[at], 0)))]
+                    rank = np.where(slots[at] == slot, counts[at], 0)
+                    last = np.nonzero(rank)[0]
+                    if len(last):  # the others keep their order by hash
+                        s = np.concatenate([s[rank == 0], s[last[np.argsort(rank[last], kind="stable")]]])
                 keys.append(s[:top])
                 sids.append(np.full(top, sid, dtype=np.int64))
-                places.append((n << 32) + np.arange(top, dtype=np.int64))
+                sizes.append(np.full(top, n, dtype=np.int32))
+                places.append(np.arange(top, dtype=np.int32))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(sids)), pa.array(np.concatenate(places))], names=["key", "sid", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (sids, sizes, places))], names=["key", "sid", "n", "p"])
 
     return run
 
 
-def may_link(n1, p1, n2, p2):
-    """Whether sizes and positions of a common shingle leave room for enough overlap; n1 <= n2."""
-    need = -(-NUM * (n1 + n2) // (NUM + DEN))
-    return (DEN * n1 >= NUM * n2) & (p1 < index_length(n1)) & (np.minimum(n1 - p1, n2 - p2) + np.minimum(p1, p2) >= need)
-
-
-def _lists(small: int):
-    """From postings sorted by key and set: kind 0, a candidate pair (a, b); kind 1, a member a of the long list b, with its place and leader."""
-    def pairs_of(block):
-        """block: lists x members x (sid, place), all lists of one length."""
-        m = block.shape[1]
-        i, j = np.triu_indices(m, 1)
-        n, p = block[:, :, 1] >> 32, block[:, :, 1] & 0xFFFFFFFF
-        n1, n2, p1, p2 = n[:, i], n[:, j], p[:, i], p[:, j]
-        swap = n1 > n2
-        ok = may_link(np.where(swap, n2, n1), np.where(swap, p2, p1), np.where(swap, n1, n2), np.where(swap, p1, p2))
-        r, c = np.nonzero(ok)
-        return np.column_stack([block[r, i[c], 0], block[r, j[c], 0]])
-
-    def flush(key, sid, place, out):
-        new = np.append(True, (key[1:] != key[:-1]) | (sid[1:] != sid[:-1]))
-        key, sid, place = key[new], sid[new], place[new]
+def may_link(n1, p1, n2, p2, least):
+    """Whether sizes and positions of a common shingle leave room for enough overlap; n1 <= n2. For arrays and columns."""
+    return (DEN * n1 >= NUM * n2) & (p1 * (NUM + DEN) <= n1 * (DEN - NUM)) & ((least(n1 - p1, n2 - p2) + least(p1, p2)) * (NUM + DEN) >= NUM * (n1 + n2))
+
+
+def _open_pairs(batches):
+    """From members of short lists, sorted by key: candidate pairs (a, b) across components."""
+    held = None
+
+    def flush(c):
+        key, sid, n, p, comp, sim = c
         starts = np.nonzero(np.append(True, key[1:] != key[:-1]))[0]
-        size = np.diff(np.append(starts, len(key)))
-        pairs = []
-        for m in np.unique(size[(size > 1) & (size <= small)]):
+        size, out = np.diff(np.append(starts, len(key))), []
+        for m in np.unique(size[size > 1]):
             rows = starts[size == m][:, None] + np.arange(m)[None, :]
-            step = max(1, 400_000 // int(m * m))
-            for lo in range(0, len(rows), step):
-                some = rows[lo : lo + step]
-                pairs.append(pairs_of(np.stack([sid[some], place[some]], axis=2)))
-        for s, m in zip(starts[size > small], size[size > small]):
-            a, at = sid[s : s + m], place[s : s + m]
-            out[1].append(np.column_stack([a, np.full(m, key[s]), at, np.full(m, a[0])]))  # the first set leads: the same one in most lists of a group
-            n, lead = at >> 32, at[0] >> 32
-            near = (DEN * np.minimum(n, lead) >= NUM * np.maximum(n, lead)) & (a != a[0])
-            pairs.append(np.column_stack([a[near], np.full(near.sum(), a[0])]))
-        if pairs:
-            out[0].append(np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0))
-
-    def rows(out):
-        p = np.concatenate(out[0]) if out[0] else np.zeros((0, 2), dtype=np.int64)
-        m = np.concatenate(out[1]) if out[1] else np.zeros((0, 4), dtype=np.int64)
-        kind = np.repeat(np.array([0, 1], dtype=np.int32), [len(p), len(m)])
-        pad = np.zeros(len(p), dtype=np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(kind), *(pa.array(np.concatenate(x)) for x in ((p[:, 0], m[:, 0]), (p[:, 1], m[:, 1]), (pad, m[:, 2]), (pad, m[:, 3])))], names=["kind", "a", "b", "place", "lead"])
+            i, j = np.triu_indices(m, 1)
+            for lo in range(0, len(rows), max(1, 400_000 // int(m * m))):
+                at = rows[lo : lo + max(1, 400_000 // int(m * m))]
+                x, y = at[:, i].ravel(), at[:, j].ravel()
+                x, y = np.where(n[x] <= n[y], x, y), np.where(n[x] <= n[y], y, x)
+                ok = may_link(n[x], p[x], n[y], p[y], np.minimum) & (comp[x] != comp[y]) & ~(np.abs(sim[x] - sim[y]) > (DEN - NUM) / DEN + 1e-9)
+                out.append(np.column_stack([sid[x[ok]], sid[y[ok]]]))
+        pairs = np.unique(np.sort(np.concatenate(out), axis=1), axis=0) if out else np.zeros((0, 2), dtype=np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    def run(batches):
-        held = [np.zeros(0, dtype=np.int64)] * 3
-        for b in batches:
-            cols = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, b.columns)]
-            last = np.searchsorted(cols[0], cols[0][-1]) if len(cols[0]) else 0  # the last list may go on
+    for b in batches:
+        cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+        if held is not None:
+            cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
+        if len(cols[0]):
+            last = np.nonzero(cols[0] != cols[0][-1])[0]
+            last = int(last[-1]) + 1 if len(last) else 0  # the last list may go on
             held = [c[last:] for c in cols]
             if last:
-                out = ([], [])
-                flush(*(c[:last] for c in cols), out)
-                if out[0] or out[1]:
-                    yield rows(out)
-        if len(held[0]):
-            out = ([], [])
-            flush(*held, out)
-            if out[0] or out[1]:
-                yield rows(out)
-
-    return run
+                yield flush([c[:last] for c in cols])
+    if held is not None:
+        yield flush(held)
 
 
 def _text_sets(batches):
-    words = Words(True)
     for b in batches:
-        sets = [shingle_set(words, t) for t in b.column(1).to_pylist()]
+        sets = list(_row_sets(b.column(1)))
         own = pa.array([len(s) > 0 and set_id(s) == sid for s, sid in zip(sets, b.column(0).to_pylist())], pa.bool_())  # not a namesake's text
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["sid", "items"]).filter(own)
 
 
-def _similarities(batches):
-    for b in batches:
-        both, every = [], []
-        for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-            x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-            n = len(np.intersect1d(x, y, assume_unique=True))
-            both.append(n)
-            every.append(len(x) + len(y) - n)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(both, pa.int64()), pa.array(every, pa.int64())], names=["a", "b", "both", "every"])
-
-
-def sets_of(ids: DataFrame, docs: DataFrame, first: DataFrame) -> DataFrame:
-    """sid, items: the whole sets of the wanted ids; `first` names one document for each set."""
-    texts = docs.select("doc_id", "text").join(first.join(ids, "sid", "left_semi"), "doc_id").select("sid", "text")
-    return stored(texts.mapInArrow(_text_sets, fields(("sid", "long"), ("items", "binary"))))
+def _compared(differences: bool):
+    """a, b, both, every for pairs with their sets; with differences, also what b lacks of a and has beyond it."""
+    def run(batches):
+        for b in batches:
+            both, every, minus, plus = [], [], [], []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                in_y = y[at] == x
+                n = int(in_y.sum())
+                both.append(n)
+                every.append(len(x) + len(y) - n)
+                if differences:
+                    minus.append(x[~in_y].tobytes())
+                    plus.append(np.setdiff1d(y, x, assume_unique=True).tobytes())
+            cols = [b.column(0), b.column(1), pa.array(both, pa.int64()), pa.array(every, pa.int64())]
+            more = [pa.array(minus, pa.binary()), pa.array(plus, pa.binary())] if differences else []
+            yield pa.RecordBatch.from_arrays(cols + more, names=["a", "b", "both", "every"] + ["minus", "plus"][: len(more)])
 
+    return run
 
-def ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
 
+def compared(pairs: DataFrame, docs: DataFrame, first: DataFrame, differences: bool = False) -> DataFrame:
+    """Pairs (a, b) of sets compared exactly, on the whole texts of the documents that stand for the sets."""
+    ids = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    wanted = first.join(ids, "sid", "left_semi").withColumnRenamed("doc_id", "_id")
+    texts = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["_id"])).select("sid", "text")
+    with small_batches(pairs.sparkSession, 64):
+        sets = stored(texts.mapInArrow(_text_sets, fields(("sid", "long"), ("items", "binary"))).dropDuplicates(["sid"]))
+        left, right = sets.select(F.col("sid").alias("a"), F.col("items").alias("x")), sets.select(F.col("sid").alias("b"), F.col("items").alias("y"))
+        more = [("minus", "binary"), ("plus", "binary")] if differences else []
+        out = stored(pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(_compared(differences), fields(("a", "long"), ("b", "long"), ("both", "long"), ("every", "long"), *more)))
+    forget(sets)
+    return out
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, both, every for candidate pairs of sets, from the sets themselves."""
-    left, right = sets.select(F.col("sid").alias("a"), F.col("items").alias("x")), sets.select(F.col("sid").alias("b"), F.col("items").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    with small_batches(pairs.sparkSession, 500):
-        return stored(both.mapInArrow(_similarities, fields(("a", "long"), ("b", "long"), ("both", "long"), ("every", "long"))))
 
+def shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many elements any two of these sets have in common: one matrix product."""
+    x, y = (np.concatenate(v) if v else np.zeros(0, dtype=np.uint64) for v in (left, right))
+    both = np.intersect1d(x, y)
+    out = np.zeros((len(left), len(right)), dtype=np.int64)
+    places = []
+    for flat, parts in ((x, left), (y, right)):
+        row = np.repeat(np.arange(len(parts)), [len(v) for v in parts])
+        at = np.minimum(np.searchsorted(both, flat), max(0, len(both) - 1))
+        fit = both[at] == flat if len(both) else np.zeros(0, dtype=bool)
+        places.append((row[fit], at[fit]) if len(both) else (row[:0], row[:0]))
+    for lo in range(0, len(both), 4096):
+        m = []
+        for (row, at), parts in zip(places, (left, right)):
+            dense = np.zeros((len(parts), min(4096, len(both) - lo)), dtype=np.float32)
+            use = (at >= lo) & (at < lo + 4096)
+            dense[row[use], at[use] - lo] = 1
+            m.append(dense)
+        out += np.rint(m[0] @ m[1].T).astype(np.int64)
+    return out
 
-def _room(na: np.ndarray, nb: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """Whether sets of these sizes with at most so many common shingles can be linked."""
-    return common >= -(-NUM * (na + nb) // (NUM + DEN))
 
+def _derived(batches):
+    """From two blocks of one leader's sets (or one twice): a link (a, b) for every two components that they join."""
+    def side(part):
+        longs = [np.array([r[k] for r in part], dtype=np.int64) for k in ("a", "n", "both", "component")]
+        sets = [[np.frombuffer(r[k], dtype=np.uint64) for r in part] for k in ("minus", "plus")]
+        return (*longs, *sets, np.array([r["sim"] for r in part]))
 
-def _near_signatures(batches):
     for b in batches:
-        both = [common_at_most(x, y) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist())]
-        fit = [bool(_room(m, n, k)) for m, n, k in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), both)]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(fit, pa.bool_()))
-
-
-def plausible(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Pairs whose signatures leave room for a link."""
-    left, right = sigs.select(F.col("sid").alias("a"), F.col("n").alias("m"), F.col("sig").alias("x")), sigs.select(F.col("sid").alias("b"), "n", F.col("sig").alias("y"))
-    return stored(pairs.join(left, "a").join(right, "b").select("a", "b", "m", "n", "x", "y").mapInArrow(_near_signatures, fields(("a", "long"), ("b", "long"))))
-
-
-def _across(best: bool):
-    """Pairs of two blocks of a list (or of one) that lie in different components and pass sizes, places, similarities to
-    the leader, and signatures; with best, only each set's likeliest partner."""
-    def run(batches):
-        for b in batches:
-            found = []
-            for same, left, right in zip(*(b.column(i).to_pylist() for i in range(3))):
-                sides = [[np.array([r[k] for r in part]) for k in ("a", "n", "p", "component")] + [np.array([np.nan if r["sim"] is None else r["sim"] for r in part]), [r["sig"] for r in part]] for part in ((left,) if same else (left, right))]
-                (a, n, p, c, sim, sig), (a2, n2, p2, c2, sim2, sig2) = sides[0], sides[-1]
-                ok = (c[:, None] != c2[None, :]) & (DEN * np.minimum(n[:, None], n2) >= NUM * np.maximum(n[:, None], n2)) & ~(np.abs(sim[:, None] - sim2) > (DEN - NUM) / DEN + 1e-9)
-                ok &= _room(n[:, None], n2[None, :], np.minimum(n[:, None] - p[:, None], n2 - p2) + np.minimum(p[:, None], p2))
-                if same:
-                    ok = np.triu(ok, 1)
-                i, j = np.nonzero(ok)
-                rough, rough2 = (np.array([counts(x).reshape(-1, SLOTS).sum(axis=0) for x in side]) for side in (sig, sig2))
-                kept = []
-                for lo in range(0, len(i), 4096):
-                    u, v = i[lo : lo + 4096], j[lo : lo + 4096]
-                    common = np.minimum(rough[u], rough2[v]).sum(axis=1)  # all folded to 256 slots
-                    fit = _room(n[u], n2[v], common)
-                    kept.append(np.column_stack([u[fit], v[fit], (1_000_000 * common[fit]) // (n[u[fit]] + n2[v[fit]])]))
-                if not kept:
-                    continue
-                u, v, like = np.concatenate(kept).T
-                if best:
-                    order = np.lexsort((v, -like, u))
-                    first = np.append(True, u[order][1:] != u[order][:-1])[: len(u)]
-                    u, v = u[order][first], v[order][first]
-                fit = np.array([bool(_room(n[x], n2[y], common_at_most(sig[x], sig2[y]))) for x, y in zip(u.tolist(), v.tolist())], dtype=bool)
-                found.append(np.sort(np.column_stack([a[u[fit]], a2[v[fit]]]), axis=1))
-            if found:
-                out = np.unique(np.concatenate(found), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
-
-    return run
-
-
-def across_components(members: DataFrame, best: bool, block: int = 256) -> DataFrame:
-    """Candidate pairs of long lists: members(list, a, n, p, component, sim, sig) in blocks, block against block."""
-    size = members.groupBy("list").agg(F.count(F.lit(1)).alias("size"))
-    rows = members.join(size, "list").withColumn("salt", F.pmod(F.xxhash64("a"), F.ceil(F.col("size") / block)).cast("int"))
-    blocks = stored(rows.groupBy("list", "salt").agg(F.collect_list(F.struct("a", "n", "p", "component", "sim", "sig")).alias("part")))
-    many = blocks.groupBy("list").agg(F.count(F.lit(1)).alias("blocks")).where("blocks > 1").select("list")
-    split = blocks.join(many, "list", "left_semi")
-    pairs = split.join(split.select("list", F.col("salt").alias("salt2"), F.col("part").alias("other")), "list").where("salt < salt2").select(F.lit(False).alias("same"), "part", "other")
-    alone = blocks.select(F.lit(True).alias("same"), "part", F.lit(None).cast(blocks.schema["part"].dataType).alias("other"))
-    out = stored(alone.union(pairs).mapInArrow(_across(best), fields(("a", "long"), ("b", "long"))).distinct())
-    forget(blocks)
+        out = []
+        for lead_n, same, left, right in zip(*(b.column(i).to_pylist() for i in range(4))):
+            a, n, have, c, minus, plus, sim = side(left)
+            a2, n2, have2, c2, minus2, plus2, sim2 = side(left if same else right)
+            need = NUM * (n[:, None] + n2[None, :])
+            ok = (c[:, None] != c2) & (DEN * np.minimum(n[:, None], n2) >= NUM * np.maximum(n[:, None], n2)) & (np.abs(sim[:, None] - sim2) <= (DEN - NUM) / DEN + 1e-9)
+            ok &= (np.minimum(have[:, None], have2) + np.minimum((n - have)[:, None], n2 - have2)) * (NUM + DEN) >= need
+            if same:
+                ok = np.triu(ok, 1)
+            rows, cols = np.nonzero(ok.any(axis=1))[0], np.nonzero(ok.any(axis=0))[0]
+            if not len(rows):
+                continue
+            pick = lambda v, at: [v[i] for i in at.tolist()]
+            overlap = have[rows, None] + have2[cols] - lead_n + shared(pick(minus, rows), pick(minus2, cols)) + shared(pick(plus, rows), pick(plus2, cols))
+            i, j = np.nonzero(ok[np.ix_(rows, cols)] & (overlap * (NUM + DEN) >= need[np.ix_(rows, cols)]))
+            if len(i):
+                i, j = rows[i], cols[j]
+                ends = np.sort(np.column_stack([c[i], c2[j]]), axis=1)
+                one = np.unique(ends, axis=0, return_index=True)[1]
+                out.append(np.column_stack([a[i[one]], a2[j[one]]]))
+        if out:
+            out = np.concatenate(out)
+            yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["u", "v"])
+
+
+BAND = math.log(DEN / NUM)
+
+
+def with_partners(members: DataFrame) -> DataFrame:
+    """Members of long lists that some other component's block of the same list may link with, by size and position."""
+    rows = members.withColumn("band", F.floor(F.log("n") / BAND).cast("int"))
+    blocks = rows.groupBy("key", "band").agg(F.min("p").alias("p0"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    near = blocks.withColumn("band", F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])))
+    # As the smaller set, its own position must allow the link; as the larger one, the block's smallest position must.
+    fits = lambda n, p: p * (NUM + DEN) <= n * (DEN - NUM)
+    ok = ((F.col("lo") != F.col("component")) | (F.col("hi") != F.col("component"))) & (fits(F.col("n"), F.col("p")) & (F.col("n1") >= F.col("n")) | fits(F.col("n1"), F.col("p0")) & (F.col("n0") <= F.col("n")))
+    return rows.join(near, ["key", "band"]).where(ok).select("lead", "a").distinct()
+
+
+def derived_links(wanted: DataFrame, comps: DataFrame, docs: DataFrame, first: DataFrame, block_bytes: int) -> DataFrame:
+    """Links (u, v) between sets of one leader (wanted: lead, a) in different components, from their answers to the leader."""
+    # The leader compares with itself too: it lacks nothing.
+    known = compared(wanted.select(F.col("lead").alias("a"), F.col("a").alias("b")), docs, first, differences=True)
+    rows = known.select(F.col("a").alias("lead"), F.col("b").alias("a"), "both", "every", "minus", "plus")
+    rows = rows.withColumn("n", F.col("both") + F.expr("length(plus) div 8")).withColumn("lead_n", F.col("both") + F.expr("length(minus) div 8"))
+    rows = rows.join(comps.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a")).withColumn("sim", F.col("both") / F.col("every"))
+    rows = rows.withColumn("band", F.floor(F.log("n") / BAND).cast("int"))
+    size = rows.groupBy("lead", "band").agg(F.ceil(F.sum(F.greatest(F.length("minus") + F.length("plus"), F.lit(1024))) / block_bytes).cast("int").alias("blocks"))
+    size = stored(size)
+    blocks = rows.join(size, ["lead", "band"]).withColumn("salt", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
+    blocks = stored(blocks.groupBy("lead", "lead_n", "band", "salt").agg(F.collect_list(F.struct("a", "n", "both", "component", "sim", "minus", "plus")).alias("part")))
+    upto = F.sequence(F.lit(0), F.col("blocks") - 1)
+    own = size.withColumn("salt", F.explode(upto)).withColumn("salt2", F.explode(F.sequence(F.col("salt"), F.col("blocks") - 1))).select("lead", "band", "salt", F.col("band").alias("band2"), "salt2")
+    other = size.select("lead", (F.col("band") - 1).alias("band"), F.col("band").alias("band2"), F.explode(upto).alias("salt2"))
+    next_ = size.withColumn("salt", F.explode(upto)).join(other, ["lead", "band"]).select("lead", "band", "salt", "band2", "salt2")
+    pairs = own.union(next_)
+    right = blocks.select("lead", F.col("band").alias("band2"), F.col("salt").alias("salt2"), F.col("part").alias("other"))
+    same = (F.col("band") == F.col("band2")) & (F.col("salt") == F.col("salt2"))
+    both = pairs.join(blocks, ["lead", "band", "salt"]).join(right, ["lead", "band2", "salt2"]).select("lead_n", same.alias("same"), "part", F.when(~same, F.col("other")).alias("other"))
+    with small_batches(docs.sparkSession, 4):
+        out = stored(both.mapInArrow(_derived, fields(("u", "long"), ("v", "long"))))
+    forget(known, size, blocks)
     return out
 
 
-def join(docs: DataFrame, small: int = SMALL) -> DataFrame:
+def join(docs: DataFrame, small: int = SMALL, block_bytes: int = 1 << 20) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id."""
-    scan = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sets, fields(("doc_id", "long"), ("n", "long"), ("sid", "long"), ("sig", "binary"))))
-    often = {r["doc_id"]: r["c"] for r in scan.where("n is null").groupBy("doc_id").agg(F.sum("sid").alias("c")).collect()}  # at most 2 ** COUNT_BITS slots
+    spark = docs.sparkSession
+    with small_batches(spark, 1024):
+        scan = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan, fields(("doc_id", "long"), ("n", "long"), ("sid", "long"))))
+        often = spark.sparkContext.broadcast(often_slots(scan))
+        posts = stored(docs.select("text").mapInArrow(_postings(often), fields(("key", "long"), ("sid", "long"), ("n", "int"), ("p", "int"))))
     sets = scan.where("n is not null").select("doc_id", "n", "sid")
-    first = sets.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
-    posts = docs.select("text").mapInArrow(_postings(often), fields(("key", "long"), ("sid", "long"), ("place", "long")))
-    lists = stored(posts.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(_lists(small), fields(("kind", "int"), ("a", "long"), ("b", "long"), ("place", "long"), ("lead", "long"))))
-    pairs = stored(lists.where("kind = 0").select("a", "b").distinct())
-    wanted = pairs.select("a").union(pairs.select("b")).union(lists.where("kind = 1").select("a")).distinct().withColumnRenamed("a", "sid")
-    owner = first.join(wanted, "sid", "left_semi")
-    sigs = stored(scan.where("sig is not null").join(owner, ["sid", "doc_id"], "left_semi").select("sid", "n", "sig").dropDuplicates(["sid"]))
-    likely = plausible(pairs, sigs)
-    items = sets_of(ends(likely), docs, first)
-    done = verified(likely, items)
-    forget(items)
+    first = stored(sets.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id")))
+    # Lists of several sets: few of all keys. What is counted here is combined before the shuffle.
+    keys = posts.groupBy("key").agg(F.min("sid").alias("lead"), F.max("sid").alias("_last")).where("lead < _last").select("key", "lead")
+    lists = stored(posts.join(keys, "key").dropDuplicates(["key", "sid"]).select("key", "lead", F.col("sid").alias("a"), "n", "p"))
+    forget(posts)
+    leads = lists.where("a = lead").select("key", F.col("n").alias("_n"), F.col("p").alias("_p"))
+    small_first = F.col("n") <= F.col("_n")
+    pick = lambda x, y: F.when(small_first, F.col(x)).otherwise(F.col(y))
+    with_lead = lists.where("a <> lead").join(leads, "key").where(may_link(pick("n", "_n"), pick("p", "_p"), pick("_n", "n"), pick("_p", "p"), F.least))
+    done = compared(with_lead.select(F.col("lead").alias("a"), F.col("a").alias("b")).distinct(), docs, first)
     linked = F.col("both") * DEN >= F.col("every") * NUM
-    edges = done.where(linked).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    comps = stored(components(edges))
-    members = lists.where("kind = 1").select("a", F.col("b").alias("list"), F.shiftright("place", 32).alias("n"), F.col("place").bitwiseAND(0xFFFFFFFF).alias("p"), "lead")
-    known = done.select(F.least("a", "b").alias("lead"), F.greatest("a", "b").alias("a"), (F.col("both") / F.col("every")).alias("sim"))  # the first set leads
-    members = members.join(known, ["lead", "a"], "left").withColumn("sim", F.when(F.col("a") == F.col("lead"), 1.0).otherwise(F.col("sim")))
-    members = stored(members.join(sigs.select(F.col("sid").alias("a"), "sig"), "a"))
-    # Likeliest partners first, which joins the components of one group, until nothing joins; then every pair that is left.
-    best, items = True, None
-    while True:
-        now = members.join(comps.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
-        open_lists = now.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("list")
-        more = stored(across_components(now.join(open_lists, "list"), best).join(done.select("a", "b"), ["a", "b"], "left_anti"))
-        joined = 0
-        if not more.isEmpty():
-            if items is None:  # the sets of all lists that are still open, once for all rounds
-                items = sets_of(now.join(open_lists, "list", "left_semi").select(F.col("a").alias("sid")).distinct(), docs, first)
-            again = verified(more, items)
-            done = stored(done.union(again))
-            fresh = again.where(linked).select(F.col("a").alias("u"), F.col("b").alias("v"))
-            joined = fresh.count()
-            if joined:
-                comps = stored(components(comps.select(F.col("node").alias("u"), F.col("component").alias("v")).union(fresh)))
-        if not best:
-            break
-        best = joined > 0
-    forget(members, *([items] if items is not None else []))
-    forget(lists, pairs)
-    by_set = sets.join(comps.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("component", "sid"))
-    smallest = by_set.where("sid is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return by_set.join(smallest, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    comps = stored(components(done.where(linked).select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    # Pairs across components, in lists that hold several.
+    now = lists.join(comps.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
+    open_ = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("key", "size")
+    now = now.join(open_, "key")
+    known = done.select(F.col("a").alias("lead"), F.col("b").alias("a"), (F.col("both") / F.col("every")).alias("sim"))
+    now = stored(now.join(known, ["lead", "a"], "left").withColumn("sim", F.when(F.col("a") == F.col("lead"), 1.0).otherwise(F.coalesce("sim", F.lit(float("nan"))))))
+    short = now.where(F.col("size") <= small).select("key", "a", "n", "p", "component", "sim").repartition("key").sortWithinPartitions("key", "a")
+    pairs = short.mapInArrow(_open_pairs, fields(("a", "long"), ("b", "long"))).distinct()
+    pairs = stored(pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"))
+    more = compared(pairs, docs, first)
+    links = more.where(linked).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    wanted = stored(with_partners(now.where(F.col("size") > small)))
+    derived = None
+    if not wanted.isEmpty():
+        derived = derived_links(wanted, comps, docs, first, block_bytes)
+        links = links.union(derived)
+    if not links.isEmpty():
+        old, comps = comps, stored(components(comps.select(F.col("node").alias("u"), F.col("component").alias("v")).union(links)))
+        forget(old)
+    forget(lists, done, now, pairs, more, wanted, *([derived] if derived is not None else []))
+    # Ids of sets to the smallest document of their component, then one join with the documents.
+    roots = first.join(comps.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "doc_id", F.coalesce("component", "sid").alias("root"))
+    least = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    by_set = roots.join(least, "root").select("sid", "component_id")
+    full = sets.where("sid is not null").join(by_set, "sid").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return full.union(sets.where("sid is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
