@@ -45,6 +45,7 @@ def forget(*frames: DataFrame) -> None:
         if path:
             jvm = df.sparkSession._jvm
             at = jvm.org.apache.hadoop.fs.Path(path)
+            df._stored_at = None
             at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 

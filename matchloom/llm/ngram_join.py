@@ -13,7 +13,8 @@ skipped by their smallest position, unread.
 
 Answer-level skipping: every set is first compared with the leaders of its lists alone. Links through leaders make
 components, and only pairs across components go on. In a list of up to `small` sets these pairs are verified one by one,
-unless the two similarities to the leader, x and y, rule them out (|x - y| over 0.2; Jaccard distance is a metric). In
+unless the two similarities to the leader, x and y, rule them out (|x - y| over 0.2; Jaccard distance is a metric), or
+their signatures do, bitmaps that bound the overlap from above. In
 the longer lists of a leader X a set's answers are derived from X's: with the shingles that A lacks and those it has
 beyond X, |A and B| = |X| - |X\\A| - |X\\B| + |(X\\A) and (X\\B)| + |(A\\X) and (B\\X)|. So blocks of such differences
 meet, never whole sets, and one matrix product gives all overlaps of two blocks. A task hands on one link for every two
@@ -38,7 +39,7 @@ from .words import grams, sequence, word_hashes
 
 K = 5
 SMALL = 32
-COUNT_BITS, OFTEN = 22, 4
+COUNT_BITS = 22
 NUM, DEN = 80, 100
 STEP = 128  # rows hashed at a time
 
@@ -74,14 +75,19 @@ def _scan(batches):
                 seen.add(sid[-1])
                 np.add.at(count, (s >> np.uint64(64 - COUNT_BITS)).astype(np.int64), 1)
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.int64())], names=["doc_id", "n", "sid"])
-    often = np.nonzero(count >= OFTEN + 8 * count.mean())[0]
+    often = np.nonzero(count > above(count.mean()))[0]
     yield pa.RecordBatch.from_arrays([pa.array(often, pa.int64()), pa.nulls(len(often), pa.int64()), pa.array(count[often], pa.int64())], names=["doc_id", "n", "sid"])
 
 
+def above(mean: float) -> float:
+    """More than chance puts into a slot."""
+    return 3 + mean + 5 * math.sqrt(mean)
+
+
 def often_slots(scan: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Slots that hold over eight times the mean, and their counts; at most an eighth of all slots can."""
+    """Slots that hold more than chance explains, and their counts: at most 2 ** COUNT_BITS numbers each, whatever the input."""
     total = scan.where("n is not null").agg(F.sum("n")).first()[0] or 0
-    got = scan.where("n is null").groupBy("doc_id").agg(F.sum("sid").alias("c")).where(F.col("c") > F.lit(8.0 * total / (1 << COUNT_BITS))).toPandas()
+    got = scan.where("n is null").groupBy("doc_id").agg(F.sum("sid").alias("c")).where(F.col("c") > F.lit(above(total / (1 << COUNT_BITS)))).toPandas()
     slots, counts = got["doc_id"].to_numpy(np.int64), got["c"].to_numpy(np.int64)
     order = np.argsort(slots)
     return slots[order], counts[order]
@@ -161,11 +167,51 @@ def _open_pairs(batches):
         yield flush(held)
 
 
-def _text_sets(batches):
+def signature(s: np.ndarray) -> bytes:
+    """A bitmap of the set's hashes by their low bits, four to eight bits for each element."""
+    m = 1 << max(8, int(4 * len(s) - 1).bit_length())
+    bits = np.zeros(m, dtype=bool)
+    bits[(s & np.uint64(m - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def common_at_most(n: int, m: int, x: bytes, y: bytes) -> int:
+    """A bound on the overlap of sets of n and m elements: a slot that one lacks is an element that it lacks."""
+    x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+    least = min(len(x), len(y))
+    x, y = (np.bitwise_or.reduce(v.reshape(-1, least), axis=0) for v in (x, y))
+    return min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
+
+
+def _near_signatures(batches):
     for b in batches:
-        sets = list(_row_sets(b.column(1)))
-        own = pa.array([len(s) > 0 and set_id(s) == sid for s, sid in zip(sets, b.column(0).to_pylist())], pa.bool_())  # not a namesake's text
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["sid", "items"]).filter(own)
+        fit = [common_at_most(n, m, x, y) * (NUM + DEN) >= NUM * (n + m) for n, m, x, y in zip(*(b.column(i).to_pylist() for i in range(2, 6)))]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(fit, pa.bool_()))
+
+
+def plausible(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Pairs whose signatures leave room for a link."""
+    left, right = (sigs.select(F.col("sid").alias(i), F.col("n").alias(f"n_{i}"), F.col("items").alias(f"sig_{i}")) for i in ("a", "b"))
+    return stored(pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(_near_signatures, fields(("a", "long"), ("b", "long"))))
+
+
+def _text_sets(whole: bool):
+    def run(batches):
+        for b in batches:
+            sets = list(_row_sets(b.column(1)))
+            own = pa.array([len(s) > 0 and set_id(s) == sid for s, sid in zip(sets, b.column(0).to_pylist())], pa.bool_())  # not a namesake's text
+            out = [s.tobytes() if whole else signature(s) if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(out, pa.binary())], names=["sid", "n", "items"]).filter(own)
+
+    return run
+
+
+def sets_of(ids: DataFrame, docs: DataFrame, first: DataFrame, whole: bool = True) -> DataFrame:
+    """sid, n, items (or signature) of the wanted sets, from the whole texts of the documents that stand for them."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    wanted = first.join(ids, "sid", "left_semi").withColumnRenamed("doc_id", "_id")
+    texts = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["_id"])).select("sid", "text")
+    return stored(texts.mapInArrow(_text_sets(whole), fields(("sid", "long"), ("n", "long"), ("items", "binary"))).dropDuplicates(["sid"]))
 
 
 def _compared(differences: bool):
@@ -191,13 +237,10 @@ def _compared(differences: bool):
 
 
 def compared(pairs: DataFrame, docs: DataFrame, first: DataFrame, differences: bool = False) -> DataFrame:
-    """Pairs (a, b) of sets compared exactly, on the whole texts of the documents that stand for the sets."""
+    """Pairs (a, b) of sets compared exactly."""
     ids = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    wanted = first.join(ids, "sid", "left_semi").withColumnRenamed("doc_id", "_id")
-    texts = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["_id"])).select("sid", "text")
     with small_batches(pairs.sparkSession, 64):
-        sets = stored(texts.mapInArrow(_text_sets, fields(("sid", "long"), ("items", "binary"))).dropDuplicates(["sid"]))
+        sets = sets_of(ids, docs, first)
         left, right = sets.select(F.col("sid").alias("a"), F.col("items").alias("x")), sets.select(F.col("sid").alias("b"), F.col("items").alias("y"))
         more = [("minus", "binary"), ("plus", "binary")] if differences else []
         out = stored(pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(_compared(differences), fields(("a", "long"), ("b", "long"), ("both", "long"), ("every", "long"), *more)))
@@ -317,7 +360,9 @@ def join(docs: DataFrame, small: int = SMALL, block_bytes: int = 1 << 20) -> Dat
     small_first = F.col("n") <= F.col("_n")
     pick = lambda x, y: F.when(small_first, F.col(x)).otherwise(F.col(y))
     with_lead = lists.where("a <> lead").join(leads, "key").where(may_link(pick("n", "_n"), pick("p", "_p"), pick("_n", "n"), pick("_p", "p"), F.least))
-    done = compared(with_lead.select(F.col("lead").alias("a"), F.col("a").alias("b")).distinct(), docs, first)
+    with small_batches(spark, 64):
+        sigs = sets_of(lists.select(F.col("a").alias("sid")).distinct(), docs, first, whole=False)
+    done = compared(plausible(with_lead.select(F.col("lead").alias("a"), F.col("a").alias("b")).distinct(), sigs), docs, first)
     linked = F.col("both") * DEN >= F.col("every") * NUM
     comps = stored(components(done.where(linked).select(F.col("a").alias("u"), F.col("b").alias("v"))))
     # Pairs across components, in lists that hold several.
@@ -328,7 +373,7 @@ def join(docs: DataFrame, small: int = SMALL, block_bytes: int = 1 << 20) -> Dat
     now = stored(now.join(known, ["lead", "a"], "left").withColumn("sim", F.when(F.col("a") == F.col("lead"), 1.0).otherwise(F.coalesce("sim", F.lit(float("nan"))))))
     short = now.where(F.col("size") <= small).select("key", "a", "n", "p", "component", "sim").repartition("key").sortWithinPartitions("key", "a")
     pairs = short.mapInArrow(_open_pairs, fields(("a", "long"), ("b", "long"))).distinct()
-    pairs = stored(pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"))
+    pairs = plausible(pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"), sigs)
     more = compared(pairs, docs, first)
     links = more.where(linked).select(F.col("a").alias("u"), F.col("b").alias("v"))
     wanted = stored(with_partners(now.where(F.col("size") > small)))
@@ -339,7 +384,7 @@ def join(docs: DataFrame, small: int = SMALL, block_bytes: int = 1 << 20) -> Dat
     if not links.isEmpty():
         old, comps = comps, stored(components(comps.select(F.col("node").alias("u"), F.col("component").alias("v")).union(links)))
         forget(old)
-    forget(lists, done, now, pairs, more, wanted, *([derived] if derived is not None else []))
+    forget(lists, sigs, done, now, pairs, more, wanted, *([derived] if derived is not None else []))
     # Ids of sets to the smallest document of their component, then one join with the documents.
     roots = first.join(comps.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "doc_id", F.coalesce("component", "sid").alias("root"))
     least = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
