@@ -6,6 +6,7 @@ import contextlib
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -113,6 +114,24 @@ def components(edges: DataFrame) -> DataFrame:
     return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(cur.select("v", "v").distinct())
 
 
+def joined_roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For links (u, v) inside a task: nodes and the smallest node that each is joined to, nodes that are that themselves left out."""
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, z = at[: len(u)], at[len(u) :]
+    root = np.arange(len(ids))
+    while True:
+        new = root.copy()
+        least = np.minimum(root[a], root[z])
+        np.minimum.at(new, a, least)
+        np.minimum.at(new, z, least)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    moved = np.nonzero(root != np.arange(len(ids)))[0]
+    return ids[moved], ids[root[moved]]
+
+
 def with_components(docs: DataFrame, comps: DataFrame, id_col: str) -> DataFrame:
     """docs with component_id: the component of its id, or the id itself where it has no link."""
     return docs.join(comps.withColumnRenamed("node", id_col), id_col, "left").withColumn("component_id", F.coalesce("component", id_col)).drop("component")

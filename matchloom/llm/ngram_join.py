@@ -17,8 +17,8 @@ unless the two similarities to the leader, x and y, rule them out (|x - y| over
 their signatures do, bitmaps that bound the overlap from above. In
 the longer lists of a leader X a set's answers are derived from X's: with the shingles that A lacks and those it has
 beyond X, |A and B| = |X| - |X\\A| - |X\\B| + |(X\\A) and (X\\B)| + |(A\\X) and (B\\X)|. So blocks of such differences
-meet, never whole sets, and one matrix product gives all overlaps of two blocks. A task hands on one link for every two
-components that it joins.
+meet, never whole sets, and one matrix product gives all overlaps of two blocks. A task hands on a spanning forest
+of the components that it joins.
 
 Null or wordless texts: empty set, no link. Fewer words than five: the whole sequence is the one shingle. Very long texts
 are taken whole; a batch of sets is bounded by rows, a block by bytes. Repeated rows and ties are equal sets, and repeated
@@ -34,11 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, fields, forget, small_batches, stored
+from .common import components, fields, forget, joined_roots, small_batches, stored
 from .words import grams, sequence, word_hashes
 
 K = 5
-SMALL = 32
+SMALL = 512
 COUNT_BITS = 22
 NUM, DEN = 80, 100
 STEP = 128  # rows hashed at a time
@@ -271,17 +271,17 @@ def shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 
 def _derived(batches):
-    """From two blocks of one leader's sets (or one twice): a link (a, b) for every two components that they join."""
+    """From two blocks of one leader's sets (or one twice): a link for every component that they join to another."""
     def side(part):
-        longs = [np.array([r[k] for r in part], dtype=np.int64) for k in ("a", "n", "both", "component")]
+        longs = [np.array([r[k] for r in part], dtype=np.int64) for k in ("n", "both", "component")]
         sets = [[np.frombuffer(r[k], dtype=np.uint64) for r in part] for k in ("minus", "plus")]
         return (*longs, *sets, np.array([r["sim"] for r in part]))
 
     for b in batches:
         out = []
         for lead_n, same, left, right in zip(*(b.column(i).to_pylist() for i in range(4))):
-            a, n, have, c, minus, plus, sim = side(left)
-            a2, n2, have2, c2, minus2, plus2, sim2 = side(left if same else right)
+            n, have, c, minus, plus, sim = side(left)
+            n2, have2, c2, minus2, plus2, sim2 = side(left if same else right)
             need = NUM * (n[:, None] + n2[None, :])
             ok = (c[:, None] != c2) & (DEN * np.minimum(n[:, None], n2) >= NUM * np.maximum(n[:, None], n2)) & (np.abs(sim[:, None] - sim2) <= (DEN - NUM) / DEN + 1e-9)
             ok &= (np.minimum(have[:, None], have2) + np.minimum((n - have)[:, None], n2 - have2)) * (NUM + DEN) >= need
@@ -294,10 +294,7 @@ def _derived(batches):
             overlap = have[rows, None] + have2[cols] - lead_n + shared(pick(minus, rows), pick(minus2, cols)) + shared(pick(plus, rows), pick(plus2, cols))
             i, j = np.nonzero(ok[np.ix_(rows, cols)] & (overlap * (NUM + DEN) >= need[np.ix_(rows, cols)]))
             if len(i):
-                i, j = rows[i], cols[j]
-                ends = np.sort(np.column_stack([c[i], c2[j]]), axis=1)
-                one = np.unique(ends, axis=0, return_index=True)[1]
-                out.append(np.column_stack([a[i[one]], a2[j[one]]]))
+                out.append(np.column_stack(joined_roots(c[rows[i]], c2[cols[j]])))  # a component's name is one of its sets
         if out:
             out = np.concatenate(out)
             yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["u", "v"])
@@ -328,7 +325,7 @@ def derived_links(wanted: DataFrame, comps: DataFrame, docs: DataFrame, first: D
     size = rows.groupBy("lead", "band").agg(F.ceil(F.sum(F.greatest(F.length("minus") + F.length("plus"), F.lit(1024))) / block_bytes).cast("int").alias("blocks"))
     size = stored(size)
     blocks = rows.join(size, ["lead", "band"]).withColumn("salt", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
-    blocks = stored(blocks.groupBy("lead", "lead_n", "band", "salt").agg(F.collect_list(F.struct("a", "n", "both", "component", "sim", "minus", "plus")).alias("part")))
+    blocks = stored(blocks.groupBy("lead", "lead_n", "band", "salt").agg(F.collect_list(F.struct("n", "both", "component", "sim", "minus", "plus")).alias("part")))
     upto = F.sequence(F.lit(0), F.col("blocks") - 1)
     own = size.withColumn("salt", F.explode(upto)).withColumn("salt2", F.explode(F.sequence(F.col("salt"), F.col("blocks") - 1))).select("lead", "band", "salt", F.col("band").alias("band2"), "salt2")
     other = size.select("lead", (F.col("band") - 1).alias("band"), F.col("band").alias("band2"), F.explode(upto).alias("salt2"))
