@@ -21,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder named by spark.checkpoint.dir; where that is unset, a temporary one in local mode only, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -39,6 +41,11 @@ def stored(df: DataFrame) -> DataFrame:
     return out
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """df marked for broadcast if it has at most so many (short) rows, else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def forget(*frames: DataFrame) -> None:
     """Delete what stored() wrote for frames that nothing reads any more."""
     for df in frames:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, fields, forget, joined_roots, small_batches, stored
+from .common import broadcast_if_small, components, fields, forget, joined_roots, small_batches, stored
 from .words import grams, sequence, word_hashes
 
 K = 5
@@ -62,21 +62,23 @@ def set_id(s: np.ndarray) -> int:
 
 
 def _scan(batches):
-    """doc_id, n, sid for each row; and, with a null n, a count for each slot of shingles that is often met in this task."""
+    """doc_id, n, sid for each row, sig for each set new to this task; and, with a null n, a count for each slot of shingles that is often met in it."""
     count, seen = np.zeros(1 << COUNT_BITS, dtype=np.int32), set()
     for b in batches:
-        n, sid = [], []
+        n, sid, sig = [], [], []
         for s in _row_sets(b.column(1)):
             n.append(len(s))
             sid.append(set_id(s) if len(s) else None)
+            sig.append(None)
             if len(s) and sid[-1] not in seen:
                 if len(seen) > 1_000_000:
                     seen.clear()
                 seen.add(sid[-1])
+                sig[-1] = signature(s)
                 np.add.at(count, (s >> np.uint64(64 - COUNT_BITS)).astype(np.int64), 1)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.int64())], names=["doc_id", "n", "sid"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "n", "sid", "sig"])
     often = np.nonzero(count > above(count.mean()))[0]
-    yield pa.RecordBatch.from_arrays([pa.array(often, pa.int64()), pa.nulls(len(often), pa.int64()), pa.array(count[often], pa.int64())], names=["doc_id", "n", "sid"])
+    yield pa.RecordBatch.from_arrays([pa.array(often, pa.int64()), pa.nulls(len(often), pa.int64()), pa.array(count[often], pa.int64()), pa.nulls(len(often), pa.binary())], names=["doc_id", "n", "sid", "sig"])
 
 
 def above(mean: float) -> float:
@@ -191,27 +193,26 @@ def _near_signatures(batches):
 
 def plausible(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     """Pairs whose signatures leave room for a link."""
-    left, right = (sigs.select(F.col("sid").alias(i), F.col("n").alias(f"n_{i}"), F.col("items").alias(f"sig_{i}")) for i in ("a", "b"))
+    left, right = (sigs.select(F.col("sid").alias(i), F.col("n").alias(f"n_{i}"), F.col("sig").alias(f"sig_{i}")) for i in ("a", "b"))
     return stored(pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(_near_signatures, fields(("a", "long"), ("b", "long"))))
 
 
-def _text_sets(whole: bool):
-    def run(batches):
-        for b in batches:
-            sets = list(_row_sets(b.column(1)))
-            own = pa.array([len(s) > 0 and set_id(s) == sid for s, sid in zip(sets, b.column(0).to_pylist())], pa.bool_())  # not a namesake's text
-            out = [s.tobytes() if whole else signature(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(out, pa.binary())], names=["sid", "n", "items"]).filter(own)
-
-    return run
+def _text_sets(batches):
+    for b in batches:
+        sets = list(_row_sets(b.column(1)))
+        own = pa.array([len(s) > 0 and set_id(s) == sid for s, sid in zip(sets, b.column(0).to_pylist())], pa.bool_())  # not a namesake's text
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["sid", "items"]).filter(own)
 
 
-def sets_of(ids: DataFrame, docs: DataFrame, first: DataFrame, whole: bool = True) -> DataFrame:
-    """sid, n, items (or signature) of the wanted sets, from the whole texts of the documents that stand for them."""
+def sets_of(ids: DataFrame, docs: DataFrame, first: DataFrame) -> DataFrame:
+    """sid, items of the wanted sets, from the whole texts of the documents that stand for them."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    wanted = first.join(ids, "sid", "left_semi").withColumnRenamed("doc_id", "_id")
-    texts = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["_id"])).select("sid", "text")
-    return stored(texts.mapInArrow(_text_sets(whole), fields(("sid", "long"), ("n", "long"), ("items", "binary"))).dropDuplicates(["sid"]))
+    wanted = stored(first.join(ids, "sid", "left_semi").withColumnRenamed("doc_id", "_id"))
+    side = broadcast_if_small(wanted)
+    texts = texts.join(side, texts["doc_id"].eqNullSafe(side["_id"])).select("sid", "text")
+    out = stored(texts.mapInArrow(_text_sets, fields(("sid", "long"), ("items", "binary"))).dropDuplicates(["sid"]))
+    forget(wanted)
+    return out
 
 
 def _compared(differences: bool):
@@ -344,7 +345,7 @@ def join(docs: DataFrame, small: int = SMALL, block_bytes: int = 1 << 20) -> Dat
     """Per document: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
     with small_batches(spark, 1024):
-        scan = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan, fields(("doc_id", "long"), ("n", "long"), ("sid", "long"))))
+        scan = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan, fields(("doc_id", "long"), ("n", "long"), ("sid", "long"), ("sig", "binary"))))
         often = spark.sparkContext.broadcast(often_slots(scan))
         posts = stored(docs.select("text").mapInArrow(_postings(often), fields(("key", "long"), ("sid", "long"), ("n", "int"), ("p", "int"))))
     sets = scan.where("n is not null").select("doc_id", "n", "sid")
@@ -357,8 +358,8 @@ def join(docs: DataFrame, small: int = SMALL, block_bytes: int = 1 << 20) -> Dat
     small_first = F.col("n") <= F.col("_n")
     pick = lambda x, y: F.when(small_first, F.col(x)).otherwise(F.col(y))
     with_lead = lists.where("a <> lead").join(leads, "key").where(may_link(pick("n", "_n"), pick("p", "_p"), pick("_n", "n"), pick("_p", "p"), F.least))
-    with small_batches(spark, 64):
-        sigs = sets_of(lists.select(F.col("a").alias("sid")).distinct(), docs, first, whole=False)
+    in_lists = lists.select(F.col("a").alias("sid")).distinct()
+    sigs = stored(scan.where("sig is not null").select("sid", "n", "sig").join(in_lists, "sid", "left_semi").dropDuplicates(["sid"]))
     done = compared(plausible(with_lead.select(F.col("lead").alias("a"), F.col("a").alias("b")).distinct(), sigs), docs, first)
     linked = F.col("both") * DEN >= F.col("every") * NUM
     comps = stored(components(done.where(linked).select(F.col("a").alias("u"), F.col("b").alias("v"))))

@@ -1,7 +1,7 @@
 """Substring dedup with a compressed FM-index per shard.
 
 A window is 20 consecutive words. Documents with equal word sequences are settled first: all but the one with the
-smallest id are covered whole. For the rest, windows are routed by content: each window belongs to the five-word run
+smallest id are covered whole. For the rest, windows are routed by content: each window belongs to the eight-word run
 with the smallest hash in it, so equal windows meet under one key, and neighbouring windows with one key form a segment.
 Keys that occur once are dropped. Segments go to shards of about `shard_words` words by key; under a key that occurs
 very often each window is a segment of its own, routed by its own hash, and a task sends on only the first of equal
@@ -26,73 +26,99 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fields, forget, stored
-from .words import Words, grams, sequence
+from .common import broadcast_if_small, fields, forget, small_batches, stored
+from .words import grams, split, word_hashes
 
-WINDOW, K, DEPTH = 20, 5, 32
+WINDOW, K, DEPTH = 20, 8, 32
+STEP = 128  # rows hashed at a time
+BLOCK = 16  # suffixes
 FIRST = -(1 << 63)
 
 
-def segments_of(h: np.ndarray):
-    """(key, first window, one past the last window) of runs of windows with one smallest five-word run in one place."""
+def sliding_min(g: np.ndarray, width: int) -> np.ndarray:
+    """Place of the first smallest of every `width` numbers in a row, by doubling."""
+    at, have = np.arange(len(g)), 1
+    while have < width:
+        step = min(have, width - have)
+        left, right = at[: len(at) - step], at[step:]
+        at = np.where(g[left] <= g[right], left, right)
+        have += step
+    return at
+
+
+def segments_of(h: np.ndarray, begin: np.ndarray):
+    """For the rows of one piece: (row, key, first window, one past the last) of runs of windows with one smallest run of K words in one place."""
+    n = np.diff(begin) - WINDOW + 1
+    n[n < 0] = 0
+    row = np.repeat(np.arange(len(n)), n)
+    if not len(row):
+        return row, np.zeros(0, dtype=np.uint64), row, row
+    place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
     g = grams(h, K)
-    width = WINDOW - K + 1
-    n = len(h) - WINDOW + 1
-    view = np.lib.stride_tricks.sliding_window_view(g, width)
-    at = view.argmin(axis=1) + np.arange(n)
-    cut = np.nonzero(np.append(True, at[1:] != at[:-1]))[0]
-    return g[at[cut]], cut, np.append(cut[1:], n)
+    least = sliding_min(g, WINDOW - K + 1)[begin[row] + place]
+    cut = np.nonzero(np.append(True, (least[1:] != least[:-1]) | (row[1:] != row[:-1])))[0]
+    last = np.append(cut[1:], len(row)) - 1
+    return row[cut], g[least[cut]], place[cut], place[last] + 1
+
+
+def name_of(h: np.ndarray) -> tuple[int, int]:
+    """A 128-bit name of a word sequence, as two signed numbers."""
+    d = xxhash.xxh3_128_digest(h.tobytes(), seed=len(h))
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+
+
+def _pieces(column):
+    """(first row, hashes, begins) of the column's words, STEP rows at a time."""
+    for lo in range(0, len(column), STEP):
+        yield lo, *word_hashes(column.slice(lo, STEP), False)
 
 
 def _scan(batches):
     """Per document: hash of the raw text as given, words, a 128-bit name of the word sequence, and the hash of the whole text as joined words."""
-    words = Words(False)
     for b in batches:
-        n, x, y, sha = [], [], [], []
-        for text in b.column(1).to_pylist():
-            w = words.split(text)
-            whole = b" ".join(w)
-            d = hashlib.sha256(whole)
-            sha.append(d.hexdigest())
-            n.append(len(w))
-            a, z = np.frombuffer(d.digest()[:16], dtype=np.int64).tolist()
-            x.append(a)
-            y.append(z)
+        n, x, y = [], [], []
+        for _, h, begin in _pieces(b.column(1)):
+            for a, z in zip(begin[:-1].tolist(), begin[1:].tolist()):
+                name = name_of(h[a:z])
+                n.append(z - a)
+                x.append(name[0])
+                y.append(name[1])
+        sha = [hashlib.sha256(b" ".join(split(t))).hexdigest() for t in b.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "raw", "n_words", "x", "y", "sha"])
 
 
 def _occurrences(batches):
     """key, name (of the word sequence), from, to (windows), sure. Keys met twice in a batch are sure to repeat; one row stands for them elsewhere."""
-    words = Words(False)
-    seen: set[bytes] = set()
+    seen: set[int] = set()
     for b in batches:
         cols = [[], [], [], []]
-        for text in b.column(0).to_pylist():
-            w = words.split(text)
-            if len(w) < WINDOW:
-                continue
-            digest = hashlib.sha256(b" ".join(w)).digest()[:8]
-            if digest in seen:
-                continue
-            if len(seen) > 1_000_000:
-                seen.clear()
-            seen.add(digest)
-            key, lo, hi = segments_of(words.hashes(w))
-            name = np.frombuffer(digest, dtype=np.int64)[0]
-            for c, v in zip(cols, (key.view(np.int64), np.full(len(key), name), lo, hi)):
-                c.append(v)
+        for _, h, begin in _pieces(b.column(0)):
+            row, key, lo, hi = segments_of(h, begin)
+            names = np.zeros(len(begin) - 1, dtype=np.int64)
+            fresh = np.zeros(len(begin) - 1, dtype=bool)
+            for r in np.unique(row).tolist():
+                names[r] = name = name_of(h[begin[r] : begin[r + 1]])[0]
+                if name not in seen:
+                    if len(seen) > 1_000_000:
+                        seen.clear()
+                    seen.add(name)
+                    fresh[r] = True
+            new = fresh[row]
+            for c, v in zip(cols, (key.view(np.int64), names[row], lo.astype(np.int32), hi.astype(np.int32))):
+                c.append(v[new])
         if not cols[0]:
             continue
         key, name, lo, hi = map(np.concatenate, cols)
         order = np.argsort(key, kind="stable")
         key, name, lo, hi = key[order], name[order], lo[order], hi[order]
-        new = np.append(True, key[1:] != key[:-1])
+        new = np.append(True, key[1:] != key[:-1])[: len(key)]
         run = np.cumsum(new) - 1
-        sure = np.bincount(run)[run] > 1
+        sure = np.bincount(run)[run] > 1 if len(run) else np.zeros(0, dtype=bool)
         tokens = np.nonzero(new & sure)[0]  # one row for each sure key, with an empty range, twice the weight of a single one
         none = np.full(len(tokens), -1)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([key, key[tokens]])), pa.array(np.concatenate([name, name[tokens]])), pa.array(np.concatenate([lo, none]).astype(np.int32)), pa.array(np.concatenate([hi, none]).astype(np.int32)), pa.array(np.concatenate([sure, np.zeros(len(tokens), dtype=bool)]))], names=["key", "name", "lo", "hi", "sure"])
@@ -129,7 +155,6 @@ def _repeated(batches):
 
 def _segments(batches):
     """key, doc, name, start, words; a negative number of words marks a covered window: start and nothing to index."""
-    words = Words(False)
     pending: dict[int, tuple] = {}
 
     def rows(out):
@@ -141,16 +166,19 @@ def _segments(batches):
 
     for b in batches:
         out = [[], [], [], [], []]
-        for doc, name, text, ranges in zip(*(c.to_pylist() for c in b.columns)):
-            h = words.hashes(words.split(text)).view(np.int64)
+        docs, names, every = (b.column(i).to_pylist() for i in (0, 1, 3))
+        rows_of = ((lo + i, h[begin[i] : begin[i + 1]]) for lo, h, begin in _pieces(b.column(2)) for i in range(len(begin) - 1))
+        for i, h in rows_of:
+            doc, name, ranges = docs[i], names[i], every[i]
+            whole = grams(h, WINDOW).view(np.int64).tolist() if any(r["hot"] for r in ranges) else []
+            h = h.view(np.int64)
             for r in ranges:
                 if not r["hot"]:
                     emit(out, r["key"], doc, name, r["lo"], h[r["lo"] : r["hi"] + WINDOW - 1])
                     continue
                 for s in range(r["lo"], r["hi"]):
-                    w = h[s : s + WINDOW]
-                    k = int(np.array([sequence(w.view(np.uint64))]).view(np.int64)[0])
-                    old, new = pending.get(k), (doc, name, s, w)
+                    k = whole[s]
+                    old, new = pending.get(k), (doc, name, s, h[s : s + WINDOW])
                     if old is not None:
                         first, later = (old, new) if old[:3] <= new[:3] else (new, old)
                         emit(out, k ^ later[1], *later[:3], [])
@@ -207,11 +235,14 @@ class FMIndex:
             self.bits.append(Bits(one))
             self.zeros.append(int(n - one.sum()))
             bwt = np.concatenate([bwt[~one], bwt[one]])
-        self.minima = [self.order]
-        width = 1
-        while 2 * width <= n:
+        # Minima over suffix ranges: running minima inside blocks, and a sparse table over whole blocks only.
+        pad = np.append(self.order, np.full(-n % BLOCK, np.iinfo(np.int32).max, dtype=np.int32)).reshape(-1, BLOCK)
+        self.upto = np.minimum.accumulate(pad, axis=1).ravel()
+        self.onward = np.minimum.accumulate(pad[:, ::-1], axis=1)[:, ::-1].ravel()
+        self.minima, width = [pad.min(axis=1)], 1
+        while 2 * width <= len(pad):
             last = self.minima[-1]
-            self.minima.append(np.minimum(last[: n - 2 * width + 1], last[width : n - width + 1]))
+            self.minima.append(np.minimum(last[: len(last) - width], last[width:]))
             width *= 2
 
     def occurrences(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
@@ -230,12 +261,18 @@ class FMIndex:
 
     def first_start(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """The smallest text place in each (not empty) suffix range."""
-        k = np.frexp((hi - lo).astype(float))[1] - 1
-        out = np.empty(len(lo), dtype=np.int64)
+        first, last = lo // BLOCK, (hi - 1) // BLOCK
+        out = np.minimum(self.onward[lo], self.upto[hi - 1]).astype(np.int64)
+        inside = np.nonzero(first == last)[0]  # a range in one block: look at its places
+        if len(inside):
+            at = lo[inside, None] + np.arange(BLOCK)
+            out[inside] = np.where(at < hi[inside, None], self.order[np.minimum(at, self.n - 1)], self.n).min(axis=1)
+        far = np.nonzero(last - first > 1)[0]
+        k = np.frexp((last[far] - first[far] - 1).astype(float))[1] - 1
         for level in np.unique(k):
-            at = np.nonzero(k == level)[0]
+            at = far[k == level]
             m = self.minima[level]
-            out[at] = np.minimum(m[lo[at]], m[hi[at] - (1 << int(level))])
+            out[at] = np.minimum(out[at], np.minimum(m[first[at] + 1], m[last[at] - (1 << int(level))]))
         return out
 
     def earlier(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -315,26 +352,30 @@ def _search(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"doc": doc[at], "name": name[at], "a": np.array([a for _, a, _ in spans], dtype=np.int32), "z": np.array([z for _, _, z in spans], dtype=np.int32)})
 
 
-def _kept(batches):
-    words = Words(False)
-    for b in batches:
-        n, sha, text = [], [], []
-        for t, spans in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-            w = words.split(t)
-            keep = np.ones(len(w), dtype=bool)
-            for s in spans:
-                keep[s["a"] : s["z"]] = False
-            left = b" ".join(x for x, k in zip(w, keep.tolist()) if k)
-            n.append(int((~keep).sum()))
-            sha.append(hashlib.sha256(left).hexdigest())
-            text.append(left.decode())
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(text, pa.string())], names=["doc", "name", "removed", "left_sha", "left_text"])
+def _kept(texts_too: bool):
+    """Per changed document: words removed, the hash of what is left and, with texts_too, what is left."""
+    def run(batches):
+        for b in batches:
+            n, sha, text = [], [], []
+            for t, spans in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                w = split(t)
+                keep = np.ones(len(w), dtype=bool)
+                for s in spans:
+                    keep[s["a"] : s["z"]] = False
+                left = b" ".join(x for x, k in zip(w, keep.tolist()) if k)
+                n.append(int((~keep).sum()))
+                sha.append(hashlib.sha256(left).hexdigest())
+                text.append(left.decode() if texts_too else None)
+            cols = [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(text, pa.string())]
+            yield pa.RecordBatch.from_arrays(cols[: 4 + texts_too], names=["doc", "name", "removed", "left_sha", "left_text"][: 4 + texts_too])
+
+    return run
 
 
 class Dedup:
     """scan: every row, by number, with the name of its words; first: the row that stands for a name; covered(doc, name, spans): intervals in it."""
 
-    def __init__(self, docs: DataFrame, shard_words: int = 150_000, often: int = 2_000):
+    def __init__(self, docs: DataFrame, shard_words: int = 150_000, often: int = 2_000, texts_too: bool = True):
         rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("doc_id"), "text", F.xxhash64("text").alias("raw"))
         self.scan = scan = stored(rows.mapInArrow(_scan, fields(("doc_id", "long"), ("raw", "long"), ("n_words", "long"), ("x", "long"), ("y", "long"), ("sha", "string"))).withColumn("row", F.monotonically_increasing_id()))
         least = scan.where(f"n_words >= {WINDOW}").groupBy("x", "y").agg(F.min(F.struct("doc_id", "raw", "row")).alias("f"))
@@ -344,7 +385,8 @@ class Dedup:
         rep = occ.repartition(target).sortWithinPartitions("sure", "key", "name", "lo").mapInArrow(_repeated, fields(("name", "long"), ("lo", "int"), ("hi", "int"), ("key", "long")))
         rep = stored(rep)
         hot = rep.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > often).select("key", F.lit(True).alias("hot"))
-        rep_hot = rep.join(hot, "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+        hot = stored(hot)
+        rep_hot = rep.join(broadcast_if_small(hot), "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
         ranges = rep_hot.groupBy("name").agg(F.collect_set(F.struct("lo", "hi", "key", "hot")).alias("ranges"))
         ranges = ranges.join(self.first.select(F.col("x").alias("name"), "first", "first_raw"), "name")
         texts = rows.join(ranges, (rows["doc_id"] == ranges["first"]) & (rows["raw"] == ranges["first_raw"]))
@@ -355,12 +397,13 @@ class Dedup:
         seg = self.texts.mapInArrow(_segments, fields(("key", "long"), ("doc", "long"), ("name", "long"), ("start", "int"), ("words", T.ArrayType(T.LongType()))))
         found = seg.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy("shard").applyInPandas(lambda pdf: _search(pdf), fields(("doc", "long"), ("name", "long"), ("a", "int"), ("z", "int")))
         self.covered = found.groupBy("doc", "name").agg(F.collect_list(F.struct("a", "z")).alias("spans"))
-        self.changed = stored(self.texts.select(F.col("doc_id").alias("doc"), "name", "text").join(self.covered, ["doc", "name"]).select("doc", "name", "text", "spans").mapInArrow(_kept, fields(("doc", "long"), ("name", "long"), ("removed", "long"), ("left_sha", "string"), ("left_text", "string"))))
-        forget(rep)
+        out = [("doc", "long"), ("name", "long"), ("removed", "long"), ("left_sha", "string"), *([("left_text", "string")] if texts_too else [])]
+        self.changed = stored(self.texts.select(F.col("doc_id").alias("doc"), "name", "text").join(self.covered, ["doc", "name"]).select("doc", "name", "text", "spans").mapInArrow(_kept(texts_too), fields(*out)))
+        forget(rep, hot, self.texts)
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    d = Dedup(docs)
+    d = Dedup(docs, texts_too=False)
     copies = F.coalesce(F.col("first_row") != F.col("row"), F.lit(False))
     out = d.scan.join(d.first, ["x", "y"], "left").withColumn("copy", copies)
     out = out.join(d.changed.select("doc", "name", "removed", "left_sha"), (F.col("doc") == F.col("doc_id")) & (F.col("name") == F.col("x")), "left")

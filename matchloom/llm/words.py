@@ -90,13 +90,3 @@ def sequence(h: np.ndarray) -> np.uint64:
     """A hash of the whole run of words and its length."""
     return np.uint64(xxhash.xxh64_intdigest(h.tobytes(), seed=len(h)))
 
-
-class Words:
-    def __init__(self, lower: bool, most: int = 400_000):
-        self.lower, self.most, self.seen = lower, most, {}
-
-    def split(self, text):
-        return split(text, self.lower)
-
-    def hashes(self, words):
-        return np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64)

@@ -5,10 +5,13 @@ import re
 import zlib
 from collections import defaultdict
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from matchloom.llm import langid, mixing, ngram_join, pii, sharding, substring_dedup
 
+from matchloom.llm.words import word_hashes
+
 from .conftest import make_docs
 
 TEXTS = {r[0]: r[1] for r in make_docs()}
@@ -103,7 +106,7 @@ def test_substring_dedup_with_repeated_rows_and_null_ids(spark):
     a, b = " ".join(run("a", 10) + p + run("b", 10)), " ".join(run("c", 5) + p)
     rows = [(7, a), (7, a), (9, b), (9, b), (7, " ".join(run("d", 8) + q)), (3, " ".join(q + run("e", 9)))]
     rows += [(None, " ".join(run(n, 6) + run("z", 22) + run(n + n, 30))) for n in "fgh"] + [(None, " ".join(run("g", 6) + run("z", 22) + run("gg", 30)))] * 2 + [(None, "too short"), (None, None), (None, "too short")]
-    name = lambda t: int.from_bytes(hashlib.sha256(" ".join((t or "").split()).encode()).digest()[:8], "little", signed=True)
+    name = lambda t: substring_dedup.name_of(word_hashes(pa.array([t], pa.string()), False)[0])[0]
     seen, want = set(), []
     for i, t in sorted(rows, key=lambda r: (-1 if r[0] is None else r[0], name(r[1]))):
         w = (t or "").split()
@@ -121,6 +124,24 @@ def test_substring_dedup_with_repeated_rows_and_null_ids(spark):
     assert sorted(r["removed"] for r in d.changed.collect() if r["removed"]) == sorted(n for _, m, n, _ in want if n and n < m)
 
 
+def test_substring_dedup_of_periodic_texts(spark):
+    """Repeated lines inside one document: equal windows that share the place of no other document."""
+    line = [f"w{i}" for i in range(13)]
+    rows = [(1, " ".join(line * 20)), (2, " ".join(["x"] * 90 + line * 3)), (3, " ".join(["x", "y"] * 40))]
+    seen, want = set(), {}
+    for i, t in rows:
+        w = t.split()
+        gone = [False] * len(w)
+        for s in range(len(w) - 19):
+            k = tuple(w[s : s + 20])
+            if k in seen:
+                gone[s : s + 20] = [True] * 20
+            seen.add(k)
+        want[i] = sum(gone)
+    got = substring_dedup.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in got} == want
+
+
 def test_fm_index_agrees_with_search():
     import numpy as np
 
