@@ -4,11 +4,14 @@ A source's target is its weight's share of all words, at most `most` times its o
 again by weight (water filling). Blocks of equal size are given out by highest quotients t / (2k - 1), for growing
 numbers of blocks, one step per shard; since a larger house never takes a seat away, the differences are each shard's
 integer quotas. A source's documents stand in a seeded order; its stream of words, repeated at most `most` times, is
-cut into blocks, and the first quota blocks are taken.
+cut into blocks, and each shard in turn draws its quota of blocks from that stream. A document's `parts` name the pass,
+the shard and the blocks that take its words; what is taken of it is their sum.
 
 Block size: `block_words`, or less where that would be more than 1% of the smallest positive target.
-Null text has size 0; null source is a source of its own, the last; a document of size 0 is never taken;
-an empty table gives an empty result. Extra columns are ignored.
+Very long texts span several blocks, and shards. Ties in the seeded order go by doc_id; repeated rows are documents of
+their own. Null text has size 0; null source is a source of its own, the last; a document of size 0 is never taken;
+an empty table gives an empty result. Extra columns are ignored, and kept by
+mixed_documents whatever their names.
 """
 
 from __future__ import annotations
@@ -75,23 +78,41 @@ def quotas(goal: DataFrame, block_words: int = 64, shards: int = 8) -> DataFrame
 
 
 def plan(sized: DataFrame, block_words: int = 64, shards: int = 8, most: int = 3) -> DataFrame:
-    """One row per source: its target, how often all of it is taken, and how many words more."""
+    """One row per source: its target, its shards' stretches of the word stream, how often all of it is taken, and how many words more."""
     goal = targets(sized, most)
-    seats = quotas(goal, block_words, shards).groupBy("ord").agg(F.sum(F.col("blocks") * F.col("block")).alias("words"))
-    words = F.least(F.coalesce("words", F.lit(0)), F.col("source_size") * most)
-    goal = goal.join(seats, "ord", "left").withColumn("words", words)
+    upto = W.partitionBy("ord").orderBy("shard")  # one row per shard
+    seats = quotas(goal, block_words, shards).withColumn("to", F.sum("blocks").over(upto)).withColumn("from", F.col("to") - F.col("blocks"))
+    stretch = F.struct("shard", (F.col("from") * F.col("block")).alias("from"), (F.col("to") * F.col("block")).alias("to"))
+    seats = seats.groupBy("ord").agg(F.max(F.col("to") * F.col("block")).alias("words"), F.max("block").alias("block"), F.sort_array(F.collect_list(stretch)).alias("stretches"))
+    goal = goal.join(seats, "ord", "left").withColumn("end", F.col("source_size") * most)
+    words = F.least(F.coalesce("words", F.lit(0)), F.col("end"))
+    goal = goal.withColumn("words", words)
     full = F.when(F.col("source_size") > 0, F.floor(F.col("words") / F.greatest("source_size", F.lit(1)))).otherwise(0).cast("long")
     return goal.withColumn("full", full).withColumn("more", F.col("words") - F.col("full") * F.col("source_size"))
 
 
+def _parts(most: int):
+    """What each shard takes of a document in each pass over its source: pass, shard, first and last block, words."""
+    def of(turn):
+        lo = turn * F.col("source_size") + F.col("before")
+        hi = lo + F.col("size")
+        met = F.filter("stretches", lambda x: (x["from"] < F.least(hi, F.col("end"))) & (x["to"] > lo))
+        a, z = lambda x: F.greatest(x["from"], lo), lambda x: F.least(x["to"], hi)
+        block = lambda c: F.floor(c / F.col("block")).cast("long")
+        return F.transform(met, lambda x: F.struct(turn.alias("turn"), x["shard"].alias("shard"), block(a(x)).alias("first_block"), block(z(x) - 1).alias("last_block"), (z(x) - a(x)).alias("words")))
+
+    parts = F.flatten(F.transform(F.array(*[F.lit(r).cast("long") for r in range(most)]), of))
+    return F.when((F.col("size") > 0) & F.col("stretches").isNotNull(), parts).otherwise(F.array().cast("array<struct<turn:bigint,shard:int,first_block:bigint,last_block:bigint,words:bigint>>"))
+
+
 def mix(docs: DataFrame, seed: int = 7, block_words: int = 64, shards: int = 8, most: int = 3) -> DataFrame:
-    """Per document: doc_id, source, place, size, source_size, target, taken (words, repeats counted)."""
+    """Per document: doc_id, source, place, size, source_size, target, taken (words, repeats counted), parts."""
     sized = stored(seeded(docs, seed).withColumn("bucket", high_bits(F.col("place"), 12)))
     goal = stored(plan(sized, block_words, shards, most))
     own = sized.join(goal, sized["source"].eqNullSafe(goal["source"])).drop(goal["source"])
-    own = ranked(own, ["ord"], "bucket", ["place", "doc_id"], "before", "size")
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("more") - F.col("before")))
-    return own.select("doc_id", "source", "place", "size", "source_size", "target", (F.col("full") * F.col("size") + part).cast("long").alias("taken"), "full", F.col("before").alias("words_before"), "more")
+    own = ranked(own, ["ord"], "bucket", ["place", "doc_id"], "before", "size").withColumn("parts", _parts(most))
+    taken = F.aggregate("parts", F.lit(0).cast("long"), lambda a, x: a + x["words"])
+    return own.select("doc_id", "source", "place", "size", "source_size", "target", taken.alias("taken"), "parts", "full", F.col("before").alias("words_before"), "more")
 
 
 def mixed_documents(docs: DataFrame, seed: int = 7, block_words: int = 64, shards: int = 8, most: int = 3) -> DataFrame:
@@ -100,10 +121,11 @@ def mixed_documents(docs: DataFrame, seed: int = 7, block_words: int = 64, shard
     Only the small table of places is shuffled; a source's last place decides in a map over the documents.
     """
     taken = mix(docs, seed, block_words, shards, most)
-    last = taken.groupBy("source").agg(F.max("full").alias("_full"), F.max(F.when(F.col("words_before") < F.col("more"), F.struct(high_bits(F.col("place"), 12), F.col("place")))).alias("_last"))
-    last = stored(last.select(F.col("source").alias("_source"), "_full", "_last"))
-    place = F.xxhash64(F.lit(seed), "doc_id", "text")
-    copies = F.col("_full") + F.when(F.struct(high_bits(place, 12), place) <= F.col("_last"), 1).otherwise(0)
-    out = docs.withColumn("_place", place).join(last, docs["source"].eqNullSafe(last["_source"]))
-    out = out.withColumn("_copies", F.when(F.col("text").rlike(WORD), copies).otherwise(0))
-    return out.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    at = F.struct(high_bits(F.col("place"), 12).alias("bucket"), F.col("place").alias("place"))
+    last = stored(taken.groupBy("source").agg(F.max("full").alias("full"), F.max(F.when(F.col("words_before") < F.col("more"), at)).alias("last")))
+    d, last = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d")), last.select(F.struct("source", "full", "last").alias("m"))
+    both = d.join(last, F.col("d.source").eqNullSafe(F.col("m.source")))
+    place = F.xxhash64(F.lit(seed), "d.doc_id", "d.text")
+    again = F.when(F.struct(high_bits(place, 12).alias("bucket"), place.alias("place")) <= F.col("m.last"), 1).otherwise(0)
+    copies = F.when(F.col("d.text").rlike(WORD), F.col("m.full") + again).otherwise(0)
+    return both.withColumn("n", copies.cast("int")).where("n > 0").withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n")))).select("d.*")

@@ -228,12 +228,33 @@ def test_mixing(docs):
         assert abs(target[s] - want[s]) < 1e-6 * max(1, want[s])
         assert abs(taken[s] - target[s]) <= max(1, 0.01 * target[s])
     assert rows(mixing.mix(docs)) == got
+    # The words that each shard draws from a source are its quota of blocks.
+    by_shard, quota = defaultdict(int), {}
+    for i, r in got.items():
+        assert r["taken"] == sum(p["words"] for p in r["parts"])
+        for p in r["parts"]:
+            by_shard[source[i], p["shard"]] += p["words"]
+            assert p["first_block"] <= p["last_block"] and 0 <= p["turn"] < 3
+    goal = mixing.targets(mixing.seeded(docs, 7).drop("place"))
+    ord_of = {r["ord"]: r for r in goal.collect()}
+    for q in mixing.quotas(goal).collect():
+        quota[ord_of[q["ord"]]["source"], q["shard"]] = q["blocks"] * q["block"]
+    for (s, shard), n in quota.items():
+        assert by_shard[s, shard] == n or sum(v for (x, _), v in quota.items() if x == s) > 3 * size[s]
 
 
 def test_quotas_are_the_seats_of_highest_quotients(spark):
     t = [1000.0, 610.0, 333.0, 57.0, 3.0]
     goal = spark.createDataFrame([(i, x) for i, x in enumerate(t)], "ord int, target double")
-    got = mixing.quotas(goal, block_words=7, shards=4).groupBy("ord").agg(F.sum("blocks").alias("b"), F.first("block").alias("block")).collect()
+    each = mixing.quotas(goal, block_words=7, shards=4)
+    house, seats, by_shard = int(sum(t) / 1 + 0.5), [0] * len(t), {}
+    for shard in range(1, 5):  # a larger house keeps what a smaller one gave
+        before = list(seats)
+        while sum(seats) < house * shard // 4:
+            seats[max(range(len(t)), key=lambda i: t[i] / (2 * seats[i] + 1))] += 1
+        by_shard |= {(i, shard): s - b for i, (s, b) in enumerate(zip(seats, before))}
+    assert each.first()["block"] == 1 and {(r["ord"], r["shard"]): r["blocks"] for r in each.collect()} == by_shard
+    got = each.groupBy("ord").agg(F.sum("blocks").alias("b"), F.first("block").alias("block")).collect()
     block = got[0]["block"]
     house = int(sum(t) / block + 0.5)
     seats = [0] * len(t)
@@ -248,7 +269,9 @@ def test_mixed_documents_match_what_is_taken(docs):
     copies = {r["doc_id"]: r["count"] for r in mixing.mixed_documents(docs).groupBy("doc_id").count().collect()}
     for i, r in taken.items():
         assert copies.get(i, 0) == (-(-r["taken"] // r["size"]) if r["size"] else 0)
-    assert mixing.mixed_documents(docs).columns == docs.columns
+    out = mixing.mixed_documents(docs.withColumn("_full", F.lit("x")).withColumn("d", F.lit("y")).withColumn("m", F.lit("z")))
+    assert out.columns == [*docs.columns, "_full", "d", "m"]
+    assert [tuple(r) for r in out.select("_copies", "size", "_full", "d", "m").distinct().collect()] == [("clash", "clash", "x", "y", "z")]
 
 
 PATTERNS = [
