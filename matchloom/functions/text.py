@@ -102,7 +102,7 @@ def split_list(c: Column) -> Column:
     return F.when(blank(c), F.array().cast("array<string>")).otherwise(parts)
 
 
-# White space is Unicode's here: a decoded &nbsp; may stand between the parts.
+# The formats of a past role, in two patterns. White space is Unicode's here: a decoded &nbsp; may stand between the parts.
 _DATED = r"^([^,]+),(?U:\s*)(.+?)(?U:\s*)\(([^)]+)\)(?U:\s*)[—-]?(?U:\s*)(\d{4})[–-]Present:?(?U:\s*)(.*)$"
 _EARLIER = r"^([^,]+),(?U:\s*)(.+?)(?U:\s*)\(([^)]+)\)(?U:\s*)—(?U:\s*)earlier tenure,(?U:\s*)(\d+)\+?(?U:\s*)years?\.?$"
 

@@ -35,11 +35,20 @@ def regressions(now: dict, base: dict) -> list[str]:
     return out
 
 
-def positions(scores: DataFrame, group: str, score: str, id_col: str) -> DataFrame:
-    """scores with rank (from 0) by falling score, ties by id, and n, the group's size."""
-    w = W.partitionBy(group).orderBy(F.col(score).desc(), id_col)
-    n = scores.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    return scores.withColumn("rank", F.row_number().over(w) - 1).join(n, group)
+def positions(scores: DataFrame, group: str, score: str, id_col: str, parts: int = 256) -> DataFrame:
+    """scores with rank (from 0) by falling score, ties by id, and n, the group's size.
+
+    Rows are ranked inside quantile buckets of their group; one row a bucket carries what stands before it.
+    """
+    cuts = scores.groupBy(group).agg(F.percentile_approx(score, [k / parts for k in range(1, parts)], 10_000).alias("_cuts"))
+    rows = scores.join(cuts, scores[group].eqNullSafe(cuts[group])).drop(cuts[group])
+    rows = rows.withColumn("_b", F.size(F.filter("_cuts", lambda c: c > F.col(score)))).drop("_cuts")
+    each = rows.groupBy(group, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    whole = W.partitionBy(group)  # at most `parts` rows
+    each = each.select(F.col(group).alias("_g"), F.col("_b").alias("_c"), (F.sum("_n").over(whole.orderBy("_b")) - F.col("_n")).alias("_before"), F.sum("_n").over(whole).alias("n"))
+    own = rows.withColumn("_r", F.row_number().over(W.partitionBy(group, "_b").orderBy(F.col(score).desc(), id_col)))
+    out = own.join(each, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_b") == F.col("_c")))
+    return out.withColumn("rank", F.col("_r") + F.col("_before") - 1).drop("_r", "_before", "_b", "_g", "_c")
 
 
 def sample_across(scores: DataFrame, group: str, score: str, id_col: str, n: int) -> DataFrame:
@@ -78,31 +87,66 @@ def ranking_report(scores: DataFrame, grades: DataFrame, group: str, score: str,
     return p.join(n, group).join(c, group, "left").select(group, X.py_round(F.col("precision"), 4).alias("precision_at_5"), X.py_round(F.col("ndcg"), 4).alias("ndcg_at_10"), F.coalesce("n_graded", F.lit(0)).alias("n_graded"))
 
 
-def steering_check(before: DataFrame, after: DataFrame, expected: dict[str, str], weights: tuple[dict, dict] | None = None, direction: tuple[str, str] | None = None, threshold: tuple[float, float] | None = None, threshold_direction: str | None = None, unsupported: list | None = None, expect_unsupported: bool = False) -> list[str]:
-    """What is wrong with a steered rubric: expected tiers not set, others moved, a weight or the threshold not moved as wanted."""
-    if not (expected or direction or threshold_direction or expect_unsupported):
-        raise ValueError("a case must expect something")
-    wrong = []
-    if expected:
-        tiers = {r["source"]: r["tier"] for r in after.select("source", "tier").collect()}  # a rubric's rows
-        wrong += [f"{s} is {tiers.get(s)}, not {t}" for s, t in expected.items() if tiers.get(s) != t]
-        old = {r["source"]: r["tier"] for r in before.select("source", "tier").collect()}
-        wrong += [f"{s} moved from {old.get(s)} to {t}" for s, t in tiers.items() if s not in expected and old.get(s) != t]
-    moved = lambda a, b, way: b > a if way == "up" else b < a
-    if direction and not moved(weights[0][direction[0]], weights[1][direction[0]], direction[1]):
-        wrong.append(f"weight {direction[0]} did not go {direction[1]}")
-    if threshold_direction and not moved(*threshold, threshold_direction):
-        wrong.append(f"threshold did not go {threshold_direction}")
-    if expect_unsupported and not unsupported:
-        wrong.append("nothing was refused")
-    if unsupported and not expect_unsupported and not expected and not direction:
-        wrong.append(f"refused: {unsupported}")
-    return wrong
-
-
-def hole_audit(scores: DataFrame, finalists: DataFrame, holes: int = 2) -> DataFrame:
-    """One row: finalists, those with `holes` or more unmet required skills, and requirement slots met over all pairs."""
-    miss = scores.where("tier = 'required' and score = 0").groupBy("role_id", "candidate_id").agg(F.count(F.lit(1)).alias("h"))
-    out = finalists.select("role_id", "candidate_id").join(miss, ["role_id", "candidate_id"], "left")
-    met = scores.agg(F.count_if(F.col("score") > 0).alias("slots_met"))
-    return out.agg(F.count(F.lit(1)).alias("finalists"), F.count_if(F.coalesce("h", F.lit(0)) >= holes).alias("with_holes")).join(met)
+CASES = "case_id string, role_id string, tiers map<string,string>, weight string, weight_way string, threshold_way string, refusal boolean"
+
+
+def steering_report(cases: DataFrame, before: DataFrame, after: DataFrame, runs: DataFrame) -> DataFrame:
+    """(case_id, passed, wrong): steered rubrics held against what each case expects.
+
+    cases as CASES: tiers that must be set, the weight and the threshold that must go "up" or "down", whether a refusal is
+    expected. before(role_id, source, tier); after(case_id, source, tier); runs(case_id, weights_before, weights_after:
+    maps, threshold_before, threshold_after, refused: how many parts were refused). One full join of both rubrics tells
+    what moved: tiers that a case names must be set, and where it names any, no other may move. An empty case fails.
+    """
+    base = cases.select("case_id", "role_id", "tiers").join(before, "role_id").select("case_id", "tiers", "source", F.col("tier").alias("old"))
+    both = base.join(after.select("case_id", "source", F.col("tier").alias("new")), ["case_id", "source"], "full").drop("tiers").join(cases.select("case_id", "tiers"), "case_id")
+    want = F.try_element_at("tiers", F.col("source"))
+    off = F.when(want.isNotNull(), ~want.eqNullSafe(F.col("new"))).otherwise((F.size("tiers") > 0) & ~F.col("old").eqNullSafe(F.col("new")))
+    named = both.where("source is not null").groupBy("case_id").agg(F.sort_array(F.collect_list(F.when(off, F.concat("source", F.lit(" is "), F.coalesce("new", F.lit("gone")))))).alias("moved"), F.collect_set("source").alias("sources"))
+    out = cases.join(named, "case_id", "left").join(runs, "case_id", "left")
+    way = lambda w, a, b: F.when(w == "up", b > a).when(w == "down", b < a)
+    some = (F.size("tiers") > 0) | F.col("weight").isNotNull() | F.col("threshold_way").isNotNull() | F.col("refusal")
+    none = F.array().cast("array<string>")
+    lacking = F.filter(F.map_keys("tiers"), lambda k: ~F.coalesce(F.array_contains("sources", k), F.lit(False)))
+    checks = [
+        (~some, "nothing is expected"),
+        (F.col("weight").isNotNull() & ~F.coalesce(way(F.col("weight_way"), F.try_element_at("weights_before", F.col("weight")), F.try_element_at("weights_after", F.col("weight"))), F.lit(False)), "the weight did not move that way"),
+        (F.col("threshold_way").isNotNull() & ~F.coalesce(way(F.col("threshold_way"), F.col("threshold_before"), F.col("threshold_after")), F.lit(False)), "the threshold did not move that way"),
+        (F.col("refusal") & (F.coalesce("refused", F.lit(0)) == 0), "nothing was refused"),
+        (~F.col("refusal") & (F.coalesce("refused", F.lit(0)) > 0) & (F.size("tiers") == 0) & F.col("weight").isNull(), "something was refused"),
+    ]
+    said = F.array_compact(F.array(*[F.when(c, F.lit(t)) for c, t in checks]))
+    wrong = F.concat(F.coalesce("moved", none), F.transform(lacking, lambda k: F.concat(k, F.lit(" is missing"))), said)
+    return out.select("case_id", (F.size(wrong) == 0).alias("passed"), wrong.alias("wrong"))
+
+
+def untraced(evidence: DataFrame, fields: DataFrame, id_col: str = "candidate_id") -> DataFrame:
+    """Scored evidence (id, field, phrase, score) whose phrase does not stand in the person's field."""
+    out = evidence.where("score > 0").join(fields.select(id_col, "field", F.lower("text").alias("_t")), [id_col, "field"], "left")
+    return out.where(~F.coalesce(F.col("_t").contains(F.lower("phrase")), F.lit(False))).drop("_t")
+
+
+def unexplained_rejects(matched: DataFrame, past: DataFrame, targets: DataFrame, skills: DataFrame, requirements: DataFrame, rubric: DataFrame) -> DataFrame:
+    """(role_id, candidate_id, total): people who held a role's very occupation, lie below its threshold and lack no required skill.
+
+    skills has a row for each requirement with evidence; a pair lacks one if fewer of the required ones score above 0.
+    """
+    held = past.where("own_weight = 1").select("candidate_id", "occupation_id").distinct().join(targets.select("role_id", "occupation_id"), "occupation_id").select("role_id", "candidate_id")
+    need = requirements.where("kind = 'skill' and tier = 'required'")
+    met = skills.where("score > 0").join(need.select("role_id", "req_pos"), ["role_id", "req_pos"]).groupBy("role_id", "candidate_id").agg(F.count(F.lit(1)).alias("_met"))
+    below = matched.join(rubric.select("role_id", "threshold"), "role_id").where("total < threshold").join(held, ["role_id", "candidate_id"], "left_semi")
+    out = below.join(need.groupBy("role_id").agg(F.count(F.lit(1)).alias("_need")), "role_id", "left").join(met, ["role_id", "candidate_id"], "left")
+    return out.where(F.coalesce("_met", F.lit(0)) >= F.coalesce("_need", F.lit(0))).select("role_id", "candidate_id", "total")
+
+
+def hole_audit(skills: DataFrame, finalists: DataFrame, requirements: DataFrame, holes: int = 2) -> DataFrame:
+    """One row: finalists, those with `holes` or more unmet required skills, and requirement slots met over all pairs.
+
+    skills has a row for each requirement with evidence; what is unmet follows from the size of the rubric.
+    """
+    need = requirements.where("kind = 'skill' and tier = 'required'")
+    met = skills.where("score > 0").join(finalists.select("role_id", "candidate_id"), ["role_id", "candidate_id"], "left_semi").join(need.select("role_id", "req_pos"), ["role_id", "req_pos"], "left_semi").groupBy("role_id", "candidate_id").agg(F.count(F.lit(1)).alias("_met"))
+    out = finalists.select("role_id", "candidate_id").join(met, ["role_id", "candidate_id"], "left").join(need.groupBy("role_id").agg(F.count(F.lit(1)).alias("_need")), "role_id", "left")
+    slots = skills.agg(F.count_if(F.col("score") > 0).alias("slots_met"))
+    unmet = F.coalesce("_need", F.lit(0)) - F.coalesce("_met", F.lit(0))
+    return out.agg(F.count(F.lit(1)).alias("finalists"), F.count_if(unmet >= holes).alias("with_holes")).join(slots)

@@ -1,6 +1,6 @@
 """Entity linking without a model: field unpivot, phrase links, groundedness, occupations, consistency.
 
-A pluggable linker may stand in for link_fields(): any function from the long field table to mentions.
+A model may stand in for link_fields(): requests.extraction_requests() asks it, requests.linked_replies() reads its replies.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.store import small
 
 # Which profile fields a linker reads together.
 GROUPS = {"list": ("headline", "skills"), "prose": ("projects", "extra_curriculars", "education", "certifications")}
@@ -30,10 +31,11 @@ def link_list_field(fields: DataFrame, id_col: str, surface: DataFrame) -> DataF
 
 
 def link_prose(fields: DataFrame, id_col: str, surface: DataFrame) -> DataFrame:
-    """Adjacent mentions of related phrases inside prose, case ignored. The phrases are a vocabulary, small against the texts."""
+    """Adjacent mentions of related phrases inside prose, case ignored, within words too. The phrases are a vocabulary:
+    they are broadcast if they are few enough, and each task looks for all of them in its own texts."""
     near = surface.where("pillar = 'skill' and kind = 'related'").select(F.lower(X.strip(F.col("phrase"))).alias("low"), "phrase", "term_id", "term_ord", "ord")
     prose = fields.where(F.col("field").isin(*GROUPS["prose"])).withColumn("_t", F.lower("text"))
-    return prose.join(near, F.col("_t").contains(F.col("low"))).select(id_col, "field", F.col("ord").alias("pos"), "phrase", "term_id", F.lit("adjacent").alias("relation"))
+    return prose.join(small(near), F.col("_t").contains(F.col("low"))).select(id_col, "field", F.col("ord").alias("pos"), "phrase", "term_id", F.lit("adjacent").alias("relation"))
 
 
 def link_fields(fields: DataFrame, id_col: str, surface: DataFrame) -> DataFrame:
@@ -56,6 +58,28 @@ def ground(mentions: DataFrame, fields: DataFrame, id_col: str) -> tuple[DataFra
     return out.where("reason is null").drop("reason"), out.where("reason is not null")
 
 
+def golden_links(fields: DataFrame, id_col: str, surface: DataFrame) -> DataFrame:
+    """(id, field, text, expected): what a linker must find, from the vocabulary alone.
+
+    Every entry of a list with its term (by surface, else by related phrase, else null), and every related phrase that
+    stands in a prose field; one row for each text of a field, case ignored.
+    """
+    item = fields.where("field = 'skills'").select(id_col, "field", F.posexplode(X.split_list(F.col("text"))).alias("pos", "text"))
+    found = link_list_field(fields, id_col, surface).select(id_col, "field", "pos", "term_id")
+    listed = item.join(found, [id_col, "field", "pos"], "left").select(id_col, "field", "text", F.struct("pos", F.lit(0).alias("o"), "text", "term_id").alias("c"))
+    near = surface.select(F.col("phrase").alias("_p"), F.col("term_id").alias("_t"), "term_ord").where("kind = 'related'").distinct()
+    prose = link_prose(fields, id_col, surface).join(near, (F.col("phrase") == F.col("_p")) & (F.col("term_id") == F.col("_t")))
+    prose = prose.select(id_col, "field", F.col("phrase").alias("text"), F.struct(F.col("term_ord").alias("pos"), F.col("pos").alias("o"), F.col("phrase").alias("text"), "term_id").alias("c"))
+    first = listed.unionByName(prose).groupBy(id_col, "field", F.lower("text").alias("low")).agg(F.min("c").alias("c"))
+    return first.select(id_col, "field", F.col("c.text").alias("text"), F.col("c.term_id").alias("expected"))
+
+
+def unlinked(golden: DataFrame, mentions: DataFrame, id_col: str) -> DataFrame:
+    """Known texts whose term the person has no mention of at all."""
+    have = mentions.select(id_col, F.col("term_id").alias("expected")).distinct()
+    return golden.where("expected is not null").join(have, [id_col, "expected"], "left_anti")
+
+
 def resolve_occupations(roles: DataFrame, title: str, surface: DataFrame) -> DataFrame:
     """roles with occupation_id and own_weight: a surface counts 1, else a related title its weight, else null and 0."""
     best = surface.where("pillar = 'occupation'").groupBy("key").agg(F.min(F.struct(F.when(F.col("kind") == "surface", 0).otherwise(1).alias("r"), "term_ord", "ord", "term_id", "weight")).alias("o"))

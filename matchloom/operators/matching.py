@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.store import small
 from .vocabulary import mirrored, narrower_closure
 
 # How much a field's evidence counts; other fields count whole.
@@ -75,7 +76,7 @@ def skill_scores(found: DataFrame) -> DataFrame:
 
 def with_absent(scores: DataFrame, people: DataFrame, requirements: DataFrame) -> DataFrame:
     """A row for every person and skill requirement; those without evidence score 0, absent."""
-    every = people.select("candidate_id").join(F.broadcast(requirements.where("kind = 'skill'").select("role_id", "req_pos", "source", "tier", "verifiable")))  # rubrics, a few rows a role
+    every = people.select("candidate_id").join(small(requirements.where("kind = 'skill'").select("role_id", "req_pos", "source", "tier", "verifiable")))
     out = every.join(scores, ["candidate_id", "role_id", "req_pos"], "left")
     return out.withColumn("score", F.coalesce("score", F.lit(0.0))).withColumn("via", F.coalesce("via", F.lit("absent")))
 
@@ -111,7 +112,7 @@ def experience_trace(past: DataFrame) -> DataFrame:
 def experience_scores(people: DataFrame, requirements: DataFrame, years: DataFrame, trace: DataFrame | None = None) -> DataFrame:
     """(candidate_id, role_id, req_pos, score, stated_years, implied_years, conflict[, trace])."""
     need = requirements.where("kind = 'experience'").select("role_id", "req_pos", "exp_min", "exp_max")
-    out = people.select("candidate_id", "stated_years").join(F.broadcast(need)).join(years, ["candidate_id", "role_id"], "left")  # a row a role
+    out = people.select("candidate_id", "stated_years").join(small(need)).join(years, ["candidate_id", "role_id"], "left")
     out = out.withColumn("implied_years", F.coalesce("years", F.lit(0.0)))
     off = F.col("stated_years").isNull() | (~F.isnan("stated_years") & (F.abs(F.col("stated_years") - F.col("implied_years")) > 2))
     out = out.withColumn("conflict", off).withColumn("score", X.band_fit(F.col("implied_years"), F.col("exp_min"), F.col("exp_max")))
@@ -125,7 +126,7 @@ def location_scores(people: DataFrame, roles: DataFrame, country_of: dict[str, s
     """(candidate_id, role_id, availability_score, location_score)."""
     key = X.normalize_key(F.col("location"))
     want = roles.select("role_id", key.alias("want_key"), F.try_element_at(literal_map(country_of), key).alias("want_country"))
-    out = people.select("candidate_id", "city", "country", "notice_days").join(F.broadcast(want))  # a row a role
+    out = people.select("candidate_id", "city", "country", "notice_days").join(small(want))
     return out.select("candidate_id", "role_id", X.availability(F.col("notice_days")).alias("availability_score"), F.coalesce(X.location_fit(F.col("want_key"), F.col("want_country"), F.col("city"), F.col("country")), F.lit(0.0)).alias("location_score"))
 
 

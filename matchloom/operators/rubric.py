@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 
+# Default weights, threshold and most finalists.
 WEIGHTS = {"required": 80.0, "preferred": 10.0, "availability": 5.0, "location": 5.0}
 THRESHOLD, MOST = 56.0, 50
 TIERS = ("required", "preferred", "dropped")

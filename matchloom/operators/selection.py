@@ -8,26 +8,11 @@ from pyspark.sql import Window as W
 
 from ..functions import text as X
 
-# Order of gaps by kind, and the prose fields whose absence is a gap.
+# The wording and layout of gaps and briefs below, the order of gaps by kind, and the prose fields whose absence is a gap.
 PRIORITY = {"absent_required": 0, "absent_preferred": 1, "adjacent_substitution": 2, "unverifiable": 3, "empty_field": 4, "logistics": 5}
 PROSE = ("projects", "extra_curriculars", "education", "certifications")
 
 
-def ranked(scores: DataFrame, rubric: DataFrame, order: str = "candidate_id", fallback_n: int = 5) -> DataFrame:
-    """scores with rank, is_finalist and fallback. Ties keep the input order, given by the column `order`.
-
-    Who clears the threshold comes from a maximum per role; the rank window is limited to the highest places that any
-    rule can return, so Spark cuts each task's rows before the shuffle.
-    """
-    best = scores.groupBy("role_id").agg(F.max("total").alias("_top"))
-    out = scores.join(rubric.select("role_id", "threshold", "most"), "role_id").join(best, "role_id")
-    out = out.withColumn("fallback", F.col("_top") < F.col("threshold"))
-    w = W.partitionBy("role_id").orderBy(F.col("total").desc(), order)
-    out = out.withColumn("rank", F.row_number().over(w))
-    take = F.when(F.col("fallback"), F.col("rank") <= fallback_n).otherwise((F.col("total") >= F.col("threshold")) & (F.col("rank") <= F.col("most")))
-    return out.withColumn("is_finalist", take).drop("_top", "threshold", "most")
-
-
 def shortlist(scores: DataFrame, rubric: DataFrame, order: str = "candidate_id", fallback_n: int = 5) -> DataFrame:
     """The finalists alone. The filter on the rank, by the largest `most` of the rubrics, lets Spark keep that many per task."""
     most = rubric.agg(F.max("most")).first()[0] or 0
@@ -40,6 +25,25 @@ def shortlist(scores: DataFrame, rubric: DataFrame, order: str = "candidate_id",
     return out.where(take).drop("threshold", "most")
 
 
+def excluded(scores: DataFrame, finalists: DataFrame) -> DataFrame:
+    """Everyone who is no finalist of the role."""
+    return scores.join(finalists.select("role_id", "candidate_id"), ["role_id", "candidate_id"], "left_anti")
+
+
+def assessments(scores: DataFrame, ids: list | DataFrame | None = None) -> DataFrame:
+    """The results of some candidates, or all: ids as a list or as a table (candidate_id)."""
+    if ids is None:
+        return scores
+    return scores.join(ids.select("candidate_id").distinct(), "candidate_id", "left_semi") if isinstance(ids, DataFrame) else scores.where(F.col("candidate_id").isin(ids))
+
+
+def requirement_scores(pairs: DataFrame, scores: DataFrame, requirements: DataFrame) -> DataFrame:
+    """A row for every skill requirement of these pairs (role_id, candidate_id) only; without evidence: 0, absent."""
+    need = requirements.where("kind = 'skill'").select("role_id", "req_pos", "source", "tier", "verifiable")
+    out = pairs.select("role_id", "candidate_id").join(need, "role_id").join(scores, ["candidate_id", "role_id", "req_pos"], "left")
+    return out.withColumn("score", F.coalesce("score", F.lit(0.0))).withColumn("via", F.coalesce("via", F.lit("absent")))
+
+
 def strengths(scores: DataFrame) -> DataFrame:
     """Skill requirements with evidence, with their place by falling score, ties by position."""
     w = W.partitionBy("role_id", "candidate_id").orderBy(F.col("score").desc(), "req_pos")

@@ -6,12 +6,12 @@ edge(pillar, src, dst, kind, weight, ord).
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as X
+from ..sources.store import small, stored
 
 PILLARS, KINDS = ("skill", "occupation"), ("narrower", "adjacent")
 
@@ -38,38 +38,13 @@ def resolve_surface(rows: DataFrame, phrase: str, surface: DataFrame, pillar: st
     return rows.withColumn("key", X.normalize_key(F.col(phrase))).join(keys, "key", "left").withColumn("term_id", F.col("t.term_id")).drop("t", "key")
 
 
-def narrower_closure(edges: DataFrame, most: int = 2_000) -> DataFrame:
-    """All (src, dst) with a path of narrower edges; cycles end too.
-
-    A curated vocabulary has few such edges: up to `most` are closed on the driver, and the result is a local table that
-    the planner can size. Beyond that, paths double in joins, each round written out.
-    """
-    step = edges.where("kind = 'narrower'").select("src", "dst").distinct()
-    pairs = [(r["src"], r["dst"]) for r in step.limit(most + 1).collect()]
-    if len(pairs) > most:
-        return _closure_by_joins(step)
-    below: dict[str, set[str]] = {}
-    for a, b in pairs:
-        below.setdefault(a, set()).add(b)
-    found = []
-    for a in below:
-        seen, todo = set(), [a]
-        while todo:
-            for b in below.get(todo.pop(), ()):
-                if b not in seen:
-                    seen.add(b)
-                    todo.append(b)
-        found += [(a, b) for b in seen]
-    table = pa.table({"src": pa.array([a for a, _ in found], pa.string()), "dst": pa.array([b for _, b in found], pa.string())})
-    return edges.sparkSession.createDataFrame(table)
-
-
-def _closure_by_joins(step: DataFrame) -> DataFrame:
-    n, out = -1, step
+def narrower_closure(edges: DataFrame) -> DataFrame:
+    """All (src, dst) with a path of narrower edges; cycles end too. Paths double in joins, each round written out."""
+    n, out = -1, stored(edges.where("kind = 'narrower'").select("src", "dst").distinct())
     while (size := out.count()) != n:
         n = size
         further = out.alias("a").join(out.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
-        out = out.union(further).distinct().checkpoint()
+        out = stored(out.union(further).distinct())
     return out
 
 
@@ -125,11 +100,11 @@ def patched(draft: DataFrame, add_narrower: DataFrame | None = None, add_related
     out = draft
     if add_narrower is not None:
         more = add_narrower.groupBy("id").agg(F.sort_array(F.collect_list("phrase")).alias("_m"))
-        out = out.join(F.broadcast(more), "id", "left").withColumn("narrower", F.array_distinct(F.concat("narrower", F.coalesce("_m", F.array().cast("array<string>"))))).drop("_m")
+        out = out.join(more, "id", "left").withColumn("narrower", F.array_distinct(F.concat("narrower", F.coalesce("_m", F.array().cast("array<string>"))))).drop("_m")
     if add_related is not None:
         more = add_related.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("phrase", "weight"))).alias("_m"))
         none = F.array().cast("array<struct<phrase:string,weight:double>>")
-        out = out.join(F.broadcast(more), "id", "left")
+        out = out.join(more, "id", "left")
         fresh = F.filter(F.coalesce("_m", none), lambda x: ~F.exists("related", lambda r: r["phrase"] == x["phrase"]))
         out = out.withColumn("related", F.concat("related", fresh)).drop("_m")
     for a, b in drop_adjacent:
@@ -138,7 +113,7 @@ def patched(draft: DataFrame, add_narrower: DataFrame | None = None, add_related
     if merge:
         kept, gone = merge
         extra = out.where(F.col("id") == gone).select(F.col("aliases").alias("_a"), F.col("from_requirements").alias("_f"))
-        out = out.where(F.col("id") != gone).join(F.broadcast(extra), F.col("id") == kept, "left")
+        out = out.where(F.col("id") != gone).join(small(extra, 1), F.col("id") == kept, "left")
         none = F.array().cast("array<string>")
         out = out.withColumn("aliases", F.array_distinct(F.concat("aliases", F.coalesce("_a", none)))).withColumn("from_requirements", F.array_distinct(F.concat("from_requirements", F.coalesce("_f", none)))).drop("_a", "_f")
         out = out.withColumn("adjacent", F.filter("adjacent", lambda x: x["term"] != gone))

@@ -92,7 +92,7 @@ PEOPLE_SQL = f"""people AS (
 
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = table(spark, sf_dir, "lineitem").where("l_discount > 0.07")
+    line = table(spark, sf_dir, "lineitem")
     rows = line.join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
     field = F.create_map(*[F.lit(x) for kv in FIELD_OF.items() for x in kv])[F.col("o_orderpriority")]
     w = W.partitionBy("o_custkey").orderBy(*line.columns)  # a person's own lines
@@ -103,7 +103,7 @@ MENTIONS_SQL = """mentions AS (
   SELECT o_custkey AS candidate_id, p_brand AS term_id, p_name AS phrase, CASE WHEN l_returnflag = 'A' THEN 'adjacent' ELSE 'met' END AS relation,
          CASE o_orderpriority WHEN '1-URGENT' THEN 'skills' WHEN '2-HIGH' THEN 'projects' WHEN '3-MEDIUM' THEN 'headline' WHEN '4-NOT SPECIFIED' THEN 'certifications' ELSE 'extra_curriculars' END AS field,
          row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS ord
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE l_discount > 0.07)"""
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)"""
 
 
 def past_roles(spark: SparkSession, sf_dir: str) -> DataFrame:

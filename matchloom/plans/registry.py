@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import evaluation as EV
-from ..operators import ingest, linking, matching, rubric, selection, vocabulary
+from ..operators import ingest, linking, matching, requests, rubric, selection, vocabulary
+from ..sources.store import stored
 from . import analogue as A
 from .analogue import quoted, skey, sround, table, values
 
@@ -262,6 +263,54 @@ def groundedness_filter(spark, sf_dir):
     return linking.ground(m, linking.unpivot_fields(p, "candidate_id", {f: f for f in _FIELDS}), "candidate_id")[1].select("candidate_id", "reason")
 
 
+@query(f"""WITH {A.PEOPLE_SQL}, {_LONG}, m AS (SELECT candidate_id, {quoted(_GROUND)}[1 + candidate_id % 4] AS field, CASE WHEN candidate_id % 5 = 0 THEN ' ' WHEN candidate_id % 2 = 0 THEN 'CUSTOMER' ELSE 'nothing' END AS phrase FROM people WHERE candidate_id % 6 > 1),
+v AS (SELECT m.*, m.field IN ('projects', 'certifications') AND trim(phrase) <> '' AND coalesce(contains(lower(text), lower(phrase)), false) AS fine FROM m LEFT JOIN long USING (candidate_id, field))
+SELECT candidate_id, candidate_id % 6 < 2 AS partial, CASE WHEN candidate_id % 6 < 2 THEN 'prose' ELSE '' END AS failed, coalesce(CAST(fine AS BIGINT), 0) AS n_mentions, coalesce(CAST(NOT fine AS BIGINT), 0) AS n_rejected FROM people LEFT JOIN v USING (candidate_id)""")
+def linked_replies(spark, sf_dir):
+    p, k = A.people(spark, sf_dir), F.col("candidate_id")
+    one = F.struct(F.lit("T").alias("term"), F.element_at(F.array(*map(F.lit, _GROUND)), (k % 4 + 1).cast("int")).alias("field"), F.when(k % 5 == 0, " ").when(k % 2 == 0, "CUSTOMER").otherwise("nothing").alias("phrase"), F.lit("met").alias("relation"))
+    reply = F.when(k % 6 == 1, "not json").when(k % 6 > 1, F.to_json(F.struct(F.array(one).alias("mentions"))))
+    replies = p.select(k, F.lit("list").alias("group"), F.lit('{"mentions": []}').alias("reply")).union(p.select(k, F.lit("prose").alias("group"), reply.alias("reply")))
+    out = requests.linked_replies(replies, linking.unpivot_fields(p, "candidate_id", {f: f for f in _FIELDS}), "candidate_id")[2]
+    return out.select("candidate_id", "partial", F.array_join("failed_groups", ",").alias("failed"), "n_mentions", "n_rejected")
+
+
+_PROSE = ("projects", "extra_curriculars", "education", "certifications")
+
+
+@query(f"""WITH {A.PEOPLE_SQL}, {_LONG} SELECT candidate_id, CASE WHEN field = 'headline' THEN 'list' ELSE 'prose' END AS "group", string_agg(field || ': ' || trim(text), chr(10) ORDER BY list_position({quoted(list(_PROSE))}, field)) AS lines FROM long GROUP BY 1, 2""")
+def profile_lines(spark, sf_dir):
+    return requests.profile_lines(linking.unpivot_fields(A.people(spark, sf_dir), "candidate_id", {f: f for f in _FIELDS}), "candidate_id")
+
+
+@query(f"""WITH {A.TERMS_SQL}, {A.RELATED_SQL}, r AS (SELECT term_id, string_agg(phrase || '(' || CAST(weight AS VARCHAR) || ')', ', ' ORDER BY rord) AS s FROM related WHERE pillar = 'skill' GROUP BY 1)
+SELECT string_agg(term_id || ' | surfaces: ' || surface || coalesce(' | related: ' || s, ''), chr(10) ORDER BY term_id) AS block FROM terms LEFT JOIN r USING (term_id) WHERE pillar = 'skill'""")
+def vocabulary_block(spark, sf_dir):
+    return requests.vocabulary_block(A.terms(spark))
+
+
+_PART_GOLD = f"""{A.TERMS_SQL}, {A.RELATED_SQL}, i AS (SELECT p_partkey, unnest([p_brand, p_name, 'nothing']) AS phrase FROM part),
+s AS (SELECT {skey('surface')} AS k, min_by(term_id, ord) AS t FROM terms WHERE pillar = 'skill' GROUP BY 1), r AS (SELECT lower(phrase) AS low, min_by(term_id, ord) AS t FROM related WHERE pillar = 'skill' GROUP BY 1),
+gold AS (SELECT p_partkey, 'skills' AS field, phrase AS text, coalesce(s.t, r.t) AS expected FROM i LEFT JOIN s ON k = {skey('phrase')} LEFT JOIN r ON low = lower(phrase)
+  UNION ALL SELECT p_partkey, 'projects', low, t FROM part JOIN r ON contains(lower(p_name), low))"""
+
+
+def _part_fields(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    return p.select("p_partkey", F.lit("skills").alias("field"), F.concat_ws(", ", "p_brand", "p_name", F.lit("nothing")).alias("text")).union(p.select("p_partkey", F.lit("projects"), "p_name"))
+
+
+@query(f"WITH {_PART_GOLD} SELECT p_partkey, field, text, expected FROM gold")
+def golden_links(spark, sf_dir):
+    return linking.golden_links(_part_fields(spark, sf_dir), "p_partkey", surfaces(spark))
+
+
+@query(f"WITH {_PART_GOLD} SELECT p_partkey, field, text, expected FROM gold g WHERE expected IS NOT NULL AND (p_partkey % 3 = 0 OR expected NOT IN (SELECT p_brand FROM part p WHERE p.p_partkey = g.p_partkey))")
+def unlinked_known(spark, sf_dir):
+    linked = table(spark, sf_dir, "part").where("p_partkey % 3 <> 0").select("p_partkey", F.col("p_brand").alias("term_id"))
+    return linking.unlinked(linking.golden_links(_part_fields(spark, sf_dir), "p_partkey", surfaces(spark)), linked, "p_partkey").select("p_partkey", "field", "text", "expected")
+
+
 _OCC = f"""occ AS (SELECT k, first(term_id ORDER BY r, o, ro) AS occupation_id, first(weight ORDER BY r, o, ro) AS own_weight FROM (
   SELECT {skey('surface')} AS k, term_id, 1e0 AS weight, 0 AS r, ord AS o, 0 AS ro FROM terms WHERE pillar = 'occupation' UNION ALL SELECT {skey('phrase')}, term_id, weight, 1, ord, rord FROM related WHERE pillar = 'occupation') GROUP BY 1),
 own AS (SELECT past.*, occupation_id, coalesce(own_weight, 0e0) AS own_weight FROM past LEFT JOIN occ ON k = {skey('title')})"""
@@ -454,9 +503,15 @@ c2 AS (SELECT *, required_component + preferred_component + availability_compone
 ms AS (SELECT role_id, candidate_id, required_component, preferred_component, availability_component, location_component, availability_score, location_score, {sround('t', 1)} AS total FROM c2)"""
 
 
-def _match(spark, sf_dir, steered=False):
+def _evidence(spark, sf_dir):
+    """The best evidence of each requirement, written once: totals and explanations read the same table."""
+    return stored(matching.skill_scores(_routes(spark, sf_dir)))
+
+
+def _match(spark, sf_dir, steered=False, skills=None):
     req, rub = _steered(spark) if steered else (_req(spark), rubric.rubrics(A.roles(spark)))
-    return matching.match_scores(matching.skill_scores(_routes(spark, sf_dir)), _exp(spark, sf_dir), _places(spark, sf_dir), req, rub)
+    skills = matching.skill_scores(_routes(spark, sf_dir)) if skills is None else skills
+    return matching.match_scores(skills, _exp(spark, sf_dir), _places(spark, sf_dir), req, rub)
 
 
 _MS = "role_id, candidate_id, required_component, preferred_component, availability_component, location_component, total"
@@ -480,8 +535,8 @@ def _short_sql(threshold, most=50):
 fin AS (SELECT * FROM rk WHERE (fallback AND rank <= 5) OR (NOT fallback AND total >= {threshold}e0 AND rank <= {most}))"""
 
 
-def _fin(spark, sf_dir, threshold=56.0):
-    return selection.shortlist(_match(spark, sf_dir), rubric.rubrics(A.roles(spark), threshold=threshold))
+def _fin(spark, sf_dir, threshold=56.0, matched=None):
+    return selection.shortlist(_match(spark, sf_dir) if matched is None else matched, rubric.rubrics(A.roles(spark), threshold=threshold))
 
 
 _FIN = "role_id, candidate_id, total, CAST(rank AS INTEGER) AS rank, fallback"
@@ -499,17 +554,25 @@ def shortlist_fallback(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {_short_sql(56.0)} SELECT role_id, candidate_id, total FROM ms WHERE (role_id, candidate_id) NOT IN (SELECT (role_id, candidate_id) FROM fin)")
 def excluded(spark, sf_dir):
-    scores, rub = _match(spark, sf_dir), rubric.rubrics(A.roles(spark))
-    return selection.ranked(scores, rub).where("not is_finalist").select("role_id", "candidate_id", "total")
+    scores = stored(_match(spark, sf_dir))
+    return selection.excluded(scores, _fin(spark, sf_dir, matched=scores)).select("role_id", "candidate_id", "total")
 
 
-def _fin_scores(spark, sf_dir):
-    return _scores(spark, sf_dir).join(_fin(spark, sf_dir).select("role_id", "candidate_id"), ["role_id", "candidate_id"], "left_semi")
+@query(f"WITH RECURSIVE {_match_sql()} SELECT {_MS} FROM ms WHERE candidate_id IN (1, 7, 40, 41, 1000)")
+def assessments(spark, sf_dir):
+    return selection.assessments(_match(spark, sf_dir), [1, 7, 40, 41, 1000]).drop("availability_score", "location_score")
+
+
+def _explained(spark, sf_dir):
+    """Finalists, and a row for each of their requirements."""
+    skills = _evidence(spark, sf_dir)
+    fin = stored(_fin(spark, sf_dir, matched=_match(spark, sf_dir, skills=skills)))
+    return fin, selection.requirement_scores(fin, skills, _req(spark))
 
 
 @query(f"""WITH RECURSIVE {_short_sql(56.0)} SELECT role_id, candidate_id, source, via, score, CAST(row_number() OVER (PARTITION BY role_id, candidate_id ORDER BY score DESC, req_pos) AS INTEGER) AS place FROM sc SEMI JOIN fin USING (role_id, candidate_id) WHERE score > 0""")
 def strengths(spark, sf_dir):
-    return selection.strengths(_fin_scores(spark, sf_dir)).select("role_id", "candidate_id", "source", "via", "score", "place")
+    return selection.strengths(_explained(spark, sf_dir)[1]).select("role_id", "candidate_id", "source", "via", "score", "place")
 
 
 _GAPS = f"""{_short_sql(56.0)}, fp AS (SELECT f.role_id, f.candidate_id, availability_score, location_score, p.* EXCLUDE (candidate_id), list_filter([{', '.join(f"CASE WHEN trim(coalesce({c}, '')) IN ('', '-') THEN '{c}' END" for c in selection.PROSE)}], lambda x: x IS NOT NULL) AS e FROM fin f JOIN people p USING (candidate_id)),
@@ -522,7 +585,8 @@ g AS (SELECT role_id, candidate_id, kind, detail, row_number() OVER (PARTITION B
 
 
 def _gaps(spark, sf_dir):
-    return selection.gaps(_fin_scores(spark, sf_dir), A.people(spark, sf_dir), _fin(spark, sf_dir))
+    fin, scores = _explained(spark, sf_dir)
+    return selection.gaps(scores, A.people(spark, sf_dir), fin)
 
 
 @query(f"WITH RECURSIVE {_GAPS} SELECT role_id, candidate_id, kind, detail, CAST(place AS INTEGER) AS place FROM g")
@@ -539,8 +603,9 @@ def top_gaps(spark, sf_dir):
 @query()
 def brief_markdown(spark, sf_dir):
     """Covered by tests: the layout is held against literal text."""
-    fin = _fin(spark, sf_dir)
-    lines = selection.brief_lines(fin, selection.strengths(_fin_scores(spark, sf_dir)), _gaps(spark, sf_dir), _exp(spark, sf_dir), A.people(spark, sf_dir))
+    fin, scores = _explained(spark, sf_dir)
+    people = A.people(spark, sf_dir)
+    lines = selection.brief_lines(fin, selection.strengths(scores), selection.gaps(scores, people, fin), _exp(spark, sf_dir), people)
     return selection.render_briefs(lines, A.roles(spark), rubric.rubrics(A.roles(spark)))
 
 
@@ -561,13 +626,14 @@ def link_metrics(spark, sf_dir):
 def _graded(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
     grades = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(F.col("quality") * 2 + F.col("toxic")).alias("grade")).join(docs.select("doc_id", "source"), "doc_id").select("source", "doc_id", "grade")
-    return docs.where("source is not null"), grades.where("source is not null")
+    named = F.coalesce("source", F.lit("(none)"))
+    return docs.withColumn("source", named), grades.withColumn("source", named)
 
 
-_GRADES = "gr AS (SELECT source, doc_id, max(quality * 2 + toxic) AS grade FROM labels JOIN documents USING (doc_id) WHERE source IS NOT NULL GROUP BY 1, 2), sd AS (SELECT source, doc_id, n_chars FROM documents WHERE source IS NOT NULL)"
+_GRADES = "sd AS (SELECT coalesce(source, '(none)') AS source, doc_id, n_chars FROM documents), gr AS (SELECT source, doc_id, max(quality * 2 + toxic) AS grade FROM labels JOIN sd USING (doc_id) GROUP BY 1, 2)"
 
 
-@query("""WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) - 1 AS rank, count(*) OVER (PARTITION BY source) AS n FROM documents WHERE source IS NOT NULL),
+@query("""WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) - 1 AS rank, count(*) OVER (PARTITION BY source) AS n FROM (SELECT coalesce(source, '(none)') AS source, doc_id, n_chars FROM documents)),
 w AS (SELECT source, n, unnest([CAST(i AS DOUBLE) * (n - 1) / 6e0 FOR i IN range(7)]) AS x FROM (SELECT DISTINCT source, n FROM r))
 SELECT source, doc_id, CAST(rank AS INTEGER) AS rank FROM r WHERE n <= 7 OR (source, rank) IN (SELECT (source, CAST(round_even(x, 0) AS BIGINT)) FROM w)""")
 def rank_sample(spark, sf_dir):
@@ -595,4 +661,28 @@ def ndcg_at_k(spark, sf_dir):
 @query(f"""WITH RECURSIVE {_short_sql(56.0)}, h AS (SELECT role_id, candidate_id, count(*) AS h FROM sc WHERE tier = 'required' AND score = 0 GROUP BY 1, 2)
 SELECT (SELECT count(*) FROM fin) AS finalists, (SELECT count(*) FROM fin JOIN h USING (role_id, candidate_id) WHERE h >= 2) AS with_holes, (SELECT count(*) FROM sc WHERE score > 0) AS slots_met""")
 def gate_holes(spark, sf_dir):
-    return EV.hole_audit(_scores(spark, sf_dir), _fin(spark, sf_dir))
+    skills = _evidence(spark, sf_dir)
+    return EV.hole_audit(skills, _fin(spark, sf_dir, matched=_match(spark, sf_dir, skills=skills)), _req(spark))
+
+
+@query(f"""WITH RECURSIVE {_SKILL}, {_LONG} SELECT b.field, count(*) AS untraced FROM sc b LEFT JOIN long USING (candidate_id, field) WHERE score > 0 AND NOT coalesce(contains(lower(text), lower(phrase)), false) GROUP BY 1""")
+def evidence_traces(spark, sf_dir):
+    fields = linking.unpivot_fields(A.people(spark, sf_dir), "candidate_id", {f: f for f in _FIELDS})
+    return EV.untraced(matching.skill_scores(_routes(spark, sf_dir)), fields).groupBy("field").agg(F.count(F.lit(1)).alias("untraced"))
+
+
+@query(f"""WITH RECURSIVE {_match_sql()} SELECT role_id, candidate_id, total FROM ms WHERE total < 90e0
+  AND (role_id, candidate_id) IN (SELECT (role_id, candidate_id) FROM own JOIN tgt ON occ = occupation_id WHERE own_weight = 1)
+  AND (role_id, candidate_id) NOT IN (SELECT (role_id, candidate_id) FROM sc WHERE tier = 'required' AND score = 0)""")
+def same_occupation_rejects(spark, sf_dir):
+    skills, req = _evidence(spark, sf_dir), _req(spark)
+    targets = matching.role_occupations(A.roles(spark), surfaces(spark))
+    return EV.unexplained_rejects(_match(spark, sf_dir, skills=skills), _own(spark, sf_dir), targets, skills, req, rubric.rubrics(A.roles(spark), threshold=90.0))
+
+
+@query(f"""WITH RECURSIVE {_SKILL}, e AS (SELECT role_id, candidate_id, string_agg('  ' || source || ' (' || tier || '): score=' || CAST(score AS VARCHAR) || ' via=' || via, chr(10) ORDER BY req_pos) AS lines FROM sc GROUP BY 1, 2)
+SELECT role_id, candidate_id, lines FROM e WHERE candidate_id IN (1, 7, 40, 41)""")
+def assessment_text(spark, sf_dir):
+    some = selection.assessments(_match(spark, sf_dir), [1, 7, 40, 41])
+    out = requests.assessment_text(some, selection.requirement_scores(some, matching.skill_scores(_routes(spark, sf_dir)), _req(spark)))
+    return out.select("role_id", "candidate_id", F.regexp_replace("text", r"^[^\n]*\n", "").alias("lines"))

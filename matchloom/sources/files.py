@@ -91,6 +91,7 @@ def write_links(links: DataFrame, path: str) -> None:
     links.withColumn("partial", F.size("failed_groups") > 0).write.mode("overwrite").json(path)
 
 
+# Fixed values in the next two functions: the headings and the fence of a prompt file.
 def prompt_sections(text: str) -> dict[str, str]:
     """The parts of a prompt file by their second-level headings, in lower case."""
     parts = re.split(r"^##\s+(System|User|Schema)\s*$", text, flags=re.M)

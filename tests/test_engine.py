@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from matchloom.operators import evaluation, ingest, linking, matching, rubric, selection, session, sinks, vocabulary
+from matchloom.operators import evaluation, ingest, linking, matching, requests, rubric, selection, session, sinks, vocabulary
 from matchloom.sources import files
 
 TERM = "pillar string, term_id string, ord int, label string, surfaces array<string>, related array<struct<phrase:string,weight:double>>, from_requirements array<string>"
@@ -93,8 +93,11 @@ def test_match_scores_and_briefs(spark, world):
     assert '**Strengths**\n- CI/CD — direct, from skills ("Jenkins")\n- Docker — direct, from skills ("Docker")\n' in text
     assert "**Relevant experience:** 5.1y\n" in text and '1. "Kubernetes" (required) — no evidence in the profile\n' in text
     assert text.endswith("---\n")
-    payload = sinks.chat_payload(text)
-    assert payload["text"].endswith("(1 Finalists)") and payload["attachments"][0]["title"] == "C1 — Score: 70 (h)"
+    payload = json.loads(sinks.chat_messages(lines, world["roles"]).first()["payload"])
+    assert payload["text"].endswith(": 1 finalists") and payload["attachments"][0]["title"] == "C1, h"
+    assert "C1, 70 points: CI/CD, Docker" in payload["blocks"][0]["text"]["text"]
+    asks = requests.brief_requests(lines, gap, world["roles"], {"user": "{role_title}|{candidates}"}).first()["user"]
+    assert asks.startswith("DevOps Engineer|candidate C1\n- CI/CD: Jenkins") and "[absent_required]" in asks
     note = selection.render_briefs(selection.brief_lines(high, selection.strengths(every), gap, exp, people), world["roles"], rubric.rubrics(world["roles"], threshold=90.0)).first()["markdown"]
     assert "_No candidate cleared the shortlist threshold of 90. Showing the highest-scoring 2 instead" in note
 
@@ -103,21 +106,24 @@ def test_shortlist_keeps_as_many_as_a_rubric_returns(spark):
     scores = spark.createDataFrame([(role, i, float(i)) for role in "ab" for i in range(100)], "role_id string, candidate_id long, total double")
     rubric = spark.createDataFrame([("a", 10.0, 70), ("b", 10.0, 3)], "role_id string, threshold double, most int")
     got = selection.shortlist(scores, rubric).select("role_id", "candidate_id", "rank").collect()
-    assert sorted(map(tuple, got)) == sorted(map(tuple, selection.ranked(scores, rubric).where("is_finalist").select("role_id", "candidate_id", "rank").collect()))
-    assert len(got) == 73
+    assert sorted(map(tuple, got)) == sorted([("a", 99 - k, k + 1) for k in range(70)] + [("b", 99 - k, k + 1) for k in range(3)])
+    assert selection.excluded(scores, selection.shortlist(scores, rubric)).count() == 127
+    assert selection.assessments(scores, [1, 2]).count() == 4 and selection.assessments(scores, scores.select("candidate_id").limit(3)).count() == 6
 
 
 def test_steering(spark, world):
     rub = rubric.rubrics(world["roles"])
     retier = spark.createDataFrame([("R008", "Docker", "dropped", 0), ("R008", "Docker", "preferred", 1)], "role_id string, source string, tier string, ord int")
     after, r = rubric.apply_steering(world["req"], rub, retier, {"required": 70, "preferred": 10, "availability": 15, "location": 5}, 50.0)
-    assert evaluation.steering_check(world["req"], after, {"Docker": "preferred"}) == []
-    assert evaluation.steering_check(world["req"], after, {"Kubernetes": "preferred"})
+    cases = [("fine", "R008", {"Docker": "preferred"}, None, None, None, False), ("other", "R008", {"Kubernetes": "preferred"}, None, None, None, False), ("missing", "R008", {"COBOL": "preferred"}, None, None, None, False), ("empty", "R008", {}, None, None, None, False), ("weight", "R008", {}, "availability", "up", "down", False), ("way", "R008", {}, "availability", "down", None, False), ("refusal", "R008", {}, None, None, None, True)]
+    runs = spark.createDataFrame([(c[0], {"availability": 5.0}, {"availability": 15.0}, 56.0, 50.0, 0) for c in cases], "case_id string, weights_before map<string,double>, weights_after map<string,double>, threshold_before double, threshold_after double, refused int")
+    table = spark.createDataFrame(cases, evaluation.CASES)
+    got = {r["case_id"]: r for r in evaluation.steering_report(table, world["req"], table.select("case_id").join(after.select("source", "tier")), runs).collect()}
+    assert {k for k, r in got.items() if r["passed"]} == {"fine", "weight"} and len(got) == len(cases)
+    assert "COBOL is missing" in got["missing"]["wrong"] and "Kubernetes is required" in got["other"]["wrong"]
     assert r.first()["threshold"] == 50.0
     with pytest.raises(ValueError):
         rubric.rubrics(world["roles"], {"required": 90, "preferred": 10, "availability": 5, "location": 5})
-    with pytest.raises(ValueError):
-        evaluation.steering_check(world["req"], after, {})
     key = rubric.assessment_key(world["req"].collect())
     assert key != rubric.assessment_key(after.collect()) and len(key) == 16
 
@@ -132,7 +138,6 @@ def test_vocabulary_checks(spark, world, tmp_path):
     closed = spark.createDataFrame([("skill", "A", "B", "narrower", 1.0, 0), ("skill", "B", "C", "narrower", 1.0, 1), ("skill", "C", "A", "narrower", 1.0, 2)], EDGE)
     assert vocabulary.narrower_closure(closed).count() == 9
     spark.sparkContext.setCheckpointDir(str(tmp_path))
-    assert vocabulary.narrower_closure(closed, most=2).count() == 9
     assert vocabulary.validation_errors(world["terms"], world["edges"]).count() == 0
     with pytest.raises(Exception, match="weight"):
         vocabulary.checked_edges(spark.createDataFrame([("skill", "A", "B", "adjacent", 1.5, 0)], EDGE)).collect()
@@ -212,6 +217,34 @@ def test_session(tmp_path):
         session.resume_payload("maybe")
 
 
+def test_requests_and_replies(spark, world):
+    fields = spark.createDataFrame([("A", "skills", "Docker, Jenkins"), ("A", "projects", "wrote a Dockerfile"), ("B", "headline", "hi")], "id string, field string, text string")
+    asked = requests.extraction_requests(fields, "id", world["terms"], {"system": "s", "user": "{candidate_id}/{group_label}/{profile_lines}/{vocabulary_block}"})
+    got = {(r["id"], r["group"]): r for r in asked.collect()}
+    assert set(got) == {("A", "list"), ("A", "prose"), ("B", "list")}
+    assert got["A", "prose"]["user"].startswith("A/prose/projects: wrote a Dockerfile/CI_CD | surfaces: CI/CD, Jenkins\n") and "related: wrote a Dockerfile(0.7)" in got["B", "list"]["user"]
+
+    def answer(system, user):
+        if user.startswith("B"):
+            raise RuntimeError("down")
+        one = {"term": "DOCKER", "field": "skills", "phrase": "docker", "relation": "met"}
+        return json.dumps({"mentions": [one, one | {"phrase": "Ansible"}] if "/list/" in user else []})
+
+    kept, rejected, results = requests.linked_replies(requests.answered(asked, ["id", "group"], answer), fields, "id")
+    assert [(r["id"], r["term_id"]) for r in kept.collect()] == [("A", "DOCKER")]
+    assert [r["reason"] for r in rejected.collect()] == ["phrase not in the field"]
+    assert {(r["id"], r["partial"], tuple(r["failed_groups"]), r["n_mentions"], r["n_rejected"]) for r in results.collect()} == {("A", False, (), 1, 1), ("B", True, ("list",), 0, 0)}
+    golden = linking.golden_links(fields, "id", world["surface"])
+    assert {(r["id"], r["field"], r["text"], r["expected"]) for r in golden.collect()} == {("A", "skills", "Docker", "DOCKER"), ("A", "skills", "Jenkins", "CI_CD"), ("A", "projects", "wrote a Dockerfile", "DOCKER")}
+    assert [r["text"] for r in linking.unlinked(golden, kept, "id").collect()] == ["Jenkins"]
+    guided = requests.steering_requests(spark.createDataFrame([("R008", "more SQL")], "role_id string, text string"), world["roles"], world["req"], {"user": "{role_title}: {guidance}\n{requirements}"}).first()
+    assert guided["user"].startswith("DevOps Engineer: more SQL\n- CI/CD (required)") and "Terraform" in guided["sources"]
+    drafted = requests.drafting_requests("skill", fields.select("text"), fields.select("text"), {"user": "{pillar}\n{requirement_strings}"}).first()["user"]
+    assert drafted.startswith("skill\n- Docker, Jenkins")
+    asked = requests.answer_requests(spark.createDataFrame([("R1", "why?")], "role_id string, question string"), spark.createDataFrame([("R1", "C", "C total=1.0")], "role_id string, candidate_id string, text string"), {"user": "{question} {results}"})
+    assert asked.first()["user"] == "why? C total=1.0"
+
+
 def test_prompts_settings_and_webhook(tmp_path):
     text = "# x\n## System\nbe kind\n## User\nhi\n## Schema\n```json\n{\"a\": 1}\n```\n"
     parts = files.prompt_sections(text)
