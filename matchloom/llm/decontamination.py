@@ -36,6 +36,7 @@ WORDS = re.compile(r"\w+")
 LADDER = [1, 2, 3, 4, 6, 8, 12, 16, 22, 30, 42, 58, 80, 112, 156, 218, 304, 426, 596, 834, 1168]
 K = 5
 RADIUS = 7
+PIECE = 16384  # words
 FLIPS = np.array([0, *(1 << k for k in range(16))], dtype=np.uint16)
 
 
@@ -83,27 +84,31 @@ class Buckets:
         fp = np.array([m[0] for m in marks])
         self.prints = np.ascontiguousarray(fp).view(np.uint64).ravel()
         self.items, self.starts = np.array([m[1] for m in marks]), np.array([m[2] for m in marks])
-        self.begin, self.who = [], []
+        self.any, self.begin, self.who = [], [], []
         for b in range(4):
             value = (fp[:, b, None] ^ FLIPS).ravel()
             order = np.argsort(value, kind="stable")
             self.begin.append(np.searchsorted(value[order], np.arange(65537)).astype(np.int32))
             self.who.append((order // len(FLIPS)).astype(np.int32))
+            self.any.append(np.diff(self.begin[b]) > 0)
 
     def near(self, got: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, fingerprint) pairs within the radius."""
-        full = got.view(np.uint64).ravel()
-        out = [np.zeros(0, dtype=np.int64)]
+        """(window, fingerprint) pairs within the radius; a pair can come up once for each block."""
+        full, windows, marks = got.view(np.uint64).ravel(), [], []
         for b in range(4):
-            lo = self.begin[b][got[:, b]]
-            n = self.begin[b][got[:, b].astype(np.int32) + 1] - lo
-            at = np.nonzero(n)[0]
-            n, lo = n[at], lo[at]
-            window = np.repeat(at, n)
-            mark = self.who[b][np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(len(window))]
-            fit = np.bitwise_count(full[window] ^ self.prints[mark]) <= RADIUS
-            out.append(window[fit] * len(self.prints) + mark[fit])
-        return np.divmod(np.unique(np.concatenate(out)), len(self.prints))
+            value = got[:, b]
+            at = np.flatnonzero(self.any[b][value])  # few windows have any fingerprint in their bucket
+            value = value[at].astype(np.int32)
+            lo = self.begin[b][value]
+            n = self.begin[b][value + 1] - lo
+            at, first = np.repeat(at, n), np.repeat(lo - np.cumsum(n) + n, n)
+            mark = self.who[b][first + np.arange(len(at))]
+            fit = np.flatnonzero(np.bitwise_count(full[at] ^ self.prints[mark]) <= RADIUS)
+            if len(fit):
+                windows.append(at[fit])
+                marks.append(mark[fit])
+        none = np.zeros(0, dtype=np.int64)
+        return (np.concatenate(windows), np.concatenate(marks)) if windows else (none, none)
 
 
 class Index:
@@ -121,12 +126,13 @@ class Index:
         self.classes = {size: Buckets(rows) for size, rows in sorted(marks.items())}
 
     def candidates(self, run: np.ndarray):
-        """(item, start of the item in the text) for each window within the radius of one of its fingerprints."""
+        """(item, start of the item, begin and end of the window) for each window within the radius of one of its fingerprints."""
         found = set()
         for size, tables in self.classes.items():
             if len(run) > size:
                 at, mark = tables.near(prints(run, size))
-                found.update(zip(tables.items[mark].tolist(), (at - tables.starts[mark]).tolist()))
+                if len(at):
+                    found.update(zip(tables.items[mark].tolist(), (at - tables.starts[mark]).tolist(), at.tolist(), (at + size).tolist()))
         return found
 
 
@@ -155,18 +161,14 @@ class Scanner:
             self.ids.update(zip(new, range(at, at + len(new))))
         return self.table[np.fromiter(map(self.ids.__getitem__, words), dtype=np.int64, count=len(words))]
 
-    def scan(self, text: str | None) -> dict[int, tuple[float, int]]:
-        """item: (similarity, first word), of the best place of each item that reaches the threshold."""
-        words, best = words_of(text), {}
-        step, over = 16384, max(self.index.classes, default=1)
-        found = set()
-        for at in range(0, max(1, len(words)), step):
-            part = words[at : at + step + over - 1]
-            if not part:
-                break
-            run = np.zeros((len(part) + 1, 64), dtype=np.int16)
-            np.cumsum(self.matrix(part), axis=0, dtype=np.int16, out=run[1:])
-            found.update((i, s + at) for i, s in self.index.candidates(run))
+    def runs(self, words: list[str]) -> np.ndarray:
+        run = np.zeros((len(words) + 1, 64), dtype=np.int16)
+        np.cumsum(self.matrix(words), axis=0, dtype=np.int16, out=run[1:])
+        return run
+
+    def best(self, words: list[str], found: set[tuple[int, int]]) -> dict[int, tuple[float, int]]:
+        """Of the places found for each item, the most similar, if it reaches the threshold."""
+        best = {}
         for item, start in sorted(found):
             own = self.index.shingles[item]
             s = similarity(own, shingles(words[max(0, start) : max(0, start + len(self.index.words[item]))]))
@@ -174,6 +176,42 @@ class Scanner:
                 best[item] = (s, max(0, start))
         return best
 
+    def scan(self, text: str | None) -> dict[int, tuple[float, int]]:
+        """item: (similarity, first word), of the best place of each item that reaches the threshold."""
+        return next(self.scan_all([text]))
+
+    def scan_all(self, texts: list[str | None]):
+        """scan() of each text: many short texts share one run of words, a long text is taken in overlapping pieces."""
+        over, group, held = max(self.index.classes, default=1), [], 0
+        for text in texts:
+            words = words_of(text)
+            if held and held + len(words) > PIECE:
+                yield from self._group(group)
+                group, held = [], 0
+            if len(words) > PIECE:
+                found = set()
+                for at in range(0, len(words), PIECE):
+                    found.update((i, s + at) for i, s, _, _ in self.index.candidates(self.runs(words[at : at + PIECE + over - 1])))
+                yield from self._group(group)
+                group, held = [], 0
+                yield self.best(words, found)
+            else:
+                group.append(words)
+                held += len(words)
+        yield from self._group(group)
+
+    def _group(self, group: list[list[str]]):
+        if not group:
+            return
+        ends = np.cumsum([len(w) for w in group])
+        found: list[set] = [set() for _ in group]
+        for item, start, a, z in self.index.candidates(self.runs([w for words in group for w in words])) if ends[-1] else ():
+            d = int(np.searchsorted(ends, a, side="right"))
+            if z <= ends[d]:  # the window lies in one text
+                found[d].add((item, start - int(ends[d]) + len(group[d])))
+        for words, f in zip(group, found):
+            yield self.best(words, f)
+
 
 def item_parts(benchmark: DataFrame, most_items: int):
     """The benchmark on the driver, in parts of about most_items rows."""
@@ -190,7 +228,7 @@ def find(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, most_items:
         def run(batches, index=docs.sparkSession.sparkContext.broadcast(Index(items))):  # at most most_items items
             scanner = Scanner(index.value, least)
             for b in batches:
-                rows = [(d, i, s, at) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for i, (s, at) in sorted(scanner.scan(t).items())]
+                rows = [(d, i, s, at) for d, best in zip(b.column(0).to_pylist(), scanner.scan_all(b.column(1).to_pylist())) for i, (s, at) in sorted(best.items())]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64(), pa.int64()))], names=schema.names)
 
@@ -204,7 +242,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, most_items:
         def run(batches, index=docs.sparkSession.sparkContext.broadcast(Index(items))):
             scanner = Scanner(index.value, least)
             for b in batches:
-                yield b.filter(pa.array([not scanner.scan(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()], pa.bool_()))
+                yield b.filter(pa.array([not best for best in scanner.scan_all(b.column(b.schema.get_field_index("text")).to_pylist())], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
