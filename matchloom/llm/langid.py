@@ -5,7 +5,9 @@ segmentations into pieces; the forward algorithm sums the probabilities of them
 piece weights over the training words gives expected piece counts per language, smoothed to piece probabilities. A text
 scores by its words' log probabilities plus the log prior of the language; the score is the winner's posterior.
 
-Words of over 48 letters are scored in parts of 48. Null text, or text without a letter: "und", score 0. Ties go to the
+Words of any length are scored whole; for the expected counts alone, words of over 48 letters are cut every 48
+(learning does not count pieces across such a cut). Very long texts are taken whole; repeated rows are judged alike; extra columns are
+ignored. Null text, or text without a letter: "und", score 0. Ties go to the
 language first by code point. Empty tables give empty results; without any training row every text is "und".
 """
 
@@ -76,14 +78,23 @@ class Pieces:
             out[rest] = np.where(self.key[at[rest]] == keys[rest], self.id[at[rest]], -1)
         return out
 
-    def lattice(self, words: list[str]):
-        """For words of one length: {(begin, end): piece ids or -1}."""
+    def hashes(self, words: list[str]) -> np.ndarray:
+        """For words of one length: running hashes over their code points."""
         n = len(words[0])
-        codes = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32).reshape(len(words), n).astype(np.uint64) + np.uint64(1)
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(len(words), n).astype(np.uint64) + np.uint64(1)
         h = np.zeros((len(words), n + 1), dtype=np.uint64)
         for i in range(n):
             h[:, i + 1] = h[:, i] * _BASE + codes[:, i]
-        return n, {(i, j): self.find(h[:, j] - h[:, i] * self.power[j - i - 1]) for i in range(n) for j in range(i + 1, min(n, i + self.longest) + 1)}
+        return h
+
+    def between(self, h: np.ndarray, i: int, j: int) -> np.ndarray:
+        """Ids of the pieces that the words hold from i to j, or -1."""
+        return self.find(h[:, j] - h[:, i] * self.power[j - i - 1])
+
+    def lattice(self, words: list[str]):
+        """For words of one length: {(begin, end): piece ids or -1}."""
+        n, h = len(words[0]), self.hashes(words)
+        return n, {(i, j): self.between(h, i, j) for i in range(n) for j in range(i + 1, min(n, i + self.longest) + 1)}
 
 
 def by_length(words):
@@ -94,6 +105,7 @@ def by_length(words):
 
 
 def parts(word: str):
+    """A word for the expected counts."""
     word = MARK + word
     return [word] if len(word) <= LONGEST else [word[i : i + LONGEST] for i in range(0, len(word), LONGEST)]
 
@@ -128,32 +140,39 @@ def expected_counts(pieces: Pieces, counts: Counter) -> np.ndarray:
 
 
 def word_scores(pieces: Pieces, probs: np.ndarray, words: list[str]) -> np.ndarray:
-    """Log probability of every word under every language (probs: language x piece), all segmentations summed."""
+    """Log probability of every word under every language (probs: language x piece), all segmentations summed.
+
+    Words of any length: the sums run through a window as long as the longest piece, put back in range as they go.
+    """
     out = {}
-    todo = {p for w in words for p in parts(w)}
-    for group in by_length(todo):
-        for at in range(0, len(group), 4096):
-            some = group[at : at + 4096]
-            n, lat = pieces.lattice(some)
-            a = np.zeros((n + 1, len(some), len(probs)))
+    for group in by_length({MARK + w for w in words}):
+        n = len(group[0])
+        step = max(1, 4096 * 48 // max(48, n))
+        for at in range(0, len(group), step):
+            some = group[at : at + step]
+            h = pieces.hashes(some)
+            width = pieces.longest + 1
+            a = np.zeros((width, len(some), len(probs)))  # place i stands at i modulo width
             a[0] = 1.0
             log = np.zeros((len(some), len(probs)))
             for i in range(n):
-                if i and i % 8 == 0:  # keep the sums in range, with one factor for the places still open
-                    top = np.maximum(a[i : i + pieces.longest + 1].max(axis=(0, 2)), 1e-300)
-                    a[i:] /= top[None, :, None]
+                if i and i % 8 == 0:  # one factor for the places still open
+                    top = np.maximum(a.max(axis=(0, 2)), 1e-300)
+                    a /= top[None, :, None]
                     log += np.log(top)[:, None]
+                here = a[i % width]
                 for j in range(i + 1, min(n, i + pieces.longest) + 1):
-                    ids = lat[i, j]
+                    ids = pieces.between(h, i, j)
                     if j - i == 1:
-                        a[j] += a[i] * probs.T[ids]  # the last row is that of unknown characters
+                        a[j % width] += here * probs.T[ids]  # the last row is that of unknown characters
                     else:
                         hit = np.nonzero(ids >= 0)[0]
                         if len(hit):
-                            a[j, hit] += a[i, hit] * probs.T[ids[hit]]
-            log += np.log(np.maximum(a[n], 1e-300))
+                            a[j % width, hit] += here[hit] * probs.T[ids[hit]]
+                a[i % width] = 0.0
+            log += np.log(np.maximum(a[n % width], 1e-300))
             out.update(zip(some, log))
-    return np.array([sum(out[p] for p in parts(w)) for w in words]) if words else np.zeros((0, len(probs)))
+    return np.array([out[MARK + w] for w in words]) if words else np.zeros((0, len(probs)))
 
 
 def learn(docs: DataFrame, pieces: list[str], smooth: float = 0.05):

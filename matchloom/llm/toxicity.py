@@ -10,7 +10,7 @@ Every hit gets a context window of 8 words on each side: quotation marks around
 separate quotation from abuse; an address to a second person and further hits strengthen it. A logistic model on these
 counts, fitted on the same sample, gives the score.
 
-Null and empty texts have no hit and get the model's score for that. Without a toxic row in the sample the score is 0.
+Very long texts are taken whole. Ties between terms go by edits, then by code point. Null and empty texts have no hit and get the model's score for that. Without a toxic row in the sample the score is 0.
 Repeated rows are scored alike; extra columns are ignored; empty tables give empty results.
 """
 
@@ -180,8 +180,9 @@ def _frequencies(batches):
     yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(stem), pa.array(clean), pa.array(toxic), pa.array(np.array(slots, dtype=np.uint64).view(np.int64))], names=["term", "stem", "clean", "toxic", "slots"])
 
 
-def learn_lexicon(sample: DataFrame, terms: int = 400, least: int = 4, odds: float = 3.0) -> list[tuple[str, bool]]:
-    """The terms of sample(text, toxic) with the highest log odds; a stem must stand for at least three times `least` rows.
+def learn_lexicon(sample: DataFrame, least: int = 4, odds: float = 3.0) -> list[tuple[str, bool]]:
+    """All terms of sample(text, toxic) with log odds of `odds` or more that stand in at least `least` toxic rows, and in 1%
+    of them; a stem must stand for at least three times as many. The sample bounds how many there can be.
 
     A term must follow many different words, so that words of a text that was copied often are no terms.
     """
@@ -195,11 +196,11 @@ def learn_lexicon(sample: DataFrame, terms: int = 400, least: int = 4, odds: flo
     least = max(least, bad // 100)
     score = F.log((F.col("toxic") + 0.5) / (bad - F.col("toxic") + 0.5)) - F.log((F.col("clean") + 0.5) / (good - F.col("clean") + 0.5))
     best = n.where("term <> ''").withColumn("score", score).where((F.col("toxic") >= least) & (F.col("contexts") >= F.least(F.lit(12.0), F.col("toxic") * 0.5)) & (F.col("score") >= odds) & (~F.col("stem") | (F.col("toxic") >= 3 * least)))
-    rows = best.orderBy(F.col("score").desc(), "term", "stem").limit(4 * terms).collect()
+    rows = best.orderBy(F.col("score").desc(), "term", "stem").collect()  # from at most `sample` rows
     out: list[tuple[str, bool]] = []
     stems: set[str] = set()
     for r in sorted(rows, key=lambda r: (not r["stem"], len(r["term"]) if r["stem"] else 0, -r["score"], r["term"])):
-        if len(out) >= terms or any(r["term"].startswith(s) for s in stems):
+        if any(r["term"].startswith(s) for s in stems):
             continue  # a shorter stem stands for it
         # A stem that comes from one word alone gives way to that word.
         if r["stem"] and any(not x["stem"] and x["term"].startswith(r["term"]) and x["toxic"] >= 0.8 * r["toxic"] for x in rows):

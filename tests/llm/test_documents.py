@@ -345,6 +345,7 @@ def test_language_id(spark):
         assert r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) and 0 <= r["score"] <= 1
         if i < 200:
             assert r["lang_pred"] == lang
+    assert sum(got[i]["lang_pred"] == g for i, _, g in made[:150] if got[i]["held_out"]) == sum(got[i]["held_out"] for i, _, _ in made[:150])
     assert [got[i]["lang_pred"] for i in (200, 201, 202, 203, 205)] == ["und", "und", "und", "en", "en"]
 
 
@@ -365,6 +366,16 @@ def test_forward_sum_over_segmentations():
     for w in ("a", "ab", "babab", "abababababababab"):
         got = langid.word_scores(langid.Pieces(names), probs, [w])[0, 0]
         assert abs(got - math.log(brute("▁" + w))) < 1e-9
+    # A long word: the same sum, place by place, with no cut anywhere.
+    w = "▁" + "babaabbab" * 60
+    a = [1.0] + [0.0] * len(w)
+    log = 0.0
+    for j in range(1, len(w) + 1):
+        a[j] = sum(a[i] * probs[0, names.index(w[i:j])] for i in range(max(0, j - 3), j) if w[i:j] in names)
+        if j % 5 == 0:
+            a, log = [x / a[j] for x in a], log + math.log(a[j])
+    got = langid.word_scores(langid.Pieces(names), probs, [w[1:]])[0, 0]
+    assert abs(got - log - math.log(a[-1])) < 1e-6
 
 
 def test_empty_tables(empty):
