@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import fields, stored
+from .common import broadcast_if_small, fields, stored
 
 CONTROL = re.compile(r"\\|#(?=##)|<(?=/turn>)")
 IN_ROLE = re.compile(r"\\|#(?=##)|<(?=/turn>)|:(?= )")
@@ -70,8 +70,6 @@ def encoder(path: str | None = None):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-
-
 TURNS = T.ArrayType(fields(("turn", "long"), ("role", "string"), ("text", "string")))
 
 
@@ -118,19 +116,34 @@ def _encoded(path: str | None):
     return run
 
 
+def _hot(members: DataFrame, most: int) -> DataFrame:
+    """Nodes that stand on more than `most` paths, at most one for so many rows of members, and in how many parts each is joined."""
+    many = members.groupBy("node").agg(F.count(F.lit(1)).alias("paths")).where(F.col("paths") > most)
+    return broadcast_if_small(stored(many.select("node", F.ceil(F.col("paths") / most).cast("int").alias("parts"))))
+
+
+def _with_nodes(members: DataFrame, nodes: DataFrame, hot: DataFrame, by: str) -> DataFrame:
+    """members joined with their nodes; a hot node's row is repeated for each of its parts, and its members are dealt to them by `by`."""
+    left = members.join(hot, "node", "left").withColumn("part", F.pmod(F.xxhash64(by), F.coalesce("parts", F.lit(1)))).drop("parts")
+    right = nodes.join(hot, "node", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)).cast("long") - 1))).drop("parts")
+    return left.join(right, ["node", "part"]).drop("part")
+
+
 class Formatted:
-    """paths(conv_id, leaf), nodes(node, parent..., tokens, offset, position, attends), members(leaf, depth, node)."""
+    """convs(conv_id, leaf), members(leaf, depth, node), nodes(node, depth, n, tokens, offset, position, attends...), hot(node, parts)."""
 
-    def __init__(self, convs, members, nodes):
-        self.convs, self.members, self.nodes = convs, members, nodes
+    def __init__(self, convs, members, nodes, hot):
+        self.convs, self.members, self.nodes, self.hot = convs, members, nodes, hot
 
 
-def format_chats(rows: DataFrame, tokenizer: str | None = None) -> Formatted:
+def format_chats(rows: DataFrame, tokenizer: str | None = None, most: int = 4096) -> Formatted:
+    """The prefix tree; a node on more than `most` distinct paths, such as a common system prompt, is joined in parts."""
     paths = stored(conversations(rows).mapInArrow(_paths, PATHS))
     distinct = paths.groupBy("leaf").agg(F.min(F.struct(F.transform("path", lambda x: x["node"]).alias("names"))).alias("p")).select("leaf", F.col("p.names").alias("names"))
     # A range sort puts equal beginnings side by side; the id grows along the sorted partitions.
     ordered = stored(distinct.repartitionByRange("names").sortWithinPartitions("names").select("leaf", "names", F.monotonically_increasing_id().alias("place")))
     members = ordered.select("leaf", "place", F.posexplode("names").alias("depth", "node"))
+    hot = _hot(members, most)
     owner = members.groupBy("node").agg(F.min("place").alias("place"), F.min("depth").alias("depth"))
     texts = paths.select(F.explode("path").alias("x")).select("x.*").groupBy("node").agg(F.min(F.struct("role", "text")).alias("t")).select("node", "t.role", "t.text")
     tokens = stored(texts.mapInArrow(_encoded(tokenizer), fields(("node", "binary"), ("tokens", T.ArrayType(T.IntegerType())), ("loss_from", "int"), ("loss_to", "int"))))
@@ -143,13 +156,13 @@ def format_chats(rows: DataFrame, tokenizer: str | None = None) -> Formatted:
     placed = stored(placed)
     # Ancestors come from the path of the node's owner.
     own = owner.select("node", "place", "depth")
-    line = members.select("place", F.col("depth").alias("up"), F.col("node").alias("a")).join(placed.select(F.col("node").alias("a"), "n", "offset"), "a")
+    line = _with_nodes(members.select("place", F.col("depth").alias("up"), "node"), placed.select("node", "n", "offset"), hot, "place")
     line = line.groupBy("place").agg(F.sort_array(F.collect_list(F.struct("up", F.col("offset").alias("begin"), (F.col("offset") + F.col("n")).alias("end")))).alias("line"))
     up = F.filter("line", lambda x: x["up"] < F.col("depth"))
     attends = own.join(line, "place").select("node", F.transform(up, lambda x: F.struct(x["begin"].alias("begin"), x["end"].alias("end"))).alias("attends"))
     attends = attends.withColumn("position", F.aggregate("attends", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["begin"]))
     nodes = stored(placed.join(tokens, "node").join(attends, "node"))
-    return Formatted(paths.select("conv_id", "leaf"), members.select("leaf", "depth", "node"), nodes)
+    return Formatted(paths.select("conv_id", "leaf"), members.select("leaf", "depth", "node"), nodes, hot)
 
 
 def _read_back(path: str | None):
@@ -175,7 +188,7 @@ def _read_back(path: str | None):
 
 def read_back(chats: Formatted, tokenizer: str | None = None) -> DataFrame:
     """Per conversation, from the tokens that were emitted: its turns, what the loss mask holds, and its formatted length."""
-    nodes = chats.members.join(chats.nodes.select("node", "tokens", "loss_from", "loss_to", "offset", "n"), "node")
+    nodes = _with_nodes(chats.members, chats.nodes.select("node", "tokens", "loss_from", "loss_to"), chats.hot, "leaf")
     lines = nodes.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("depth", "tokens", "loss_from", "loss_to"))).alias("line"))
     lines = lines.mapInArrow(_read_back(tokenizer), fields(("leaf", "binary"), ("n_turns", "long"), ("turns_sha256", "string"), ("loss_chars", "long"), ("loss_sha256", "string"), ("formatted_chars", "long")))
     return chats.convs.join(lines, "leaf").drop("leaf").select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")

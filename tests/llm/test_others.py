@@ -55,6 +55,22 @@ def test_chat_tree_shares_nodes_and_attends_to_ancestors(spark):
             assert all(u["offset"] < nodes[name]["offset"] for u in up)
 
 
+def test_chat_with_a_node_on_all_paths(spark):
+    """One first turn for all conversations, joined in parts: the same result as in one."""
+    made = [(c, n, "user" if n % 2 == 0 else "assistant", "system prompt" if n == 0 else f"text {c % 40} {n}") for c in range(60) for n in range(3)]
+    df = spark.createDataFrame(made, "conv_id long, turn long, role string, text string")
+    got = [chat.format_chats(df, most=most) for most in (5, 4096)]
+    assert got[0].hot.count() == 1 and got[1].hot.count() == 0
+    for rows in (lambda x: x.nodes.select("node", "offset", "position", "attends"), chat.read_back):
+        a, b = (sorted(map(repr, rows(x).collect())) for x in got)
+        assert a == b
+    assert got[0].nodes.count() == 1 + 40 * 2 and chat.read_back(got[0]).count() == 60
+
+
+def test_chat_empty(spark):
+    assert chat.read_back(chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
+
+
 def test_escape_round_trip():
     rng = random.Random(3)
     for _ in range(2000):
