@@ -319,6 +319,38 @@ def test_pii(spark):
         assert all(a[1] <= b[0] for a, b in zip(places, places[1:]))
 
 
+def card(rng):
+    d = [rng.randrange(10) for _ in range(15)]
+    return next(c for c in ("".join(map(str, d + [x])) for x in range(10)) if luhn(c))
+
+
+def test_pii_adds_disguised_spans(spark):
+    """Disguised data are found from what base spans teach; dates, versions, times and numbers that fail Luhn stay, and so do all base spans."""
+    rng = __import__("random").Random(2)
+    word, n = lambda: "".join(rng.choices("abcdefgh", k=6)), rng.randrange
+    dotted = lambda sep: sep.join(str(n(1, 255)) for _ in range(4))
+    fours = lambda c, sep: sep.join(c[i : i + 4] for i in range(0, 16, 4))
+    plain, noise, hidden = [], [], []
+    for _ in range(150):
+        plain.append(f"please write to {word()}@{word()}.com or call +1 ({n(200, 999)}) 555-{n(1000, 9999)} today")
+        plain.append(f"the card {fours(card(rng), ' ')} was used from host {dotted('.')} again")
+        bad = "".join(str(n(10)) for _ in range(16))
+        noise.append(f"on {n(10, 29)}.{n(10, 13)}.{n(1990, 2030)} release {n(10)}.{n(10)} at {n(24)}:{n(10, 60)} took {n(300, 999)}:{n(300, 999)}:{n(300, 999)}:{n(300, 999)} steps" + ("" if luhn(bad) else f" of lot {fours(bad, '.')} here"))
+    for _ in range(8):
+        for before, span in (("please write to ", f"{word()} (at) {word()} (dot) org"), ("the card ", fours(card(rng), ".")), ("used from host ", dotted("[.]")), ("or call ", f"001 ({n(200, 999)}) 555-{n(1000, 9999)}")):
+            hidden.append((before + span + " today", len(before), len(before) + len(span)))
+    texts = plain + noise + [t for t, _, _ in hidden]
+    got = [r["spans"].split(",") if r["spans"] else [] for r in pii.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert all(g == base_spans(t) for g, t in zip(got[: len(plain)], plain))
+    assert sum(g != base_spans(t) for g, t in zip(got[len(plain) :], noise)) <= 0.02 * len(noise)
+    hits = [any(s.endswith(f":{a}:{b}") for s in g) for g, (_, a, b) in zip(got[len(plain) + len(noise) :], hidden)]
+    assert [sum(hits[k::4]) for k in range(4)] == [8] * 4
+
+
+def test_pii_empty(empty):
+    assert pii.digest(empty).count() == 0
+
+
 def test_pii_redacts(spark):
     df = spark.createDataFrame([(1, "write a@b.com or +1 (988) 555-2485 now"), (2, None)], "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in pii.redacted(df, pii.spans(df)).collect()}
