@@ -8,7 +8,7 @@ their kind are the negatives, so real data in disguise count as such too and onl
 The trees are fitted outside the calibration fold, a fifth of the documents, from one table of counts by feature values,
 whose size is bounded by the product of the features' ranges (8,640 rows). On the calibration fold a threshold per kind
 is set where precision is at least `precision` over at least 20 spans; without that, a kind adds nothing. Proposals above
-it that touch no base span are added, leftmost first.
+it that touch no base span are added, leftmost first; an ip or a card must also pass its parts' or Luhn check.
 
 Proposed cards have 12 to 23 digits, proposed phones 2 to 6 groups of digits; parts of mails and addresses have any length.
 
@@ -231,7 +231,7 @@ def spans(docs: DataFrame, precision: float = 0.9) -> DataFrame:
         least.append(limit)
     clear = lambda w: ~F.exists("base", lambda b: (b["s"] < w["e"]) & (b["e"] > w["s"]))
     score = lambda w: margin(start, trees, lambda c: w["k" if c == "kind" else c])
-    extra = F.filter("wide", lambda w: (score(w) >= F.element_at(F.array(*map(F.lit, least)), w["k"] + 1)) & clear(w))
+    extra = F.filter("wide", lambda w: (score(w) >= F.element_at(F.array(*map(F.lit, least)), w["k"] + 1)) & clear(w) & (~w["k"].isin(1, 2) | (w["valid"] == 1)))
     extra = F.array_sort(F.transform(extra, lambda w: F.struct(w["s"].alias("s"), (-w["e"]).alias("r"), w["k"].alias("k"))))
     pick = F.aggregate(
         extra,
