@@ -5,10 +5,9 @@ segmentations into pieces; the forward algorithm sums the probabilities of them
 piece weights over the training words gives expected piece counts per language, smoothed to piece probabilities. A text
 scores by its words' log probabilities plus the log prior of the language; the score is the winner's posterior.
 
-Words of any length are scored whole; for the expected counts alone, words of over 48 letters are cut every 48
-(learning does not count pieces across such a cut). Very long texts are taken whole; repeated rows are judged alike; extra columns are
-ignored. Null text, or text without a letter: "und", score 0. Ties go to the
-language first by code point. Empty tables give empty results; without any training row every text is "und".
+Words of any length are learned from and scored whole, very long texts too; repeated rows are judged alike; extra columns
+are ignored. Null text, or text without a letter: "und", score 0. Ties go to the language first by code point. Empty tables
+give empty results; without any training row every text is "und".
 """
 
 from __future__ import annotations
@@ -24,7 +23,8 @@ from pyspark.sql import functions as F
 from .common import fields
 
 LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
-LONGEST, MARK = 48, "▁"
+MARK = "▁"
+UNKNOWN = 1e-3  # weight of an unknown character against that of a piece, for the expected counts
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -46,7 +46,7 @@ class Pieces:
     def __init__(self, pieces: list[str]):
         self.pieces, self.longest = pieces, max(map(len, pieces))
         with np.errstate(over="ignore"):
-            self.power = np.cumprod(np.full(LONGEST + 2, _BASE, dtype=np.uint64))
+            self.power = np.cumprod(np.full(self.longest + 1, _BASE, dtype=np.uint64))
         keys = np.array([self.hashed(p) for p in pieces], dtype=np.uint64)
         self.bits = 18
         size = 1 << self.bits
@@ -91,10 +91,10 @@ class Pieces:
         """Ids of the pieces that the words hold from i to j, or -1."""
         return self.find(h[:, j] - h[:, i] * self.power[j - i - 1])
 
-    def lattice(self, words: list[str]):
-        """For words of one length: {(begin, end): piece ids or -1}."""
-        n, h = len(words[0]), self.hashes(words)
-        return n, {(i, j): self.between(h, i, j) for i in range(n) for j in range(i + 1, min(n, i + self.longest) + 1)}
+    def lattice(self, words: list[str]) -> list[np.ndarray]:
+        """For words of one length: ids[d - 1][k, i], the piece that word k holds from i to i + d, or -1."""
+        h = self.hashes(words)
+        return [self.find((h[:, d:] - h[:, :-d] * self.power[d - 1]).ravel()).reshape(len(words), -1) for d in range(1, min(self.longest, len(words[0])) + 1)]
 
 
 def by_length(words):
@@ -104,38 +104,49 @@ def by_length(words):
     return out.values()
 
 
-def parts(word: str):
-    """A word for the expected counts."""
-    word = MARK + word
-    return [word] if len(word) <= LONGEST else [word[i : i + LONGEST] for i in range(0, len(word), LONGEST)]
-
-
 def words_of(text: str | None) -> list[str]:
     return LETTERS.findall(text.lower()) if text else []
 
 
+def log_sums(ids: list[np.ndarray], flat: float, back: bool) -> np.ndarray:
+    """log_sums[k, i]: the log of the sum over all segmentations of word k before place i, or from it on if `back`.
+
+    The sums run through a window as long as the longest piece, put back in range as they go.
+    """
+    rows, n = ids[0].shape
+    width = len(ids) + 1
+    a, log, out = np.zeros((width, rows)), np.zeros(rows), np.zeros((rows, n + 1))
+    a[0] = 1.0
+    for i in range(n + 1):
+        if i and i % 8 == 0:
+            top = a.max(axis=0)
+            a /= top
+            log += np.log(top)
+        here = a[i % width].copy()
+        out[:, n - i if back else i] = np.log(here) + log
+        a[i % width] = 0.0
+        for d in range(1, min(len(ids), n - i) + 1):
+            weight = np.where(ids[d - 1][:, n - i - d if back else i] >= 0, flat, UNKNOWN * flat if d == 1 else 0.0)
+            a[(i + d) % width] += here * weight
+    return out
+
+
 def expected_counts(pieces: Pieces, counts: Counter) -> np.ndarray:
     """Expected piece counts of the words under equal piece weights; one more place for unknown characters."""
     v = len(pieces.pieces)
     out, flat = np.zeros(v + 1), 1.0 / v
-    split = Counter()
-    for w, c in counts.items():
-        for p in parts(w):
-            split[p] += c
-    for group in by_length(split):
-        for at in range(0, len(group), 4096):
-            words = group[at : at + 4096]
-            n, lat = pieces.lattice(words)
-            weight = {k: np.where(ids >= 0, flat, 1e-3 * flat if k[1] - k[0] == 1 else 0.0) for k, ids in lat.items()}
-            a, b = np.zeros((n + 1, len(words))), np.zeros((n + 1, len(words)))
-            a[0] = b[n] = 1.0
-            for i, j in sorted(weight):
-                a[j] += a[i] * weight[i, j]
-            for i, j in sorted(weight, reverse=True):
-                b[i] += b[j] * weight[i, j]
-            c = np.array([split[w] for w in words], dtype=float) / a[n]
-            for (i, j), ids in lat.items():
-                np.add.at(out, np.where(ids >= 0, ids, v), a[i] * weight[i, j] * b[j] * c)
+    for group in by_length(MARK + w for w in counts):
+        step = max(1, 4096 * 48 // max(48, len(group[0])))
+        for at in range(0, len(group), step):
+            words = group[at : at + step]
+            ids = pieces.lattice(words)
+            before, after = log_sums(ids, flat, False), log_sums(ids, flat, True)
+            times = np.array([counts[w[1:]] for w in words], dtype=float)
+            for d, found in enumerate(ids, 1):
+                k, i = np.nonzero(found >= 0) if d > 1 else map(np.ravel, np.indices(found.shape))
+                piece = found[k, i]
+                share = before[k, i] + after[k, i + d] - after[k, 0] + np.where(piece >= 0, np.log(flat), np.log(UNKNOWN * flat))
+                out += np.bincount(np.where(piece >= 0, piece, v), weights=np.exp(share) * times[k], minlength=v + 1)
     return out
 
 

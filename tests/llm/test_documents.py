@@ -410,6 +410,54 @@ def test_forward_sum_over_segmentations():
     assert abs(got - log - math.log(a[-1])) < 1e-6
 
 
+def test_expected_counts_over_segmentations():
+    """Against the segmentations of short words one by one, and of a long word by exact fractions, with no cut anywhere."""
+    from collections import Counter
+    from fractions import Fraction as Q
+
+    names = ["▁", "a", "b", "ab", "▁a", "ba", "bab"]
+    flat, unknown = Q(1, len(names)), Q(1, 1000 * len(names))
+
+    def weight(s):
+        return flat if s in names else unknown if len(s) == 1 else 0
+
+    def brute(word):
+        a = [Q(1)] + [Q(0)] * len(word)
+        b = [Q(0)] * len(word) + [Q(1)]
+        spans = [(i, j) for i in range(len(word)) for j in range(i + 1, min(len(word), i + 3) + 1)]
+        for i, j in spans:
+            a[j] += a[i] * weight(word[i:j])
+        for i, j in reversed(spans):
+            b[i] += b[j] * weight(word[i:j])
+        out = Counter()
+        for i, j in spans:
+            out[word[i:j] if word[i:j] in names else None] += a[i] * weight(word[i:j]) * b[j] / a[-1]
+        return out
+
+    def one_by_one(word):
+        out, total = Counter(), Q(0)
+        todo = [(0, Q(1), ())]
+        while todo:
+            at, w, used = todo.pop()
+            if at == len(word):
+                total += w
+                for s in used:
+                    out[s if s in names else None] += w
+            todo += [(at + n, w * weight(word[at : at + n]), (*used, word[at : at + n])) for n in (1, 2, 3) if at + n <= len(word) and weight(word[at : at + n])]
+        return Counter({s: n / total for s, n in out.items()})
+
+    for w in ("a", "babab", "abcab"):
+        got = one_by_one("▁" + w)
+        assert all(abs(got[s] - n) < 1e-12 for s, n in brute("▁" + w).items())
+    words = Counter({"a": 3, "babab": 2, "abcab": 1, "ccc": 4, "babaabbab" * 20 + "c" + "ab" * 30: 2})
+    want = Counter()
+    for w, n in words.items():
+        for s, x in brute("▁" + w).items():
+            want[s] += n * x
+    got = langid.expected_counts(langid.Pieces(names), words)
+    assert all(abs(got[k] - float(want[s])) < 1e-9 * max(1, float(want[s])) for k, s in enumerate([*names, None]))
+
+
 def test_empty_tables(empty):
     assert ngram_join.join(empty).count() == 0
     assert substring_dedup.digest(empty).count() == 0
