@@ -5,6 +5,7 @@ The lexicon is learned from a bounded sample of labelled rows (`sample`, 20,000
 in one trie. The automaton of the trie's words within `errors(term)` edits is built lazily: a state is the set of
 (trie node, edits) pairs still alive, so a word is matched in one walk and most words die after a few letters. Words near
 a term that clean rows of the sample use are words of their own, not misspellings; other near words count 0.7 of a term.
+What a clean row only quotes or reports is no use of its own: it speaks neither against a term nor for a near word.
 
 Every hit gets a context window of 8 words on each side: quotation marks around it or a verb of reporting before it
 separate quotation from abuse; an address to a second person and further hits strengthen it. A logistic model on these
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import fields
 
-TOKENS = re.compile(r"\w+|[\"“”„«»‘’']")
+TOKENS = re.compile(r"\w+|[\"“”„«»‘]|(?<!\w)[’']|[’'](?!\w)")  # an apostrophe inside a word is no quotation mark
 SPAN = 8
 NEAR = 0.7  # what a misspelled term counts
 # Quotation marks, verbs of reporting and second-person words in four languages.
@@ -37,6 +38,19 @@ SECOND = {"you", "your", "yourself", "u", "ur", "du", "dich", "dein", "euch", "t
 STEMS = (4, 5, 6)
 
 
+def quoted_at(tokens: list[str], i: int) -> bool:
+    """Whether token i stands between quotation marks, or after a verb of reporting, within its window."""
+    left = tokens[max(0, i - SPAN) : i]
+    return (not QUOTES.isdisjoint(left) and not QUOTES.isdisjoint(tokens[i + 1 : i + SPAN + 1])) or not REPORTING.isdisjoint(left)
+
+
+def own_words(tokens: list[str]) -> list[bool]:
+    """For each token, whether the text says it itself, not in a quotation."""
+    if QUOTES.isdisjoint(tokens) and REPORTING.isdisjoint(tokens):
+        return [True] * len(tokens)
+    return [not quoted_at(tokens, i) for i in range(len(tokens))]
+
+
 def errors(term: str, stem: bool) -> int:
     """Edits allowed: none for stems and short words, one from five letters on, two from nine."""
     return 0 if stem or len(term) < 5 else 1 if len(term) < 9 else 2
@@ -140,8 +154,7 @@ def features(text: str | None, lexicon: Lexicon, cache: dict) -> list[float]:
     dense, lo, hi = 0, 0, 0
     for i in at:
         around = tokens[max(0, i - SPAN) : i + SPAN + 1]
-        left = tokens[max(0, i - SPAN) : i]
-        quoted += (any(t in QUOTES for t in left) and any(t in QUOTES for t in tokens[i + 1 : i + SPAN + 1])) or any(t in REPORTING for t in left)
+        quoted += quoted_at(tokens, i)
         second += any(t in SECOND for t in around)
         while at[lo] < i - SPAN:
             lo += 1
@@ -163,8 +176,9 @@ def _frequencies(batches):
             total[toxic] += 1
             tokens = TOKENS.findall(text.lower()) if text else []
             seen: dict[tuple[str, bool], int] = {}
-            for w, before in zip(tokens, ["", *tokens]):
-                if w.isalpha():
+            own = [True] * len(tokens) if toxic else own_words(tokens)
+            for w, before, counts in zip(tokens, ["", *tokens], own):
+                if counts and w.isalpha():
                     slot = 1 << (zlib.crc32(before.encode()) & 63) if toxic else 0
                     if len(w) >= 3:
                         seen[w, False] = seen.get((w, False), 0) | slot
@@ -245,7 +259,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000):
         lexicon, found, seen = Lexicon(terms), set(), set()
         for b in batches:
             for text in b.column(0).to_pylist():
-                new = set(TOKENS.findall(text.lower())) - seen if text else set()
+                tokens = TOKENS.findall(text.lower()) if text else []
+                new = {w for w, own in zip(tokens, own_words(tokens)) if own} - seen
                 found |= {w for w in new if (m := lexicon.match(w)) and m[0] > 0}
                 seen = new if len(seen) > 300_000 else seen | new
         yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["word"])

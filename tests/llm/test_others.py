@@ -195,6 +195,33 @@ def test_toxicity(spark):
     assert {r["doc_id"] for r in kept.select("doc_id").collect()} == {i for i, r in got.items() if not r["predicted"]}
 
 
+def test_toxicity_tells_quotation_from_abuse(spark):
+    """The same terms, in clean rows as often as in toxic ones, but there in quotation marks or after a verb of reporting."""
+    rng = random.Random(21)
+    bad = ["idiot", "moron", "scum", "worthless"]
+    rows, labels = [], []
+    for i in range(600):
+        w = words(rng, 60)
+        for b in rng.sample(bad, 3) if i % 3 else []:
+            at = rng.randrange(len(w))
+            w[at:at] = [b] if i % 3 == 1 else [f'"{b}"'] if i % 2 else ["said", b]
+        rows.append((i, " ".join(w)))
+        labels.append((i, 1, int(i % 3 == 1)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in toxicity.digest(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    held = [i for i, r in got.items() if r["held_out"]]
+    wrong = [i for i in held if got[i]["predicted"] != int(i % 3 == 1)]
+    assert len(held) > 90 and len(wrong) <= len(held) // 20
+
+
+def test_apostrophes_are_no_quotation_marks():
+    tokens = toxicity.TOKENS.findall("don't be an idiot, it's ’late’ l'idiot")
+    assert [t for t in tokens if t in toxicity.QUOTES] == ["’", "’"] and tokens.count("idiot") == 2
+    assert not toxicity.quoted_at(tokens, tokens.index("idiot"))
+    tokens = toxicity.TOKENS.findall("they called him 'an idiot' today")
+    assert toxicity.quoted_at(tokens, tokens.index("idiot"))
+
+
 def test_toxicity_without_labels(spark, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     docs = spark.createDataFrame(make_docs(), SCHEMA)
