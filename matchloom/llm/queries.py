@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, embeddings, langid, mixing, ngram_join, pii, sharding, substring_dedup, toxicity
+from . import chat, decontamination, embeddings, importance, langid, line_dedup, mixing, ngram_join, periodic_runs, pii, sharding, substring_dedup, toxicity
 from .common import table
 
 
@@ -46,6 +46,18 @@ def op10_language_id(spark, sf_dir):
     return langid.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark, sf_dir):
+    return periodic_runs.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark, sf_dir):
+    return importance.select(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_line_dedup(spark, sf_dir):
+    return line_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -53,7 +65,7 @@ def pipeline(spark, sf_dir):
 
 
 def queries():
-    every = [op1_chat_prefix_tree, op2_benchmark_decontamination, op3_toxicity, op4_pii, op5_balanced_sharding, op6_embedding_near_dedup, op7_source_mixing, op8_ngram_jaccard_join, op9_substring_dedup, op10_language_id, pipeline]
+    every = [op1_chat_prefix_tree, op2_benchmark_decontamination, op3_toxicity, op4_pii, op5_balanced_sharding, op6_embedding_near_dedup, op7_source_mixing, op8_ngram_jaccard_join, op9_substring_dedup, op10_language_id, op11_periodic_runs, op12_importance_resampling, op13_line_dedup, pipeline]
     return {f.__name__: f for f in every}
 
 
@@ -84,8 +96,14 @@ each AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM
 left_ AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS t FROM each ANTI JOIN gone USING (doc_id, pos) GROUP BY 1), n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1)
 SELECT d.doc_id, len(w) AS n_words, coalesce(n.n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN left_ USING (doc_id) LEFT JOIN n USING (doc_id)"""
 
+_LINES = r"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+r AS (SELECT key, min(doc_id) AS first FROM k WHERE len(key) >= 10 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 2),
+f AS (SELECT k.*, coalesce(r.first <> k.doc_id, false) AS gone FROM k LEFT JOIN r USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM f GROUP BY 1"""
+
 
 def oracle_sql():
     """Operators that SQL expresses over whole tables in reasonable time; the others are tested against brute force or by
     held-out labels."""
-    return {"op1_chat_prefix_tree": _CHATS, "op6_embedding_near_dedup": _VECTORS, "op8_ngram_jaccard_join": _NGRAMS, "op9_substring_dedup": _REPEATS}
+    return {"op1_chat_prefix_tree": _CHATS, "op6_embedding_near_dedup": _VECTORS, "op8_ngram_jaccard_join": _NGRAMS, "op9_substring_dedup": _REPEATS, "op13_line_dedup": _LINES}
