@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as X
+from ..sources.store import stored
 
 
 def link_metrics(golden: DataFrame, mentions: DataFrame, id_col: str) -> DataFrame:
@@ -35,20 +36,19 @@ def regressions(now: dict, base: dict) -> list[str]:
     return out
 
 
-def positions(scores: DataFrame, group: str, score: str, id_col: str, parts: int = 256) -> DataFrame:
-    """scores with rank (from 0) by falling score, ties by id, and n, the group's size.
+def positions(scores: DataFrame, group: str, score: str, id_col: str) -> DataFrame:
+    """scores with rank (from 0) by falling score, ties by id, null scores last, and n, the group's size.
 
-    Rows are ranked inside quantile buckets of their group; one row a bucket carries what stands before it.
+    One range sort by all three, so neither a large group nor many equal scores fall to one task. A group lies in few
+    neighbouring partitions; one row for each of them carries what stands before it.
     """
-    cuts = scores.groupBy(group).agg(F.percentile_approx(score, [k / parts for k in range(1, parts)], 10_000).alias("_cuts"))
-    rows = scores.join(cuts, scores[group].eqNullSafe(cuts[group])).drop(cuts[group])
-    rows = rows.withColumn("_b", F.size(F.filter("_cuts", lambda c: c > F.col(score)))).drop("_cuts")
-    each = rows.groupBy(group, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    whole = W.partitionBy(group)  # at most `parts` rows
-    each = each.select(F.col(group).alias("_g"), F.col("_b").alias("_c"), (F.sum("_n").over(whole.orderBy("_b")) - F.col("_n")).alias("_before"), F.sum("_n").over(whole).alias("n"))
-    own = rows.withColumn("_r", F.row_number().over(W.partitionBy(group, "_b").orderBy(F.col(score).desc(), id_col)))
-    out = own.join(each, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_b") == F.col("_c")))
-    return out.withColumn("rank", F.col("_r") + F.col("_before") - 1).drop("_r", "_before", "_b", "_g", "_c")
+    order = [F.asc_nulls_first(group), F.desc_nulls_last(score), F.col(id_col)]
+    placed = stored(scores.sort(*order).withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))
+    each = placed.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    whole = W.partitionBy(group)  # a row a partition at most
+    each = each.select(F.col(group).alias("_g"), F.col("_part").alias("_p"), "_first", (F.sum("_n").over(whole.orderBy("_part")) - F.col("_n")).alias("_before"), F.sum("_n").over(whole).alias("n"))
+    out = placed.join(each, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_p")))
+    return out.withColumn("rank", F.col("_before") + F.col("_at") - F.col("_first")).drop("_at", "_part", "_g", "_p", "_first", "_before")
 
 
 def sample_across(scores: DataFrame, group: str, score: str, id_col: str, n: int) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..sources.store import small
+from .phrases import phrases_within
 
 # Which profile fields a linker reads together.
 GROUPS = {"list": ("headline", "skills"), "prose": ("projects", "extra_curriculars", "education", "certifications")}
@@ -31,18 +31,19 @@ def link_list_field(fields: DataFrame, id_col: str, surface: DataFrame) -> DataF
 
 
 def link_prose(fields: DataFrame, id_col: str, surface: DataFrame) -> DataFrame:
-    """Adjacent mentions of related phrases inside prose, case ignored, within words too. The phrases are a vocabulary:
-    they are broadcast if they are few enough, and each task looks for all of them in its own texts."""
-    near = surface.where("pillar = 'skill' and kind = 'related'").select(F.lower(X.strip(F.col("phrase"))).alias("low"), "phrase", "term_id", "term_ord", "ord")
-    prose = fields.where(F.col("field").isin(*GROUPS["prose"])).withColumn("_t", F.lower("text"))
-    return prose.join(small(near), F.col("_t").contains(F.col("low"))).select(id_col, "field", F.col("ord").alias("pos"), "phrase", "term_id", F.lit("adjacent").alias("relation"))
+    """Adjacent mentions of related phrases inside prose, case ignored, within words too: all phrases in one pass."""
+    near = surface.where("pillar = 'skill' and kind = 'related'").select("phrase", "term_id", "term_ord", F.col("ord").alias("pos"), F.lit("adjacent").alias("relation"))
+    prose = fields.where(F.col("field").isin(*GROUPS["prose"])).select(id_col, "field", "text")
+    return phrases_within(prose, "text", near).select(id_col, "field", "pos", "phrase", "term_id", "relation", "term_ord")
 
 
 def link_fields(fields: DataFrame, id_col: str, surface: DataFrame) -> DataFrame:
-    """Both kinds of mentions, one for each (id, field, phrase but for case): the first."""
-    both = link_list_field(fields, id_col, surface).unionByName(link_prose(fields, id_col, surface))
-    first = both.groupBy(id_col, "field", F.lower("phrase").alias("_low")).agg(F.min(F.struct("pos", "term_id", "phrase", "relation")).alias("m"))
-    return first.select(id_col, "field", "m.*")
+    """Both kinds of mentions, one for each (id, field, phrase but for case): of a list its first entry, of prose the first
+    term in vocabulary order that has the phrase."""
+    listed = link_list_field(fields, id_col, surface).withColumn("at", F.struct("pos", F.lit(0).alias("o")))
+    prose = link_prose(fields, id_col, surface).withColumn("at", F.struct(F.col("term_ord").alias("pos"), F.col("pos").alias("o"))).drop("term_ord")
+    first = listed.unionByName(prose).groupBy(id_col, "field", F.lower("phrase").alias("_low")).agg(F.min(F.struct("at", "pos", "term_id", "phrase", "relation")).alias("m"))
+    return first.select(id_col, "field", "m.pos", "m.term_id", "m.phrase", "m.relation")
 
 
 def ground(mentions: DataFrame, fields: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
@@ -51,7 +52,7 @@ def ground(mentions: DataFrame, fields: DataFrame, id_col: str) -> tuple[DataFra
     out = mentions.join(fields.withColumnRenamed("text", "_text"), [id_col, "field"], "left")
     reason = (
         F.when(~F.coalesce(F.array_contains(allowed[F.col("group")], F.col("field")), F.lit(False)), "field not of this group")
-        .when(F.coalesce(X.strip(F.col("phrase")), F.lit("")) == "", "empty phrase")
+        .when(F.coalesce("phrase", F.lit("")) == "", "empty phrase")
         .when(~F.coalesce(F.lower("_text").contains(F.lower("phrase")), F.lit(False)), "phrase not in the field")
     )
     out = out.withColumn("reason", reason).drop("_text")
@@ -67,9 +68,7 @@ def golden_links(fields: DataFrame, id_col: str, surface: DataFrame) -> DataFram
     item = fields.where("field = 'skills'").select(id_col, "field", F.posexplode(X.split_list(F.col("text"))).alias("pos", "text"))
     found = link_list_field(fields, id_col, surface).select(id_col, "field", "pos", "term_id")
     listed = item.join(found, [id_col, "field", "pos"], "left").select(id_col, "field", "text", F.struct("pos", F.lit(0).alias("o"), "text", "term_id").alias("c"))
-    near = surface.select(F.col("phrase").alias("_p"), F.col("term_id").alias("_t"), "term_ord").where("kind = 'related'").distinct()
-    prose = link_prose(fields, id_col, surface).join(near, (F.col("phrase") == F.col("_p")) & (F.col("term_id") == F.col("_t")))
-    prose = prose.select(id_col, "field", F.col("phrase").alias("text"), F.struct(F.col("term_ord").alias("pos"), F.col("pos").alias("o"), F.col("phrase").alias("text"), "term_id").alias("c"))
+    prose = link_prose(fields, id_col, surface).select(id_col, "field", F.col("phrase").alias("text"), F.struct(F.col("term_ord").alias("pos"), F.col("pos").alias("o"), F.col("phrase").alias("text"), "term_id").alias("c"))
     first = listed.unionByName(prose).groupBy(id_col, "field", F.lower("text").alias("low")).agg(F.min("c").alias("c"))
     return first.select(id_col, "field", F.col("c.text").alias("text"), F.col("c.term_id").alias("expected"))
 

@@ -6,12 +6,15 @@ edge(pillar, src, dst, kind, weight, ord).
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as X
-from ..sources.store import small, stored
+from ..sources.store import forget, small, stored
 
 PILLARS, KINDS = ("skill", "occupation"), ("narrower", "adjacent")
 
@@ -38,16 +41,80 @@ def resolve_surface(rows: DataFrame, phrase: str, surface: DataFrame, pillar: st
     return rows.withColumn("key", X.normalize_key(F.col(phrase))).join(keys, "key", "left").withColumn("term_id", F.col("t.term_id")).drop("t", "key")
 
 
-def narrower_closure(edges: DataFrame) -> DataFrame:
-    """All (src, dst) with a path of narrower edges; cycles end too. Paths double in joins, each round written out."""
-    n, out = -1, stored(edges.where("kind = 'narrower'").select("src", "dst").distinct())
-    while (size := out.count()) != n:
-        n = size
-        further = out.alias("a").join(out.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
-        out = stored(out.union(further).distinct())
+#: Graphs of at most so many edges, and closures of so many pairs, are worked out on the driver.
+FEW_EDGES, FEW_PAIRS = 20_000, 200_000
+
+
+def _few(edges: DataFrame) -> list[tuple[str, str]] | None:
+    """The edges (src, dst), if there are few of them."""
+    rows = edges.limit(FEW_EDGES + 1).collect()
+    return [tuple(r) for r in rows] if len(rows) <= FEW_EDGES else None
+
+
+def _paths(pairs: list[tuple[str, str]]) -> list[tuple[str, str]] | None:
+    """All (src, dst) with a path, if there are few of them."""
+    below: dict[str, set[str]] = {}
+    for a, z in pairs:
+        below.setdefault(a, set()).add(z)
+    out: list[tuple[str, str]] = []
+    for a in below:
+        seen, todo = set(), list(below[a])
+        while todo:
+            z = todo.pop()
+            if z not in seen:
+                seen.add(z)
+                todo += below.get(z, ())
+        out += [(a, z) for z in seen]
+        if len(out) > FEW_PAIRS:
+            return None
     return out
 
 
+def narrower_closure(edges: DataFrame) -> DataFrame:
+    """All (src, dst) with a path of narrower edges; cycles end too.
+
+    A small graph is closed on the driver and planned as a local table. In a large one each round joins only the pairs
+    that the last round found with all found so far, on both sides, so paths double in length and no pair is made again
+    from two old ones; a round writes its new pairs alone.
+    """
+    one = edges.where("kind = 'narrower'").select("src", "dst").distinct()
+    few = _few(one)
+    paths = None if few is None else _paths(few)
+    if paths is not None:
+        return one.sparkSession.createDataFrame(pa.table({"src": pa.array([p[0] for p in paths], pa.string()), "dst": pa.array([p[1] for p in paths], pa.string())}), "src string, dst string")
+    new = stored(one)
+    out, every = [new], new
+    while True:
+        left = new.alias("a").join(every.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
+        right = every.alias("a").join(new.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
+        new = stored(left.union(right).distinct().join(every, ["src", "dst"], "left_anti"))
+        if new.isEmpty():
+            return every
+        out.append(new)
+        every = reduce(DataFrame.union, out)
+
+
+def cyclic_terms(edges: DataFrame) -> DataFrame:
+    """term_id of every term on a cycle of narrower edges.
+
+    Terms that nothing is narrower than, or that are narrower than nothing, lie on no cycle: they are trimmed, round by
+    round, each round from what the last one left. Only what stays, which is nothing for a sound graph, is closed.
+    """
+    cur, n = edges.where("kind = 'narrower'").select("src", "dst").distinct(), None
+    if _few(cur) is None:
+        cur = stored(cur)
+        while True:
+            size = cur.count()
+            if size == n or not size:
+                break
+            n = size
+            fed = cur.join(cur.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+            nxt = stored(fed.join(cur.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+            forget(cur)
+            cur = nxt
+    return narrower_closure(cur.withColumn("kind", F.lit("narrower"))).where("src = dst").select(F.col("src").alias("term_id"))
+
+
 def mirrored(edges: DataFrame) -> DataFrame:
     """Adjacent edges in both directions with the first edge's weight."""
     near = edges.where("kind = 'adjacent'")
@@ -57,7 +124,7 @@ def mirrored(edges: DataFrame) -> DataFrame:
 
 def validation_errors(terms: DataFrame, edges: DataFrame) -> DataFrame:
     """kind, detail: cycles, edges to no term of their pillar, edges to themselves, terms without surface and edge."""
-    loops = narrower_closure(edges).where("src = dst").select(F.lit("cycle").alias("kind"), F.col("src").alias("detail"))
+    loops = cyclic_terms(edges).select(F.lit("cycle").alias("kind"), F.col("term_id").alias("detail"))
     ends = edges.select("pillar", "src", "dst", F.explode(F.array("src", "dst")).alias("term_id"))
     dangling = ends.join(terms.select("pillar", "term_id"), ["pillar", "term_id"], "left_anti").select(F.lit("dangling_edge").alias("kind"), F.concat_ws("->", "src", "dst").alias("detail")).distinct()
     own = edges.where("src = dst").select(F.lit("self_edge").alias("kind"), F.col("src").alias("detail"))

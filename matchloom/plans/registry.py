@@ -9,6 +9,7 @@ from ..operators import evaluation as EV
 from ..operators import ingest, linking, matching, requests, rubric, selection, vocabulary
 from ..sources.store import stored
 from . import analogue as A
+from . import derived as D
 from .analogue import quoted, skey, sround, table, values
 
 QUERIES: dict = {}
@@ -155,28 +156,24 @@ def surface_resolution(spark, sf_dir):
 _CLOSURE = "closure AS (SELECT src, dst FROM edges WHERE kind = 'narrower' UNION SELECT c.src, e.dst FROM closure c JOIN edges e ON c.dst = e.src WHERE e.kind = 'narrower')"
 
 
-@query(f"WITH RECURSIVE {A.EDGES_SQL}, {_CLOSURE} SELECT src, dst FROM closure")
+@query(f"WITH RECURSIVE {D.EDGES_SQL}, {_CLOSURE} SELECT src, dst FROM closure")
 def narrower_closure(spark, sf_dir):
-    return vocabulary.narrower_closure(A.edges(spark))
+    return vocabulary.narrower_closure(D.edges(spark, sf_dir))
 
 
-_BAD_EDGES = [*A.EDGES, ("skill", "Brand#1", "Brand#3", "narrower", 1.0, 90), ("skill", "Brand#1", "NOWHERE", "adjacent", 0.6, 91), ("skill", "Brand#4", "Brand#4", "adjacent", 0.6, 92), ("occupation", "LOW_DESK", "Brand#1", "adjacent", 0.5, 93)]
-
-
-@query(f"""WITH RECURSIVE {values("edges", "pillar, src, dst, kind, weight, ord", _BAD_EDGES)}, {_CLOSURE}, {A.TERMS_SQL}, t AS (SELECT pillar, term_id FROM terms UNION ALL SELECT 'skill', 'LONELY'),
-ends AS (SELECT pillar, src, dst, unnest([src, dst]) AS e FROM edges)
+@query(f"""WITH RECURSIVE {D.FAULTY_SQL}, {_CLOSURE}, {D.TERMS_SQL}, ends AS (SELECT src, dst, unnest([src, dst]) AS e FROM edges)
 SELECT 'cycle' AS kind, src AS detail FROM closure WHERE src = dst
-UNION ALL SELECT DISTINCT 'dangling_edge', src || '->' || dst FROM ends WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.pillar = ends.pillar AND t.term_id = e)
-UNION ALL SELECT 'self_edge', src FROM edges WHERE src = dst UNION ALL SELECT 'orphan_term', 'LONELY'""")
+UNION ALL SELECT DISTINCT 'dangling_edge', src || '->' || dst FROM ends WHERE e NOT IN (SELECT term_id FROM terms)
+UNION ALL SELECT 'self_edge', src FROM edges WHERE src = dst UNION ALL SELECT 'orphan_term', term_id FROM terms WHERE len(surfaces) = 0 AND term_id NOT IN (SELECT e FROM ends)""")
 def taxonomy_errors(spark, sf_dir):
-    terms = A.terms(spark).union(spark.createDataFrame([("skill", "LONELY", 99, "Lonely", [], [], [])], A.terms(spark).schema))
-    return vocabulary.validation_errors(terms, spark.createDataFrame(_BAD_EDGES, A.edges(spark).schema))
+    return vocabulary.validation_errors(D.terms(spark, sf_dir), D.edges(spark, sf_dir, faulty=True))
 
 
-@query(f"WITH {A.ROLES_SQL}, {A.CLAIMS_SQL}, s AS (SELECT DISTINCT unnest(required || nice) AS source FROM roles) SELECT source FROM s WHERE source NOT IN (SELECT source FROM claims)")
+@query(f"WITH {D.TERMS_SQL}, s AS (SELECT DISTINCT unnest([p_name, p_type, p_name || ' of ' || p_type]) AS source FROM lineitem JOIN part ON l_partkey = p_partkey) SELECT source FROM s WHERE source NOT IN (SELECT unnest(claims) FROM terms)")
 def requirement_audit(spark, sf_dir):
-    wanted = A.roles(spark).select(F.explode(F.concat("required", "nice")).alias("source"))
-    return vocabulary.unmatched_requirements(wanted, A.terms(spark), "skill")
+    sold = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    wanted = sold.select(F.explode(F.array("p_name", "p_type", F.concat_ws(" of ", "p_name", "p_type"))).alias("source"))
+    return vocabulary.unmatched_requirements(wanted, D.terms(spark, sf_dir), "skill")
 
 
 @query(f"SELECT 'skill' AS pillar, {skey('p_name')} AS \"key\", count(DISTINCT p_brand) AS owners FROM part GROUP BY 2 HAVING count(DISTINCT p_brand) > 1")
@@ -188,9 +185,9 @@ def surface_collisions(spark, sf_dir):
 _MIRROR = "near AS (SELECT pillar, src, dst, min_by(weight, ord) AS weight FROM (SELECT pillar, src, dst, weight, ord FROM edges WHERE kind = 'adjacent' UNION ALL SELECT pillar, dst, src, weight, ord FROM edges WHERE kind = 'adjacent') GROUP BY 1, 2, 3)"
 
 
-@query(f"WITH {A.EDGES_SQL}, {_MIRROR} SELECT pillar, src, dst, weight FROM near")
+@query(f"WITH {D.EDGES_SQL}, {_MIRROR} SELECT pillar, src, dst, weight FROM near")
 def adjacent_weights(spark, sf_dir):
-    return vocabulary.mirrored(A.edges(spark))
+    return vocabulary.mirrored(D.edges(spark, sf_dir))
 
 
 def _draft(spark, sf_dir):
@@ -245,21 +242,38 @@ def link_prose_contains(spark, sf_dir):
     return linking.link_prose(rows, "doc_id", s).select("doc_id", "phrase")
 
 
+_RUNS = """b AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark), p AS (SELECT item_id, i, array_to_string(w[i:i + 1], ' ') AS phrase FROM (SELECT item_id, w, unnest(range(1, len(w))) AS i FROM b)),
+k AS (SELECT lower(phrase) AS low, 'B' || min_by(item_id, item_id * 1000000 + i) AS term_id FROM p GROUP BY 1)"""
+
+
+def _run_surfaces(spark, sf_dir):
+    """Every run of two words of a benchmark item is a related phrase of the item's term; items share many."""
+    words = table(spark, sf_dir, "benchmark").select("item_id", F.split("text", " ").alias("w")).select("item_id", "w", F.posexplode("w").alias("i", "_"))
+    phrase = F.concat_ws(" ", F.col("w")[F.col("i")], F.col("w")[F.col("i") + 1])
+    return words.where(F.col("i") < F.size("w") - 1).select(F.lit("skill").alias("pillar"), F.concat(F.lit("B"), F.col("item_id").cast("string")).alias("term_id"), F.col("item_id").alias("term_ord"), F.col("i").alias("ord"), phrase.alias("phrase"), F.lit(0.7).alias("weight"), F.lit("related").alias("kind"), X.normalize_key(phrase).alias("key"))
+
+
+@query(f"WITH {_RUNS} SELECT doc_id, term_id, count(*) AS phrases FROM documents JOIN k ON contains(lower(text), low) GROUP BY 1, 2")
+def link_prose_automaton(spark, sf_dir):
+    fields = table(spark, sf_dir, "documents").select("doc_id", F.lit("projects").alias("field"), "text")
+    return linking.link_fields(fields, "doc_id", _run_surfaces(spark, sf_dir)).groupBy("doc_id", "term_id").agg(F.count(F.lit(1)).alias("phrases"))
+
+
 _GROUND = ["projects", "headline", "certifications", "skills"]
 
 
-@query(f"""WITH {A.PEOPLE_SQL}, m AS (SELECT candidate_id, {quoted(_GROUND)}[1 + candidate_id % 4] AS field, CASE WHEN candidate_id % 5 = 0 THEN ' ' WHEN candidate_id % 2 = 0 THEN 'CUSTOMER' ELSE 'nothing' END AS phrase FROM people), {_LONG}
-SELECT candidate_id, CASE WHEN m.field NOT IN ('projects', 'certifications') THEN 'field not of this group' WHEN trim(phrase) = '' THEN 'empty phrase' ELSE 'phrase not in the field' END AS reason
-FROM m LEFT JOIN long USING (candidate_id, field) WHERE m.field NOT IN ('projects', 'certifications') OR trim(phrase) = '' OR NOT coalesce(contains(lower(text), lower(phrase)), false)""")
+@query(f"""WITH {A.PEOPLE_SQL}, m AS (SELECT candidate_id, {quoted(_GROUND)}[1 + candidate_id % 4] AS field, CASE WHEN candidate_id % 10 = 0 THEN '' WHEN candidate_id % 5 = 0 THEN ' ' WHEN candidate_id % 2 = 0 THEN 'CUSTOMER' ELSE 'nothing' END AS phrase FROM people), {_LONG}
+SELECT candidate_id, CASE WHEN m.field NOT IN ('projects', 'certifications') THEN 'field not of this group' WHEN phrase = '' THEN 'empty phrase' ELSE 'phrase not in the field' END AS reason
+FROM m LEFT JOIN long USING (candidate_id, field) WHERE m.field NOT IN ('projects', 'certifications') OR phrase = '' OR NOT coalesce(contains(lower(text), lower(phrase)), false)""")
 def groundedness_filter(spark, sf_dir):
     p = A.people(spark, sf_dir)
     k = F.col("candidate_id")
-    m = p.select(k, F.element_at(F.array(*map(F.lit, _GROUND)), (k % 4 + 1).cast("int")).alias("field"), F.lit("prose").alias("group"), F.when(k % 5 == 0, " ").when(k % 2 == 0, "CUSTOMER").otherwise("nothing").alias("phrase"))
+    m = p.select(k, F.element_at(F.array(*map(F.lit, _GROUND)), (k % 4 + 1).cast("int")).alias("field"), F.lit("prose").alias("group"), F.when(k % 10 == 0, "").when(k % 5 == 0, " ").when(k % 2 == 0, "CUSTOMER").otherwise("nothing").alias("phrase"))
     return linking.ground(m, linking.unpivot_fields(p, "candidate_id", {f: f for f in _FIELDS}), "candidate_id")[1].select("candidate_id", "reason")
 
 
 @query(f"""WITH {A.PEOPLE_SQL}, {_LONG}, m AS (SELECT candidate_id, {quoted(_GROUND)}[1 + candidate_id % 4] AS field, CASE WHEN candidate_id % 5 = 0 THEN ' ' WHEN candidate_id % 2 = 0 THEN 'CUSTOMER' ELSE 'nothing' END AS phrase FROM people WHERE candidate_id % 6 > 1),
-v AS (SELECT m.*, m.field IN ('projects', 'certifications') AND trim(phrase) <> '' AND coalesce(contains(lower(text), lower(phrase)), false) AS fine FROM m LEFT JOIN long USING (candidate_id, field))
+v AS (SELECT m.*, m.field IN ('projects', 'certifications') AND phrase <> '' AND coalesce(contains(lower(text), lower(phrase)), false) AS fine FROM m LEFT JOIN long USING (candidate_id, field))
 SELECT candidate_id, candidate_id % 6 < 2 AS partial, CASE WHEN candidate_id % 6 < 2 THEN 'prose' ELSE '' END AS failed, coalesce(CAST(fine AS BIGINT), 0) AS n_mentions, coalesce(CAST(NOT fine AS BIGINT), 0) AS n_rejected FROM people LEFT JOIN v USING (candidate_id)""")
 def linked_replies(spark, sf_dir):
     p, k = A.people(spark, sf_dir), F.col("candidate_id")
@@ -278,10 +292,9 @@ def profile_lines(spark, sf_dir):
     return requests.profile_lines(linking.unpivot_fields(A.people(spark, sf_dir), "candidate_id", {f: f for f in _FIELDS}), "candidate_id")
 
 
-@query(f"""WITH {A.TERMS_SQL}, {A.RELATED_SQL}, r AS (SELECT term_id, string_agg(phrase || '(' || CAST(weight AS VARCHAR) || ')', ', ' ORDER BY rord) AS s FROM related WHERE pillar = 'skill' GROUP BY 1)
-SELECT string_agg(term_id || ' | surfaces: ' || surface || coalesce(' | related: ' || s, ''), chr(10) ORDER BY term_id) AS block FROM terms LEFT JOIN r USING (term_id) WHERE pillar = 'skill'""")
+@query(f"""WITH {D.BRANDS_SQL} SELECT string_agg(term_id || ' | surfaces: ' || term_id || ' | related: ' || array_to_string(list_transform(names, lambda n, i: n || '(' || CAST(7e-1 - (i - 1) * 1.25e-1 AS VARCHAR) || ')'), ', '), chr(10) ORDER BY term_id) AS block FROM brands""")
 def vocabulary_block(spark, sf_dir):
-    return requests.vocabulary_block(A.terms(spark))
+    return requests.vocabulary_block(D.brand_terms(spark, sf_dir))
 
 
 _PART_GOLD = f"""{A.TERMS_SQL}, {A.RELATED_SQL}, i AS (SELECT p_partkey, unnest([p_brand, p_name, 'nothing']) AS phrase FROM part),
@@ -346,17 +359,22 @@ def _req(spark):
     return rubric.compile_rubrics(A.roles(spark), A.terms(spark))
 
 
+_SUPPLIERS = f"{D.BRANDS_SQL}, {D.ROLES_SQL}, " + _REQ[_REQ.index("base(k) AS"):]
 _REQ_COLS = "role_id, CAST(req_pos AS INTEGER) AS req_pos, source, kind, tier, array_to_string(term_ids, ',') AS terms, baseline_demoted"
 
 
-@query(f"WITH {_REQ} SELECT {_REQ_COLS} FROM req")
+def _supplier_req(spark, sf_dir):
+    return rubric.compile_rubrics(D.roles(spark, sf_dir), D.brand_terms(spark, sf_dir))
+
+
+@query(f"WITH {_SUPPLIERS} SELECT {_REQ_COLS} FROM req")
 def compile_rubric(spark, sf_dir):
-    return _req(spark).select("role_id", "req_pos", "source", "kind", "tier", F.concat_ws(",", "term_ids").alias("terms"), "baseline_demoted")
+    return _supplier_req(spark, sf_dir).select("role_id", "req_pos", "source", "kind", "tier", F.concat_ws(",", "term_ids").alias("terms"), "baseline_demoted")
 
 
-@query(f"WITH {_REQ} SELECT role_id, CAST(req_pos AS INTEGER) AS req_pos, coalesce(array_to_string(blocked, ','), '') AS blocked FROM req WHERE kind = 'skill'")
+@query(f"WITH {_SUPPLIERS} SELECT role_id, CAST(req_pos AS INTEGER) AS req_pos, coalesce(array_to_string(blocked, ','), '') AS blocked FROM req WHERE kind = 'skill'")
 def blocked_terms(spark, sf_dir):
-    return _req(spark).where("kind = 'skill'").select("role_id", "req_pos", F.concat_ws(",", "blocked").alias("blocked"))
+    return _supplier_req(spark, sf_dir).where("kind = 'skill'").select("role_id", "req_pos", F.concat_ws(",", "blocked").alias("blocked"))
 
 
 _STEER = f"{values('retier', 'role_id, source, t, ord', A.RETIER)}, lastt AS (SELECT role_id, source, max_by(t, ord) AS t FROM retier GROUP BY 1, 2), steered AS (SELECT req.* REPLACE (coalesce(lastt.t, tier) AS tier) FROM req LEFT JOIN lastt USING (role_id, source))"
@@ -367,14 +385,22 @@ def _steered(spark):
     return rubric.apply_steering(_req(spark), rubric.rubrics(A.roles(spark)), retier, A.STEERED, 40.0)
 
 
-@query(f"WITH {_REQ}, {_STEER} SELECT {_REQ_COLS} FROM steered")
+_SUPPLIERS_STEERED = f"{_SUPPLIERS}, {D.RETIER_SQL}, " + _STEER[_STEER.index("lastt AS"):]
+
+
+def _supplier_steered(spark, sf_dir):
+    roles, req = D.roles(spark, sf_dir), _supplier_req(spark, sf_dir)
+    return req, rubric.apply_steering(req, rubric.rubrics(roles), D.retier(roles), A.STEERED, 40.0)[0]
+
+
+@query(f"WITH {_SUPPLIERS_STEERED} SELECT {_REQ_COLS} FROM steered")
 def apply_steering(spark, sf_dir):
-    return _steered(spark)[0].select("role_id", "req_pos", "source", "kind", "tier", F.concat_ws(",", "term_ids").alias("terms"), "baseline_demoted")
+    return _supplier_steered(spark, sf_dir)[1].select("role_id", "req_pos", "source", "kind", "tier", F.concat_ws(",", "term_ids").alias("terms"), "baseline_demoted")
 
 
-@query(f"WITH {_REQ}, {_STEER} SELECT r.role_id, r.source, r.tier AS tier_before, s.tier AS tier_after FROM req r JOIN steered s ON r.role_id = s.role_id AND r.req_pos = s.req_pos WHERE r.tier <> s.tier")
+@query(f"WITH {_SUPPLIERS_STEERED} SELECT r.role_id, r.source, r.tier AS tier_before, s.tier AS tier_after FROM req r JOIN steered s ON r.role_id = s.role_id AND r.req_pos = s.req_pos WHERE r.tier <> s.tier")
 def steering_diff(spark, sf_dir):
-    return rubric.steering_diff(_req(spark), _steered(spark)[0])
+    return rubric.steering_diff(*_supplier_steered(spark, sf_dir))
 
 
 # ---- Matching -------------------------------------------------------------------------------------------------------
@@ -635,6 +661,13 @@ def rank_sample(spark, sf_dir):
     return EV.sample_across(_graded(spark, sf_dir)[0], "source", "n_chars", "doc_id", 7).select("source", "doc_id", "rank")
 
 
+@query("""WITH d AS (SELECT source, doc_id, CASE WHEN doc_id % 5 <> 0 THEN n_chars % 7 END AS score FROM documents)
+SELECT source, doc_id, score, row_number() OVER (PARTITION BY source ORDER BY score DESC NULLS LAST, doc_id) - 1 AS rank, count(*) OVER (PARTITION BY source) AS n FROM d""")
+def rank_positions(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.when(F.col("doc_id") % 5 != 0, F.col("n_chars") % 7).alias("score"))
+    return EV.positions(docs, "source", "score", "doc_id")
+
+
 @query(f"""WITH {_GRADES}, t AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM sd)
 SELECT source, CASE WHEN count(grade) = 0 THEN 0e0 ELSE CAST(count(*) FILTER (WHERE grade >= 2) AS DOUBLE) / count(grade) END AS precision FROM t LEFT JOIN gr USING (source, doc_id) WHERE r <= 10 GROUP BY 1""")
 def precision_at_k(spark, sf_dir):

@@ -20,7 +20,19 @@ def stored(df: DataFrame) -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete what stored() wrote for frames that nothing reads any more."""
+    for df in frames:
+        path = getattr(df, "_stored_at", None)
+        if path:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            df._stored_at = None
+            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
