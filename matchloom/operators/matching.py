@@ -27,11 +27,9 @@ def literal_map(pairs: dict) -> Column:
     return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
 
 
-def have_terms(mentions: DataFrame, surface: DataFrame | None = None) -> DataFrame:
-    """(candidate_id, term_id, v, field, phrase, have_ord) of mentions(candidate_id, term_id, field, phrase, relation, ord).
-
-    The best evidence per term, the earliest on ties; a phrase that is one of the term's related phrases is capped at its weight.
-    """
+def valued(mentions: DataFrame, surface: DataFrame | None = None) -> DataFrame:
+    """mentions(candidate_id, term_id, field, phrase, relation, ord) that count, with their value v; a phrase that is one of
+    the term's related phrases is capped at its weight."""
     base = F.when(F.col("relation") == "met", 1.0).otherwise(ADJACENT)
     rows = mentions
     if surface is not None:
@@ -39,7 +37,12 @@ def have_terms(mentions: DataFrame, surface: DataFrame | None = None) -> DataFra
         rows = rows.withColumn("key", X.normalize_key(F.col("phrase"))).join(cap, ["term_id", "key"], "left")
         base = F.least(base, F.coalesce("cap", F.lit(1.0)))
     strength = F.coalesce(F.try_element_at(literal_map(FIELD_STRENGTH), F.col("field")), F.lit(1.0))
-    rows = rows.withColumn("v", X.py_round(base * strength, 3)).where("v > 0")
+    return rows.withColumn("v", X.py_round(base * strength, 3)).where("v > 0")
+
+
+def have_terms(mentions: DataFrame, surface: DataFrame | None = None) -> DataFrame:
+    """(candidate_id, term_id, v, field, phrase, have_ord): the best evidence per term, the earliest on ties."""
+    rows = valued(mentions, surface)
     best = rows.groupBy("candidate_id", "term_id").agg(F.max(F.struct("v", (-F.col("ord")).alias("o"), "field", "phrase")).alias("b"), F.min("ord").alias("have_ord"))
     return best.select("candidate_id", "term_id", "b.v", "b.field", "b.phrase", "have_ord")
 
@@ -52,15 +55,23 @@ def routes(edges: DataFrame, terms: DataFrame) -> DataFrame:
     return own.union(down).union(side)
 
 
-def term_routes(have: DataFrame, route: DataFrame, requirements: DataFrame) -> DataFrame:
-    """Best route per (candidate_id, role_id, req_pos, term_id): v, via, field, phrase, term_pos.
+def reaches(route: DataFrame, requirements: DataFrame) -> DataFrame:
+    """(have, role_id, req_pos, term_pos, term_id, route, weight): what a term had counts for. Blocked terms do not serve as
+    narrower or adjacent evidence."""
+    need = requirements.where("kind = 'skill'").select("role_id", "req_pos", "blocked", F.posexplode("term_ids").alias("term_pos", "term_id"))
+    return need.join(route, "term_id").where((F.col("route") == 0) | ~F.array_contains("blocked", F.col("have"))).drop("blocked")
+
+
+def term_routes(have: DataFrame, route: DataFrame, requirements: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """Best route per (candidate_id, role_id, req_pos, term_id): v, via, field, phrase, term_pos; of these pairs
+    (candidate_id, role_id) only, if given.
 
     A direct hit goes before any other; else the highest value, then the earliest evidence, then narrower before adjacent.
-    Blocked terms do not serve as narrower or adjacent evidence.
     """
-    need = requirements.where("kind = 'skill'").select("role_id", "req_pos", "blocked", F.posexplode("term_ids").alias("term_pos", "term_id"))
-    reach = need.join(route, "term_id").where((F.col("route") == 0) | ~F.array_contains("blocked", F.col("have"))).drop("blocked")
-    rows = have.withColumnRenamed("term_id", "have").join(reach, "have")
+    own, on = have.withColumnRenamed("term_id", "have"), ["have"]
+    if pairs is not None:
+        own, on = own.join(pairs.select("candidate_id", "role_id"), "candidate_id"), ["have", "role_id"]
+    rows = own.join(reaches(route, requirements), on)
     value = F.when(F.col("route") == 2, X.py_round(F.col("v") * F.col("weight"), 3)).otherwise(F.col("v"))
     via = F.element_at(F.array(F.lit("direct"), F.lit("narrower"), F.lit("adjacent")), F.col("route") + 1)
     pick = F.struct((F.col("route") == 0).alias("direct"), value.alias("v"), (-F.col("have_ord")).alias("o"), (-F.col("route")).alias("r"), via.alias("via"), "field", "phrase")
@@ -87,17 +98,20 @@ def role_occupations(roles: DataFrame, surface: DataFrame) -> DataFrame:
     return resolve_surface(roles, "title", surface, "occupation").withColumnRenamed("term_id", "occupation_id")
 
 
-def relevant_years(past: DataFrame, targets: DataFrame, near: DataFrame) -> DataFrame:
-    """(candidate_id, role_id, years, trace) of past(candidate_id, pos, title, occupation_id, own_weight, duration_years).
-
-    A past role counts its years times its own weight, times 1 for the target occupation or the weight of an adjacent one.
-    The sum runs in the order of positions.
-    """
+def relevant_past(past: DataFrame, targets: DataFrame, near: DataFrame) -> DataFrame:
+    """(candidate_id, role_id, pos, y) of past(candidate_id, pos, title, occupation_id, own_weight, duration_years): the
+    years that a past role counts for a role, which are its own times its weight, times 1 for the target occupation or the
+    weight of an adjacent one."""
     same = targets.where("occupation_id is not null").select("role_id", F.col("occupation_id").alias("src"), F.lit(1.0).alias("rel"))
     side = targets.join(near.where("pillar = 'occupation'"), F.col("occupation_id") == F.col("dst")).where("src <> occupation_id").select("role_id", "src", F.col("weight").alias("rel"))
     rel = same.union(side)
     own = past.where("occupation_id is not null")
-    rows = own.join(rel, F.col("occupation_id") == F.col("src")).select("candidate_id", "role_id", "pos", (F.col("duration_years") * F.col("own_weight") * F.col("rel")).alias("y"))
+    return own.join(rel, F.col("occupation_id") == F.col("src")).select("candidate_id", "role_id", "pos", (F.col("duration_years") * F.col("own_weight") * F.col("rel")).alias("y"))
+
+
+def relevant_years(past: DataFrame, targets: DataFrame, near: DataFrame) -> DataFrame:
+    """(candidate_id, role_id, years): the sum over past roles, in the order of positions."""
+    rows = relevant_past(past, targets, near)
     ordered = F.sort_array(F.collect_list(F.struct("pos", "y")))
     years = rows.groupBy("candidate_id", "role_id").agg(ordered.alias("l")).select("candidate_id", "role_id", X.py_round(F.aggregate("l", F.lit(0.0), lambda a, x: a + x["y"]), 2).alias("years"))
     return years
@@ -109,10 +123,16 @@ def experience_trace(past: DataFrame) -> DataFrame:
     return past.where("occupation_id is not null").groupBy("candidate_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", one.alias("s")))), lambda x: x["s"]), "; ").alias("trace"))
 
 
-def experience_scores(people: DataFrame, requirements: DataFrame, years: DataFrame, trace: DataFrame | None = None) -> DataFrame:
+def with_roles(people: DataFrame, roles: DataFrame, pairs: DataFrame | None) -> DataFrame:
+    """people beside every role, or beside the roles that pairs (candidate_id, role_id) name."""
+    return people.join(small(roles)) if pairs is None else people.join(pairs.select("candidate_id", "role_id"), "candidate_id").join(roles, "role_id")
+
+
+def experience_scores(people: DataFrame, requirements: DataFrame, years: DataFrame, trace: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
     """(candidate_id, role_id, req_pos, score, stated_years, implied_years, conflict[, trace])."""
     need = requirements.where("kind = 'experience'").select("role_id", "req_pos", "exp_min", "exp_max")
-    out = people.select("candidate_id", "stated_years").join(small(need)).join(years, ["candidate_id", "role_id"], "left")
+    need._rows = getattr(requirements, "_rows", None)
+    out = with_roles(people.select("candidate_id", "stated_years"), need, pairs).join(years, ["candidate_id", "role_id"], "left")
     out = out.withColumn("implied_years", F.coalesce("years", F.lit(0.0)))
     off = F.col("stated_years").isNull() | (~F.isnan("stated_years") & (F.abs(F.col("stated_years") - F.col("implied_years")) > 2))
     out = out.withColumn("conflict", off).withColumn("score", X.band_fit(F.col("implied_years"), F.col("exp_min"), F.col("exp_max")))
@@ -122,11 +142,11 @@ def experience_scores(people: DataFrame, requirements: DataFrame, years: DataFra
     return out.select(*cols)
 
 
-def location_scores(people: DataFrame, roles: DataFrame, country_of: dict[str, str] = COUNTRY_OF) -> DataFrame:
+def location_scores(people: DataFrame, roles: DataFrame, country_of: dict[str, str] = COUNTRY_OF, pairs: DataFrame | None = None) -> DataFrame:
     """(candidate_id, role_id, availability_score, location_score)."""
     key = X.normalize_key(F.col("location"))
     want = roles.select("role_id", key.alias("want_key"), F.try_element_at(literal_map(country_of), key).alias("want_country"))
-    out = people.select("candidate_id", "city", "country", "notice_days").join(small(want))
+    out = with_roles(people.select("candidate_id", "city", "country", "notice_days"), want, pairs)
     return out.select("candidate_id", "role_id", X.availability(F.col("notice_days")).alias("availability_score"), F.coalesce(X.location_fit(F.col("want_key"), F.col("want_country"), F.col("city"), F.col("country")), F.lit(0.0)).alias("location_score"))
 
 

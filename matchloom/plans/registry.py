@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import evaluation as EV
-from ..operators import ingest, linking, matching, requests, rubric, selection, vocabulary
-from ..sources.store import stored
+from ..operators import ingest, linking, matching, requests, rubric, selection, topk, vocabulary
+from ..operators.score_store import ScoreStore
+from ..sources.store import new_folder, pinned, stored
+from ..streaming import scoring
 from . import analogue as A
 from . import derived as D
 from .analogue import quoted, skey, sround, table, values
@@ -144,8 +146,19 @@ def json_props(spark, sf_dir):
 # ---- Vocabulary -----------------------------------------------------------------------------------------------------
 
 
+_LOCAL: dict = {}
+
+
+def _local(spark, name, make):
+    """A vocabulary-sized table, worked out once a session."""
+    at = (spark.sparkContext.applicationId, id(spark), name)
+    if at not in _LOCAL:
+        _LOCAL[at] = pinned(make())
+    return _LOCAL[at]
+
+
 def surfaces(spark):
-    return vocabulary.surfaces(A.terms(spark))
+    return _local(spark, "surfaces", lambda: vocabulary.surfaces(A.terms(spark)))
 
 
 @query(f"WITH {A.TERMS_SQL} SELECT p_partkey, term_id FROM part LEFT JOIN (SELECT {skey('surface')} AS k, min_by(term_id, ord) AS term_id FROM terms WHERE pillar = 'skill' GROUP BY 1) ON k = {skey('p_brand')}")
@@ -356,7 +369,19 @@ _REQ = _REQ.replace("list_sort(list_filter(list(DISTINCT o.t), lambda x: NOT lis
 
 
 def _req(spark):
-    return rubric.compile_rubrics(A.roles(spark), A.terms(spark))
+    return _local(spark, "requirements", lambda: rubric.compile_rubrics(A.roles(spark), A.terms(spark)))
+
+
+def _route(spark):
+    return _local(spark, "routes", lambda: matching.routes(A.edges(spark), A.terms(spark)))
+
+
+def _near(spark):
+    return _local(spark, "near", lambda: vocabulary.mirrored(A.edges(spark)))
+
+
+def _targets(spark):
+    return _local(spark, "targets", lambda: matching.role_occupations(A.roles(spark), surfaces(spark)))
 
 
 _SUPPLIERS = f"{D.BRANDS_SQL}, {D.ROLES_SQL}, " + _REQ[_REQ.index("base(k) AS"):]
@@ -382,7 +407,8 @@ _STEER = f"{values('retier', 'role_id, source, t, ord', A.RETIER)}, lastt AS (SE
 
 def _steered(spark):
     retier = A.literal(spark, A.RETIER, "role_id string, source string, tier string, ord int")
-    return rubric.apply_steering(_req(spark), rubric.rubrics(A.roles(spark)), retier, A.STEERED, 40.0)
+    new, rub = rubric.apply_steering(_req(spark), rubric.rubrics(A.roles(spark)), retier, A.STEERED, 40.0)
+    return _local(spark, "steered", lambda: new), rub
 
 
 _SUPPLIERS_STEERED = f"{_SUPPLIERS}, {D.RETIER_SQL}, " + _STEER[_STEER.index("lastt AS"):]
@@ -432,7 +458,7 @@ routes AS (SELECT candidate_id, role_id, req_pos, term_pos, term_id, v, CASE rou
 
 
 def _routes(spark, sf_dir):
-    return matching.term_routes(_have(spark, sf_dir), matching.routes(A.edges(spark), A.terms(spark)), _req(spark))
+    return matching.term_routes(_have(spark, sf_dir), _route(spark), _req(spark))
 
 
 @query(f"WITH RECURSIVE {_ROUTES} SELECT candidate_id, role_id, CAST(req_pos AS INTEGER) AS req_pos, term_id, v, via, field, phrase FROM routes")
@@ -459,8 +485,7 @@ yrs AS (SELECT candidate_id, role_id, {sround('x', 2)} AS years FROM y0)"""
 
 
 def _years(spark, sf_dir):
-    targets = matching.role_occupations(A.roles(spark), surfaces(spark))
-    return matching.relevant_years(_own(spark, sf_dir), targets, vocabulary.mirrored(A.edges(spark)))
+    return matching.relevant_years(_own(spark, sf_dir), _targets(spark), _near(spark))
 
 
 @query(f"WITH {_PAST}, {A.ROLES_SQL}, {A.EDGES_SQL}, {_MIRROR}, {_YEARS} SELECT candidate_id, role_id, years FROM yrs")
@@ -548,6 +573,28 @@ def match_scores_steered(spark, sf_dir):
     return _match(spark, sf_dir, True).drop("availability_score", "location_score")
 
 
+@query(f"WITH RECURSIVE {_match_sql('steered', A.STEERED)} SELECT {_MS} FROM ms")
+def match_scores_from_store(spark, sf_dir):
+    """The steered rubrics, from requirement scores that were stored for the rubrics before."""
+    store = ScoreStore(spark, new_folder(spark), sf_dir)
+    have, route = _have(spark, sf_dir), _route(spark)
+    for req in (_req(spark), _steered(spark)[0]):
+        store.fill(req, lambda r: matching.skill_scores(matching.term_routes(have, route, r)))
+    return _match(spark, sf_dir, True, store.scores(_steered(spark)[0])).drop("availability_score", "location_score")
+
+
+@query(f"WITH RECURSIVE {_ROUTES}, best AS (SELECT *, row_number() OVER (PARTITION BY candidate_id, role_id, req_pos ORDER BY v DESC, term_pos) AS k FROM routes) SELECT candidate_id, role_id, CAST(req_pos AS INTEGER) AS req_pos, v AS score, via, field, phrase FROM best WHERE k = 1")
+def scored_arrivals(spark, sf_dir):
+    """Mentions that arrive in three batches, each person's spread over them, some twice."""
+    mentions = A.mentions(spark, sf_dir)
+    folder = new_folder(spark)
+    for k in range(3):
+        mentions.where((F.col("ord") % 3 == 2 - k) | (F.col("ord") % 7 == k)).write.mode("append").parquet(f"{folder}/in")
+        arriving = spark.readStream.schema(mentions.schema).parquet(f"{folder}/in")
+        scoring.score_arrivals(arriving, _route(spark), _req(spark), f"{folder}/out", f"{folder}/state", surfaces(spark)).awaitTermination()
+    return scoring.latest_scores(spark, f"{folder}/out")
+
+
 # ---- Selection and explanation --------------------------------------------------------------------------------------
 
 
@@ -568,6 +615,26 @@ def shortlist(spark, sf_dir):
     return _fin(spark, sf_dir).select("role_id", "candidate_id", "total", "rank", "fallback")
 
 
+def _bounded(spark, sf_dir, threshold=56.0):
+    field = topk.Field(_have(spark, sf_dir), _route(spark), A.people(spark, sf_dir), _own(spark, sf_dir), _targets(spark), _near(spark), A.roles(spark), _req(spark), rubric.rubrics(A.roles(spark), threshold=threshold), A.COUNTRY_OF)
+    return topk.shortlist(field)
+
+
+@query(f"WITH RECURSIVE {_short_sql(56.0)} SELECT {_FIN} FROM fin")
+def shortlist_bounded(spark, sf_dir):
+    return _bounded(spark, sf_dir)[0].select("role_id", "candidate_id", "total", "rank", "fallback")
+
+
+@query(f"WITH RECURSIVE {_short_sql(99.5)} SELECT {_FIN} FROM fin")
+def shortlist_bounded_fallback(spark, sf_dir):
+    return _bounded(spark, sf_dir, 99.5)[0].select("role_id", "candidate_id", "total", "rank", "fallback")
+
+
+@query()  # how many pairs were scored exactly; the finalists are held to SQL above, the counts by tests
+def shortlist_scored_pairs(spark, sf_dir):
+    return _bounded(spark, sf_dir)[1]
+
+
 @query(f"WITH RECURSIVE {_short_sql(99.5)} SELECT {_FIN} FROM fin")
 def shortlist_fallback(spark, sf_dir):
     return _fin(spark, sf_dir, 99.5).select("role_id", "candidate_id", "total", "rank", "fallback")
@@ -704,8 +771,7 @@ def evidence_traces(spark, sf_dir):
   AND (role_id, candidate_id) NOT IN (SELECT (role_id, candidate_id) FROM sc WHERE tier = 'required' AND score = 0)""")
 def same_occupation_rejects(spark, sf_dir):
     skills, req = _evidence(spark, sf_dir), _req(spark)
-    targets = matching.role_occupations(A.roles(spark), surfaces(spark))
-    return EV.unexplained_rejects(_match(spark, sf_dir, skills=skills), _own(spark, sf_dir), targets, skills, req, rubric.rubrics(A.roles(spark), threshold=90.0))
+    return EV.unexplained_rejects(_match(spark, sf_dir, skills=skills), _own(spark, sf_dir), _targets(spark), skills, req, rubric.rubrics(A.roles(spark), threshold=90.0))
 
 
 @query(f"""WITH RECURSIVE {_SKILL}, e AS (SELECT role_id, candidate_id, string_agg('  ' || source || ' (' || tier || '): score=' || CAST(score AS VARCHAR) || ' via=' || via, chr(10) ORDER BY req_pos) AS lines FROM sc GROUP BY 1, 2)

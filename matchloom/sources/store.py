@@ -5,22 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written to the folder of spark.checkpoint.dir and read again: computed once, safe from lost executors."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession) -> str:
+    """The name of a new folder under spark.checkpoint.dir, which the driver and all executors share."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/stored-{uuid.uuid4().hex}"
+    return f"{folder}/stored-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written to a new shared folder and read again: computed once, safe from lost executors."""
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
 
@@ -35,6 +39,18 @@ def forget(*frames: DataFrame) -> None:
             at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+def pinned(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df worked out once: as a local table, whose size the planner knows, if it has at most so many rows; else stored."""
+    few = df.limit(rows + 1).toArrow()
+    if few.num_rows > rows:
+        return stored(df)
+    out = df.sparkSession.createDataFrame(few, df.schema)
+    out._rows = few.num_rows
+    return out
+
+
 def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """df marked for broadcast if it has at most so many rows; else as it is, for the planner to choose."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """df marked for broadcast if it has at most so many rows; else as it is, for the planner to choose. Rows of pinned
+    tables are known, others are counted."""
+    n = getattr(df, "_rows", None)
+    return F.broadcast(df) if (df.limit(rows + 1).count() if n is None else n) <= rows else df

@@ -1,19 +1,85 @@
-"""Arriving people scored against stored rubrics: a stream of mentions, one batch at a time."""
+"""Arriving mentions scored against stored rubrics, with the best evidence of each person kept as state.
+
+A person's mentions may come over any number of batches, in any order and more than once: state holds the best evidence for
+each term and the earliest place of any, and both only grow. A batch scores the people whose state it has changed, anew and
+whole, and writes them to a folder of its own, so that a batch that is tried again replaces itself; of a person, the latest
+batch counts.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StreamingQuery
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..operators import matching
 
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+BEST = "v double, ord long, field string, phrase string, have_ord long"
+
+
+class BestEvidence(StatefulProcessor):
+    """State: for each term of a person the value, place, field and phrase of the best mention, and the earliest place.
+
+    Rows go out for all terms of a person of whom anything has changed.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.best = handle.getMapState("best", "term_id string", BEST)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new: dict[str, tuple] = {}
+        for part in rows:
+            for term, v, o, field, phrase in part[["term_id", "v", "ord", "field", "phrase"]].itertuples(index=False):
+                new[term] = better(new.get(term), (float(v), int(o), field, phrase, int(o)))
+        changed = False
+        for term, row in new.items():
+            old = tuple(self.best.getValue((term,))) if self.best.containsKey((term,)) else None
+            row = better(old, row)
+            if row != old:
+                changed = True
+                self.best.updateValue((term,), row)
+        if changed:
+            out = [(key[0], k[0], v[0], v[2], v[3], v[4]) for k, v in self.best.iterator()]
+            yield pd.DataFrame(out, columns=["candidate_id", "term_id", "v", "field", "phrase", "have_ord"])
+
+    def close(self) -> None:
+        pass
+
+
+def better(a: tuple | None, b: tuple) -> tuple:
+    """Of two (v, ord, field, phrase, have_ord), the better evidence, with the earlier have_ord."""
+    if a is None:
+        return b
+    return (*max(a[:4], b[:4], key=lambda x: (x[0], -x[1], x[2] or "", x[3] or "")), min(a[4], b[4]))
+
+
+def best_evidence(mentions: DataFrame, surface: DataFrame | None = None) -> DataFrame:
+    """A stream of mentions as a stream of (candidate_id, term_id, v, field, phrase, have_ord): all terms of the people whose
+    evidence has changed."""
+    rows = matching.valued(mentions, surface).select("candidate_id", "term_id", "v", F.col("ord").cast("long").alias("ord"), "field", "phrase")
+    kind = T.StructType([rows.schema["candidate_id"], *T._parse_datatype_string("term_id string, v double, field string, phrase string, have_ord long").fields])
+    return rows.groupBy("candidate_id").transformWithStateInPandas(BestEvidence(), kind, outputMode="Update", timeMode="None")
+
 
 def score_arrivals(mentions: DataFrame, route: DataFrame, requirements: DataFrame, out: str, checkpoint: str, surface: DataFrame | None = None) -> StreamingQuery:
-    """Each batch holds all mentions of the people in it; their skill scores are written to a folder per batch, so that a
-    batch that is tried again replaces itself."""
-    def one(batch: DataFrame, number: int) -> None:
-        have = matching.have_terms(batch, surface)
+    """Skill scores of arriving people, in a folder for each batch; latest_scores() reads them."""
+    spark = mentions.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)  # which state with several values needs
+
+    def one(have: DataFrame, number: int) -> None:
         scores = matching.skill_scores(matching.term_routes(have, route, requirements))
         scores.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    return mentions.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return best_evidence(mentions, surface).writeStream.foreachBatch(one).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_scores(spark: SparkSession, out: str) -> DataFrame:
+    """Of each person the rows of the last batch that scored them."""
+    rows = spark.read.parquet(out)
+    last = rows.groupBy("candidate_id").agg(F.max("batch").alias("batch"))
+    return rows.join(last, ["candidate_id", "batch"], "left_semi").drop("batch")

@@ -177,7 +177,7 @@ def test_linking(spark, world):
     fields = spark.createDataFrame(rows, "candidate_id string, field string, text string")
     got = sorted((r["field"], r["phrase"], r["term_id"], r["relation"]) for r in linking.link_fields(fields, "candidate_id", world["surface"]).collect())
     assert got == [("projects", "wrote a Dockerfile", "DOCKER", "adjacent"), ("skills", "Wrote a Dockerfile", "DOCKER", "adjacent"), ("skills", "docker", "DOCKER", "met")]
-    claims = spark.createDataFrame([("C1", "projects", "prose", "DOCKERFILE"), ("C1", "skills", "prose", "docker"), ("C1", "projects", "prose", " "), ("C1", "projects", "prose", "helm")], "candidate_id string, field string, group string, phrase string")
+    claims = spark.createDataFrame([("C1", "projects", "prose", "DOCKERFILE"), ("C1", "skills", "prose", "docker"), ("C1", "projects", "prose", ""), ("C1", "projects", "prose", "helm")], "candidate_id string, field string, group string, phrase string")
     good, bad = linking.ground(claims, fields, "candidate_id")
     assert good.count() == 1 and sorted(r["reason"] for r in bad.collect()) == ["empty phrase", "field not of this group", "phrase not in the field"]
 
