@@ -7,6 +7,7 @@ runs any function from requests to replies inside the tasks; every other functio
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -24,17 +25,21 @@ def filled(template: str, **values: Column) -> Column:
     return out
 
 
-def answered(requests: DataFrame, key: list[str], answer: Callable[[str, str], str]) -> DataFrame:
-    """key and `reply`: answer(system, user) for each request, null where it fails. Calls run in the tasks, a row each."""
-    def one(system, user):
-        try:
-            return answer(system, user)
-        except Exception:  # a failed call leaves its request without a reply
-            return None
+def answered(requests: DataFrame, key: list[str], answer: Callable[[str, str], str], concurrent: int = 8, attempts: int = 3) -> DataFrame:
+    """key and `reply`: answer(system, user) for each request, null where all attempts fail. Calls run in the tasks, so many
+    at a time in each; replies keep the order of their requests."""
+    def one(request):
+        for _ in range(attempts):
+            try:
+                return answer(*request)
+            except Exception:  # a failed call leaves its request without a reply
+                continue
+        return None
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            yield p[key].assign(reply=[one(s, u) for s, u in zip(p["system"], p["user"])])
+        with ThreadPoolExecutor(concurrent) as pool:
+            for p in parts:
+                yield p[key].assign(reply=list(pool.map(one, zip(p["system"], p["user"]))))
 
     rows = requests.select(*key, "system", "user")
     return rows.mapInPandas(run, rows.select(*key).withColumn("reply", F.lit(None).cast("string")).schema)
@@ -69,15 +74,21 @@ def extraction_requests(fields: DataFrame, id_col: str, terms: DataFrame, sectio
 REPLY = "mentions array<struct<term:string,field:string,phrase:string,relation:string>>"
 
 
-def linked_replies(replies: DataFrame, fields: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def linked_replies(replies: DataFrame, fields: DataFrame, id_col: str, terms: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(mentions, rejected, results) of replies(id, group, reply), a JSON text or null.
 
     A null or unreadable reply is a failed group; the person's other groups stay, marked partial. A mention that its text
-    does not bear out is rejected with a reason. results: id, partial, failed_groups, n_mentions, n_rejected.
+    does not bear out is rejected with a reason, and so is, with terms(term_id), one of another term or relation. results: id, partial, failed_groups, n_mentions, n_rejected.
     """
     read = replies.withColumn("r", F.from_json("reply", REPLY)).withColumn("failed", F.col("r.mentions").isNull())
     raw = read.where("not failed").select(id_col, "group", F.posexplode("r.mentions").alias("ord", "m")).select(id_col, "group", "ord", F.col("m.term").alias("term_id"), "m.field", "m.phrase", "m.relation")
-    kept, rejected = ground(raw, fields, id_col)
+    if terms is None:
+        kept, rejected = ground(raw, fields, id_col)
+    else:
+        known = terms.select("term_id").distinct().withColumn("_known", F.lit(True))
+        raw = raw.join(known, "term_id", "left").withColumn("reason", F.when(F.col("_known").isNull(), "unknown term").when(~F.coalesce(F.col("relation").isin("met", "adjacent"), F.lit(False)), "unknown relation")).drop("_known")
+        kept, rejected = ground(raw.where("reason is null").drop("reason"), fields, id_col)
+        rejected = rejected.unionByName(raw.where("reason is not null"))
     count = lambda df, name: df.groupBy(id_col).agg(F.count(F.lit(1)).alias(name))
     failed = F.sort_array(F.collect_set(F.when(F.col("failed"), F.col("group"))))
     out = read.groupBy(id_col).agg(failed.alias("failed_groups")).withColumn("partial", F.size("failed_groups") > 0)

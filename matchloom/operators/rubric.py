@@ -76,6 +76,17 @@ def apply_steering(requirements: DataFrame, rubric: DataFrame, retier: DataFrame
     return requirements, rubric
 
 
+def steered(requirements: DataFrame, rubric: DataFrame, retier: DataFrame, settings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """New requirements and rubric of every role that settings(role_id, w_..., threshold) name, as a reply's reader returns
+    them; other roles stay."""
+    requirements, _ = apply_steering(requirements, rubric, retier.join(settings.select("role_id"), "role_id", "left_semi"))
+    new = settings.select("role_id", *[F.col(f"w_{k}").alias(f"_{k}") for k in WEIGHTS], F.col("threshold").alias("_threshold"))
+    out = rubric.join(new, "role_id", "left")
+    for k in WEIGHTS:
+        out = out.withColumn(f"w_{k}", F.coalesce(f"_{k}", f"w_{k}")).drop(f"_{k}")
+    return requirements, out.withColumn("threshold", F.coalesce("_threshold", "threshold")).drop("_threshold").select(rubric.columns)
+
+
 def assessment_key(requirements: list) -> str:
     """The key of one role's requirements (rows in order): it changes with tiers and terms, not with weights."""
     rows = [{"source": r["source"], "kind": r["kind"], "term_ids": list(r["term_ids"]), "tier": r["tier"]} for r in sorted(requirements, key=lambda r: r["req_pos"])]

@@ -32,10 +32,11 @@ def _bit(place: Column) -> Column:
 
 class Field:
     """All that pairs are scored from: have, routes, people, past roles with their occupations, roles' target occupations,
-    adjacent occupations, roles, requirements and rubric."""
+    adjacent occupations, roles, requirements and rubric. What grows with the people is read three times, so it is stored."""
 
     def __init__(self, have, route, people, past, targets, near, roles, requirements, rubric, country_of=matching.COUNTRY_OF):
-        self.have, self.route, self.people, self.past, self.targets, self.near = have, route, people, past, targets, near
+        self.have, self.people, self.past = stored(have), stored(people), stored(past)
+        self.route, self.targets, self.near = route, targets, near
         self.roles, self.requirements, self.rubric, self.country_of = roles, requirements, rubric, country_of
 
     def scored(self, pairs: DataFrame) -> DataFrame:

@@ -185,3 +185,55 @@ def patched(draft: DataFrame, add_narrower: DataFrame | None = None, add_related
         out = out.withColumn("aliases", F.array_distinct(F.concat("aliases", F.coalesce("_a", none)))).withColumn("from_requirements", F.array_distinct(F.concat("from_requirements", F.coalesce("_f", none)))).drop("_a", "_f")
         out = out.withColumn("adjacent", F.filter("adjacent", lambda x: x["term"] != gone))
     return out.select(draft.columns)
+
+
+OPERATIONS = "kind string, id string, other string, phrase string, weight double, ord int"
+
+
+def apply_operations(draft: DataFrame, unmapped: DataFrame, operations: DataFrame, pillar: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(draft, unmapped, edges, log) after reviewed changes, a row each, as OPERATIONS has them; twice is as once.
+
+    narrower: phrase is a narrower form of id. related: phrase is related to id by weight. drop: id and other are not
+    adjacent. merge: other becomes id, which takes its aliases and requirements; nothing stays adjacent to it. edge: id is
+    narrower than other, both being terms in the end. Changes of a term meet it in one join, whatever their number;
+    unmapped strings that a change has placed go. log is operations with `applied`: not for terms that are not there, nor
+    for merges into a term that is itself merged.
+    """
+    ids = draft.select("id").withColumn("_own", F.lit(True))
+    merged = operations.where("kind = 'merge'").select(F.col("other").alias("id")).distinct().withColumn("_gone", F.lit(True))
+    ops = operations.join(ids, "id", "left").join(merged, "id", "left").join(ids.select(F.col("id").alias("other"), F.col("_own").alias("_other")), "other", "left")
+    there, both = F.col("_own").isNotNull(), F.col("_own").isNotNull() & F.col("_other").isNotNull()
+    applied = F.when(F.col("kind").isin("narrower", "related"), there).when(F.col("kind") == "merge", both & F.col("_gone").isNull() & (F.col("id") != F.col("other"))).when(F.col("kind").isin("drop", "edge"), both).otherwise(F.lit(False))
+    log = ops.withColumn("applied", applied).select(*operations.columns, "applied")
+    good = log.where("applied")
+    merges = good.where("kind = 'merge'").select(F.col("id").alias("kept"), F.col("other").alias("id"), "ord")
+
+    def change(rows, id_, at, narrower=None, related=None, drop=None, aliases=None, claims=None):
+        none, pair = F.lit(None).cast("array<string>"), F.lit(None).cast("struct<phrase:string,weight:double>")
+        text = F.lit(None).cast("string")
+        return rows.select(F.col(id_).alias("id"), F.struct(F.col(at).alias("at"), (narrower if narrower is not None else text).alias("narrower"), (related if related is not None else pair).alias("related"), (drop if drop is not None else text).alias("drop"), (aliases if aliases is not None else none).alias("aliases"), (claims if claims is not None else none).alias("claims")).alias("c"))
+
+    drops = good.where("kind = 'drop'")
+    near = draft.select("id", F.explode("adjacent").alias("a")).select("id", F.col("a.term").alias("other")).join(merges.select(F.col("id").alias("other"), "ord"), "other")
+    changes = change(good.where("kind = 'narrower'"), "id", "ord", narrower=F.col("phrase"))
+    changes = changes.union(change(good.where("kind = 'related'"), "id", "ord", related=F.struct("phrase", "weight")))
+    changes = changes.union(change(drops, "id", "ord", drop=F.col("other"))).union(change(drops, "other", "ord", drop=F.col("id"))).union(change(near, "id", "ord", drop=F.col("other")))
+    changes = changes.union(change(merges.join(draft.select("id", "aliases", "from_requirements"), "id"), "kept", "ord", aliases=F.col("aliases"), claims=F.col("from_requirements")))
+    each = changes.groupBy("id").agg(F.sort_array(F.collect_list("c")).alias("_c"))
+    out = draft.join(merges.select("id"), "id", "left_anti").join(each, "id", "left")
+    none = F.array().cast("array<string>")
+
+    def more(name):
+        return F.coalesce(F.array_compact(F.transform("_c", lambda x: x[name])), F.array().cast("array<struct<phrase:string,weight:double>>") if name == "related" else none)
+
+    fresh = F.filter(more("related"), lambda x: ~F.exists("related", lambda r: r["phrase"] == x["phrase"]))
+    fresh = F.aggregate(fresh, F.array().cast("array<struct<phrase:string,weight:double>>"), lambda a, x: F.when(F.exists(a, lambda r: r["phrase"] == x["phrase"]), a).otherwise(F.concat(a, F.array(x))))  # the first of equal phrases
+    many = lambda name: F.coalesce(F.flatten(F.array_compact(F.transform("_c", lambda x: x[name]))), none)
+    out = out.withColumn("narrower", F.array_distinct(F.concat("narrower", more("narrower")))).withColumn("related", F.concat("related", fresh))
+    out = out.withColumn("aliases", F.array_distinct(F.concat("aliases", many("aliases")))).withColumn("from_requirements", F.array_distinct(F.concat("from_requirements", many("claims"))))
+    out = out.withColumn("_d", more("drop")).withColumn("adjacent", F.filter("adjacent", lambda a: ~F.array_contains(F.col("_d"), a["term"]))).select(draft.columns)
+    placed = good.where("kind in ('narrower', 'related')").select(F.col("phrase").alias("string")).distinct()
+    left = unmapped.join(placed, "string", "left_anti").select(unmapped.columns)
+    edges = good.where("kind = 'edge'").join(merges.select("id"), "id", "left_anti").join(merges.select(F.col("id").alias("other")), "other", "left_anti")
+    edges = edges.select(F.lit(pillar).alias("pillar"), F.col("id").alias("src"), F.col("other").alias("dst"), F.lit("narrower").alias("kind"), F.coalesce("weight", F.lit(1.0)).alias("weight"), "ord")
+    return out, left, edges, log

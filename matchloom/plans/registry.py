@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions import text as X
 from ..operators import evaluation as EV
 from ..operators import ingest, linking, matching, requests, rubric, selection, topk, vocabulary
+from ..operators import replies as RP
 from ..operators.score_store import ScoreStore
+from ..sources import files
 from ..sources.store import new_folder, pinned, stored
 from ..streaming import scoring
 from . import analogue as A
@@ -59,6 +62,16 @@ def parse_location(spark, sf_dir):
     return both.withColumn("l", X.parse_location(raw)).select("n_nationkey", "l.city", "l.country")
 
 
+@query("SELECT o_orderkey, o_orderpriority, row_number() OVER (ORDER BY o_orderkey) - 1 AS position FROM orders")
+def scanned_positions(spark, sf_dir):
+    """Orders written as several CSV files in order, and read again with their places."""
+    folder = new_folder(spark)
+    texts = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority").repartitionByRange(7, "o_orderkey").sortWithinPartitions("o_orderkey")
+    texts.write.option("header", True).csv(folder)
+    rows = files.scan_csv(spark, folder, ("o_orderkey", "o_orderpriority"), "position", many_lines=False)
+    return rows.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), "o_orderpriority", "position")
+
+
 _NOTICE = ["", "Immediate", "Available immediately", "Negotiable", "2 weeks notice", "1 month", "2 months", "45 days", "90 days notice", "starts in 2003"]
 
 
@@ -226,6 +239,51 @@ def patched_surfaces(spark, sf_dir):
     return vocabulary.from_draft(twice, "skill")[0].select("term_id", F.explode("surfaces").alias("phrase"))
 
 
+def _operations(spark, sf_dir):
+    """Changes to the draft of brands, made from the parts: their types are narrower forms, their first name is related, and
+    by number some neighbours are not adjacent, some brands are one, some are narrower than others."""
+    k = F.regexp_extract("p_brand", r"(\d+)", 1).cast("int")
+    brand = lambda n: F.concat(F.lit("Brand#"), n.cast("string"))
+    part = table(spark, sf_dir, "part")
+    one = part.groupBy("p_brand").agg(F.min("p_name").alias("name")).withColumn("k", k)
+    no = F.lit(None).cast("string")
+    rows = part.select("p_brand", "p_type").distinct().select(F.lit("narrower").alias("kind"), F.col("p_brand").alias("id"), no.alias("other"), F.col("p_type").alias("phrase"), F.lit(1.0).alias("weight"), F.rank().over(W.partitionBy("p_brand").orderBy("p_type")).alias("ord"))
+    rows = rows.union(one.select(F.lit("related"), "p_brand", no, "name", F.lit(0.5), F.lit(100)))
+    for kind, when, step in (("drop", F.col("k") % 4 == 0, 1), ("merge", F.col("k") % 6 == 1, 2), ("edge", F.col("k") % 5 == 0, 5)):
+        rows = rows.union(one.where(when).select(F.lit(kind), "p_brand", brand(F.col("k") + step), no, F.lit(1.0), 100 + F.col("k")))
+    return rows
+
+
+def _patched(spark, sf_dir):
+    unmapped = table(spark, sf_dir, "part").select(F.explode(F.array("p_name", "p_type")).alias("string")).distinct().withColumn("reason", F.lit("?"))
+    return vocabulary.apply_operations(_draft(spark, sf_dir), unmapped, _operations(spark, sf_dir), "skill")
+
+
+_PATCH = """d AS (SELECT p_brand AS id, CAST(regexp_extract(p_brand, '(\\d+)', 1) AS INTEGER) AS k, list(DISTINCT p_name) AS aliases, min(p_name) AS name, list_sort(list(DISTINCT p_type)) AS types FROM part GROUP BY 1),
+m AS (SELECT a.id AS kept, b.id AS gone, b.aliases AS more FROM d a JOIN d b ON b.k = a.k + 2 WHERE a.k % 6 = 1)"""
+
+
+@query(f"""WITH {_PATCH}, x AS (SELECT d.*, coalesce(more, []) AS more, gone, gs FROM d LEFT JOIN m ON kept = id CROSS JOIN (SELECT coalesce(list(gone), []) AS gs FROM m) WHERE NOT list_contains(gs, id))
+SELECT id, array_to_string(list_sort(list_distinct(aliases || more)), '|') AS aliases, array_to_string(['red widget', id] || types, '|') AS narrower, name || '=0.5' AS related,
+  array_to_string(list_filter(['Brand#' || (k + 1), 'Brand#' || (k - 1)], lambda t: NOT list_contains(gs, t) AND NOT (k % 4 = 0 AND t = 'Brand#' || (k + 1)) AND NOT ((k - 1) % 4 = 0 AND k > 1 AND t = 'Brand#' || (k - 1))), '|') AS adjacent,
+  array_to_string(list_sort([id] || CASE WHEN gone IS NULL THEN [] ELSE [gone] END), '|') AS claims FROM x""")
+def patched_vocabulary(spark, sf_dir):
+    join = lambda c: F.array_join(F.array_sort(c), "|")
+    out = _patched(spark, sf_dir)[0]
+    return out.select("id", join("aliases").alias("aliases"), F.array_join("narrower", "|").alias("narrower"), F.array_join(F.transform("related", lambda r: F.concat(r["phrase"], F.lit("="), r["weight"].cast("string"))), "|").alias("related"), F.array_join(F.transform("adjacent", lambda a: a["term"]), "|").alias("adjacent"), join("from_requirements").alias("claims"))
+
+
+@query(f"""WITH {_PATCH}, o AS (SELECT 'narrower' AS kind, true AS applied FROM d, unnest(types) UNION ALL SELECT 'related', true FROM d UNION ALL SELECT 'merge', k + 2 IN (SELECT k FROM d) FROM d WHERE k % 6 = 1
+  UNION ALL SELECT 'drop', k + 1 IN (SELECT k FROM d) FROM d WHERE k % 4 = 0 UNION ALL SELECT 'edge', k + 5 IN (SELECT k FROM d) FROM d WHERE k % 5 = 0) SELECT kind, applied, count(*) AS n FROM o GROUP BY 1, 2""")
+def patch_log(spark, sf_dir):
+    return _patched(spark, sf_dir)[3].groupBy("kind", "applied").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_PATCH} SELECT DISTINCT p_name AS string FROM part WHERE p_name NOT IN (SELECT name FROM d)")
+def unmapped_strings(spark, sf_dir):
+    return _patched(spark, sf_dir)[1].select("string")
+
+
 # ---- Linking --------------------------------------------------------------------------------------------------------
 
 _FIELDS = ("headline", "projects", "education", "certifications", "extra_curriculars")
@@ -297,6 +355,23 @@ def linked_replies(spark, sf_dir):
     return out.select("candidate_id", "partial", F.array_join("failed_groups", ",").alias("failed"), "n_mentions", "n_rejected")
 
 
+@query(f"""WITH {A.PEOPLE_SQL}, {_LONG}, l AS (SELECT candidate_id, CASE WHEN field = 'headline' THEN 'list' ELSE 'prose' END AS "group", string_agg(field || ': ' || trim(text), chr(10) ORDER BY list_position(['projects', 'extra_curriculars', 'education', 'certifications'], field)) AS lines FROM long GROUP BY 1, 2)
+SELECT candidate_id, "group", CASE WHEN candidate_id % 9 > 0 THEN 'Read ' || len(lines) || ' of ' || upper(lines) END AS reply FROM l""")
+def answered_once(spark, sf_dir):
+    """Requests of which a third are answered in a first run, the rest in a second; some always fail."""
+    lines = requests.profile_lines(linking.unpivot_fields(A.people(spark, sf_dir), "candidate_id", {f: f for f in _FIELDS}), "candidate_id")
+    asked = lines.select("candidate_id", "group", F.when(F.col("candidate_id") % 9 == 0, "down").otherwise("up").alias("system"), F.col("lines").alias("user"))
+
+    def answer(system, user):
+        if system == "down":
+            raise ConnectionError
+        return f"Read {len(user)} of {user.upper()}"
+
+    table_ = RP.ReplyTable(spark, new_folder(spark), wave=5_000)
+    table_.ask(asked.where("candidate_id % 3 = 1"), answer)
+    return table_.ask(asked, answer).select("candidate_id", "group", "reply")
+
+
 _PROSE = ("projects", "extra_curriculars", "education", "certifications")
 
 
@@ -429,6 +504,31 @@ def steering_diff(spark, sf_dir):
     return rubric.steering_diff(*_supplier_steered(spark, sf_dir))
 
 
+def _supplier_replies(spark, sf_dir):
+    """What a model might say of each supplier's role: two moves, one of a requirement that is not there, weights that
+    sometimes do not sum to 100, parts that it refuses, and texts that are no JSON."""
+    k, req = F.regexp_extract("role_id", r"(\d+)", 1).cast("int"), F.col("required")
+    move = lambda source, tier: F.struct(source.alias("requirement_source"), F.lit(tier).alias("new_tier"))
+    weights = F.struct(F.when(k % 5 == 0, 80.0).otherwise(70.0).alias("required"), F.lit(15.0).alias("preferred"), F.lit(10.0).alias("availability"), F.lit(5.0).alias("location"))
+    refused = F.when(k % 3 == 0, F.array(F.struct(F.lit("older first").alias("guidance"), F.lit("not a dial").alias("reason")))).otherwise(F.array().cast("array<struct<guidance:string,reason:string>>"))
+    said = F.to_json(F.struct(weights.alias("weights"), (k % 60).cast("double").alias("threshold"), F.array(move(req[0], "preferred"), move(F.lit("flying"), "dropped"), move(req[1], "dropped"), move(req[2], "best")).alias("retier"), refused.alias("unsupported")))
+    return D.roles(spark, sf_dir).select("role_id", F.when(k % 7 == 0, "sorry").otherwise(said).alias("reply"))
+
+
+_SAID = f"{D.BRANDS_SQL}, {D.ROLES_SQL}, s AS (SELECT *, CAST(role_id[2:] AS INTEGER) AS k FROM roles)"
+
+
+@query(f"""WITH {_SAID} SELECT role_id, 'threshold' AS what, CAST(k % 60 AS VARCHAR) || '.0' AS detail FROM s WHERE k % 7 <> 0 AND k % 5 <> 0
+UNION ALL SELECT role_id, 'preferred', required[1] FROM s WHERE k % 7 <> 0 AND k % 5 <> 0 UNION ALL SELECT role_id, 'dropped', required[2] FROM s WHERE k % 7 <> 0 AND k % 5 <> 0
+UNION ALL SELECT role_id, 'not a dial', 'older first' FROM s WHERE k % 7 <> 0 AND k % 5 <> 0 AND k % 3 = 0
+UNION ALL SELECT role_id, 'no such requirement', 'flying' FROM s WHERE k % 7 <> 0 AND k % 5 <> 0 UNION ALL SELECT role_id, 'unknown tier', required[3] FROM s WHERE k % 7 <> 0 AND k % 5 <> 0
+UNION ALL SELECT role_id, CASE WHEN k % 7 = 0 THEN 'unreadable' ELSE 'weights do not sum to 100' END, 'reply' FROM s WHERE k % 7 = 0 OR k % 5 = 0""")
+def steering_replies(spark, sf_dir):
+    retier, settings, unsupported, rejected = RP.steering_replies(_supplier_replies(spark, sf_dir), _supplier_req(spark, sf_dir))
+    out = settings.select("role_id", F.lit("threshold").alias("what"), F.col("threshold").cast("string").alias("detail"))
+    return out.union(retier.select("role_id", "tier", "source")).union(unsupported.select("role_id", "reason", "guidance")).union(rejected.select("role_id", "reason", "what"))
+
+
 # ---- Matching -------------------------------------------------------------------------------------------------------
 
 _FS = "CASE field " + " ".join(f"WHEN '{k}' THEN {v}e0" for k, v in matching.FIELD_STRENGTH.items()) + " ELSE 1e0 END"
@@ -697,6 +797,20 @@ def brief_markdown(spark, sf_dir):
     return selection.render_briefs(lines, A.roles(spark), rubric.rubrics(A.roles(spark)))
 
 
+@query(f"""WITH RECURSIVE {_GAPS} SELECT role_id, candidate_id, string_agg(CASE WHEN place <= 1 + candidate_id % 4 THEN 'question ' || place ELSE detail END, '|' ORDER BY place) AS questions FROM g WHERE place <= 3 AND candidate_id % 10 > 0 GROUP BY 1, 2""")
+def brief_texts(spark, sf_dir):
+    """Replies with one to four questions for each finalist but some, and with people who are none: cut and padded."""
+    fin, scores = _explained(spark, sf_dir)
+    gap = stored(selection.gaps(scores, A.people(spark, sf_dir), fin))
+    k = F.col("candidate_id")
+    asks = F.transform(F.sequence(F.lit(1), (1 + k % 4).cast("int")), lambda i: F.concat(F.lit("question "), i.cast("string")))
+    one = F.struct(k.cast("string").alias("candidate_id"), F.lit("s").alias("summary"), F.lit("d").alias("differentiator"), asks.alias("questions"))
+    said = fin.where(k % 10 > 0).select("role_id", one.alias("b")).union(fin.select("role_id", F.struct(F.lit("-1").alias("candidate_id"), F.lit("s").alias("summary"), F.lit("d").alias("differentiator"), F.array(F.lit("q")).alias("questions"))).distinct())
+    reply = said.groupBy("role_id").agg(F.to_json(F.struct(F.collect_list("b").alias("briefs"))).alias("reply"))
+    texts, _ = RP.brief_replies(reply, fin, gap)
+    return texts.where(F.size("questions") > 0).select("role_id", "candidate_id", F.array_join("questions", "|").alias("questions"))
+
+
 # ---- Evaluation -----------------------------------------------------------------------------------------------------
 
 

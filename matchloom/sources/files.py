@@ -9,19 +9,37 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from ..operators.vocabulary import checked_edges, checked_terms, surfaces, validation_errors
+from .store import stored
 
 CANDIDATE_COLUMNS = ("candidate_id", "headline", "skills", "experience_years", "past_roles", "certifications", "education", "projects", "extra_curriculars", "location", "notice_period")
 ROLE_COLUMNS = ("role_id", "title", "department", "required_skills", "nice_to_have_skills", "experience_range", "seniority", "location")
 
 
-def scan_csv(spark: SparkSession, path: str, columns: tuple[str, ...], position: str | None = None) -> DataFrame:
-    """A CSV of strings with a fixed schema; empty cells are empty strings. position adds the row's place in the file."""
+def scan_csv(spark: SparkSession, path: str, columns: tuple[str, ...], position: str | None = None, many_lines: bool = True) -> DataFrame:
+    """A CSV of strings with a fixed schema; empty cells are empty strings. position adds the row's place, from 0 and without
+    gaps, in the order of file names and of rows in a file.
+
+    many_lines: cells may hold line ends, so a file is read by one task. Without, large files are split.
+    """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    rows = spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"', quote='"')
-    rows = rows.select(*[F.coalesce(c, F.lit("")).alias(c) for c in columns])
-    return rows.withColumn(position, F.monotonically_increasing_id()) if position else rows
+    rows = spark.read.schema(schema).csv(path, header=True, multiLine=many_lines, escape='"', quote='"')
+    texts = [F.coalesce(c, F.lit("")).alias(c) for c in columns]
+    if not position:
+        return rows.select(*texts)
+    return positioned(rows.select(*texts, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")), position).select(*columns, position)
+
+
+def positioned(rows: DataFrame, position: str) -> DataFrame:
+    """rows(_file, _block, ...) of a file scan with their place: first the rows of each split are counted, then a running sum
+    over the splits, one row each, says where a split begins. Within a split a task reads in order."""
+    once = stored(rows.withColumn("_at", F.monotonically_increasing_id()))
+    split = once.groupBy("_file", "_block").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy(F.lit(0)).orderBy("_file", "_block").rowsBetween(W.unboundedPreceding, -1)
+    begin = split.select("_file", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return once.join(begin, ["_file", "_block"]).withColumn(position, F.col("_before") + F.col("_at") - F.col("_first")).drop("_file", "_block", "_at", "_first", "_before")
 
 
 def scan_candidates(spark: SparkSession, path: str) -> DataFrame:
