@@ -256,9 +256,8 @@ def test_decontamination(spark):
     index = decontamination.Index([(k, t) for k, t in items if k is not None and t])
     for i, t in rows:  # what is reported is what the similarity says
         for k, (s, at) in decontamination.Scanner(index).scan(t).items():
-            w = decontamination.words_of(t)
-            n = len(index.words[k])
-            assert abs(decontamination.similarity(index.shingles[k], decontamination.shingles(w[at : at + n])) - s) < 0.35 and s >= 0.8
+            w, own = decontamination.words_of(t), decontamination.words_of(dict(items)[k])
+            assert abs(decontamination.similarity(decontamination.shingles(own), decontamination.shingles(w[at : at + len(own)])) - s) < 0.35 and s >= 0.8
     left = decontamination.clean(docs, bench)
     assert left.columns == docs.columns
     assert not {r["doc_id"] for r in left.select("doc_id").collect()} & set(planted)
@@ -278,9 +277,55 @@ def test_all_fingerprints_within_the_radius_are_found():
 
 
 def test_windows_are_sized_by_their_item():
-    for n in range(1, 1400):
-        size, starts = decontamination.windows_of(n)
-        assert 0.5 * n <= size <= n and starts[0] == 0 and starts[-1] == n - size
+    for n in [*range(1, 1400), 5000, 5001, 100_000]:
+        every = decontamination.windows_of(n)
+        sizes = sorted({size for size, _ in every})
+        assert 0.68 * n <= sizes[-1] <= n and all((size, at) in every for size in sizes for at in (0, n - size))
+        assert n < 9 or sizes[0] <= 0.8 * n
+
+
+def test_repeated_item_ids_and_long_items(spark):
+    """Rows of one id with different texts are found by any of them; windows of thousands of words are exact."""
+    rng = random.Random(12)
+    one, two, long = (" ".join(words(rng, n)) for n in (30, 40, 6000))
+    bench = spark.createDataFrame([(1, one), (1, two), (1, one), (2, long)], "item_id long, text string")
+    cut = " ".join(long.split()[300:])
+    docs = [(1, one), (2, two), (3, "other words " + one), (4, long), (5, cut), (6, " ".join(long.split()[:3000])), (7, " ".join(words(rng, 500)))]
+    docs += [(1, one), (None, two)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["item_id"]) for r in decontamination.find(df, bench).collect()), key=str)
+    assert got == sorted([(1, 1), (1, 1), (2, 1), (3, 1), (4, 2), (5, 2), (None, 1)], key=str)
+    assert sorted(r["doc_id"] for r in decontamination.clean(df, bench).collect()) == [6, 7]
+
+
+@pytest.mark.parametrize("edge", ["cut begin", "cut end", "whole, cut begin", "whole, cut end", "whole, cut both", "whole"])
+def test_decontamination_recall_at_the_edges_of_texts(spark, edge):
+    """Items cut where a text begins or ends, or that are the whole text, some edited: through find(), against laying every
+    place of the text on the item; for each kind of edit."""
+    rng = random.Random(edge)
+    items = [(k, " ".join(words(rng, n))) for k, n in enumerate([9, 12, 15, 18, 22, 26, 30, 35, 42, 50, 58, 70, 80, 95, 112, 130, 156, 190, 218, 250])]
+    rows, there = [], {}
+    for edit in ("none", "changed", "dropped", "added", "swapped"):
+        for k, t in items:
+            for share in (0, 0.02, 0.05, 0.08, 0.12, 0.15):
+                w = t.split()
+                cut = max(1, round(share * len(w))) if edge != "whole" else 0
+                begin = cut if "begin" in edge else cut // 2 if "both" in edge else 0
+                end = cut if "end" in edge else cut - cut // 2 if "both" in edge else 0
+                w = w[begin : len(w) - end]
+                if edit != "none":
+                    at = rng.randrange(1, len(w))
+                    w[at - 1 : at + 1] = {"changed": [w[at - 1], "zq"], "dropped": [w[at - 1]], "added": [w[at - 1], "zq", w[at]], "swapped": [w[at], w[at - 1]]}[edit]
+                text = w + words(rng, 60) if edge == "cut begin" else words(rng, 60) + w if edge == "cut end" else w
+                own, n = decontamination.shingles(t.lower().split()), len(t.split())
+                if max(decontamination.similarity(own, decontamination.shingles(text[max(0, s) : max(0, s + n)])) for s in range(-n // 4, max(2, len(text) - n // 2))) >= 0.8:
+                    there.setdefault(edit, set()).add((len(rows), k))
+                rows.append((len(rows), k, " ".join(text)))
+    docs = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontamination.find(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    for edit, want in there.items():
+        assert len(want) > 20 and len(found & want) >= 0.9 * len(want), (edit, len(found & want), len(want))
+    assert found <= {(i, k) for i, k, _ in rows}
 
 
 @pytest.mark.parametrize("kind", ["copy", "changed", "dropped", "added", "swapped"])
