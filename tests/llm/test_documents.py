@@ -46,7 +46,7 @@ def test_ngram_join(docs):
     ids = sorted(sets)
     links = [(a, b) for a in ids for b in ids if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     root = smallest(ids, links)
-    for small in (ngram_join.SMALL, 2):  # with short lists only, and through leaders and blocks
+    for small in (512, ngram_join.SMALL):  # pairs of short lists one by one, and all through leaders and blocks
         got = rows(ngram_join.join(docs, small, 1 << 20 if small > 2 else 3000))
         assert {i: r["n_shingles"] for i, r in got.items()} == {i: len(s) for i, s in sets.items()}
         assert {i: r["component_id"] for i, r in got.items()} == root
