@@ -12,8 +12,10 @@ goes on only if some block of its list that has another component holds a positi
 skipped by their smallest position, unread.
 
 Answer-level skipping: every set is first compared with the leaders of its lists alone. Links through leaders make
-components, and only pairs across components go on. A list of two holds its leader and one more, which is settled. In
-every longer list of a leader X a set's answers are derived from X's: with the shingles that A lacks and those it has
+components, and only pairs across components go on. In a list of up to `small` sets these pairs are verified one by one,
+unless the two similarities to the leader, x and y, rule them out (|x - y| over 0.2; Jaccard distance is a metric), or
+their signatures do, bitmaps that bound the overlap from above. In
+the longer lists of a leader X a set's answers are derived from X's: with the shingles that A lacks and those it has
 beyond X, |A and B| = |X| - |X\\A| - |X\\B| + |(X\\A) and (X\\B)| + |(A\\X) and (B\\X)|. So blocks of such differences
 meet, never whole sets, and one matrix product gives all overlaps of two blocks. A task hands on a spanning forest
 of the components that it joins.
@@ -36,7 +38,7 @@ from .common import broadcast_if_small, components, fields, forget, joined_roots
 from .words import grams, sequence, word_hashes
 
 K = 5
-SMALL = 2
+SMALL = 16
 COUNT_BITS = 22
 NUM, DEN = 80, 100
 STEP = 128  # rows hashed at a time
@@ -325,6 +327,7 @@ def derived_links(wanted: DataFrame, comps: DataFrame, docs: DataFrame, first: D
     size = stored(size)
     blocks = rows.join(size, ["lead", "band"]).withColumn("salt", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
     blocks = stored(blocks.groupBy("lead", "lead_n", "band", "salt").agg(F.collect_list(F.struct("n", "both", "component", "sim", "minus", "plus")).alias("part")))
+    forget(known)
     upto = F.sequence(F.lit(0), F.col("blocks") - 1)
     own = size.withColumn("salt", F.explode(upto)).withColumn("salt2", F.explode(F.sequence(F.col("salt"), F.col("blocks") - 1))).select("lead", "band", "salt", F.col("band").alias("band2"), "salt2")
     other = size.select("lead", (F.col("band") - 1).alias("band"), F.col("band").alias("band2"), F.explode(upto).alias("salt2"))
@@ -335,7 +338,7 @@ def derived_links(wanted: DataFrame, comps: DataFrame, docs: DataFrame, first: D
     both = pairs.join(blocks, ["lead", "band", "salt"]).join(right, ["lead", "band2", "salt2"]).select("lead_n", same.alias("same"), "part", F.when(~same, F.col("other")).alias("other"))
     with small_batches(docs.sparkSession, 4):
         out = stored(both.mapInArrow(_derived, fields(("u", "long"), ("v", "long"))))
-    forget(known, size, blocks)
+    forget(size, blocks)
     return out
 
 
