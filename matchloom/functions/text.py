@@ -1,19 +1,16 @@
-"""Column functions for cleaning profile and requirement text. All are built-in expressions unless said otherwise."""
+"""Column functions for cleaning profile and requirement text. All are built-in expressions."""
 
 from __future__ import annotations
 
-import html
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .entities import unescape
+
 # Symbols that would vanish in a key, in the order in which they are replaced.
 SPELLED = (("c++", "c-plus-plus"), ("c#", "c-sharp"), (".net", "dot-net"))
-# Entities that are decoded without Python where full=False is asked for.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&ndash;", "–"), ("&mdash;", "—"), ("&eacute;", "é"), ("&amp;", "&"))
-
 
 def py_round(x: Column, d: int) -> Column:
     """x to d decimals, half to even on the exact binary value: a two-product tells on which side of a tie x lies."""
@@ -38,24 +35,9 @@ def blank(c: Column) -> Column:
     return F.coalesce(strip(c), F.lit("")).isin("", "-")
 
 
-def _every_entity(c: Column) -> Column:
-    @F.pandas_udf("string")
-    def decode(s: pd.Series) -> pd.Series:
-        return s.map(html.unescape, na_action="ignore")
-
-    return decode(c)
-
-
-def unescape(c: Column, full: bool = True) -> Column:
-    """HTML entities decoded: all of them, named and numeric, by an Arrow UDF; with full=False only ENTITIES, by built-ins."""
-    if full:
-        return _every_entity(c)
-    return reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), ENTITIES, c)
-
-
-def strip_html(c: Column, full: bool = True) -> Column:
-    text = unescape(F.regexp_replace(c, "<[^>]+>", " "), full)
-    return strip(F.regexp_replace(text, "[ \t]+", " "))
+def strip_html(c: Column) -> Column:
+    """Tags become blanks, entities are decoded, blanks run together, white space at both ends goes."""
+    return strip(F.regexp_replace(unescape(F.regexp_replace(c, "<[^>]+>", " ")), "[ \t]+", " "))
 
 
 def normalize_key(c: Column) -> Column:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions import entities
 from ..functions import text as X
 from ..operators import evaluation as EV
 from ..operators import ingest, linking, matching, requests, rubric, selection, topk, vocabulary
@@ -45,7 +48,25 @@ def entry(spark):
 
 # ---- Cleaning -------------------------------------------------------------------------------------------------------
 
-@query()  # SQL lacks the table of all entities; the whole result is held against Python's decoding in the tests
+_SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_C1 = ", ".join(f"({0x80 + i}, {quoted(c)})" for i, c in enumerate(entities._C1))
+
+
+def _entities_sql() -> str:
+    """Python's table of entities as rows; the longest that a part begins with is the one that it means."""
+    named = ", ".join(f"({quoted(n)}, {quoted(t)})" for n, t in sorted(html5.items()))
+    return f"""WITH ent(name, t) AS (VALUES {named}), c1(n, t) AS (VALUES {_C1}),
+p AS (SELECT page_id, unnest(w) AS part, generate_subscripts(w, 1) AS i FROM (SELECT page_id, string_split(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&') AS w FROM pages)),
+r AS (SELECT page_id, i, part, regexp_extract(part, '^#([0-9]+|[xX][0-9a-fA-F]+);?', 0) AS ref, regexp_extract(part, '^#0*([0-9]*)', 1) AS d, regexp_extract(part, '^#[xX]0*([0-9a-fA-F]*)', 1) AS h FROM p),
+n AS (SELECT *, CASE WHEN i > 1 AND ref <> '' THEN CASE WHEN ref[2] IN ('x', 'X') THEN CASE WHEN len(h) <= 6 THEN CAST('0x0' || h AS BIGINT) END WHEN len(d) <= 7 THEN CAST('0' || d AS BIGINT) END END AS n FROM r),
+best AS (SELECT page_id, i, max_by(name, len(name)) AS name FROM r JOIN ent ON i > 1 AND ref = '' AND starts_with(part, name) GROUP BY 1, 2),
+d AS (SELECT n.page_id, n.i, CASE WHEN n.i = 1 THEN part WHEN ref <> '' THEN CASE WHEN n.n IS NULL OR n.n = 0 OR n.n BETWEEN 55296 AND 57343 OR n.n > 1114111 THEN chr(65533) WHEN n.n = 13 THEN chr(13) WHEN n.n BETWEEN 128 AND 159 THEN c1.t
+    WHEN n.n BETWEEN 1 AND 8 OR n.n IN (11, 127) OR n.n BETWEEN 14 AND 31 OR n.n BETWEEN 64976 AND 65007 OR n.n & 65534 = 65534 THEN '' ELSE chr(CAST(n.n AS INTEGER)) END || part[len(ref) + 1:]
+  WHEN name IS NOT NULL THEN ent.t || part[len(name) + 1:] ELSE '&' || part END AS t FROM n LEFT JOIN best USING (page_id, i) LEFT JOIN ent USING (name) LEFT JOIN c1 ON c1.n = n.n)
+SELECT page_id, md5(regexp_replace(regexp_replace(string_agg(t, '' ORDER BY i), '[ \t]+', ' ', 'g'), '^[{_SPACE}]+|[{_SPACE}]+$', '', 'g')) AS text_md5 FROM d GROUP BY 1"""
+
+
+@query(_entities_sql())
 def ingest_strip_html(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.md5(X.strip_html(F.col("html"))).alias("text_md5"))
 

@@ -35,7 +35,7 @@ def test_strip_html(spark):
     cases = {"<b>a</b>&nbsp; <br/>b\t\tc": "a b c", "x &lt;y&gt; &amp;amp;": "x <y> &amp;", " x ": "x", "a\nb": "a\nb"}
     got = column(spark, list(cases), X.strip_html)
     assert got[2:] == ["x", "a\nb"] and got[1] == "x <y> &amp;"
-    assert column(spark, ["&frac12; &hearts;"], lambda c: X.strip_html(c, full=True)) == ["½ ♥"]
+    assert column(spark, ["&frac12; &hearts;"], X.strip_html) == ["½ ♥"]
 
 
 def test_strip_html_decodes_every_entity(spark):
