@@ -13,8 +13,8 @@ it that touch no base span are added, leftmost first; an ip or a card must also
 Proposed cards have 12 to 23 digits, proposed phones 2 to 6 groups of digits; parts of mails and addresses have any length.
 
 Null text: empty. A text without a span has zero counts, an empty list and the hash of the empty string. Positions are
-code points, ends exclusive. Rows are scored one by one, so very long texts, repeated rows and extra columns do not matter.
-An empty table, or one without base spans, adds nothing.
+code points, ends exclusive. Rows are scored one by one, so repeated rows and extra columns do not matter; very long texts are
+taken whole, in time quadratic in the number of hits of one text. An empty table, or one without base spans, adds nothing.
 """
 
 from __future__ import annotations
