@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from .linking import GROUPS, ground
+from .rubric import WEIGHTS
 
 
 def filled(template: str, **values: Column) -> Column:
@@ -123,12 +124,27 @@ def brief_requests(lines: DataFrame, gap: DataFrame, roles: DataFrame, sections:
     return body.select("role_id", F.lit(sections.get("system", "")).alias("system"), filled(sections["user"], role_title=F.col("title"), candidates=F.col("candidates")).alias("user"))
 
 
-def assessment_text(matched: DataFrame, scores: DataFrame) -> DataFrame:
-    """(role_id, candidate_id, text): a pair's total and a line for each requirement, for questions about results."""
-    line = F.concat(F.lit("  "), F.col("source"), F.lit(" ("), F.col("tier"), F.lit("): score="), F.col("score").cast("string"), F.lit(" via="), F.col("via"))
+def rubric_text(rubric: DataFrame, requirements: DataFrame) -> DataFrame:
+    """(role_id, text): a role's weights and threshold, and a line for each requirement with its tier."""
+    head = F.concat_ws(", ", *[F.concat(F.lit(f"{k} "), X.short_number(F.col(f"w_{k}"))) for k in WEIGHTS], F.concat(F.lit("threshold "), X.short_number(F.col("threshold"))))
+    line = F.concat(F.lit("- "), F.col("source"), F.lit(" ["), F.col("tier"), F.lit("]"))
+    each = requirements.groupBy("role_id").agg(F.sort_array(F.collect_list(F.struct("req_pos", line.alias("line")))).alias("l"))
+    return rubric.join(each, "role_id", "left").select("role_id", F.concat_ws("\n", head, F.transform("l", lambda x: x["line"])).alias("text"))
+
+
+def assessment_text(matched: DataFrame, scores: DataFrame, experience: DataFrame | None = None) -> DataFrame:
+    """(role_id, candidate_id, text): a pair's total, a line for each requirement with its evidence and, with
+    experience(role_id, candidate_id, implied_years, score), one for that; for questions about results."""
+    found = F.concat(F.col("score").cast("string"), F.lit(" "), F.col("via"), F.lit(", "), F.coalesce("field", F.lit("")), F.lit(' "'), F.coalesce("phrase", F.lit("")), F.lit('"'))
+    line = F.concat(F.lit("- "), F.col("source"), F.lit(" ["), F.col("tier"), F.lit("]: "), F.when(F.col("score") > 0, found).otherwise("none"))
     each = scores.groupBy("role_id", "candidate_id").agg(F.sort_array(F.collect_list(F.struct("req_pos", line.alias("line")))).alias("l"))
     head = F.concat(F.col("candidate_id").cast("string"), F.lit(" total="), F.col("total").cast("string"))
-    return matched.select("role_id", "candidate_id", "total").join(each, ["role_id", "candidate_id"], "left").select("role_id", "candidate_id", F.concat_ws("\n", head, F.transform("l", lambda x: x["line"])).alias("text"))
+    key, years = ["role_id", "candidate_id"], F.lit(None).cast("string")
+    out = matched.select(*key, "total").join(each, key, "left")
+    if experience is not None:
+        out = out.join(experience.select(*key, "implied_years", F.col("score").alias("_fit")), key, "left")
+        years = F.concat(F.lit("- experience: "), F.col("implied_years").cast("string"), F.lit(" years, "), F.col("_fit").cast("string"))
+    return out.select(*key, F.concat_ws("\n", head, F.transform("l", lambda x: x["line"]), years).alias("text"))
 
 
 def answer_requests(questions: DataFrame, text: DataFrame, sections: dict[str, str]) -> DataFrame:

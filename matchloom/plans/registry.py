@@ -909,9 +909,15 @@ def same_occupation_rejects(spark, sf_dir):
     return EV.unexplained_rejects(_match(spark, sf_dir, skills=skills), _own(spark, sf_dir), _targets(spark), skills, req, rubric.rubrics(A.roles(spark), threshold=90.0))
 
 
-@query(f"""WITH RECURSIVE {_SKILL}, e AS (SELECT role_id, candidate_id, string_agg('  ' || source || ' (' || tier || '): score=' || CAST(score AS VARCHAR) || ' via=' || via, chr(10) ORDER BY req_pos) AS lines FROM sc GROUP BY 1, 2)
-SELECT role_id, candidate_id, lines FROM e WHERE candidate_id IN (1, 7, 40, 41)""")
+@query(f"""WITH RECURSIVE {_short_sql(56.0)}, e AS (SELECT role_id, candidate_id, string_agg('- ' || source || ' [' || tier || ']: ' || CASE WHEN score = 0 THEN 'none' ELSE CAST(score AS VARCHAR) || ' ' || via || ', ' || field || ' "' || phrase || '"' END, chr(10) ORDER BY req_pos) AS lines FROM sc SEMI JOIN fin USING (role_id, candidate_id) GROUP BY 1, 2)
+SELECT e.role_id, e.candidate_id, lines || chr(10) || '- experience: ' || CAST(implied_years AS VARCHAR) || ' years, ' || CAST(score AS VARCHAR) AS lines FROM e JOIN ex USING (role_id, candidate_id)""")
 def assessment_text(spark, sf_dir):
-    some = selection.assessments(_match(spark, sf_dir), [1, 7, 40, 41])
-    out = requests.assessment_text(some, selection.requirement_scores(some, matching.skill_scores(_routes(spark, sf_dir)), _req(spark)))
+    fin, scores = _explained(spark, sf_dir)
+    experience = matching.experience_scores(A.people(spark, sf_dir), _req(spark), _years(spark, sf_dir), pairs=fin)
+    out = requests.assessment_text(fin, scores, experience)
     return out.select("role_id", "candidate_id", F.regexp_replace("text", r"^[^\n]*\n", "").alias("lines"))
+
+
+@query(f"""WITH {_SUPPLIERS} SELECT role_id, 'required 80, preferred 10, availability 5, location 5, threshold 56' || chr(10) || string_agg('- ' || source || ' [' || tier || ']', chr(10) ORDER BY req_pos) AS text FROM req GROUP BY 1""")
+def rubric_text(spark, sf_dir):
+    return requests.rubric_text(rubric.rubrics(D.roles(spark, sf_dir)), _supplier_req(spark, sf_dir))
