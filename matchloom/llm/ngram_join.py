@@ -38,7 +38,7 @@ from .common import broadcast_if_small, components, fields, forget, joined_roots
 from .words import grams, sequence, word_hashes
 
 K = 5
-SMALL = 64
+SMALL = 512
 COUNT_BITS = 22
 NUM, DEN = 80, 100
 STEP = 128  # rows hashed at a time
