@@ -74,25 +74,49 @@ def write_vocabulary(version: str, terms: DataFrame, edges: DataFrame, path: str
     Path(path).write_text(json.dumps({"version": version, "terms": t, "edges": e}, indent=2, ensure_ascii=False) + "\n")
 
 
-def store_vocabulary(terms: DataFrame, edges: DataFrame, path: str) -> None:
-    """Tables by pillar: terms, surfaces with keys, edges with adjacency both ways. A vocabulary with errors is refused."""
+def _checked_tables(terms: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
+    """term, surface with keys, edge with adjacency both ways. A vocabulary with errors is refused."""
     wrong = validation_errors(terms, edges).limit(5).collect()
     if wrong:
         raise ValueError(f"the vocabulary has errors: {[tuple(r) for r in wrong]}")
-    terms.select("pillar", "term_id", "ord", "label").write.mode("overwrite").partitionBy("pillar").parquet(f"{path}/term")
-    surfaces(terms).write.mode("overwrite").partitionBy("pillar").parquet(f"{path}/surface")
     back = edges.where("kind = 'adjacent'").select("pillar", F.col("dst").alias("src"), F.col("src").alias("dst"), "kind", "weight", "ord")
-    edges.select("pillar", "src", "dst", "kind", "weight", "ord").union(back).write.mode("overwrite").partitionBy("pillar").parquet(f"{path}/edge")
+    both = edges.select("pillar", "src", "dst", "kind", "weight", "ord").union(back)
+    return {"term": terms.select("pillar", "term_id", "ord", "label"), "surface": surfaces(terms), "edge": both}
 
 
-def load_vocabulary(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def _loaded(surface: DataFrame, edge: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(surfaces, edges) of a stored vocabulary: a related phrase of weight 1 is a surface, an adjacent pair is one sorted row."""
-    surface = spark.read.parquet(f"{path}/surface").withColumn("kind", F.when(F.col("weight") == 1.0, "surface").otherwise("related"))
-    edge = spark.read.parquet(f"{path}/edge")
     near = edge.where("kind = 'adjacent'").groupBy("pillar", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "kind").agg(F.min_by("weight", "ord").alias("weight"), F.min("ord").alias("ord"))
+    surface = surface.withColumn("kind", F.when(F.col("weight") == 1.0, "surface").otherwise("related"))
     return surface, edge.where("kind = 'narrower'").select("pillar", "src", "dst", "kind", "weight", "ord").union(near.select("pillar", F.col("a").alias("src"), F.col("b").alias("dst"), "kind", "weight", "ord"))
 
 
+def store_vocabulary(terms: DataFrame, edges: DataFrame, path: str) -> None:
+    """The vocabulary as Parquet folders by pillar."""
+    for name, df in _checked_tables(terms, edges).items():
+        df.write.mode("overwrite").partitionBy("pillar").parquet(f"{path}/{name}")
+
+
+def load_vocabulary(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return _loaded(spark.read.parquet(f"{path}/surface"), spark.read.parquet(f"{path}/edge"))
+
+
+BUCKETED_BY = {"term": "term_id", "surface": "key", "edge": "src"}
+
+
+def store_vocabulary_tables(terms: DataFrame, edges: DataFrame, prefix: str, path: str, buckets: int = 64) -> None:
+    """The vocabulary as tables of the catalog, prefix_term and so on, bucketed and sorted by what they are joined on: a join
+    on it shuffles the other side alone."""
+    for name, df in _checked_tables(terms, edges).items():
+        key = BUCKETED_BY[name]
+        # By bucket, so that each task writes whole buckets and not a file of each.
+        df.repartition(buckets, key).write.mode("overwrite").format("parquet").option("path", f"{path}/{name}").bucketBy(buckets, key).sortBy(key).saveAsTable(f"{prefix}_{name}")
+
+
+def load_vocabulary_tables(spark: SparkSession, prefix: str) -> tuple[DataFrame, DataFrame]:
+    return _loaded(spark.table(f"{prefix}_surface"), spark.table(f"{prefix}_edge"))
+
+
 LINKS = "candidate_id string, partial boolean, failed_groups array<string>, mentions array<struct<term:string,field:string,phrase:string,relation:string>>, rejected array<struct<group:string,reason:string,raw:map<string,string>>>"
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from matchloom.operators import evaluation, linking, phrases, vocabulary
 from matchloom.plans import derived
+from matchloom.sources import files
 
 SF = "/root/testdata/sf0.001"
 SURFACE = "pillar string, term_id string, term_ord int, ord int, phrase string, weight double, kind string, key string"
@@ -120,3 +121,24 @@ def test_positions_with_ties_nulls_and_few_rows(spark):
         own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[2] is None, -(r[2] or 0), r[1]))
         want += [(g, i, s, k, len(own)) for k, (_, i, s) in enumerate(own)]
     assert sorted(((r["g"], r["id"], r["score"], r["rank"], r["n"]) for r in got), key=repr) == sorted(want, key=repr)
+
+
+def test_bucketed_vocabulary_is_joined_where_it_lies(spark, tmp_path):
+    terms, edges = derived.terms(spark, SF).where("term_id not like 'N%'"), derived.edges(spark, SF).where("src <> 'P0' and dst not in ('P-1', 'P200')")
+    files.store_vocabulary(terms, edges, f"{tmp_path}/plain")
+    files.store_vocabulary_tables(terms, edges, "kept", f"file://{tmp_path}/tables", buckets=4)
+    rows = lambda df: sorted(map(repr, df.select(*sorted(df.columns)).collect()))
+    for plain, kept in zip(files.load_vocabulary(spark, f"{tmp_path}/plain"), files.load_vocabulary_tables(spark, "kept")):
+        assert rows(plain) == rows(kept) and rows(plain)
+    surface, _ = files.load_vocabulary_tables(spark, "kept")
+    part = spark.read.parquet(f"{SF}/part.parquet").withColumn("said", F.concat_ws(" ", "p_name", "p_partkey"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = vocabulary.resolve_surface(part, "said", surface, "skill")
+        plan = out._jdf.queryExecution().explainString(out._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+        got = {r["p_partkey"]: r["term_id"] for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" in plan  # of the parts alone
+    assert all(t in (None, f"P{k}") for k, t in got.items()) and sum(t is not None for t in got.values()) > 100
