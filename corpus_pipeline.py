@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.llm import decontamination, mixing, ngram_join, sharding, toxicity
-from matchloom.llm.common import stored, table
+from matchloom.llm.common import broadcast_if_small, stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,14 +32,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     named = docs.select(name.alias("_name"), "doc_id", "text")
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_name")
     places = named.groupBy("_name").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("n"))
-    linked = ngram_join.join(named.select(F.col("_name").alias("doc_id"), "text")).select(F.col("doc_id").alias("_name"), "component_id").distinct()
+    linked = stored(ngram_join.join(named.select(F.col("_name").alias("doc_id"), "text")).select(F.col("doc_id").alias("_name"), "component_id").distinct())
     # Groups of several names; the first of a group is a minimum, combined before the shuffle.
-    many = linked.groupBy("component_id").agg(F.min("_name").alias("a"), F.max("_name").alias("b")).where("a < b").select("component_id")
-    linked = stored(linked.join(many, "component_id").join(places, "_name").select("_name", "component_id", "place"))
-    first = linked.groupBy("component_id").agg(F.min("place").alias("first"))
-    gone = linked.join(first, "component_id").where(F.col("place") != F.col("first")).select("_name")
+    many = stored(linked.groupBy("component_id").agg(F.min("_name").alias("a"), F.max("_name").alias("b")).where("a < b").select("component_id"))
+    members = stored(linked.join(broadcast_if_small(many), "component_id").join(places, "_name").select("_name", "component_id", "place"))
+    first = stored(members.groupBy("component_id").agg(F.min("place").alias("first")))
+    gone = stored(members.join(broadcast_if_small(first), "component_id").where(F.col("place") != F.col("first")).select("_name"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), name.alias("_name"))
-    left = rows.join(gone, "_name", "left_anti")
+    left = rows.join(broadcast_if_small(gone), "_name", "left_anti")
     twice = stored(places.where("n > 1").select("_name"))
     if not twice.isEmpty():
         again = left.join(twice, "_name", "left_semi").dropDuplicates(["_name"])
