@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from matchloom.operators import evaluation, replies, requests, rubric, vocabulary
+from matchloom.operators import evaluation, replies, requests, rubric, sinks, vocabulary
 from matchloom.sources import files
 
 
@@ -207,3 +207,11 @@ def test_steering_report(spark):
     runs = spark.createDataFrame([("c1", w, w, 56.0, 56.0, 0), ("c2", w, {"required": 90.0}, 56.0, 40.0, 0), ("c3", w, w, 56.0, 56.0, 0), ("c4", w, w, 56.0, 56.0, 0)], "case_id string, weights_before map<string,double>, weights_after map<string,double>, threshold_before double, threshold_after double, refused int")
     got = {r["case_id"]: (r["passed"], list(r["wrong"])) for r in evaluation.steering_report(cases, before, after, runs).collect()}
     assert got == {"c1": (True, []), "c2": (True, []), "c3": (False, ["nothing was refused"]), "c4": (False, ["nothing is expected"])}
+
+
+def test_briefs_are_written_a_file_a_role(spark, tmp_path):
+    briefs = spark.createDataFrame([("R1", "# R1 — Chef\n\nfirst\n"), ("R2", "# R2 — Baker\n")], "role_id string, markdown string")
+    for _ in range(2):  # written again, they replace themselves
+        sinks.write_markdown(briefs, f"{tmp_path}/briefs")
+    got = {p.name: "".join(f.read_text() for f in p.glob("part-*")) for p in (tmp_path / "briefs").glob("role_id=*")}
+    assert got == {"role_id=R1": "# R1 — Chef\n\nfirst\n\n", "role_id=R2": "# R2 — Baker\n\n"}
