@@ -347,6 +347,27 @@ def test_pii_adds_disguised_spans(spark):
     assert [sum(hits[k::4]) for k in range(4)] == [8] * 4
 
 
+def test_pii_of_a_text_with_50_000_hits(spark):
+    """Positions, context and counts over long lists, with hits side by side and signs outside the basic plane."""
+    text = "😀" + " ".join(f"u{i}@ex{i}.com 10.1.{i % 256}.{i % 300}" for i in range(25_000))
+    r = pii.digest(spark.createDataFrame([(1, text), (2, "write a@b.com")], "doc_id long, text string")).where("doc_id = 1").first()
+    want = base_spans(text)
+    assert len(want) > 45_000 and r["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest()
+
+
+def test_sums_and_leftmost_spans_against_loops(spark):
+    rng = __import__("random").Random(5)
+    rows = [(n, [rng.randrange(9) for _ in range(n)], sorted((a, a + rng.randrange(1, 12)) for a in rng.choices(range(3 * n + 1), k=n))) for n in (0, 1, 2, 63, 64, 65, 129, 500)]
+    df = spark.createDataFrame(rows, "id int, a array<int>, x array<struct<s:int,e:int>>")
+    for r in df.select("a", "x", pii.sums_before(F.col("a")).alias("sums"), pii.leftmost(F.col("x")).alias("taken"), F.transform("x", lambda w: pii.touches(w, pii.leftmost(F.col("x")))).alias("met")).collect():
+        assert r["sums"] == [sum(r["a"][:i]) for i in range(len(r["a"]))]
+        at, want = 0, []
+        for s, e in r["x"]:
+            if s >= at:
+                want, at = want + [(s, e)], e
+        assert r["taken"] == want and r["met"] == [any(a < e and b > s for a, b in want) for s, e in r["x"]]
+
+
 def test_pii_empty(empty):
     assert pii.digest(empty).count() == 0
 
