@@ -113,7 +113,8 @@ def past_roles(c: Column, ref: Column, strict: bool = True) -> Column:
 
 def short_number(c: Column) -> Column:
     """A number with at most six significant digits and no trailing zeros."""
-    return F.regexp_replace(F.regexp_replace(F.format_string("%.4f", c.cast("double")), "0+$", ""), r"\.$", "")
+    digits = F.format_string("%.6g", c.cast("double"))
+    return F.regexp_replace(F.regexp_replace(digits, r"(\.[0-9]*?)0+(?=e|$)", "$1"), r"\.(?=e|$)", "")
 
 
 def band_fit(years: Column, lo: Column, hi: Column) -> Column:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions import text as X
 
@@ -79,8 +78,3 @@ def load_candidates(raw: DataFrame, ref: str, strict: bool = True) -> dict[str,
     durations = people.withColumn("_d", F.transform("past_roles", lambda r: r["duration_years"]))
     conflicts = experience_conflicts(durations, "stated_years", "_d").where("conflict").select("candidate_id", "stated_years", "implied_years")
     return {"candidates": people, "quarantine": quarantine, "duplicates": groups, "conflicts": conflicts}
-
-
-def latest(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    w = W.partitionBy(*key).orderBy(*order)
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")

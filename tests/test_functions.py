@@ -102,6 +102,9 @@ def test_bands(spark):
     assert column(spark, [None, 0, 30, 45, 60, 90], X.availability, "int") == [0.0, 1.0, 0.75, 0.5, 0.25, 0.0]
     assert column(spark, [0.0, 2.0, 4.0, 7.0, 9.0], lambda c: X.band_fit(c, F.lit(4), F.lit(7)), "double") == [0.0, 0.5, 1.0, 1.0, 0.85]
     assert column(spark, [5.84, 5.0, 87.5, 0.25, 100.0], X.short_number, "double") == ["5.84", "5", "87.5", "0.25", "100"]
+    rng = random.Random(8)
+    every = [0.0, -2.5, 123.45678, 1234567.0, 1e6, 999999.5, 0.0001, 0.00001234, 1e-5, 1200000.0] + [round(rng.uniform(-1, 1) * 10 ** rng.randrange(-6, 9), 9) for _ in range(300)]
+    assert column(spark, every, X.short_number, "double") == [f"{x:g}" for x in every]
 
 
 def test_location_fit(spark):
