@@ -69,6 +69,13 @@ def small_batches(spark: SparkSession, rows: int):
         spark.conf.set(key, old)
 
 
+def sliced(batches, rows: int = 256):
+    """The batches of a task in slices of at most so many rows: what Python makes of a slice's texts is freed before the next."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def unit(*cols) -> Column:
     """A number in [0, 1) that depends on the values of cols alone."""
     return F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") * F.lit(2.0**-53)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fields
+from .common import fields, forget, sliced, small_batches, stored
 
 TOKENS = re.compile(r"\w+|[\"“”„«»‘]|(?<!\w)[’']|[’'](?!\w)")  # an apostrophe inside a word is no quotation mark
 SPAN = 8
@@ -36,6 +36,7 @@ QUOTES = {'"', "“", "”", "„", "«", "»", "‘", "’"}
 REPORTING = {"said", "says", "wrote", "writes", "called", "quoted", "quote", "sagte", "schrieb", "nannte", "zitat", "dit", "écrit", "appelé", "citation", "dijo", "escribió", "llamó", "cita"}
 SECOND = {"you", "your", "yourself", "u", "ur", "du", "dich", "dein", "euch", "tu", "toi", "vous", "ton", "votre", "tú", "usted", "ustedes"}
 STEMS = (4, 5, 6)
+HELD = 100_000  # terms that a task counts before it hands its counts on
 
 
 def quoted_at(tokens: list[str], i: int) -> bool:
@@ -169,9 +170,16 @@ def features(text: str | None, lexicon: Lexicon, cache: dict) -> list[float]:
 
 def _frequencies(batches):
     """Rows with each term by label, and which of 64 slots the words before it fall into in toxic rows."""
+    def counted(rows):
+        term, stem, clean, toxic, slots = zip(*rows)
+        return pa.RecordBatch.from_arrays([pa.array(term), pa.array(stem), pa.array(clean), pa.array(toxic), pa.array(np.array(slots, dtype=np.uint64).view(np.int64))], names=["term", "stem", "clean", "toxic", "slots"])
+
     count: dict[tuple[str, bool], list[int]] = {}
     total = [0, 0]
     for b in batches:
+        if len(count) > HELD:
+            yield counted([(t, s, *c) for (t, s), c in count.items()])
+            count.clear()
         for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             total[toxic] += 1
             tokens = TOKENS.findall(text.lower()) if text else []
@@ -189,9 +197,7 @@ def _frequencies(batches):
                 c = count.setdefault(k, [0, 0, 0])
                 c[toxic] += 1
                 c[2] |= slots
-    rows = [(t, s, *c) for (t, s), c in count.items()] + [("", False, *total, 0)]
-    term, stem, clean, toxic, slots = zip(*rows)
-    yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(stem), pa.array(clean), pa.array(toxic), pa.array(np.array(slots, dtype=np.uint64).view(np.int64))], names=["term", "stem", "clean", "toxic", "slots"])
+    yield counted([(t, s, *c) for (t, s), c in count.items()] + [("", False, *total, 0)])
 
 
 def learn_lexicon(sample: DataFrame, least: int = 4, odds: float = 3.0) -> list[tuple[str, bool]]:
@@ -202,15 +208,17 @@ def learn_lexicon(sample: DataFrame, least: int = 4, odds: float = 3.0) -> list[
     """
     n = sample.mapInArrow(_frequencies, fields(("term", "string"), ("stem", "boolean"), ("clean", "long"), ("toxic", "long"), ("slots", "long")))
     n = n.groupBy("term", "stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.bit_count(F.bit_or("slots")).alias("contexts"))
-    n = n.where((F.col("term") == "") | (F.col("toxic") >= least) & (F.col("toxic") > F.col("clean")))
+    n = stored(n.where((F.col("term") == "") | (F.col("toxic") >= least) & (F.col("toxic") > F.col("clean"))))
     total = {r["term"]: r for r in n.where("term = ''").collect()}
     if not total or not total[""]["toxic"]:
+        forget(n)
         return []
     bad, good = total[""]["toxic"], total[""]["clean"]
     least = max(least, bad // 100)
     score = F.log((F.col("toxic") + 0.5) / (bad - F.col("toxic") + 0.5)) - F.log((F.col("clean") + 0.5) / (good - F.col("clean") + 0.5))
     best = n.where("term <> ''").withColumn("score", score).where((F.col("toxic") >= least) & (F.col("contexts") >= F.least(F.lit(12.0), F.col("toxic") * 0.5)) & (F.col("score") >= odds) & (~F.col("stem") | (F.col("toxic") >= 3 * least)))
     rows = best.orderBy(F.col("score").desc(), "term", "stem").collect()  # from at most `sample` rows
+    forget(n)
     out: list[tuple[str, bool]] = []
     stems: set[str] = set()
     for r in sorted(rows, key=lambda r: (not r["stem"], len(r["term"]) if r["stem"] else 0, -r["score"], r["term"])):
@@ -250,7 +258,15 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> DataFr
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000):
     """(terms, near words that are no misspellings, weights): everything that scoring needs."""
-    rows = labelled(docs, labels, sample)
+    with small_batches(docs.sparkSession, 256):
+        rows = stored(labelled(docs, labels, sample))  # read three times
+        model = learned(rows)
+    forget(rows)
+    return model
+
+
+def learned(rows: DataFrame):
+    """What train() returns, from rows(text, toxic)."""
     terms = learn_lexicon(rows)
     if not terms:
         return [], frozenset(), None
@@ -285,7 +301,7 @@ def score(docs: DataFrame, model, keep: list[str], only_clean: bool = False, thr
 
     def run(batches):
         lexicon, cache = Lexicon(terms, plain), {}
-        for b in batches:
+        for b in sliced(batches):
             texts = b.column(b.schema.get_field_index("text")).to_pylist() if only_clean else b.column(len(keep)).to_pylist()
             if weights is None or not texts:
                 s = np.zeros(len(texts))

@@ -222,6 +222,28 @@ def test_apostrophes_are_no_quotation_marks():
     assert toxicity.quoted_at(tokens, tokens.index("idiot"))
 
 
+def test_toxicity_counts_terms_in_bounded_parts(monkeypatch):
+    """A task hands its counts on before they are many, whatever its texts hold; the sums are those of one part."""
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    texts = [" ".join(words(rng, 50) + [f"idiot{'abcdefgh'[i % 8]}"]) for i in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([int(i % 7 == 0) for i in range(300)], pa.int32())], names=["text", "toxic"])
+
+    def counts(held):
+        monkeypatch.setattr(toxicity, "HELD", held, raising=False)
+        parts, every = list(toxicity._frequencies(batch.slice(i, 10) for i in range(0, 300, 10))), {}
+        for r in (r for p in parts for r in p.to_pylist()):
+            c = every.setdefault((r["term"], r["stem"]), [0, 0, 0])
+            c[0], c[1], c[2] = c[0] + r["clean"], c[1] + r["toxic"], c[2] | r["slots"]
+        return parts, every
+
+    (whole,), every = counts(10**6)
+    parts, same = counts(500)
+    assert same == every and whole.num_rows > 3000
+    assert len(parts) > 3 and max(p.num_rows for p in parts) < 500 + 10 * 51 * 4
+
+
 def test_toxicity_without_labels(spark, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     docs = spark.createDataFrame(make_docs(), SCHEMA)
