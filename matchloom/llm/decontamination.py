@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +35,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fields
+from .common import fields, sliced
 
 WORDS = re.compile(r"\w+")
 FIRST_RUNGS = [1, 2, 3, 4, 6, 8, 12, 16]
 K = 5
 CUT, NEAR, SHIFTS = 0.8, 0.2, (-1, 1, -2, 2, -3, 3)
 RADIUS = 7
-PIECE = 16384  # words
+HEAVY = 8  # what a word weighs at most
+PIECE = ((1 << 16) - 1) // (2 * HEAVY)  # words; sums of signed bits over so many, each raised by HEAVY, fit 16 bits
+BLOCKS = np.arange(4, dtype=np.int32) << 16
 FLIPS = np.array([0, *(1 << k for k in range(16))], dtype=np.uint16)
 
 
@@ -62,24 +65,28 @@ def similarity(a: Counter, b: Counter) -> float:
 
 def signs(word: str) -> np.ndarray:
     bits = np.unpackbits(np.array([xxhash.xxh64_intdigest(word, seed=11)], dtype=np.uint64).view(np.uint8)).astype(np.int16)
-    return (2 * bits - 1) * min(len(word), 8)
+    return (2 * bits - 1) * min(len(word), HEAVY)
 
 
 def window_prints(matrix: np.ndarray, size: int) -> np.ndarray:
     """Fingerprints of all windows of `size` words, as four 16-bit blocks each; matrix: words x 64 signed bits."""
-    return prints(sums(matrix, size), size)
+    return prints(sums((matrix + HEAVY).astype(np.uint16)), size)
 
 
-def sums(matrix: np.ndarray, most: int) -> np.ndarray:
-    """Running sums, of which differences over up to `most` words are exact."""
-    kind = np.int16 if 8 * most < 1 << 15 else np.int32
-    run = np.zeros((len(matrix) + 1, 64), dtype=kind)
-    np.cumsum(matrix, axis=0, dtype=kind, out=run[1:])
-    return run
+def sums(raised: np.ndarray) -> np.ndarray:
+    """Exact running sums of signed bits; raised: words x 64 of them, each plus HEAVY. Up to PIECE words, four bits are summed at a time."""
+    n = len(raised)
+    if n > PIECE:
+        run = np.zeros((n + 1, 64), dtype=np.int64)
+        np.cumsum(raised, axis=0, dtype=np.int64, out=run[1:])
+        return run - HEAVY * np.arange(n + 1)[:, None]
+    run = np.zeros((n + 1, 16), dtype=np.uint64)
+    np.cumsum(raised.view(np.uint64), axis=0, out=run[1:])
+    return (run.view(np.uint16) - (HEAVY * np.arange(n + 1)).astype(np.uint16)[:, None]).view(np.int16)
 
 
 def prints(run: np.ndarray, size: int) -> np.ndarray:
-    return np.packbits(((run[size:] - run[:-size]) > 0).ravel()).view(np.uint16).reshape(-1, 4)
+    return np.packbits((run[size:] > run[:-size]).ravel()).view(np.uint16).reshape(-1, 4)
 
 
 def rung(n: float) -> int:
@@ -105,31 +112,23 @@ class Buckets:
         fp = np.array([m[0] for m in marks])
         self.prints = np.ascontiguousarray(fp).view(np.uint64).ravel()
         self.items, self.starts = np.array([m[1] for m in marks]), np.array([m[2] for m in marks])
-        self.any, self.begin, self.who = [], [], []
-        for b in range(4):
-            value = (fp[:, b, None] ^ FLIPS).ravel()
-            order = np.argsort(value, kind="stable")
-            self.begin.append(np.searchsorted(value[order], np.arange(65537)).astype(np.int32))
-            self.who.append((order // len(FLIPS)).astype(np.int32))
-            self.any.append(np.diff(self.begin[b]) > 0)
+        value = (fp[:, :, None] ^ FLIPS).astype(np.int32) + BLOCKS[:, None]
+        who = np.broadcast_to(np.arange(len(fp), dtype=np.int32)[:, None, None], value.shape).ravel()
+        order = np.argsort(value.ravel(), kind="stable")
+        self.begin, self.who = np.searchsorted(value.ravel()[order], np.arange((4 << 16) + 1)).astype(np.int32), who[order]
+        self.any = np.diff(self.begin) > 0
 
     def near(self, got: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, fingerprint) pairs within the radius; a pair can come up once for each block."""
-        full, windows, marks = got.view(np.uint64).ravel(), [], []
-        for b in range(4):
-            value = got[:, b]
-            at = np.flatnonzero(self.any[b][value])  # few windows have any fingerprint in their bucket
-            value = value[at].astype(np.int32)
-            lo = self.begin[b][value]
-            n = self.begin[b][value + 1] - lo
-            at, first = np.repeat(at, n), np.repeat(lo - np.cumsum(n) + n, n)
-            mark = self.who[b][first + np.arange(len(at))]
-            fit = np.flatnonzero(np.bitwise_count(full[at] ^ self.prints[mark]) <= RADIUS)
-            if len(fit):
-                windows.append(at[fit])
-                marks.append(mark[fit])
-        none = np.zeros(0, dtype=np.int64)
-        return (np.concatenate(windows), np.concatenate(marks)) if windows else (none, none)
+        value = (got + BLOCKS).ravel()
+        at = np.flatnonzero(self.any[value])  # few windows have any fingerprint in their bucket
+        value = value[at]
+        lo = self.begin[value]
+        n = self.begin[value + 1] - lo
+        at, first = np.repeat(at >> 2, n), np.repeat(lo - np.cumsum(n) + n, n)
+        mark = self.who[first + np.arange(len(at))]
+        fit = np.flatnonzero(np.bitwise_count(got.view(np.uint64).ravel()[at] ^ self.prints[mark]) <= RADIUS)
+        return at[fit], mark[fit]
 
 
 class Index:
@@ -161,33 +160,38 @@ class Index:
         return found
 
 
+class Numbers(dict):
+    """Words by number, in the order in which they were first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 class Scanner:
     """Finds items in whole texts; keeps the words' signed bits in a bounded table."""
 
     def __init__(self, index: Index, most: float = 0.8, words: int = 1 << 17):
         self.index, self.most, self.limit = index, most, words
-        self.reset()
-
-    def reset(self):
-        self.ids, self.table = {}, np.zeros((self.limit, 64), dtype=np.int8)
+        self.ids, self.table, self.filled = Numbers(), np.zeros((words, 64), dtype=np.uint16), 0
 
     def matrix(self, words: list[str]) -> np.ndarray:
-        new = [w for w in dict.fromkeys(words) if w not in self.ids]
-        if len(self.ids) + len(new) > self.limit:
-            self.reset()
-            new = list(dict.fromkeys(words))
-            if len(new) > self.limit:
-                return np.array([signs(w) for w in words], dtype=np.int8)
-        if new:
-            at = len(self.ids)
+        """The words' signed bits, each plus HEAVY."""
+        if len(self.ids) + len(words) > self.limit:
+            self.ids, self.filled = Numbers(), 0
+            if len(words) > self.limit:
+                return np.array([signs(w) + HEAVY for w in words], dtype=np.uint16)
+        at = np.fromiter(map(self.ids.__getitem__, words), dtype=np.intp, count=len(words))
+        if len(self.ids) > self.filled:
+            new = list(islice(reversed(self.ids), len(self.ids) - self.filled))[::-1]
             raw = np.array([xxhash.xxh64_intdigest(w, seed=11) for w in new], dtype=np.uint64).view(np.uint8).reshape(-1, 8)
-            bits = np.unpackbits(raw, axis=1).astype(np.int8)
-            self.table[at : at + len(new)] = (2 * bits - 1) * np.array([min(len(w), 8) for w in new], dtype=np.int8)[:, None]
-            self.ids.update(zip(new, range(at, at + len(new))))
-        return self.table[np.fromiter(map(self.ids.__getitem__, words), dtype=np.int64, count=len(words))]
+            heavy = np.fromiter(map(len, new), dtype=np.int64, count=len(new)).clip(max=HEAVY).astype(np.uint16)[:, None]
+            self.table[self.filled : len(self.ids)] = np.unpackbits(raw, axis=1) * (2 * heavy) + (HEAVY - heavy)
+            self.filled = len(self.ids)
+        return self.table.take(at, axis=0)
 
     def runs(self, words: list[str]) -> np.ndarray:
-        return sums(self.matrix(words), self.index.longest)
+        return sums(self.matrix(words))
 
     def laid(self, words: list[str], e: int, start: int) -> float:
         """Similarity of an item to as many words of the text from there, or what there is of them."""
@@ -218,9 +222,9 @@ class Scanner:
                 yield from self._group(group)
                 group, held = [], 0
             if len(words) > PIECE:
-                found = set()
-                for at in range(0, len(words), PIECE):
-                    found.update((i, s + at) for i, s, _, _ in self.index.candidates(self.runs(words[at : at + PIECE + over - 1])))
+                found, step = set(), max(over, PIECE - over + 1)
+                for at in range(0, len(words), step):
+                    found.update((i, s + at) for i, s, _, _ in self.index.candidates(self.runs(words[at : at + step + over - 1])))
                 yield from self._group(group)
                 group, held = [], 0
                 yield self.best(words, found)
@@ -256,7 +260,7 @@ def find(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, most_items:
     for items in item_parts(benchmark, most_items):
         def run(batches, index=docs.sparkSession.sparkContext.broadcast(Index(items))):  # at most most_items items
             scanner = Scanner(index.value, least)
-            for b in batches:
+            for b in sliced(batches):
                 rows = [(d, i, s, at) for d, best in zip(b.column(0).to_pylist(), scanner.scan_all(b.column(1).to_pylist())) for i, (s, at) in sorted(best.items())]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64(), pa.int64()))], names=schema.names)
@@ -270,7 +274,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, most_items:
     for items in item_parts(benchmark, most_items):
         def run(batches, index=docs.sparkSession.sparkContext.broadcast(Index(items))):
             scanner = Scanner(index.value, least)
-            for b in batches:
+            for b in sliced(batches):
                 yield b.filter(pa.array([not best for best in scanner.scan_all(b.column(b.schema.get_field_index("text")).to_pylist())], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

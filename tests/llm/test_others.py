@@ -251,6 +251,24 @@ def test_toxicity_without_labels(spark, empty):
     assert toxicity.digest(empty, none).count() == 0
 
 
+def test_running_sums_of_signed_bits():
+    """Four bits summed at a time, up to the longest piece and beyond it, are the sums of each bit, also of the heaviest words alone."""
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 50, decontamination.PIECE, decontamination.PIECE + 1):
+        for signed in (rng.integers(-8, 9, (n, 64)), np.full((n, 64), 8), np.full((n, 64), -8)):
+            run = decontamination.sums((signed + 8).astype(np.uint16))
+            want = np.concatenate([np.zeros((1, 64), dtype=int), np.cumsum(signed, axis=0)])
+            assert (run == want).all()
+            for size in (1, 12, 58):
+                if n >= size:
+                    assert (decontamination.prints(run, size) == np.packbits(((want[size:] - want[:-size]) > 0).ravel()).view(np.uint16).reshape(-1, 4)).all()
+    texts = [f"word{i % 700} of some{i % 31} kind" for i in range(4000)]
+    scanner = decontamination.Scanner(decontamination.Index([(1, " ".join(texts[90:100]))]), words=100)  # its table is filled anew, and passed by for longer texts
+    assert scanner.scan(" ".join(texts[:2000]))[1] == (1.0, 360) and scanner.scan(" ".join(texts[85:105]))[1] == (1.0, 20)
+    with_table = decontamination.Scanner(decontamination.Index([(1, " ".join(texts[90:100]))]))
+    assert with_table.scan(" ".join(texts[:2000])) == scanner.scan(" ".join(texts[:2000]))
+
+
 def test_decontamination(spark):
     rng = random.Random(11)
     items = [(k, " ".join(words(rng, n))) for k, n in enumerate([3, 7, 15, 22, 40, 60, 90])] + [(90, None), (91, ""), (None, "x y z")]
