@@ -14,7 +14,8 @@ skipped by their smallest position, unread.
 Answer-level skipping: every set is first compared with the leaders of its lists alone. Links through leaders make
 components, and only pairs across components go on. In a list of up to `small` sets these pairs are verified one by one,
 unless the two similarities to the leader, x and y, rule them out (|x - y| over 0.2; Jaccard distance is a metric), or
-their signatures do, bitmaps that bound the overlap from above. In
+their signatures do, bitmaps that bound the overlap from above; short ones (sketches) stand beside each posting, so most
+pairs end where the list is read. In
 the longer lists of a leader X a set's answers are derived from X's: with the shingles that A lacks and those it has
 beyond X, |A and B| = |X| - |X\\A| - |X\\B| + |(X\\A) and (X\\B)| + |(A\\X) and (B\\X)|. So blocks of such differences
 meet, never whole sets, and one matrix product gives all overlaps of two blocks. A task hands on a spanning forest
@@ -39,6 +40,7 @@ from .words import grams, sequence, word_hashes
 
 K = 5
 SMALL = 512
+SKETCH = 16  # words of 64 bits
 COUNT_BITS = 22
 NUM, DEN = 80, 100
 STEP = 128  # rows hashed at a time
@@ -136,11 +138,11 @@ def may_link(n1, p1, n2, p2, least):
 
 
 def _open_pairs(batches):
-    """From members of short lists, sorted by key: candidate pairs (a, b) across components."""
+    """From members of short lists, sorted by key: candidate pairs (a, b) across components, whose sketches leave room for a link."""
     held = None
 
     def flush(c):
-        key, sid, n, p, comp, sim = c
+        key, sid, n, p, comp, sim, sketch = c
         starts = np.nonzero(np.append(True, key[1:] != key[:-1]))[0]
         size, out = np.diff(np.append(starts, len(key))), []
         for m in np.unique(size[size > 1]):
@@ -151,6 +153,8 @@ def _open_pairs(batches):
                 x, y = at[:, i].ravel(), at[:, j].ravel()
                 x, y = np.where(n[x] <= n[y], x, y), np.where(n[x] <= n[y], y, x)
                 ok = may_link(n[x], p[x], n[y], p[y], np.minimum) & (comp[x] != comp[y]) & ~(np.abs(sim[x] - sim[y]) > (DEN - NUM) / DEN + 1e-9)
+                x, y = x[ok], y[ok]
+                ok = room(n, sketch, x, y)
                 out.append(np.column_stack([sid[x[ok]], sid[y[ok]]]))
         pairs = np.unique(np.sort(np.concatenate(out), axis=1), axis=0) if out else np.zeros((0, 2), dtype=np.int64)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
@@ -185,6 +189,32 @@ def common_at_most(n: int, m: int, x: bytes, y: bytes) -> int:
     return min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
 
 
+def folded(v: np.ndarray, n: int) -> np.ndarray:
+    """The bitmap v of 64-bit words on n of them: a slot is the union of those that fall on it."""
+    return np.bitwise_or.reduce(v.reshape(-1, n), axis=0)
+
+
+def _sketches(batches):
+    """a, sketch: signatures at a quarter of their length, 128 bytes at most, to go with each posting of a short list."""
+    for b in batches:
+        each = [np.frombuffer(v, dtype=np.uint64) for v in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([folded(v, min(SKETCH, max(4, len(v) // 4))).tobytes() for v in each], pa.binary())], names=["a", "sketch"])
+
+
+def room(n: np.ndarray, sketch: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For pairs of rows (x, y) of sets of n elements, whether their sketches leave room for a link."""
+    words = np.array([len(v) // 8 for v in sketch])
+    least, fit = np.minimum(words[x], words[y]), np.ones(len(x), dtype=bool)
+    for w in np.unique(least).tolist():
+        for at in np.array_split(at := np.nonzero(least == w)[0], -(-len(at) // 65_536)):
+            rows, where = np.unique(np.concatenate([x[at], y[at]]), return_inverse=True)
+            bits = np.stack([folded(np.frombuffer(sketch[r], dtype=np.uint64), w) for r in rows.tolist()])
+            u, v = bits[where[: len(at)]], bits[where[len(at) :]]
+            most = np.minimum(n[x[at]] - np.bitwise_count(u & ~v).sum(axis=1, dtype=np.int64), n[y[at]] - np.bitwise_count(v & ~u).sum(axis=1, dtype=np.int64))
+            fit[at] = most * (NUM + DEN) >= NUM * (n[x[at]].astype(np.int64) + n[y[at]])
+    return fit
+
+
 def _near_signatures(batches):
     for b in batches:
         fit = [common_at_most(n, m, x, y) * (NUM + DEN) >= NUM * (n + m) for n, m, x, y in zip(*(b.column(i).to_pylist() for i in range(2, 6)))]
@@ -370,7 +400,8 @@ def join(docs: DataFrame, small: int = SMALL, block_bytes: int = 1 << 20) -> Dat
     now = now.join(open_, "key")
     known = done.select(F.col("a").alias("lead"), F.col("b").alias("a"), (F.col("both") / F.col("every")).alias("sim"))
     now = stored(now.join(known, ["lead", "a"], "left").withColumn("sim", F.when(F.col("a") == F.col("lead"), 1.0).otherwise(F.coalesce("sim", F.lit(float("nan"))))))
-    short = now.where(F.col("size") <= small).select("key", "a", "n", "p", "component", "sim").repartition("key").sortWithinPartitions("key", "a")
+    sketches = sigs.select(F.col("sid").alias("a"), "sig").mapInArrow(_sketches, fields(("a", "long"), ("sketch", "binary")))
+    short = now.where(F.col("size") <= small).join(sketches, "a").select("key", "a", "n", "p", "component", "sim", "sketch").repartition("key").sortWithinPartitions("key", "a")
     pairs = short.mapInArrow(_open_pairs, fields(("a", "long"), ("b", "long"))).distinct()
     pairs = plausible(pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"), sigs)
     more = compared(pairs, docs, first)

@@ -52,6 +52,31 @@ def test_ngram_join(docs):
         assert {i: r["component_id"] for i, r in got.items()} == root
 
 
+def test_pairs_of_a_short_list_end_at_their_sketches():
+    """Sets of one list that share little give no pairs, those that link all do, whatever their sizes."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng, sets = np.random.default_rng(12), []
+    for n in (5, 60, 300, 500, 510, 515, 3000):
+        for _ in range(8):
+            s = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+            less = s[rng.random(len(s)) > 0.1]
+            sets += [s, less, np.unique(np.concatenate([less, rng.integers(0, 2**63, len(s) // 12).astype(np.uint64)]))]
+    sets = [s for s in sets if len(s)]
+    sigs = pa.RecordBatch.from_arrays([pa.array(range(len(sets))), pa.array([ngram_join.signature(s) for s in sets], pa.binary())], names=["a", "sig"])
+    (sketched,) = ngram_join._sketches([sigs])
+    m = len(sets)
+    cols = [np.zeros(m, dtype=np.int64), np.arange(m), np.array([len(s) for s in sets], dtype=np.int32), np.zeros(m, dtype=np.int32), np.arange(m), np.full(m, np.nan)]
+    batch = pa.RecordBatch.from_arrays([*map(pa.array, cols), sketched.column(1)], names=["key", "a", "n", "p", "component", "sim", "sketch"])
+    got = {tuple(r.values()) for b in ngram_join._open_pairs([batch.slice(0, 50), batch.slice(50)]) for r in b.to_pylist()}
+    both = lambda i, j: len(np.intersect1d(sets[i], sets[j]))
+    linked = {(i, j) for i in range(m) for j in range(i + 1, m) if 100 * (c := both(i, j)) >= 80 * (len(sets[i]) + len(sets[j]) - c)}
+    assert len(linked) > 60 and linked <= got
+    apart = [(i, j) for i, j in got if i // 3 != j // 3 and 60 <= min(len(sets[i]), len(sets[j])) < 1000]
+    assert not apart  # of over a thousand pairs whose sizes would do
+
+
 def test_ngram_join_long_lists_across_components(spark):
     """One long list whose members are linked in chains, not all through the leader."""
     base = [f"w{i}" for i in range(60)]
