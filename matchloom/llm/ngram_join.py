@@ -32,7 +32,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, components, fields, forget, joined_roots, small_batches, stored
@@ -43,6 +43,7 @@ SMALL = 512
 SKETCH = 16  # words of 64 bits
 COUNT_BITS = 22
 NUM, DEN = 80, 100
+REGION = np.uint64(0.18 * 2**64)  # hashes below it are posted by every set, unless often met
 STEP = 128  # rows hashed at a time
 
 
@@ -79,19 +80,25 @@ def _scan(batches):
                 sig[-1] = signature(s)
                 np.add.at(count, (s >> np.uint64(64 - COUNT_BITS)).astype(np.int64), 1)
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "n", "sid", "sig"])
-    often = np.nonzero(count > above(count.mean()))[0]
+    often = np.nonzero(count > 1 + count.mean() + math.sqrt(count.mean()))[0]
     yield pa.RecordBatch.from_arrays([pa.array(often, pa.int64()), pa.nulls(len(often), pa.int64()), pa.array(count[often], pa.int64()), pa.nulls(len(often), pa.binary())], names=["doc_id", "n", "sid", "sig"])
 
 
-def above(mean: float) -> float:
-    """More than chance puts into a slot."""
-    return 3 + mean + 5 * math.sqrt(mean)
+def above(reports: int, mean: float) -> float:
+    """More than chance adds up to in a slot, where tasks have sent so many reports of this mean to all slots."""
+    each = reports / (1 << COUNT_BITS)
+    return 3 + mean * (each + 4 * math.sqrt(each))
 
 
 def often_slots(scan: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Slots that hold more than chance explains, and their counts: at most 2 ** COUNT_BITS numbers each, whatever the input."""
-    total = scan.where("n is not null").agg(F.sum("n")).first()[0] or 0
-    got = scan.where("n is null").groupBy("doc_id").agg(F.sum("sid").alias("c")).where(F.col("c") > F.lit(above(total / (1 << COUNT_BITS)))).toPandas()
+    """Slots that hold more than chance explains, and their counts: at most 2 ** COUNT_BITS numbers each, whatever the input.
+
+    A task reports any slot a little over its mean; only the sums over all tasks tell a passage that stands in a few
+    documents of each task from chance.
+    """
+    reports = scan.where("n is null")
+    sent, mean = reports.agg(F.count(F.lit(1)), F.avg("sid")).first()
+    got = reports.groupBy("doc_id").agg(F.sum("sid").alias("c")).where(F.col("c") > F.lit(above(sent, mean or 0.0))).toPandas()
     slots, counts = got["doc_id"].to_numpy(np.int64), got["c"].to_numpy(np.int64)
     order = np.argsort(slots)
     return slots[order], counts[order]
@@ -102,11 +109,15 @@ def prefix_length(n: int) -> int:
 
 
 def _postings(often):
-    """key, sid, n, p for the prefix of every set; a copy in the same task posts nothing new."""
+    """key, sid, n, p for the prefix of every set, and for the rest of its region, if that goes on; z is the region's length.
+
+    The region's shingles come first in the order and are posted by every set that has them, so one that stands in no
+    list stands in no other set. A copy in the same task posts nothing new.
+    """
     def run(batches):
         (slots, counts), seen = often.value, set()
         for b in batches:
-            keys, sids, sizes, places = [], [], [], []
+            keys, sids, sizes, places, regions = [], [], [], [], []
             for s in _row_sets(b.column(0)):
                 sid = set_id(s) if len(s) else None
                 if sid is None or sid in seen:
@@ -115,26 +126,56 @@ def _postings(often):
                     seen.clear()
                 seen.add(sid)
                 top, n = prefix_length(len(s)), len(s)
+                z = int(np.searchsorted(s, REGION))
                 if len(slots):
                     slot = (s >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
                     at = np.minimum(np.searchsorted(slots, slot), len(slots) - 1)
                     rank = np.where(slots[at] == slot, counts[at], 0)
                     last = np.nonzero(rank)[0]
+                    z -= int((last < z).sum())
                     if len(last):  # the others keep their order by hash
                         s = np.concatenate([s[rank == 0], s[last[np.argsort(rank[last], kind="stable")]]])
+                top = max(top, z)
                 keys.append(s[:top])
                 sids.append(np.full(top, sid, dtype=np.int64))
                 sizes.append(np.full(top, n, dtype=np.int32))
                 places.append(np.arange(top, dtype=np.int32))
+                regions.append(np.full(top, z, dtype=np.int32))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (sids, sizes, places))], names=["key", "sid", "n", "p"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (sids, sizes, places, regions))], names=["key", "sid", "n", "p", "z"])
 
     return run
 
 
+def shared_lists(posts: DataFrame) -> DataFrame:
+    """key, lead, a, n, p, most, and the leader's _n, _p and _most: the lists in which some members may link.
+
+    Postings move once; those of lists of several sets, few of all, once more. most bounds a set's overlap with any other:
+    its size less the shingles of its region that stand in no list. The smaller set of a linked pair needs most >= 8/9 of its
+    size, so a list without such a set goes, as do members that are too far from being the larger one.
+    """
+    w = Window.partitionBy("key")
+    several = posts.select("*", F.min("sid").over(w).alias("_lo"), F.max("sid").over(w).alias("_hi")).where("_lo < _hi")
+    several = stored(several.dropDuplicates(["key", "sid"]).select("key", F.col("sid").alias("a"), "n", "p", "z"))
+    most = stored(several.groupBy("a").agg((F.max("n") - F.max("z") + F.count_if(F.col("p") < F.col("z"))).alias("most")))
+    rows = several.drop("z").join(broadcast_if_small(most, 200_000), "a")
+    as_small = has_room("most", "n", "n")
+    rows = rows.withColumn("_least", F.min(F.when(as_small, F.col("n"))).over(w)).where(as_small | has_room("most", "n", "_least"))
+    w = w.orderBy("a").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    led = rows.select("key", "a", "n", "p", "most", F.first("a").over(w).alias("lead"), F.last("a").over(w).alias("_last"), *[F.first(c).over(w).alias(f"_{c}") for c in ("n", "p", "most")])
+    out = stored(led.where("lead < _last").drop("_last"))
+    forget(several, most)
+    return out
+
+
+def has_room(most: str, n: str, m: str) -> Column:
+    """Whether an overlap of `most` is enough for sets of n and m elements."""
+    return F.col(most).cast("long") * (NUM + DEN) >= (F.col(n).cast("long") + F.col(m)) * NUM
+
+
 def may_link(n1, p1, n2, p2, least):
-    """Whether sizes and positions of a common shingle leave room for enough overlap; n1 <= n2. For arrays and columns."""
-    return (DEN * n1 >= NUM * n2) & (p1 * (NUM + DEN) <= n1 * (DEN - NUM)) & ((least(n1 - p1, n2 - p2) + least(p1, p2)) * (NUM + DEN) >= NUM * (n1 + n2))
+    """Whether sizes and positions of a common shingle, if it is the first, leave room for enough overlap; n1 <= n2. For arrays and columns."""
+    return (DEN * n1 >= NUM * n2) & (least(n1 - p1, n2 - p2) * (NUM + DEN) >= NUM * (n1 + n2))
 
 
 def _open_pairs(batches):
@@ -142,7 +183,8 @@ def _open_pairs(batches):
     held = None
 
     def flush(c):
-        key, sid, n, p, comp, sim, sketch = c
+        key, sid, n, p, comp, sim, sketch, *most = c
+        most = most[0] if most else n
         starts = np.nonzero(np.append(True, key[1:] != key[:-1]))[0]
         size, out = np.diff(np.append(starts, len(key))), []
         for m in np.unique(size[size > 1]):
@@ -154,6 +196,8 @@ def _open_pairs(batches):
                 x, y = np.where(n[x] <= n[y], x, y), np.where(n[x] <= n[y], y, x)
                 ok = may_link(n[x], p[x], n[y], p[y], np.minimum) & (comp[x] != comp[y]) & ~(np.abs(sim[x] - sim[y]) > (DEN - NUM) / DEN + 1e-9)
                 x, y = x[ok], y[ok]
+                ok = np.minimum(most[x], most[y]).astype(np.int64) * (NUM + DEN) >= NUM * (n[x].astype(np.int64) + n[y])
+                x, y = x[ok], y[ok]
                 ok = room(n, sketch, x, y)
                 out.append(np.column_stack([sid[x[ok]], sid[y[ok]]]))
         pairs = np.unique(np.sort(np.concatenate(out), axis=1), axis=0) if out else np.zeros((0, 2), dtype=np.int64)
@@ -378,30 +422,25 @@ def join(docs: DataFrame, small: int = SMALL, block_bytes: int = 1 << 20) -> Dat
     with small_batches(spark, 1024):
         scan = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan, fields(("doc_id", "long"), ("n", "long"), ("sid", "long"), ("sig", "binary"))))
         often = spark.sparkContext.broadcast(often_slots(scan))
-        posts = stored(docs.select("text").mapInArrow(_postings(often), fields(("key", "long"), ("sid", "long"), ("n", "int"), ("p", "int"))))
+        lists = shared_lists(docs.select("text").mapInArrow(_postings(often), fields(("key", "long"), ("sid", "long"), ("n", "int"), ("p", "int"), ("z", "int"))))
     sets = scan.where("n is not null").select("doc_id", "n", "sid")
     first = stored(sets.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id")))
-    # Lists of several sets: few of all keys. What is counted here is combined before the shuffle.
-    keys = posts.groupBy("key").agg(F.min("sid").alias("lead"), F.max("sid").alias("_last")).where("lead < _last").select("key", "lead")
-    lists = stored(posts.join(keys, "key").dropDuplicates(["key", "sid"]).select("key", "lead", F.col("sid").alias("a"), "n", "p"))
-    forget(posts)
-    leads = lists.where("a = lead").select("key", F.col("n").alias("_n"), F.col("p").alias("_p"))
     small_first = F.col("n") <= F.col("_n")
     pick = lambda x, y: F.when(small_first, F.col(x)).otherwise(F.col(y))
-    with_lead = lists.where("a <> lead").join(leads, "key").where(may_link(pick("n", "_n"), pick("p", "_p"), pick("_n", "n"), pick("_p", "p"), F.least))
+    with_lead = lists.where("a <> lead").where(has_room("most", "n", "_n") & has_room("_most", "n", "_n")).where(may_link(pick("n", "_n"), pick("p", "_p"), pick("_n", "n"), pick("_p", "p"), F.least))
     in_lists = lists.select(F.col("a").alias("sid")).distinct()
     sigs = stored(scan.where("sig is not null").select("sid", "n", "sig").join(in_lists, "sid", "left_semi").dropDuplicates(["sid"]))
     done = compared(plausible(with_lead.select(F.col("lead").alias("a"), F.col("a").alias("b")).distinct(), sigs), docs, first)
     linked = F.col("both") * DEN >= F.col("every") * NUM
     comps = stored(components(done.where(linked).select(F.col("a").alias("u"), F.col("b").alias("v"))))
     # Pairs across components, in lists that hold several.
-    now = lists.join(comps.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
+    now = lists.drop("_n", "_p", "_most").join(comps.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
     open_ = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("key", "size")
     now = now.join(open_, "key")
     known = done.select(F.col("a").alias("lead"), F.col("b").alias("a"), (F.col("both") / F.col("every")).alias("sim"))
     now = stored(now.join(known, ["lead", "a"], "left").withColumn("sim", F.when(F.col("a") == F.col("lead"), 1.0).otherwise(F.coalesce("sim", F.lit(float("nan"))))))
     sketches = sigs.select(F.col("sid").alias("a"), "sig").mapInArrow(_sketches, fields(("a", "long"), ("sketch", "binary")))
-    short = now.where(F.col("size") <= small).join(sketches, "a").select("key", "a", "n", "p", "component", "sim", "sketch").repartition("key").sortWithinPartitions("key", "a")
+    short = now.where(F.col("size") <= small).join(sketches, "a").select("key", "a", "n", "p", "component", "sim", "sketch", "most").repartition("key").sortWithinPartitions("key", "a")
     pairs = short.mapInArrow(_open_pairs, fields(("a", "long"), ("b", "long"))).distinct()
     pairs = plausible(pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"), sigs)
     more = compared(pairs, docs, first)

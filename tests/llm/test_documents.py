@@ -1,6 +1,7 @@
 """The document operators against brute force over a small table with every odd case, and over an empty one."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -77,6 +78,58 @@ def test_pairs_of_a_short_list_end_at_their_sketches():
     assert not apart  # of over a thousand pairs whose sizes would do
 
 
+def passages_and_copies(spark, tasks=12):
+    """(documents, texts, number of plain documents): long texts that share one of two passages, a few in each scan task, then copies with edits or cut short."""
+    rng = random.Random(21)
+    passages = [[f"p{k}w{i}" for i in range(70)] for k in range(2)]
+    texts = [[f"d{i}w{j}" for j in range(rng.randint(60, 160))] for i in range(60)]
+    for i, t in enumerate(texts):
+        at = rng.randrange(len(t))
+        t[at:at] = passages[i % 2]
+    plain = len(texts)
+    for i in range(0, 60, 4):
+        for share in (0.02, 0.1, 0.2, 0.3):
+            w = list(texts[i])
+            if i % 8:
+                w = w[: int(len(w) * (1 - share))]
+            else:
+                w[10 : 10 + int(share * len(w))] = [f"e{i}x{share}y{j}" for j in range(int(share * len(w)))]
+            texts.append(w)
+    texts = [" ".join(t) for t in texts]
+    # Rows are dealt by turns: of 20 tasks, each has one passage in three plain documents.
+    rows = [(i, texts[i]) for k in range(tasks) for i in range(k, len(texts), tasks)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, tasks), "doc_id long, text string")
+    return df, texts, plain
+
+
+def test_ngram_join_with_shared_passages_and_edited_copies(spark):
+    df, texts, _ = passages_and_copies(spark)
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in texts]
+    links = [(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = smallest(range(len(texts)), links)
+    assert 15 < len(set(want)) - len(set(want.values())) < 60  # some copies link, some do not
+    for small in (ngram_join.SMALL, 2):
+        assert {r["doc_id"]: r["component_id"] for r in ngram_join.join(df, small).collect()} == want
+
+
+def test_passages_leave_no_lists(spark):
+    """A passage that stands in a few documents of each task is known as frequent over all; documents that share no more than it meet in no list."""
+    df, texts, plain = passages_and_copies(spark, 20)
+    alone = df.where(F.col("doc_id") < plain)
+    scan = ngram_join.stored(alone.mapInArrow(ngram_join._scan, ngram_join.fields(("doc_id", "long"), ("n", "long"), ("sid", "long"), ("sig", "binary"))))
+    often = ngram_join.often_slots(scan)
+    assert 2 * 60 <= len(often[0]) <= 2 * 66 and (often[1] >= 20).all()
+    posted = ngram_join.fields(("key", "long"), ("sid", "long"), ("n", "int"), ("p", "int"), ("z", "int"))
+
+    def lists(docs, known):
+        return ngram_join.shared_lists(docs.select("text").mapInArrow(ngram_join._postings(spark.sparkContext.broadcast(known)), posted))
+
+    assert lists(alone, often).count() == 0
+    # Where no frequency is known, what stands in no list tells, if the passage is a small part.
+    longer = alone.withColumn("text", F.concat_ws(" ", "text", F.transform(F.sequence(F.lit(1), F.lit(400)), lambda i: F.concat(F.lit("m"), "doc_id", F.lit("w"), i))))
+    assert lists(longer, (often[0][:0], often[1][:0])).count() == 0
+
+
 def test_ngram_join_long_lists_across_components(spark):
     """One long list whose members are linked in chains, not all through the leader."""
     base = [f"w{i}" for i in range(60)]
