@@ -2,12 +2,14 @@
 
 A document's set is its distinct five-word shingles. Equal sets form one class. Each class posts the shingles of its
 prefix (all but the last 0.8 n in a global order), with its size and the shingle's position: two sets of similarity 0.8
-share one of these. The order is by hash, but shingles that stood in many documents of a scan task come last, by count;
+share one of these. The order is by hash, but shingles that stand in more documents than chance explains come last, by count;
 any order gives the same links, this one keeps lists short. A list is the postings of one shingle by several sets; its
 smallest set leads it.
 
-Index-level skipping: two members of a list are candidates only if their sizes and positions still allow the needed
-overlap, and the smaller set's position lies in its index prefix. Members of a long list stand in blocks by size; a member
+Index-level skipping: a shingle of a set's region (the low hashes, which every set posts) that stands in no list stands
+in no other set. That bounds a set's overlap with any other; members that cannot link by it leave their lists at once. Two
+members of a list are candidates only if their sizes, bounds and positions, as those of their first common shingle, allow
+the needed overlap. Members of a long list stand in blocks by size; a member
 goes on only if some block of its list that has another component holds a position that allows the overlap, so blocks are
 skipped by their smallest position, unread.
 
