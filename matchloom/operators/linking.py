@@ -30,9 +30,13 @@ def link_list_field(fields: DataFrame, id_col: str, surface: DataFrame) -> DataF
     return out.where("s is not null or r is not null").select(id_col, "field", "pos", "phrase", F.coalesce("s.term_id", "r.term_id").alias("term_id"), F.when(F.col("s").isNotNull(), "met").otherwise("adjacent").alias("relation"))
 
 
-def link_prose(fields: DataFrame, id_col: str, surface: DataFrame) -> DataFrame:
-    """Adjacent mentions of related phrases inside prose, case ignored, within words too: all phrases in one pass."""
-    near = surface.where("pillar = 'skill' and kind = 'related'").select("phrase", "term_id", "term_ord", F.col("ord").alias("pos"), F.lit("adjacent").alias("relation"))
+def link_prose(fields: DataFrame, id_col: str, surface: DataFrame, first: bool = False) -> DataFrame:
+    """Adjacent mentions of related phrases inside prose, case ignored, within words too: all phrases in one pass. first:
+    of equal phrases only the first in vocabulary order."""
+    near = surface.where("pillar = 'skill' and kind = 'related'").select("term_ord", F.col("ord").alias("pos"), "term_id", "phrase")
+    if first:
+        near = near.groupBy(F.lower("phrase").alias("_low")).agg(F.min(F.struct(*near.columns)).alias("m")).select("m.*")
+    near = near.withColumn("relation", F.lit("adjacent"))
     prose = fields.where(F.col("field").isin(*GROUPS["prose"])).select(id_col, "field", "text")
     return phrases_within(prose, "text", near).select(id_col, "field", "pos", "phrase", "term_id", "relation", "term_ord")
 
@@ -41,7 +45,7 @@ def link_fields(fields: DataFrame, id_col: str, surface: DataFrame) -> DataFrame
     """Both kinds of mentions, one for each (id, field, phrase but for case): of a list its first entry, of prose the first
     term in vocabulary order that has the phrase."""
     listed = link_list_field(fields, id_col, surface).withColumn("at", F.struct("pos", F.lit(0).alias("o")))
-    prose = link_prose(fields, id_col, surface).withColumn("at", F.struct(F.col("term_ord").alias("pos"), F.col("pos").alias("o"))).drop("term_ord")
+    prose = link_prose(fields, id_col, surface, first=True).withColumn("at", F.struct(F.col("term_ord").alias("pos"), F.col("pos").alias("o"))).drop("term_ord")
     first = listed.unionByName(prose).groupBy(id_col, "field", F.lower("phrase").alias("_low")).agg(F.min(F.struct("at", "pos", "term_id", "phrase", "relation")).alias("m"))
     return first.select(id_col, "field", "m.pos", "m.term_id", "m.phrase", "m.relation")
 

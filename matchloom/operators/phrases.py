@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PART = 16_000_000
+#: Rows that a task hands on at a time, but for those of one text.
+HITS = 50_000
 
 
 def automaton(phrases: list[str]) -> ahocorasick.Automaton:
@@ -29,14 +31,20 @@ def automaton(phrases: list[str]) -> ahocorasick.Automaton:
     return out
 
 
-def _found(shared, always: bool):
-    """The last column of a batch is the text; each row comes out once for each phrase within it."""
+def _found(shared, always: bool, most: int = HITS):
+    """The last column of a batch is the text; each row comes out once for each phrase within it, about `most` rows at a
+    time. Only the other columns are repeated: texts are long, and a text may have many hits."""
     def run(batches):
         search = shared.value
         for b in batches:
-            rows, found = [], []
-            for i, text in enumerate(b.column(b.num_columns - 1)):
-                text = text.as_py()
+            texts, rows, found = b.column(b.num_columns - 1), [], []
+
+            def put():
+                at = pa.array(rows, pa.int64())
+                return pa.RecordBatch.from_arrays([*[c.take(at) for c in b.columns[:-1]], pa.array(found, pa.string())], names=[*b.schema.names[:-1], "low"])
+
+            for i in range(b.num_rows):
+                text = texts[i].as_py()
                 if text is None:
                     continue
                 hits = {p for _, p in search.iter(text)} if len(search) else set()
@@ -44,8 +52,11 @@ def _found(shared, always: bool):
                     hits.add("")
                 rows += [i] * len(hits)
                 found += hits
-            own = b.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*own.columns[:-1], pa.array(found, pa.string())], names=[*b.schema.names[:-1], "low"])
+                if len(rows) >= most:
+                    yield put()
+                    rows, found = [], []
+            if rows:
+                yield put()
 
     return run
 

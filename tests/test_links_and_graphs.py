@@ -1,7 +1,9 @@
 """Phrases in prose, ties of links, large graphs, ranks with ties and nulls: against plain Python."""
 
 import random
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,6 +19,21 @@ def related(spark, rows):
     return spark.createDataFrame([("skill", t, o, i, p, 0.7, "related", p) for t, o, i, p in rows], SURFACE)
 
 
+def test_hits_do_not_repeat_the_text():
+    """A long text with many hits: rows come out in parts, and nothing of a text's size is made for each of them."""
+    wanted = [f"{i:04d}" for i in range(2_000)]
+    text = " ".join(wanted) * 5
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array([text] * 40)], names=["id", "text"])
+    shared = SimpleNamespace(value=phrases.automaton(wanted))
+    before = pa.total_allocated_bytes()
+    most, got = 0, []
+    for out in phrases._found(shared, False)([batch]):
+        most = max(most, pa.total_allocated_bytes() - before)
+        got.append((out.num_rows, set(out.column("id").to_pylist())))
+    assert sum(n for n, _ in got) == 40 * 2_000 and set().union(*[s for _, s in got]) == set(range(40))
+    assert len(got) == 2 and most < 20_000_000  # 80,000 copies of the text are 4,000 MB
+
+
 @pytest.mark.parametrize("part", [phrases.PART, 12])
 def test_phrases_are_found_as_contains_finds_them(spark, part):
     rng = random.Random(3)
