@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import forget, stored
 from .requests import answered
 from .rubric import TIERS, WEIGHTS
 from .selection import padded_questions, top_gaps
@@ -21,9 +22,9 @@ REPLIES = "request string, reply string"
 class ReplyTable:
     """Replies by a hash of their request, so that a request is answered once however often and by whomever it is asked.
 
-    What is missing is asked for in waves of at most `wave` requests, and each wave's replies are written before the next
-    begins: a run that is killed loses one wave, and the next run asks only for the rest. A request that fails is not
-    written; it is asked again next time.
+    What is missing is worked out once and asked for in tasks that write their replies as each ends. All tasks that run at a
+    time hold about `wave` requests: a run that is killed loses one wave, and the next run asks only for the rest. A request
+    that fails is not written; it is asked again next time.
     """
 
     def __init__(self, spark: SparkSession, folder: str, wave: int = 10_000):
@@ -39,12 +40,14 @@ class ReplyTable:
     def ask(self, requests: DataFrame, answer: Callable[[str, str], str], concurrent: int = 8, attempts: int = 3) -> DataFrame:
         """requests with `reply`, null where all attempts failed. Equal requests are one question."""
         rows = self.addressed(requests)
-        missing = rows.select("request", "system", "user").dropDuplicates(["request"]).join(self.held(), "request", "left_anti")
-        waves = -(-missing.count() // self.wave)
-        for k in range(waves):
-            # By hash, so a wave is the same set whatever has been answered before it.
-            own = missing.where(F.pmod(F.xxhash64("request"), F.lit(waves)) == k)
-            answered(own, ["request"], answer, concurrent, attempts).where("reply is not null").write.mode("append").parquet(self.folder)
+        missing = stored(rows.select("request", "system", "user").dropDuplicates(["request"]).join(self.held(), "request", "left_anti"))
+        try:
+            each = max(1, self.wave // self.spark.sparkContext.defaultParallelism)
+            own = missing.repartition(max(1, -(-missing.count() // each)), "request")
+            # Version 2: a task's file is in its place when the task ends, whatever becomes of the others.
+            answered(own, ["request"], answer, concurrent, attempts).where("reply is not null").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").mode("append").parquet(self.folder)
+        finally:
+            forget(missing)
         return rows.join(self.held(), "request", "left").drop("request")
 
 

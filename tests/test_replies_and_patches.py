@@ -1,7 +1,9 @@
 """Replies kept and read, patches by one merge, positions over many files, links written, briefs written."""
 
 import json
+import os
 import random
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -37,6 +39,37 @@ def test_a_killed_run_asks_only_the_rest(spark, tmp_path):
     assert len(again.held().collect()) == 39
 
 
+def test_requests_are_worked_out_once_and_a_crash_keeps_finished_tasks(spark, tmp_path):
+    made, said = tmp_path / "made", tmp_path / "said"
+    made.mkdir(), said.mkdir()
+
+    def source(parts):
+        (made / uuid.uuid4().hex).touch()
+        yield from parts
+
+    asked = spark.createDataFrame([(i, "s", f"question {i}") for i in range(60)], "id long, system string, user string").coalesce(1)
+    asked = asked.mapInPandas(source, asked.schema)
+
+    def answer_until(most):
+        def answer(system, user):
+            if len(list(said.iterdir())) >= most:
+                os._exit(1)
+            (said / f"{most} {user}").touch()
+            return user.upper()
+
+        return answer
+
+    table = replies.ReplyTable(spark, f"file://{tmp_path}/replies", wave=4)
+    with pytest.raises(Exception):
+        table.ask(asked, answer_until(30))
+    held = table.held().count()
+    assert 30 - 2 * 4 * 3 <= held <= 30  # what ran then is lost: four tasks of a request or a few
+    got = {r["id"]: r["reply"] for r in table.ask(asked, answer_until(1_000)).collect()}
+    assert got == {i: f"QUESTION {i}" for i in range(60)}
+    assert len([p for p in said.iterdir() if p.name.startswith("1000 ")]) == 60 - held
+    assert len(list(made.iterdir())) <= 4  # twice for each run, whatever the number of waves
+
+
 def test_retries_and_order(spark, tmp_path):
     (tmp_path / "n").mkdir()
 
