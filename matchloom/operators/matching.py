@@ -27,24 +27,32 @@ def literal_map(pairs: dict) -> Column:
     return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
 
 
-def valued(mentions: DataFrame, surface: DataFrame | None = None) -> DataFrame:
-    """mentions(candidate_id, term_id, field, phrase, relation, ord) that count, with their value v; a phrase that is one of
-    the term's related phrases is capped at its weight."""
+def with_values(mentions: DataFrame, surface: DataFrame | None = None) -> DataFrame:
+    """mentions(candidate_id, term_id, field, phrase, relation, ord[, key]) with their value v; those above 0 count. A phrase
+    that is one of the term's related phrases is capped at its weight. key: the phrase's, where its maker knows it for fewer
+    rows. Callers leave out what does not count when they aggregate: a filter here works each value out several times."""
     base = F.when(F.col("relation") == "met", 1.0).otherwise(ADJACENT)
     rows = mentions
     if surface is not None:
         cap = surface.where("pillar = 'skill' and kind = 'related'").groupBy("term_id", "key").agg(F.min_by("weight", "ord").alias("cap"))
-        rows = rows.withColumn("key", X.normalize_key(F.col("phrase"))).join(cap, ["term_id", "key"], "left")
+        rows = (rows if "key" in rows.columns else rows.withColumn("key", X.normalize_key(F.col("phrase")))).join(cap, ["term_id", "key"], "left")
         base = F.least(base, F.coalesce("cap", F.lit(1.0)))
     strength = F.coalesce(F.try_element_at(literal_map(FIELD_STRENGTH), F.col("field")), F.lit(1.0))
-    return rows.withColumn("v", X.py_round(base * strength, 3)).where("v > 0")
+    return rows.withColumn("_x", base * strength).withColumn("v", X.py_round(F.col("_x"), 3)).drop("_x")
 
 
 def have_terms(mentions: DataFrame, surface: DataFrame | None = None) -> DataFrame:
     """(candidate_id, term_id, v, field, phrase, have_ord): the best evidence per term, the earliest on ties."""
-    rows = valued(mentions, surface)
-    best = rows.groupBy("candidate_id", "term_id").agg(F.max(F.struct("v", (-F.col("ord")).alias("o"), "field", "phrase")).alias("b"), F.min("ord").alias("have_ord"))
-    return best.select("candidate_id", "term_id", "b.v", "b.field", "b.phrase", "have_ord")
+    rows, counts = with_values(mentions, surface), F.col("v") > 0
+    best = rows.groupBy("candidate_id", "term_id").agg(F.max(F.when(counts, F.struct("v", (-F.col("ord")).alias("o"), "field", "phrase"))).alias("b"), F.min(F.when(counts, F.col("ord"))).alias("have_ord"))
+    return best.where("b is not null").select("candidate_id", "term_id", "b.v", "b.field", "b.phrase", "have_ord")
+
+
+def have_values(mentions: DataFrame, surface: DataFrame | None = None) -> DataFrame:
+    """(candidate_id, term_id, v): have_terms without saying which evidence it is. All of a person's rows lie together, so
+    what is made of them needs no other shuffle, and neither places nor texts are moved."""
+    rows = with_values(mentions, surface).select("candidate_id", "term_id", "v").repartition("candidate_id")
+    return rows.groupBy("candidate_id", "term_id").agg(F.max("v").alias("v")).where("v > 0")
 
 
 def routes(edges: DataFrame, terms: DataFrame) -> DataFrame:
@@ -85,6 +93,16 @@ def skill_scores(found: DataFrame) -> DataFrame:
     return best.select("candidate_id", "role_id", "req_pos", F.col("b.v").alias("score"), "b.via", "b.field", "b.phrase")
 
 
+def skill_values(have: DataFrame, route: DataFrame, requirements: DataFrame) -> DataFrame:
+    """(candidate_id, role_id, req_pos, score): the scores of skill_scores(term_routes()), from have_values alone."""
+    rows = have.withColumnRenamed("term_id", "have").join(small(reaches(route, requirements)), "have")
+    value = F.when(F.col("route") == 2, X.py_round(F.col("_x"), 3)).otherwise(F.col("v"))
+    rows = rows.withColumn("_x", F.col("v") * F.col("weight")).withColumn("value", value)
+    each = rows.groupBy("candidate_id", "role_id", "req_pos", "term_pos").agg(F.max(F.when(F.col("route") == 0, F.col("value"))).alias("direct"), F.max("value").alias("any"))
+    each = each.withColumn("v", F.coalesce("direct", "any")).where("v > 0")
+    return each.groupBy("candidate_id", "role_id", "req_pos").agg(F.max("v").alias("score"))
+
+
 def with_absent(scores: DataFrame, people: DataFrame, requirements: DataFrame) -> DataFrame:
     """A row for every person and skill requirement; those without evidence score 0, absent."""
     every = people.select("candidate_id").join(small(requirements.where("kind = 'skill'").select("role_id", "req_pos", "source", "tier", "verifiable")))
@@ -160,13 +178,16 @@ def match_scores(skills: DataFrame, experience: DataFrame, places: DataFrame, re
     kinds = requirements.select("role_id", "req_pos", "tier")
     rows = skills.select("candidate_id", "role_id", "req_pos", "score").join(kinds.where("tier <> 'dropped'"), ["role_id", "req_pos"])
     exp = experience.select("candidate_id", "role_id", "req_pos", "score").join(kinds.where("tier <> 'dropped'"), ["role_id", "req_pos"])
-    every = rows.unionByName(exp).groupBy("candidate_id", "role_id").agg(F.sort_array(F.collect_list(F.struct("req_pos", "tier", "score"))).alias("s"))
+    pair = ["candidate_id", "role_id"]
+    each = lambda df, name: df.groupBy(*pair).agg(F.collect_list(F.struct("req_pos", "tier", "score")).alias(name))
 
     def mean(tier, n):
         total = F.aggregate(F.filter("s", lambda x: x["tier"] == tier), F.lit(0.0), lambda a, x: a + x["score"])
         return F.when(F.col(n) > 0, F.coalesce(total, F.lit(0.0)) / F.col(n)).otherwise(0.0)
 
-    out = places.join(every, ["candidate_id", "role_id"], "left").join(frame, "role_id")
+    none = F.array().cast("array<struct<req_pos:int,tier:string,score:double>>")
+    every = F.sort_array(F.concat(F.coalesce("_skills", none), F.coalesce("_years", none)))
+    out = places.join(each(rows, "_skills"), pair, "left").join(each(exp, "_years"), pair, "left").withColumn("s", every).join(frame, "role_id")
     parts = {"required": mean("required", "n_req"), "preferred": mean("preferred", "n_pref"), "availability": F.col("availability_score"), "location": F.col("location_score")}
     for k, v in parts.items():
         out = out.withColumn(f"{k}_component", X.py_round(F.col(f"w_{k}") * v, 3))

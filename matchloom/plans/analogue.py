@@ -14,12 +14,15 @@ from pyspark.sql import Window as W
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import text as X
+from ..sources.store import pinned, small
 
 REF = "2002-01-01"
 FIELD_OF = {"1-URGENT": "skills", "2-HIGH": "projects", "3-MEDIUM": "headline", "4-NOT SPECIFIED": "certifications", "5-LOW": "extra_curriculars"}
 REGIONS = ("africa", "america", "asia", "europe", "middle-east")
 COUNTRY_OF = {f"nation-{k}": REGIONS[k % 5] for k in range(25)}
 TITLES = ("1-URGENT", "2-HIGH", "5-LOW")
+#: What lines of an order are placed by; lines that are equal in all of it are the same evidence.
+PLACED = ["l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag"]
 
 BRANDS = [f"Brand#{k}" for k in range(1, 26)]
 TERMS = [("skill", b, i, b, [b], [("red widget", 0.7), ("hot gear", 0.5)] if i % 5 == 4 else [], [b] + ([f"Brand#{i + 1} or near"] if i % 6 == 5 else []) + ([f"Brand#{i} or near"] if i % 6 == 0 and i else [])) for i, b in enumerate(BRANDS)]
@@ -91,12 +94,19 @@ PEOPLE_SQL = f"""people AS (
   JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 
 
-def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = table(spark, sf_dir, "lineitem")
-    rows = line.join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
+def mentions(spark: SparkSession, sf_dir: str, who: DataFrame | None = None) -> DataFrame:
+    """The evidence of all people or, with who(candidate_id), of a few: then only their orders' lines are moved. Keys are
+    made for parts, not for lines."""
+    line, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    if who is not None:
+        orders = small(pinned(orders.join(small(who.select(F.col("candidate_id").alias("o_custkey"))), "o_custkey", "left_semi")))
+        line = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+    # Lines are placed within their order first, so that what they are sorted by is not moved to their person.
+    line = line.select("l_orderkey", "l_partkey", "l_returnflag", F.row_number().over(W.partitionBy("l_orderkey").orderBy(*PLACED)).alias("l_at"))
+    rows = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name", X.normalize_key(F.col("p_name")).alias("key")), F.col("l_partkey") == F.col("p_partkey"))
     field = F.create_map(*[F.lit(x) for kv in FIELD_OF.items() for x in kv])[F.col("o_orderpriority")]
-    w = W.partitionBy("o_custkey").orderBy(*line.columns)  # a person's own lines
-    return rows.select(F.col("o_custkey").alias("candidate_id"), F.col("p_brand").alias("term_id"), field.alias("field"), F.col("p_name").alias("phrase"), F.when(F.col("l_returnflag") == "A", "adjacent").otherwise("met").alias("relation"), F.row_number().over(w).alias("ord"))
+    w = W.partitionBy("o_custkey").orderBy("l_orderkey", "l_at")  # a person's own lines
+    return rows.select(F.col("o_custkey").alias("candidate_id"), F.col("p_brand").alias("term_id"), field.alias("field"), F.col("p_name").alias("phrase"), F.when(F.col("l_returnflag") == "A", "adjacent").otherwise("met").alias("relation"), F.row_number().over(w).alias("ord"), "key")
 
 
 MENTIONS_SQL = """mentions AS (

@@ -1,81 +1,65 @@
 """Arriving mentions scored against stored rubrics, with the best evidence of each person kept as state.
 
 A person's mentions may come over any number of batches, in any order and more than once: state holds the best evidence for
-each term and the earliest place of any, and both only grow. A batch scores the people whose state it has changed, anew and
-whole, and writes them to a folder of its own, so that a batch that is tried again replaces itself; of a person, the latest
-batch counts.
+each term and the earliest place of any, and both only grow. State is a table in the checkpoint's folder, evidence/batch=,
+which a batch adds to: it merges its mentions with what earlier batches hold of the same people, in one aggregate, and
+writes all terms of those whose evidence has changed. It scores these anew and whole, and writes them to a folder of its own
+too, so that a batch that is tried again replaces itself and reads nothing of its first try; of a person, the latest batch
+counts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql import Window as W
+from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import matching
+from ..sources.store import small
 
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-BEST = "v double, ord long, field string, phrase string, have_ord long"
-
-
-class BestEvidence(StatefulProcessor):
-    """State: for each term of a person the value, place, field and phrase of the best mention, and the earliest place.
-
-    Rows go out for all terms of a person of whom anything has changed.
-    """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.best = handle.getMapState("best", "term_id string", BEST)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new: dict[str, tuple] = {}
-        for part in rows:
-            for term, v, o, field, phrase in part[["term_id", "v", "ord", "field", "phrase"]].itertuples(index=False):
-                new[term] = better(new.get(term), (float(v), int(o), field, phrase, int(o)))
-        changed = False
-        for term, row in new.items():
-            old = tuple(self.best.getValue((term,))) if self.best.containsKey((term,)) else None
-            row = better(old, row)
-            if row != old:
-                changed = True
-                self.best.updateValue((term,), row)
-        if changed:
-            out = [(key[0], k[0], v[0], v[2], v[3], v[4]) for k, v in self.best.iterator()]
-            yield pd.DataFrame(out, columns=["candidate_id", "term_id", "v", "field", "phrase", "have_ord"])
-
-    def close(self) -> None:
-        pass
+STATE = "candidate_id {0}, term_id string, v double, ord long, field string, phrase string, have_ord long"
 
 
 def better(a: tuple | None, b: tuple) -> tuple:
-    """Of two (v, ord, field, phrase, have_ord), the better evidence, with the earlier have_ord."""
+    """Of two (v, ord, field, phrase, have_ord), the better evidence, with the earlier have_ord: the rule of merged()."""
     if a is None:
         return b
     return (*max(a[:4], b[:4], key=lambda x: (x[0], -x[1], x[2] or "", x[3] or "")), min(a[4], b[4]))
 
 
-def best_evidence(mentions: DataFrame, surface: DataFrame | None = None) -> DataFrame:
-    """A stream of mentions as a stream of (candidate_id, term_id, v, field, phrase, have_ord): all terms of the people whose
-    evidence has changed."""
-    rows = matching.valued(mentions, surface).select("candidate_id", "term_id", "v", F.col("ord").cast("long").alias("ord"), "field", "phrase")
-    kind = T.StructType([rows.schema["candidate_id"], *T._parse_datatype_string("term_id string, v double, field string, phrase string, have_ord long").fields])
-    return rows.groupBy("candidate_id").transformWithStateInPandas(BestEvidence(), kind, outputMode="Update", timeMode="None")
+def merged(new: DataFrame, held: DataFrame) -> DataFrame:
+    """All terms of the people in whose evidence `new` changes anything against `held`; both as STATE, with any number of
+    rows for a person's term, those of a value above 0 count. All of a person's rows are moved together, once."""
+    rows = new.withColumn("_held", F.lit(False)).unionByName(held.withColumn("_held", F.lit(True))).repartition("candidate_id")
+    counts = F.col("v") > 0
+    pick = F.when(counts, F.struct("v", (-F.col("ord")).alias("o"), "field", "phrase"))
+    was = lambda c: F.when(F.col("_held"), c)
+    best = rows.groupBy("candidate_id", "term_id").agg(F.max(pick).alias("b"), F.min(F.when(counts, F.col("have_ord"))).alias("have_ord"), F.max(was(pick)).alias("b0"), F.min(was(F.col("have_ord"))).alias("o0"))
+    moved = ~(F.col("b").eqNullSafe(F.col("b0")) & F.col("have_ord").eqNullSafe(F.col("o0")))
+    best = best.withColumn("_moved", F.max(moved).over(W.partitionBy("candidate_id"))).where("_moved and b is not null")
+    return best.select("candidate_id", "term_id", "b.v", (-F.col("b.o")).alias("ord"), "b.field", "b.phrase", "have_ord")
 
 
 def score_arrivals(mentions: DataFrame, route: DataFrame, requirements: DataFrame, out: str, checkpoint: str, surface: DataFrame | None = None) -> StreamingQuery:
     """Skill scores of arriving people, in a folder for each batch; latest_scores() reads them."""
-    spark = mentions.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)  # which state with several values needs
-
-    def one(have: DataFrame, number: int) -> None:
+    spark, state = mentions.sparkSession, f"{checkpoint}/evidence"
+    schema = STATE.format(mentions.schema["candidate_id"].dataType.simpleString())
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{state}/batch=-1")
+
+    def one(arrived: DataFrame, number: int) -> None:
+        held = spark.read.schema(f"{schema}, batch long").parquet(state).where(F.col("batch") < number).drop("batch")
+        people = arrived.select("candidate_id").distinct()
+        some = small(people)
+        if some is not people:  # few people: only their state is moved
+            held = held.join(some, "candidate_id", "left_semi")
+        new = matching.with_values(arrived, surface).select("candidate_id", "term_id", "v", F.col("ord").cast("long").alias("ord"), "field", "phrase").withColumn("have_ord", F.col("ord"))
+        merged(new, held).write.mode("overwrite").parquet(f"{state}/batch={number}")
+        have = spark.read.schema(schema).parquet(f"{state}/batch={number}").drop("ord").repartition("candidate_id")
         scores = matching.skill_scores(matching.term_routes(have, route, requirements))
         scores.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    return best_evidence(mentions, surface).writeStream.foreachBatch(one).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return mentions.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest_scores(spark: SparkSession, out: str) -> DataFrame:

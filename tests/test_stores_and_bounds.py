@@ -3,11 +3,13 @@
 import itertools
 import random
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from matchloom.operators import linking, matching, rubric, selection, topk, vocabulary
 from matchloom.operators.score_store import ScoreStore, assessment_keys
+from matchloom.plans import analogue as A
 from matchloom.plans import registry
 from matchloom.streaming import scoring
 
@@ -129,6 +131,37 @@ def test_steered_scores_from_the_store_read_no_lineitem(spark):
     assert files and not any("lineitem" in f for f in files)
 
 
+def test_values_are_those_of_the_evidence(spark, world):
+    zero = spark.createDataFrame([(1, "T5", "skills", "near T4", "met", 99), (79, "T4", "skills", "worthless", "met", 0)], MENTION)
+    surface = world["surface"].unionByName(world["surface"].where("kind = 'related' and term_id = 'T4'").withColumns({"phrase": F.lit("worthless"), "key": F.lit("worthless"), "weight": F.lit(0.0)}))
+    mentions = world["mentions"].unionByName(zero)
+    have = matching.have_terms(mentions, surface)
+    assert have.where("candidate_id = 79").count() == 0
+    want = matching.skill_scores(matching.term_routes(have, world["route"], world["req"])).select("candidate_id", "role_id", "req_pos", "score")
+    got = matching.skill_values(matching.have_values(mentions, surface), world["route"], world["req"]).select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_evidence_of_some_people(spark):
+    who = spark.createDataFrame([(1,), (7,), (149,)], "candidate_id long")
+    every = A.mentions(spark, SF)
+    got, want = A.mentions(spark, SF, who), every.join(who, "candidate_id", "left_semi").select(*every.columns)
+    assert want.count() > 0 and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_a_batch_adds_only_people_whose_evidence_changes(spark, world, tmp_path):
+    first = world["mentions"].where("candidate_id between 1 and 40")
+    better = spark.createDataFrame([(3, "T1", "skills", "p", "met", -1)], MENTION)
+    for part in (first, first.where("candidate_id < 20"), better):
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        arriving = spark.readStream.schema(world["mentions"].schema).parquet(f"{tmp_path}/in")
+        scoring.score_arrivals(arriving, world["route"], world["req"], f"{tmp_path}/out", f"{tmp_path}/state", world["surface"]).awaitTermination()
+    held = spark.read.parquet(f"{tmp_path}/state/evidence")
+    people = {b: {r[0] for r in held.where(F.col("batch") == b).select("candidate_id").collect()} for b in range(3)}
+    assert people == {0: {r[0] for r in first.select("candidate_id").collect()}, 1: set(), 2: {3}}
+    assert held.where("batch = 2").count() == first.where("candidate_id = 3").unionByName(better).select("term_id").distinct().count()
+
+
 def test_better_evidence_is_the_same_in_any_order():
     rows = [(1.0, 5, "a", "p", 5), (1.0, 2, "a", "q", 2), (0.6, 0, "a", "z", 0), (1.0, 2, "b", "q", 2), (1.0, 5, "a", "p", 5)]
     got = set()
