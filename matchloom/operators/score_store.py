@@ -52,7 +52,8 @@ class ScoreStore:
     def fill(self, requirements: DataFrame, score: Callable[[DataFrame], DataFrame]) -> int:
         """Score what is missing and return how many requirements that were.
 
-        score: from requirements(role_id, req_pos, ...) to (candidate_id, role_id, req_pos, score, via, field, phrase).
+        score: from requirements(role_id, req_pos, ...) to (candidate_id, role_id, req_pos, score) and, as those of
+        skill_scores, (via, field, phrase); all fills of a store give the same columns.
         """
         keys = assessment_keys(requirements).withColumn("assessment_key", F.concat("assessment_key", F.lit(f" {self.version}")))
         new_roles = pinned(keys.join(self._read("assessments", ASSESSMENTS), "assessment_key", "left_anti"))
@@ -64,14 +65,14 @@ class ScoreStore:
         n = missing.count()
         if n:
             batch = uuid.uuid4().hex
-            found = score(missing).select(F.col("role_id").alias("requirement_key"), "candidate_id", "score", "via", "field", "phrase")
+            found = score(missing).withColumnRenamed("role_id", "requirement_key").drop("req_pos")
             found.hint("rebalance", "requirement_key").write.partitionBy("requirement_key").parquet(f"{self.folder}/scores/batch={batch}")
             missing.select(F.lit(batch).alias("batch"), F.col("role_id").alias("requirement_key")).write.mode("append").parquet(f"{self.folder}/keys")
         new_roles.select("assessment_key").distinct().write.mode("append").parquet(f"{self.folder}/assessments")
         return n
 
     def scores(self, requirements: DataFrame) -> DataFrame:
-        """(candidate_id, role_id, req_pos, score, via, field, phrase) of these requirements, from the store alone."""
+        """(candidate_id, role_id, req_pos, score[, via, field, phrase]) of these requirements, from the store alone."""
         want = pinned(self.keyed(requirements).join(self._held(), "requirement_key").select("role_id", "req_pos", "requirement_key", "batch"))
         batches = sorted(r["batch"] for r in want.select("batch").distinct().collect())  # one a fill
         cols = ["candidate_id", "role_id", "req_pos", "score", "via", "field", "phrase"]
@@ -79,4 +80,4 @@ class ScoreStore:
         if not paths:
             return want.select(F.lit(None).cast("long").alias("candidate_id"), "role_id", "req_pos", F.lit(0.0).alias("score"), *[F.lit("").alias(c) for c in cols[4:]]).where("false")
         rows = self.spark.read.option("basePath", f"{self.folder}/scores").parquet(*paths)
-        return rows.join(F.broadcast(want), ["batch", "requirement_key"]).select(*cols)
+        return rows.join(F.broadcast(want), ["batch", "requirement_key"]).select(*[c for c in cols if c in ("role_id", "req_pos") or c in rows.columns])
