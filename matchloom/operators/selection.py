@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as X
+from ..sources.store import small
 
 # The wording and layout of gaps and briefs below, the order of gaps by kind, and the prose fields whose absence is a gap.
 PRIORITY = {"absent_required": 0, "absent_preferred": 1, "adjacent_substitution": 2, "unverifiable": 3, "empty_field": 4, "logistics": 5}
@@ -27,7 +28,9 @@ def shortlist(scores: DataFrame, rubric: DataFrame, order: str = "candidate_id",
 
 def excluded(scores: DataFrame, finalists: DataFrame) -> DataFrame:
     """Everyone who is no finalist of the role."""
-    return scores.join(finalists.select("role_id", "candidate_id"), ["role_id", "candidate_id"], "left_anti")
+    few = finalists.select("role_id", "candidate_id")
+    few._rows = getattr(finalists, "_rows", None)
+    return scores.join(small(few), ["role_id", "candidate_id"], "left_anti")
 
 
 def assessments(scores: DataFrame, ids: list | DataFrame | None = None) -> DataFrame:
